@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from candlespark.llm.mixing import OP5_SQL, op5_mixing
+from candlespark.llm.ngram_join import op9_ngram_join
 from candlespark.llm.packing import op1_packing
+from candlespark.llm.quality import op3_quality
 from candlespark.llm.token_counts import op10_token_counts
 
 
@@ -10,10 +13,13 @@ def queries() -> dict:
     """Query names to functions of (spark, sf_dir)."""
     return {
         "op1_packing": op1_packing,
+        "op3_quality": op3_quality,
+        "op5_mixing": op5_mixing,
+        "op9_ngram_join": op9_ngram_join,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return {"op5_mixing": OP5_SQL}
