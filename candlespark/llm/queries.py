@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from candlespark.llm.chat_format import OP8_SQL, op8_chat_format
+from candlespark.llm.embedding_dedup import op2_embedding_dedup
+from candlespark.llm.line_dedup import op7_line_dedup
 from candlespark.llm.mixing import OP5_SQL, op5_mixing
 from candlespark.llm.ngram_join import op9_ngram_join
 from candlespark.llm.packing import op1_packing
@@ -13,8 +16,11 @@ def queries() -> dict:
     """Query names to functions of (spark, sf_dir)."""
     return {
         "op1_packing": op1_packing,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op3_quality": op3_quality,
         "op5_mixing": op5_mixing,
+        "op7_line_dedup": op7_line_dedup,
+        "op8_chat_format": op8_chat_format,
         "op9_ngram_join": op9_ngram_join,
         "op10_token_counts": op10_token_counts,
     }
@@ -22,4 +28,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op5_mixing": OP5_SQL}
+    return {"op5_mixing": OP5_SQL, "op8_chat_format": OP8_SQL}
