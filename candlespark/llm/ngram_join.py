@@ -2,20 +2,22 @@
 
 Rows of the matrix are the distinct n-gram sets (documents of equal sets are one row), columns are n-grams.
 Columns are put in one global order, those common in a bounded sample of documents last and by falling rarity.
-A pair that reaches the threshold must overlap within the first n - ceil(t n) + 1 columns of both rows, so only
-those entries enter the product. The product runs in blocks of columns: a block sorts its entries by column,
-multiplies within each column, and adds up overlaps per pair; the blocks' counts are added by an aggregation.
-Pairs whose accumulated overlap is below what their sizes demand are discarded, the others are verified on
-their whole sets.
+Two rows of n and m n-grams that reach the threshold overlap in at least a = ceil(t (n + m) / (1 + t)) columns, and
+so in at least l columns within the first n - a + l of the one and m - a + l of the other. So only the first entries
+of a row enter the product, and an entry meets only those that it can reach under the bound of both sizes. The
+product runs in blocks of columns: a block sorts its entries by column, multiplies within each column, and adds up
+overlaps per pair; the blocks' counts are added by an aggregation. Pairs whose accumulated overlap is below l are
+discarded, the others are verified on their whole sets.
 
 Large groups of near copies would still square. They are joined first: rows that share a min-hash are each
-compared with one row of the share group only (a star), and what passes exact verification is merged. The product
-then skips pairs that are already in one component, as they can't change the result. No link between different
-components is lost, so components are exact.
+compared with two rows of the share group only (stars; one centre is the row with the fewest rare columns, which is
+close to what the copies were made from), and what passes exact verification is merged. The product then skips
+pairs that are already in one component, as they can't change the result. No link between different components is
+lost, so components are exact.
 
 Defined cases: null text or text without words has an empty set, links with nothing and is its own component;
 a null doc_id takes part by its text and reports the smallest non-null doc_id of its component; repeated rows
-are one class; an empty table gives no rows; further columns are ignored.
+are one class and each give a row; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,8 +45,18 @@ def need(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
+def least_overlap(n, m, percent: int):
+    """Least overlap of similar enough sets of ``n`` and ``m``; numbers or arrays of them."""
+    return (percent * (n + m) + 99 + percent) // (100 + percent)
+
+
+def shared_first(n, m):
+    """How many columns must be shared within the first entries of sets of ``n`` and ``m``."""
+    return 1 + (n + m) // 400
+
+
 def sets_of(docs: DataFrame, size: int, made, schema: str) -> DataFrame:
-    """``docs(doc_id, text)`` through ``made(doc_id, set) -> tuple`` over shingle sets, batch by batch."""
+    """``docs(key, text)`` through ``made(key, set) -> tuple`` over shingle sets, batch by batch."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -53,7 +65,7 @@ def sets_of(docs: DataFrame, size: int, made, schema: str) -> DataFrame:
         arrow = pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in schema.split(", "))])
         for batch in batches:
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            rows = [made(d, s) for d, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(texts, size))]
+            rows = [made(d, s) for d, s in zip(batch.column("key").to_pylist(), shingle_sets(texts, size))]
             columns = list(zip(*rows)) or [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
@@ -66,7 +78,7 @@ def common_columns(docs: DataFrame, size: int):
 
     n = docs.count()
     if n > SAMPLE_DOCS:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_DOCS / n))
+        docs = docs.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_DOCS / n))
     sets = sets_of(docs, size, lambda d, s: (set_signature(s), s.tobytes()), "sig long, hashes binary").dropDuplicates(["sig"])
 
     def unfold(batches: Iterator) -> Iterator:
@@ -83,31 +95,33 @@ def common_columns(docs: DataFrame, size: int):
 
 
 def sketches(docs: DataFrame, size: int, percent: int, common) -> DataFrame:
-    """Per document: signature and size of its set, min-hashes, and the entries that enter the product."""
+    """Per document: key, signature and size of its set, an order of rareness, min-hashes, and its first entries."""
     import numpy as np
 
     hashes, uses = common
     odd = mix(np.arange(1, KEYS + 1, dtype=np.uint64)) | np.uint64(1)
 
-    def made(doc_id, s):
-        n = len(s)
+    def made(key, s):
+        n, sig = len(s), set_signature(s)
         if not n:
-            return doc_id, set_signature(s), 0, b"", b""
+            return key, sig, 0, 0, b"", b""
         keys = mix(np.array([(s * k).min() for k in odd]) ^ odd)
-        first = n - need(n, percent) + 1
+        first = n - need(n, percent) + shared_first(n, n * 100 // percent + 1)
         if len(hashes):
             at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
             rank = np.where(hashes[at] == s, uses[at], 0)
             chosen = s[np.argsort(rank, kind="stable")[:first]]  # s is sorted: ties stay in the order of hashes
+            rare = int((rank == 0).sum()) * 1_000_000 // n
         else:
-            chosen = s[:first]
-        return doc_id, set_signature(s), n, keys.tobytes(), chosen.tobytes()
+            chosen, rare = s[:first], 1_000_000
+        return key, sig, n, (rare << 20) + (sig & 0xFFFFF), keys.tobytes(), chosen.tobytes()
 
-    return sets_of(docs, size, made, "doc_id long, sig long, n long, keys binary, entries binary")
+    return sets_of(docs, size, made, "key long, sig long, n long, rare long, keys binary, entries binary")
 
 
 def unfolded(rows: DataFrame, column: str, out: str) -> DataFrame:
-    """``rows`` with the packed 64-bit values of a binary ``column`` as rows of their own, in ``out``."""
+    """``rows`` with the packed 64-bit values of a binary ``column`` as rows of their own, in ``out``, and their
+    places in ``at``."""
     others = [c for c in rows.columns if c != column]
 
     def run(batches: Iterator) -> Iterator:
@@ -118,10 +132,11 @@ def unfolded(rows: DataFrame, column: str, out: str) -> DataFrame:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 packed = part.column(column).to_pylist()
                 each = np.repeat(np.arange(len(packed)), [len(p) // 8 for p in packed])
-                values = pa.array(np.frombuffer(b"".join(packed), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([values, *(part.column(c).take(pa.array(each)) for c in others)], names=[out, *others])
+                values = np.frombuffer(b"".join(packed), dtype=np.int64)
+                places = np.arange(len(values)) - np.searchsorted(each, each)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(places), *(part.column(c).take(pa.array(each)) for c in others)], names=[out, "at", *others])
 
-    return rows.select(column, *others).mapInArrow(run, ", ".join([f"{out} long", *(f"{c} long" for c in others)]))
+    return rows.select(column, *others).mapInArrow(run, ", ".join([f"{out} long", "at long", *(f"{c} long" for c in others)]))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
@@ -130,8 +145,8 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, p
     import numpy as np
 
     asked = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-    where = cut(members.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("only")))
-    chosen = docs.join(small(where.select("only").distinct()), docs["doc_id"].eqNullSafe(F.col("only")), "left_semi")
+    where = cut(members.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min("key").alias("key")))
+    chosen = docs.join(small(where.select("key").distinct()), "key", "left_semi")
     sets = sets_of(chosen, size, lambda d, s: (set_signature(s), s.tobytes()), "sig long, hashes binary")
     sets = sets.join(where.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
@@ -152,13 +167,15 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, p
 
 
 def stars(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a set and the smallest signature that shares a min-hash with it, where enough min-hashes agree."""
+    """Pairs of a set and a centre that shares a min-hash with it, where enough min-hashes agree."""
     import numpy as np
 
-    sets = rows.where("n > 0").select("sig", "n", "keys").dropDuplicates(["sig"])
-    keys = unfolded(sets.select("sig", "keys"), "keys", "key")
-    centres = keys.groupBy("key").agg(F.min("sig").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
-    pairs = keys.join(centres, "key").where("sig <> a").select("a", F.col("sig").alias("b")).distinct()
+    sets = rows.where("n > 0").select("sig", "n", "rare", "keys").dropDuplicates(["sig"])
+    keys = unfolded(sets.select("sig", "rare", "keys"), "keys", "key")
+    any_of = F.min_by("sig", F.xxhash64("sig", "key"))
+    centres = keys.groupBy("key").agg(F.min_by("sig", "rare").alias("c"), any_of.alias("d"), F.count("*").alias("m")).where("m > 1")
+    pairs = keys.join(centres.select("key", F.explode(F.array("c", "d")).alias("a")), "key").where("sig <> a")
+    pairs = pairs.select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
     side = lambda k: sets.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("keys").alias(f"k{k}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
@@ -175,24 +192,25 @@ def stars(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def block_products(entries: DataFrame, percent: int) -> DataFrame:
-    """``entries(column, sig, n, comp)``, dealt out by column and sorted by it, to overlap counts per pair of
-    rows of different components whose sizes allow a link."""
+    """``entries(column, at, sig, n, comp)``, dealt out by column and sorted by it, to the pairs of rows of different
+    components whose overlap within their first entries reaches the bound of their sizes."""
     import numpy as np
 
-    def multiply(held):
-        column, sig, n, comp = held
+    fields = ("column", "at", "sig", "n", "comp")
+
+    def multiply(column, at, sig, n, comp):
         out = []
         begins = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
         length = np.diff(np.append(begins, len(column)))
         several = np.minimum.reduceat(comp, begins) != np.maximum.reduceat(comp, begins)
         live = np.repeat(several, length)
-        column, sig, n, comp = (v[live] for v in (column, sig, n, comp))
+        column, at, sig, n, comp = (v[live] for v in (column, at, sig, n, comp))
         for lag in range(1, int(length[several].max(initial=1))):
-            same = column[lag:] == column[:-lag]
-            if not same.any():
-                break
-            i = np.flatnonzero(same & (comp[lag:] != comp[:-lag]) & (100 * np.minimum(n[lag:], n[:-lag]) >= percent * np.maximum(n[lag:], n[:-lag])))
+            i = np.flatnonzero((column[lag:] == column[:-lag]) & (comp[lag:] != comp[:-lag]))
             j = i + lag
+            slack = shared_first(n[i], n[j]) - least_overlap(n[i], n[j], percent)
+            reach = (at[i] < n[i] + slack) & (at[j] < n[j] + slack)
+            i, j = i[reach], j[reach]
             swap = sig[i] > sig[j]
             out.append(np.stack([np.where(swap, sig[j], sig[i]), np.where(swap, sig[i], sig[j]), np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j])]))
         return out
@@ -210,7 +228,7 @@ def block_products(entries: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         rest, parts, size = None, [], 0
         for batch in batches:
-            got = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("column", "sig", "n", "comp")]
+            got = [batch.column(c).to_numpy() for c in fields]
             if not len(got[0]):
                 continue
             if rest is not None:
@@ -218,30 +236,28 @@ def block_products(entries: DataFrame, percent: int) -> DataFrame:
             last = np.searchsorted(got[0], got[0][-1])
             rest = [v[last:] for v in got]
             if last:
-                new = multiply([v[:last] for v in got])
+                new = multiply(*(v[:last] for v in got))
                 parts += new
                 size += sum(x.shape[1] for x in new)
                 if size > 500_000:
                     yield summed(parts)
                     parts, size = [], 0
         if rest is not None:
-            parts += multiply(rest)
+            parts += multiply(*rest)
         yield summed(parts)
 
     dealt = entries.repartition("column").sortWithinPartitions("column")
     blocks = dealt.mapInArrow(run, "a long, b long, na long, nb long, overlap long")
     pairs = blocks.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("overlap").alias("overlap"))
-    whole = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100.0 + percent) - F.lit(1e-9))
-    outside = F.greatest(*[F.ceil(F.lit(percent) * F.col(c) / F.lit(100.0) - F.lit(1e-9)) for c in ("na", "nb")]) - 1
-    return pairs.where(F.col("overlap") >= whole - outside).select("a", "b")
+    return pairs.where(F.col("overlap") >= 1 + F.floor((F.col("na") + F.col("nb")) / F.lit(400))).select("a", "b")
 
 
 def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT):
-    """The join over ``docs(doc_id, text)``: members (doc_id, sig, n) and components (sig, component) of the
-    signatures that link with others."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    """The join over ``docs(doc_id, text)``: members (key, sig, n), a row per document, with the key of ``keyed``; and
+    components (sig, component) of the signatures that link with others."""
+    docs = keyed(docs)
     rows = cut(sketches(docs, size, percent, common_columns(docs, size)))
-    members = rows.select("doc_id", "sig", "n")
+    members = rows.select("key", "sig", "n")
     first = cut(verified(stars(rows, percent), docs, members, size, percent))
     merged = cut(components(first).withColumnRenamed("id", "sig"))
     entries = rows.where("n > 0").select("sig", "n", "entries").dropDuplicates(["sig"]).join(merged, "sig", "left")
@@ -252,17 +268,50 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT):
     return members, components(merged_pairs.unionByName(second)).withColumnRenamed("id", "sig")
 
 
+def row_key():
+    """A document's identity: a digest of doc_id and text; rows equal in both are one document."""
+    return F.xxhash64("doc_id", text_of())
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """key and text of ``docs``."""
+    return docs.select(row_key().alias("key"), text_of().alias("text"))
+
+
+def grouped(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """Per document: doc_id, key, n (size of its set) and group, null where the set is empty."""
+    members, linked = classes(docs, size, percent)
+    facts = members.distinct().join(linked, "sig", "left")
+    facts = facts.select("key", "n", F.when(F.col("n") > 0, F.coalesce("component", "sig")).alias("group"))
+    return docs.select("doc_id", row_key().alias("key")).join(facts, "key")
+
+
 def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
-    members, linked = classes(docs, size, percent)
-    named = members.join(linked, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    named = named.withColumn("alone", F.col("n") == 0)
-    least = named.where("not alone").groupBy("component").agg(F.min("doc_id").alias("least"))
-    found = named.where("not alone").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
-    empty = named.where("alone").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    rows = grouped(docs, size, percent)
+    least = rows.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
+    found = rows.where("group IS NOT NULL").join(least, "group").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    empty = rows.where("group IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(empty)
 
 
+def first_of_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each group: the one of smallest doc_id (null last). Documents with an empty set
+    all stay; of rows equal in doc_id and text one stays."""
+    own = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(own))])
+    doc_id, text = F.col(f"c{own.index('doc_id')}"), F.coalesce(F.col(f"c{own.index('text')}"), F.lit(""))
+    rows = cut(grouped(plain.select(doc_id.cast("long").alias("doc_id"), text.alias("text")), size, percent))
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")
+    owners = rows.where("group IS NOT NULL").groupBy("group").agg(F.min(rank).alias("owner"))
+    gone = rows.join(owners, "group").where(F.col("key") != F.col("owner")["key"]).select("key").distinct()
+    repeated = rows.where("group IS NOT NULL").groupBy("key").count().where("count > 1").select("key")
+    kept = plain.withColumn("key", F.xxhash64(doc_id.cast("long"), text)).join(small(cut(gone)), "key", "left_anti")
+    repeated = small(cut(repeated))
+    once = kept.join(repeated, "key", "left_anti").unionByName(kept.join(repeated, "key", "left_semi").dropDuplicates(["key"]))
+    return once.select(*plain.columns).toDF(*own)
+
+
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Components of all documents over five-word shingles at Jaccard 0.8."""
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
