@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from candlespark.llm.common import table, text_of
 
-#: A candidate: 12 or more key characters, with what stands before and after it for the neighbours' features.
-CANDIDATE = r"(?<![A-Za-z0-9_/+.\-@])(?=[A-Za-z_/+.\-@]{0,255}[0-9])[A-Za-z0-9_/+.\-@]{12,}"
+#: A candidate: 12 or more key characters that don't end in a full stop or the like, with what stands before and after it for the neighbours' features.
+CANDIDATE = r"(?<![A-Za-z0-9_/+.\-@])(?=[A-Za-z_/+.\-@]{0,255}[0-9])[A-Za-z0-9_/+.\-@]{11,}[A-Za-z0-9_/+]"
 BEFORE, AFTER = 24, 8
 THRESHOLD = 0.5
 #: Words that announce a secret, words that announce something else, and common letter groups.
