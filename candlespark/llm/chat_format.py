@@ -29,7 +29,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import cut, small, table
+from candlespark.llm.common import cut, slices, table
 from candlespark.llm.tokenize import tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -100,7 +100,7 @@ def encoded(leaves: DataFrame, vocabulary: str) -> DataFrame:
         import pyarrow as pa
 
         enc = encoding(vocabulary)
-        for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
+        for batch in slices(batches, 200):
             ids, lo, hi = [], [], []
             for roles, texts in zip(batch.column("roles").to_pylist(), batch.column("texts").to_pylist()):
                 rows = []
@@ -145,7 +145,7 @@ def prefix_tree(leaves: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def unfold(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
+        for batch in slices(batches, 200):
             out = {c: [] for c in ("leaf", "root", "node", "parent", "depth", "start", "position", "length", "shared")}
             for row in batch.to_pylist():
                 position, start, parent = 0, row["base"], None
@@ -186,7 +186,7 @@ def read_back(tree: DataFrame, paths: DataFrame, vocabulary: str = VOCABULARY) -
         import pyarrow as pa
 
         enc = encoding(vocabulary)
-        for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
+        for batch in slices(batches, 100):
             out = []
             for nodes in batch.column("nodes").to_pylist():
                 whole = enc.decode_bytes([i for n in nodes for i in n["ids"]]).decode()

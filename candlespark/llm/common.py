@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,13 @@ def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -
     return F.broadcast(df) if n <= bound else df
 
 
+def slices(batches: Iterable, rows: int = 500) -> Iterator:
+    """Arrow batches cut into parts of at most ``rows`` rows, so that what a task derives from texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_of(name: str = "text") -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

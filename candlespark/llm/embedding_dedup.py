@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import components, cut, small, table
+from candlespark.llm.common import components, cut, slices, small, table
 
 COSINE = 0.95
 #: Rows that a cell holds on average, rows beyond which a cell is split, and the chance to miss a link.
@@ -73,7 +73,7 @@ def projected(classes: DataFrame, rounds: int, bits: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+        for batch in slices(batches):
             ids, vectors = batch.column("id").to_numpy(), batch.column("v").to_pylist()
             sizes = np.fromiter(map(len, vectors), dtype=np.int64, count=len(vectors))
             for size in np.unique(sizes).tolist():
@@ -180,7 +180,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in (b.slice(i, 2_000) for b in batches for i in range(0, b.num_rows, 2_000)):
+        for batch in slices(batches, 2_000):
             x, y = units(batch.column("x").to_pylist()), units(batch.column("y").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((x * y).sum(axis=1) >= cosine))
 

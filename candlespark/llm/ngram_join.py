@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import components, cut, small, table, text_of
+from candlespark.llm.common import components, cut, slices, small, table, text_of
 from candlespark.llm.shingles import mix, set_signature, shingle_sets
 
 SIZE = 5
@@ -63,7 +63,7 @@ def sets_of(docs: DataFrame, size: int, made, schema: str) -> DataFrame:
 
         kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
         arrow = pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in schema.split(", "))])
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             rows = [made(d, s) for d, s in zip(batch.column("key").to_pylist(), shingle_sets(texts, size))]
             columns = list(zip(*rows)) or [()] * len(arrow)
@@ -84,7 +84,7 @@ def common_columns(docs: DataFrame, size: int):
     def unfold(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), dtype=np.int64))], names=["h"])
 
     counts = sets.select("hashes").mapInArrow(unfold, "h long").groupBy("h").count().where(F.col("count") >= COMMON_FROM)
@@ -128,13 +128,12 @@ def unfolded(rows: DataFrame, column: str, out: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                packed = part.column(column).to_pylist()
-                each = np.repeat(np.arange(len(packed)), [len(p) // 8 for p in packed])
-                values = np.frombuffer(b"".join(packed), dtype=np.int64)
-                places = np.arange(len(values)) - np.searchsorted(each, each)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(places), *(part.column(c).take(pa.array(each)) for c in others)], names=[out, "at", *others])
+        for part in slices(batches, 256):
+            packed = part.column(column).to_pylist()
+            each = np.repeat(np.arange(len(packed)), [len(p) // 8 for p in packed])
+            values = np.frombuffer(b"".join(packed), dtype=np.int64)
+            places = np.arange(len(values)) - np.searchsorted(each, each)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(places), *(part.column(c).take(pa.array(each)) for c in others)], names=[out, "at", *others])
 
     return rows.select(column, *others).mapInArrow(run, ", ".join([f"{out} long", "at long", *(f"{c} long" for c in others)]))
 
@@ -153,7 +152,7 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, p
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             a, b = batch.column("a"), batch.column("b")
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
@@ -183,7 +182,7 @@ def stars(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 5_000):
             packed = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.int64).reshape(-1, KEYS) for c in ("ka", "kb")]
             keep = (packed[0] == packed[1]).sum(1) >= AGREE
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))

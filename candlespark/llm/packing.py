@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import text_of
+from candlespark.llm.common import slices, text_of
 from candlespark.llm.tokenize import id_encoder, tokenizer_path
 
 WINDOW = 4096
@@ -37,8 +37,8 @@ def pieces(docs: DataFrame, shards: int, path: str, window: int = WINDOW, end_id
 
         encoder, end = id_encoder(path), end_id.to_bytes(4, "little")
         row = 0
-        for batch in batches:
-            out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard", "ids")}
+        for batch in slices(batches):
+            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard", "ids")}
             ids_of = batch.column("doc_id").to_pylist()
             texts = batch.column("text").to_pylist()
             for doc_id, words in zip(ids_of, encoder.encode(t.encode() for t in texts)):
@@ -55,9 +55,6 @@ def pieces(docs: DataFrame, shards: int, path: str, window: int = WINDOW, end_id
                     out["doc_tokens"].append(total)
                     out["shard"].append(zlib.crc32(b"%d %d" % (row, doc_id or 0)) % shards)
                     out["ids"].append(part if with_ids else None)
-                if len(out["ids"]) >= 20_000:
-                    yield pa.RecordBatch.from_pydict(out, schema=schema)
-                    out = {k: [] for k in out}
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     import pyarrow as pa

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import doc_key, small, table, text_of
+from candlespark.llm.common import doc_key, slices, small, table, text_of
 
 THRESHOLD = 0.7
 #: Most labelled rows that the tables are fitted on.
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", train_row
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             x = features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
@@ -206,7 +206,7 @@ def score(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             s = model.score(features(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))],
@@ -226,7 +226,7 @@ def keep(docs: DataFrame, model: AdditiveModel, threshold: float) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(model.score(features(texts)) >= threshold, pa.bool_()))
 

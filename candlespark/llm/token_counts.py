@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import scratch_path, table, text_of
+from candlespark.llm.common import scratch_path, slices, table, text_of
 from candlespark.llm.tokenize import count_encoder, tokenizer_path
 
 LIMIT = 2048
@@ -53,7 +53,7 @@ def encode_counts(texts: DataFrame, path: str, version: int) -> DataFrame:
         import pyarrow as pa
 
         encoder = count_encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             counts = [sum(x) for x in encoder.encode(t.encode() for t in batch.column("text").to_pylist())]
             n = len(counts)
             yield pa.RecordBatch.from_arrays(

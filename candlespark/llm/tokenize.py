@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 #: Words kept per task process; the memo is emptied when it is full, which costs time but changes no result.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 #: ASCII marks that may end a word: between a letter and a run of these there is always a token boundary
 #: (the apostrophe is left out, as it can start a contraction).
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
