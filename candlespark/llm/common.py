@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Largest side, in rows of a few longs, that is ever broadcast by hand; larger sides take a shuffled join.
 BROADCAST_ROWS = 500_000
+#: Links that one task of the union-find takes, so that few links don't make many small files.
+TASK_EDGES = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,29 +70,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
     and two shuffled joins, and its result is checkpointed, so neither links nor components ever meet on the
     driver or in one task. Ids that have no link don't appear. Self links are ignored.
     """
-    e = (
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-        .distinct()
-    )
-    e = cut(e)
-    before = None
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    e = cut(e.distinct())
+    parts = max(1, -(-e.count() // TASK_EDGES))
     for _ in range(max_rounds):
-        mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark["n"] == 0 or (mark["n"], mark["h"]) == before:
-            break
-        before = (mark["n"], mark["h"])
+        e = e.coalesce(parts)
+        facts = e.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d")).first()
+        if facts["n"] == facts["d"] and e.select("v").join(e.select("u"), F.col("v") == F.col("u"), "left_semi").isEmpty():
+            break  # every id has one partner, and that is nobody's larger one
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = cut(
-            large.join(low, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
+        small_star = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = cut(small_star.unionByName(low.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(

@@ -33,11 +33,11 @@ from candlespark.llm.shingles import mix, set_signature, shingle_sets
 SIZE = 5
 PERCENT = 80
 #: Min-hashes per set that propose stars, and how many must agree before a star is verified.
-KEYS, AGREE = 16, 8
+KEYS, AGREE = 16, 10
 #: Documents in the sample that finds common columns, and the most columns kept as common. They only set the
 #: columns' order, that is the speed; the result is the same under any order.
-SAMPLE_DOCS, COMMON = 16_384, 500_000
-COMMON_FROM = 4
+SAMPLE_DOCS, COMMON = 32_768, 500_000
+COMMON_FROM = 3
 
 
 def need(n: int, percent: int) -> int:
@@ -79,15 +79,15 @@ def common_columns(docs: DataFrame, size: int):
     n = docs.count()
     if n > SAMPLE_DOCS:
         docs = docs.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_DOCS / n))
-    sets = sets_of(docs, size, lambda d, s: (set_signature(s), s.tobytes()), "sig long, hashes binary").dropDuplicates(["sig"])
 
     def unfold(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), dtype=np.int64))], names=["h"])
+            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_sets(texts, size)]).view(np.int64))], names=["h"])
 
-    counts = sets.select("hashes").mapInArrow(unfold, "h long").groupBy("h").count().where(F.col("count") >= COMMON_FROM)
+    counts = docs.select("text").mapInArrow(unfold, "h long").groupBy("h").count().where(F.col("count") >= COMMON_FROM)
     rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
     hashes, uses = rows["h"].to_numpy(dtype=np.int64).view(np.uint64), rows["count"].to_numpy(dtype=np.int64)
     order = hashes.argsort()
@@ -165,11 +165,16 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, p
     return both.join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y")), "b").mapInArrow(run, "a long, b long")
 
 
-def stars(rows: DataFrame, percent: int) -> DataFrame:
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """``rows`` with one row per non-empty set. Only what comes more than once is looked up, so rows needn't move."""
+    copies = rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("first"), F.count("*").alias("m")).where("m > 1")
+    return rows.where("n > 0").join(small(cut(copies.select("sig", "first"))), "sig", "left").where("first IS NULL OR first = row")
+
+
+def stars(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of a set and a centre that shares a min-hash with it, where enough min-hashes agree."""
     import numpy as np
 
-    sets = rows.where("n > 0").select("sig", "n", "rare", "keys").dropDuplicates(["sig"])
     keys = unfolded(sets.select("sig", "rare", "keys"), "keys", "key")
     any_of = F.min_by("sig", F.xxhash64("sig", "key"))
     centres = keys.groupBy("key").agg(F.min_by("sig", "rare").alias("c"), any_of.alias("d"), F.count("*").alias("m")).where("m > 1")
@@ -255,11 +260,11 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT):
     """The join over ``docs(doc_id, text)``: members (key, sig, n), a row per document, with the key of ``keyed``; and
     components (sig, component) of the signatures that link with others."""
     docs = keyed(docs)
-    rows = cut(sketches(docs, size, percent, common_columns(docs, size)))
-    members = rows.select("key", "sig", "n")
-    first = cut(verified(stars(rows, percent), docs, members, size, percent))
+    rows = cut(sketches(docs, size, percent, common_columns(docs, size)).withColumn("row", F.monotonically_increasing_id()))
+    members, sets = rows.select("key", "sig", "n"), one_of_each(rows)
+    first = cut(verified(stars(sets, percent), docs, members, size, percent))
     merged = cut(components(first).withColumnRenamed("id", "sig"))
-    entries = rows.where("n > 0").select("sig", "n", "entries").dropDuplicates(["sig"]).join(merged, "sig", "left")
+    entries = sets.select("sig", "n", "entries").join(small(merged), "sig", "left")
     entries = entries.select("entries", "sig", "n", F.coalesce("component", "sig").alias("comp"))
     pairs = cut(block_products(unfolded(entries, "entries", "column"), percent))
     second = verified(pairs, docs, members, size, percent)
