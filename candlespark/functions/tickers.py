@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from candlespark.schemas import FUTURE_ROOTS, MONTH_CODES, RANGES
+from candlespark.schemas import FREE_TICKERS, FUTURE_ROOTS, MONTH_CODES, RANGES
 
 
 def normal(ticker: Column) -> Column:
@@ -59,8 +59,8 @@ def valid_ticker(ticker: Column) -> Column:
     return (F.trim(ticker) != "") & ~ticker.rlike(r"[\s/?&#%]")
 
 
-def reachable(ticker: Column, has_token: bool, free: tuple[str, ...] = ("PETR4", "MGLU3", "VALE3", "ITUB4")) -> Column:
-    """True where the provider answers: with a token always, else for the free tickers (fixed values)."""
+def reachable(ticker: Column, has_token: bool, free: tuple[str, ...] = FREE_TICKERS) -> Column:
+    """True where the provider answers: with a token always, else for the free tickers."""
     return F.lit(has_token) | normal(ticker).isin(*free)
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Exchange zone, timeframes (width in seconds, base timeframe, base bars, provider interval), kinds.
+# Exchange zone, timeframes (width in seconds, base timeframe, base bars, provider interval), kinds,
+# roots and month codes of futures, tickers that need no token, currency, range tokens with days, run statuses, limits.
 ZONE = "America/Sao_Paulo"
 TIMEFRAMES = {
     "5m": (300, "5m", 1, "5m"),
@@ -17,6 +18,7 @@ STORED = ("5m", "1d")
 KINDS = ("stock", "fii", "bdr", "unit", "index", "future", "crypto")
 FUTURE_ROOTS = ("WIN", "IND", "WDO", "DOL")
 MONTH_CODES = "FGHJKMNQUVXZ"
+FREE_TICKERS = ("ITUB4", "MGLU3", "PETR4", "VALE3")
 CURRENCY = "BRL"
 RANGES = (("3mo", 92), ("6mo", 183), ("1y", 366), ("2y", 731), ("5y", 1827), ("10y", 3653))
 RUN_STATUSES = ("running", "ok", "empty", "skipped", "failed")
