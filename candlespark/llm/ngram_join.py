@@ -72,8 +72,16 @@ def sets_of(docs: DataFrame, size: int, made, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def head(hashes):
+    """The upper 32 bits of 64-bit hashes."""
+    import numpy as np
+
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 def common_columns(docs: DataFrame, size: int):
-    """Sorted hashes of the columns that are common in the sample, and their counts there."""
+    """Sorted 32-bit heads of the hashes of columns that are common in the sample, and their counts there. Heads
+    of different columns may meet, which only moves a column in the order."""
     import numpy as np
 
     n = docs.count()
@@ -85,11 +93,11 @@ def common_columns(docs: DataFrame, size: int):
 
         for batch in slices(batches):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_sets(texts, size)]).view(np.int64))], names=["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(head(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_sets(texts, size)])).view(np.int32))], names=["h"])
 
-    counts = docs.select("text").mapInArrow(unfold, "h long").groupBy("h").count().where(F.col("count") >= COMMON_FROM)
+    counts = docs.select("text").mapInArrow(unfold, "h int").groupBy("h").count().where(F.col("count") >= COMMON_FROM)
     rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
-    hashes, uses = rows["h"].to_numpy(dtype=np.int64).view(np.uint64), rows["count"].to_numpy(dtype=np.int64)
+    hashes, uses = rows["h"].to_numpy(dtype=np.int32).view(np.uint32), rows["count"].to_numpy(dtype=np.int64)
     order = hashes.argsort()
     return hashes[order], uses[order]
 
@@ -108,8 +116,9 @@ def sketches(docs: DataFrame, size: int, percent: int, common) -> DataFrame:
         keys = mix(np.array([(s * k).min() for k in odd]) ^ odd)
         first = n - need(n, percent) + shared_first(n, n * 100 // percent + 1)
         if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-            rank = np.where(hashes[at] == s, uses[at], 0)
+            heads = head(s)
+            at = np.minimum(np.searchsorted(hashes, heads), len(hashes) - 1)
+            rank = np.where(hashes[at] == heads, uses[at], 0)
             chosen = s[np.argsort(rank, kind="stable")[:first]]  # s is sorted: ties stay in the order of hashes
             rare = int((rank == 0).sum()) * 1_000_000 // n
         else:
@@ -196,14 +205,15 @@ def stars(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def block_products(entries: DataFrame, percent: int) -> DataFrame:
-    """``entries(column, at, sig, n, comp)``, dealt out by column and sorted by it, to the pairs of rows of different
-    components whose overlap within their first entries reaches the bound of their sizes."""
+    """``entries(column, at, n, apart, sig)``, dealt out by column and sorted by it, to the pairs of rows of different
+    components whose overlap within their first entries reaches the bound of their sizes. ``apart`` is component
+    XOR signature, 0 for most rows, so that it takes no room in the shuffle."""
     import numpy as np
 
-    fields = ("column", "at", "sig", "n", "comp")
+    fields = ("column", "at", "n", "apart", "sig")
 
-    def multiply(column, at, sig, n, comp):
-        out = []
+    def multiply(column, at, n, apart, sig):
+        out, comp = [], sig ^ apart
         begins = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
         length = np.diff(np.append(begins, len(column)))
         several = np.minimum.reduceat(comp, begins) != np.maximum.reduceat(comp, begins)
@@ -264,8 +274,9 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT):
     members, sets = rows.select("key", "sig", "n"), one_of_each(rows)
     first = cut(verified(stars(sets, percent), docs, members, size, percent))
     merged = cut(components(first).withColumnRenamed("id", "sig"))
-    entries = sets.select("sig", "n", "entries").join(small(merged), "sig", "left")
-    entries = entries.select("entries", "sig", "n", F.coalesce("component", "sig").alias("comp"))
+    entries = sets.select("n", "entries", "sig").join(small(merged), "sig", "left")
+    apart = F.coalesce(F.col("component").bitwiseXOR(F.col("sig")), F.lit(0).cast("long"))
+    entries = entries.select("entries", "n", apart.alias("apart"), "sig")
     pairs = cut(block_products(unfolded(entries, "entries", "column"), percent))
     second = verified(pairs, docs, members, size, percent)
     merged_pairs = merged.where("sig <> component").select(F.col("sig").alias("a"), F.col("component").alias("b"))
