@@ -31,13 +31,18 @@ SHORT, TINY, RARE = 1_000, 200, 200
 BLOCK, BLOCKS, CELLS = 2_000, 20_000, 64
 
 
+def once(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` evaluated once, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def spot_signatures(text: Column) -> Column:
     """Sorted distinct 64-bit signatures of a text."""
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     content = F.regexp_replace(plain, f"(?<= )(?:{'|'.join(SKIPPED)}) ", "")
     glued = F.regexp_replace(content, f"(?<= )({'|'.join(ANCHORS)}) ", f"$1{CHAIN_MARK}")
     words = F.filter(F.split(F.trim(glued), " "), lambda w: w != "")
-    return F.array_sort(F.array_distinct(chained(words, F.char_length(text))))
+    return once(words, lambda w: F.array_sort(F.array_distinct(chained(w, F.char_length(text)))))
 
 
 def chained(words: Column, chars: Column) -> Column:
