@@ -2,12 +2,15 @@
 
 Lines are compared in a normal form (lower case, white space collapsed). Equal lines are found by a 64-bit
 digest; a distinct line also gets a MinHash signature of its character shingles, cut into bands, so that similar
-lines meet under some band key with high probability. Lines under one key are each compared with one of them (a
-star, so a key costs its number of lines), by the exact Jaccard of their shingle sets. Passed comparisons are
-merged by distributed union-find, and of every component only the first line, by document and line number, stays.
+lines meet under some band key with high probability. Lines under one key are first each compared with one of them
+(a star), by the exact Jaccard of their shingle sets, and passed comparisons are merged by distributed union-find.
+Then all lines of a key that are still in different components are compared with each other, without a cap. Of every
+component only the first line, by document and line number, stays.
 
 Hot keys: a task proposes stars among its own batch first, so a key leaves a batch once, whatever its count;
-equal lines leave their signature once per task; owners of components are pre-aggregated.
+equal lines leave their signature once per task; owners of components are pre-aggregated; the comparison of a key's
+lines is dealt out in tiles of at most about 2 * ``TILE`` lines, where exact bounds (set sizes and bit maps of the
+sets) spare most comparisons of sets and a tile links two components once.
 
 Defined cases: null text stays null and has no lines; lines under ``min_chars`` normal characters are never
 touched; a document that loses all its lines keeps its row with an empty text (``deduplicate``); rows equal in
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlespark.llm.common import components, cut, slices, small, table
+from candlespark.llm.ngram_join import unfolded
 from candlespark.llm.shingles import BASE, STEP, _tables, mix, powers
 
 SHINGLE = 7
@@ -33,6 +37,8 @@ BANDS, ROWS = 8, 4
 MIN_CHARS = 10
 #: Characters hashed at once, and digests a task remembers so as to sign equal lines once.
 CHUNK, SEEN = 100_000, 500_000
+#: Lines beyond which a key's comparison is split, bits of a set's map, and sets that a task remembers.
+TILE, BITS, SETS = 2_000, 1_024, 20_000
 
 
 def normal(line: str) -> str:
@@ -175,8 +181,8 @@ def candidate_stars(lines: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, min_chars: int, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose lines' shingle sets have an exact Jaccard of ``percent`` or more."""
+def contents(pairs: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
+    """(line, content) of the lines in ``pairs(a, b)``: their digests and normal forms."""
     asked = cut(pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct())
 
     def lines(batches: Iterator) -> Iterator:
@@ -191,7 +197,11 @@ def verified(pairs: DataFrame, docs: DataFrame, min_chars: int, size: int, perce
                         found[digest(line)] = line
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["line", "content"])
 
-    content = docs.select("text").mapInArrow(lines, "line long, content string").join(small(asked), "line", "left_semi").dropDuplicates(["line"])
+    return docs.select("text").mapInArrow(lines, "line long, content string").join(small(asked), "line", "left_semi").dropDuplicates(["line"])
+
+
+def verified(pairs: DataFrame, content: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose lines' shingle sets have an exact Jaccard of ``percent`` or more."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -212,11 +222,103 @@ def verified(pairs: DataFrame, docs: DataFrame, min_chars: int, size: int, perce
     return both.join(content.select(F.col("line").alias("b"), F.col("content").alias("y")), "b").mapInArrow(run, "a long, b long")
 
 
+def tile_links(sets: list, maps, part, comp, percent: int) -> list:
+    """Links (i, j) that merge all components of a tile with lines alike at ``percent`` in them, none of them twice.
+    ``sets`` are in order of their sizes; ``maps`` have a bit set for each member. Lines of one ``part`` aren't compared,
+    where ``part`` isn't None."""
+    import numpy as np
+
+    out, n, comp = [], np.array([len(s) for s in sets]), comp.copy()
+    ends = np.searchsorted(n, n * 100 // percent, side="right")
+    for i in range(len(sets)):
+        other = comp[i + 1 : ends[i]] != comp[i]
+        if part is not None:
+            other &= part[i + 1 : ends[i]] != part[i]
+        j = i + 1 + np.flatnonzero(other)
+        if not len(j):
+            continue
+        # a bit that only one map has stands for at least one member that only this set has
+        own, others = np.bitwise_count(maps[i] & ~maps[j]).sum(1, dtype=np.int64), np.bitwise_count(maps[j] & ~maps[i]).sum(1, dtype=np.int64)
+        most = np.minimum(n[i] - own, n[j] - others)
+        for k in j[100 * most >= percent * (n[i] + n[j] - most)].tolist():
+            if comp[k] != comp[i]:
+                same = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if 100 * same >= percent * (n[i] + n[k] - same):
+                    out.append((i, k))
+                    comp[comp == comp[k]] = comp[i]
+    return out
+
+
+def remaining(lines: DataFrame, merged: DataFrame, content: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between lines of different components of ``merged(line, component)`` that share a band key: every two
+    of them are compared, or are linked through others. Lines that share a key with another one are in ``content``."""
+    asked = lines.where("keys IS NOT NULL").select("line", "keys").join(content.select("line"), "line", "left_semi").dropDuplicates(["line"])
+    asked = cut(asked.join(small(merged), "line", "left").select("line", F.coalesce("component", "line").alias("component"), "keys"))
+    keyed = unfolded(asked, "keys", "key").select("key", "line", "component")
+    open_ = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = open_.where("m > 2 AND low <> high")  # the star has compared the lines of a key with two
+    open_ = small(cut(open_.select("key", F.ceil(F.col("m") / F.lit(TILE)).cast("int").alias("parts"))))
+    rows = keyed.join(open_, "key").withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    tile = ["key", "low", "high"]
+    rows = rows.join(content, "line").select(*tile, "part", "line", "component", "content")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        sets: dict = {}
+
+        def set_of(line, text):
+            found = sets.get(line)
+            if found is None:
+                if len(sets) >= SETS:
+                    sets.clear()
+                members, bits = np.unique(windows(text, size)), np.zeros(BITS, dtype=bool)
+                bits[members % np.uint64(BITS)] = True
+                found = sets[line] = members, np.packbits(bits).view(np.uint64)
+            return found
+
+        def work(part):
+            key, low, high, own, line, comp = (part.column(c).to_numpy() for c in (*tile, "part", "line", "component"))
+            text, a, b = part.column("content"), [], []
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+            for at, end in zip(new.tolist(), [*new[1:].tolist(), len(key)]):
+                if (comp[at:end] == comp[at]).all():
+                    continue
+                found = [set_of(x, t) for x, t in zip(line[at:end].tolist(), text.slice(at, end - at).to_pylist())]
+                order = np.argsort([len(s) for s, _ in found], kind="stable")
+                maps, place = np.stack([found[i][1] for i in order]), at + order
+                for i, j in tile_links([found[i][0] for i in order], maps, None if low[at] == high[at] else own[place], comp[place], percent):
+                    a.append(line[place[i]])
+                    b.append(line[place[j]])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([*([rest] if rest is not None else []), batch]).combine_chunks().to_batches()[0]
+            key = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in tile], axis=1)
+            last = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
+            if last:
+                yield work(whole.slice(0, last))
+            rest = whole.slice(last)
+        if rest is not None:
+            yield work(rest)
+
+    return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "a long, b long").distinct()
+
+
 def removals(docs: DataFrame, min_chars: int = MIN_CHARS, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs(dk, doc_id, text)`` to (dk, gone): the sorted places of the lines that a document loses."""
     lines = cut(line_table(docs, min_chars, size))
     pairs = cut(candidate_stars(lines))
-    merged = cut(components(verified(pairs, docs, min_chars, size, percent)).withColumnRenamed("id", "line"))
+    content = cut(contents(pairs, docs, min_chars))
+    merged = cut(components(verified(pairs, content, size, percent)).withColumnRenamed("id", "line"))
+    links = merged.where("line <> component").select(F.col("line").alias("a"), F.col("component").alias("b"))
+    merged = cut(components(links.unionByName(remaining(lines, merged, content, size, percent))).withColumnRenamed("id", "line"))
     at = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "dk", "place")
     rows = lines.select("line", "dk", "doc_id", "place").join(small(merged), "line", "left")
     rows = rows.select(F.coalesce("component", "line").alias("group"), "dk", "place", at.alias("at"))

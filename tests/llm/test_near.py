@@ -99,6 +99,25 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.deduplicate(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [2_000, 20])
+def test_line_dedup_of_template_lines(spark, monkeypatch, tile):
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for _ in range(3):  # a shared phrase with variable parts, and near copies of them
+        phrase = letters(200)
+        for _ in range(60):
+            variable = letters(30)
+            lines += [f"{phrase} {variable}", f"{phrase} {variable[:-20]}{letters(20)}"]
+    sets = [frozenset(x[i : i + 7] for i in range(len(x) - 6)) for x in lines]
+    keys = [set(k) for k in line_dedup.band_keys(lines, 7).tolist()]
+    roots = union_find(len(lines), [(i, j) for i in range(len(lines)) for j in range(i) if keys[i] & keys[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in line_dedup.deduplicate(docs).collect() if r._gone}
+    assert got == {i for i in range(len(lines)) if any(roots[j] == roots[i] for j in range(i))} and len(got) > 150
+
+
 def vectors(seed=4):
     rng = np.random.default_rng(seed)
     rows = [(i, rng.standard_normal(16).tolist()) for i in range(300)]
