@@ -2,9 +2,9 @@
 
 A spot signature is a common word (the anchor, or several in a row) with the next two content words. Text is
 lower-cased and cut into words of letters and digits; anchors are glued to the content word after them, other
-frequent words are left out, and each glued word with its successor is hashed. A document's set of signatures is
-its fingerprint. Texts under ``SHORT`` code points, and texts with less than one anchor in ``RARE`` code points, take
-every content word as an anchor, very short ones single words too, so that they have telling fingerprints as well.
+frequent words are left out, and each glued word with its successor is hashed. Every content word with its successor
+is hashed as well, so that texts that are short or have few anchors have telling fingerprints too. A document's set of
+signatures is its fingerprint. The rule is the same for texts of all lengths, so a set changes only with edited words.
 
 Fingerprints are compared by Jaccard, pruned by length: sets can't be more alike than the shorter length over the
 longer. ``near_documents`` deals sets out by length class and signature, so only sets of near lengths meet.
@@ -26,7 +26,6 @@ from candlespark.llm.common import components, cut, table, text_of
 ANCHORS = "the a is was of to der die das ist ein und le la les est et un el los es y que de".split()
 SKIPPED = "in on at by for with that this be are as or it mit von zu den im auf en du des dans pour par con por se al".split()
 CHAIN_MARK = ">"
-SHORT, TINY, RARE = 1_000, 200, 200
 #: Documents per block of the order of documents, about, and the most blocks and quantile cells.
 BLOCK, BLOCKS, CELLS = 2_000, 20_000, 64
 
@@ -42,23 +41,16 @@ def spot_signatures(text: Column) -> Column:
     content = F.regexp_replace(plain, f"(?<= )(?:{'|'.join(SKIPPED)}) ", "")
     glued = F.regexp_replace(content, f"(?<= )({'|'.join(ANCHORS)}) ", f"$1{CHAIN_MARK}")
     words = F.filter(F.split(F.trim(glued), " "), lambda w: w != "")
-    return once(words, lambda w: F.array_sort(F.array_distinct(chained(w, F.char_length(text)))))
+    return once(words, lambda w: F.array_sort(F.array_distinct(chained(w))))
 
 
-def chained(words: Column, chars: Column) -> Column:
-    """Hashes of the anchored words with their successors; of all words in short texts and where anchors are rare."""
+def chained(words: Column) -> Column:
+    """Hashes of the anchored words, and of all content words without their anchors, each with its successor."""
     bare = F.transform(words, lambda w: F.substring_index(w, CHAIN_MARK, -1))
-    pairs = F.arrays_zip(words.alias("w"), F.concat(F.slice(bare, 2, F.greatest(F.size(bare) - 1, F.lit(0))), F.array(F.lit(""))).alias("n"))
-    hashed = lambda rows: F.transform(rows, lambda p: F.xxhash64(p["w"], p["n"]))
-    anchored = hashed(F.filter(pairs, lambda p: p["w"].contains(CHAIN_MARK)))
-    every = F.transform(pairs, lambda p: F.xxhash64(F.substring_index(p["w"], CHAIN_MARK, -1), p["n"]))
-    single = F.transform(bare, lambda w: F.xxhash64(w))
-    return (
-        F.when(F.size(words) == 0, F.array().cast("array<long>"))
-        .when(chars < TINY, F.concat(every, single))
-        .when((chars < SHORT) | (F.size(anchored) * RARE < chars), F.concat(anchored, every))
-        .otherwise(anchored)
-    )
+    pairs = F.arrays_zip(words.alias("w"), bare.alias("b"), F.concat(F.slice(bare, 2, F.greatest(F.size(bare) - 1, F.lit(0))), F.array(F.lit(""))).alias("n"))
+    anchored = F.transform(F.filter(pairs, lambda p: p["w"].contains(CHAIN_MARK)), lambda p: F.xxhash64(p["w"], p["n"]))
+    every = F.transform(pairs, lambda p: F.xxhash64(p["b"], p["n"]))
+    return F.when(F.size(words) == 0, F.array().cast("array<long>")).otherwise(F.concat(anchored, every))
 
 
 def fingerprint(signatures: Column) -> Column:

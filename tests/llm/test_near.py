@@ -167,6 +167,22 @@ def test_fingerprints(spark):
     assert fingerprints.near_documents(empty(spark)).count() == 0
 
 
+def test_fingerprints_have_no_border_of_length(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("bcfghjkmnprtvw") for _ in range(6))
+    rows = []
+    for chars in (200, 1_000):  # two texts that differ by their last word, one on either side
+        text = " ".join(("the " if rng.random() < 0.3 else "") + word() for _ in range(chars // 5))
+        cut_at = text.rindex(" ", 0, chars - 1)
+        rows.append((text[:cut_at], text[:cut_at] + " " + "x" * (chars + 2 - cut_at)))
+    rows.append(("a " * 5 + "word " * 4 + "of " + " ".join(word() for _ in range(220)), ""))  # few anchors, and one more
+    rows[-1] = (rows[-1][0], rows[-1][0] + " the " + " ".join(f"the {word()}" for _ in range(8)))
+    pairs = spark.createDataFrame(rows, "a string, b string")
+    near = pairs.select(fingerprints.likeness(fingerprints.spot_signatures(F.col("a")), fingerprints.spot_signatures(F.col("b"))))
+    assert all(len(a) < n <= len(b) for (a, b), n in zip(rows, (200, 1_000)))
+    assert all(r[0] >= 0.9 for r in near.collect())
+
+
 def test_next_document_and_edit(spark):
     rows = sorted(((i * 37 % 101, f"text {i} " + "word " * (i % 9)) for i in range(101)), key=lambda r: r[0]) + [(None, "nothing"), (10**15, None), (10**15 + 5, "far")]
     ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
