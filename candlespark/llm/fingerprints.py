@@ -28,6 +28,8 @@ SKIPPED = "in on at by for with that this be are as or it mit von zu den im auf
 CHAIN_MARK = ">"
 #: Documents per block of the order of documents, about, and the most blocks and quantile cells.
 BLOCK, BLOCKS, CELLS = 2_000, 20_000, 64
+#: Classes beyond which the comparison under a signature is split into tiles.
+TILE = 2_000
 
 
 def once(value: Column, then) -> Column:
@@ -111,20 +113,42 @@ def near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """Documents grouped by fingerprint likeness: doc_id, component_id (smallest doc_id of its group).
 
     Equal sets are one class. A set of length n reaches ``least`` only with sets of length least * n to n / least,
-    so it is sent to its own length class and the next; there the first n - ceil(least * n) + 1 signatures propose
-    the smallest class of each signature as a partner, and partners that pass the pruned Jaccard are merged.
+    so it is sent to its own length class and the next, with its first n - ceil(least * n) + 1 signatures, the rarest
+    first: two sets that reach ``least`` share one of them. Under each signature all classes are first compared with
+    the smallest one and merged, then all that are still apart with each other, hot signatures in tiles, by the pruned
+    Jaccard. So no pair is missed.
     """
     sets = docs.select("doc_id", spot_signatures(text_of()).alias("s")).withColumn("id", F.xxhash64("s"))
     classes = cut(sets.where(F.size("s") > 0).groupBy("id").agg(F.first("s").alias("s")).withColumn("n", F.size("s")))
     step = F.floor(F.log("n") / F.log(F.lit(1 / least)) + 1e-9)
     first = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
-    keys = classes.select("id", "n", F.explode(F.array(step, step + 1)).alias("part"), F.slice("s", 1, first.cast("int")).alias("s"))
-    keys = keys.select("id", "n", "part", F.explode("s").alias("sig"))
+    members = classes.select("id", "n", F.explode("s").alias("sig"))
+    ranked = members.join(members.groupBy("sig").agg(F.count("*").alias("uses")).where("uses > 1"), "sig", "left")
+    ranked = ranked.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "sig"))).alias("r"))
+    prefixes = cut(ranked.select("id", "n", F.array(step, step + 1).alias("parts"), F.slice("r", F.lit(1), first.cast("int")).alias("r")))
+    keys = prefixes.select("id", "n", F.explode("parts").alias("part"), "r").select("id", "n", "part", F.explode("r").alias("r"))
+    keys = keys.where("r.uses > 1").select("id", "n", "part", "r.sig")
     centres = keys.groupBy("part", "sig").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").select("part", "sig", "a")
     pairs = keys.join(centres, ["part", "sig"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
     side = lambda c, s: classes.select(F.col("id").alias(c), F.col("s").alias(s))
-    good = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(likeness(F.col("x"), F.col("y"), least) >= least)
-    rows = sets.select("doc_id", "id", (F.size("s") == 0).alias("empty")).join(components(good.select("a", "b")), "id", "left")
+
+    def good(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        return both.where(likeness(F.col("x"), F.col("y"), least) >= least).select("a", "b")
+
+    merged = cut(components(good(pairs)))
+    keys = keys.join(merged, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
+    apart = keys.groupBy("part", "sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high AND m > 2")
+    apart = apart.select("part", "sig", F.ceil(F.col("m") / F.lit(TILE)).cast("int").alias("tiles"))
+    keys = keys.join(apart, ["part", "sig"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    keys = keys.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tile = ["part", "sig", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u")]
+    one = keys.select(*tile, F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    two = keys.select(*tile, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    met = one.join(two, ["part", "sig", "t", "u"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9))
+    rest = good(met.select("a", "b").distinct())
+    linked = components(merged.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
+    rows = sets.select("doc_id", "id", (F.size("s") == 0).alias("empty")).join(linked, "id", "left")
     rows = rows.withColumn("root", F.coalesce("component", "id"))
     names = rows.where("NOT empty").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     full = rows.where("NOT empty").join(names, "root").select("doc_id", "component_id")

@@ -183,6 +183,26 @@ def test_fingerprints_have_no_border_of_length(spark):
     assert all(r[0] >= 0.9 for r in near.collect())
 
 
+@pytest.mark.parametrize("tile", [2_000, 8])
+def test_near_documents_of_hot_signatures(spark, monkeypatch, tile):
+    monkeypatch.setattr(fingerprints, "TILE", tile)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    shared = [word() for _ in range(80)]  # a passage of all documents
+    rows = []
+    for _ in range(25):
+        own = [word() for _ in range(30)]
+        rows += [" ".join(shared + own), " ".join(shared + own[:-8] + [word() for _ in range(8)])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    sets = {r.doc_id: set(r.signatures) for r in fingerprints.fingerprints(docs).collect()}
+    links = [(i, j) for i in sets for j in sets if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    roots, least = union_find(len(rows), links), {}
+    for i, r in enumerate(roots):
+        least.setdefault(r, i)
+    assert len(least) == 25
+    assert {r.doc_id: r.component_id for r in fingerprints.near_documents(docs).collect()} == {i: least[r] for i, r in enumerate(roots)}
+
+
 def test_next_document_and_edit(spark):
     rows = sorted(((i * 37 % 101, f"text {i} " + "word " * (i % 9)) for i in range(101)), key=lambda r: r[0]) + [(None, "nothing"), (10**15, None), (10**15 + 5, "far")]
     ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
