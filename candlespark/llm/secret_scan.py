@@ -1,9 +1,10 @@
 """Secret scan with false-positive removal by a random forest, in DataFrame functions only.
 
-Candidates are runs of key characters with a digit in them, found by one pattern. A random forest over candidate
+Candidates are runs of key characters with a digit in them, and quoted or unbroken values of any length and characters
+that are assigned to a word which announces a secret, found by one pattern. A random forest over candidate
 length, character transitions, dictionary coverage, path signs and neighbouring words decides which of them are
 secrets. It is trained from labelled findings; ``labelled_findings`` makes a balanced set of them from rules
-(tokens, passwords and access keys in their usual settings against digests in paths, card and phone numbers,
+(tokens, passwords, pass phrases and access keys in their usual settings against placeholders, digests in paths, card and phone numbers,
 addresses, identifiers, dates and repeated characters), and findings labelled by hand can be added.
 
 Defined cases: null or empty text has no findings; null doc_id stays null; repeated rows each give their findings;
@@ -21,15 +22,22 @@ from pyspark.sql import functions as F
 
 from candlespark.llm.common import table, text_of
 
-#: A candidate: 12 or more key characters that don't end in a full stop or the like, with what stands before and after it for the neighbours' features.
-CANDIDATE = r"(?<![A-Za-z0-9_/+.\-@])(?=[A-Za-z_/+.\-@]{0,255}[0-9])[A-Za-z0-9_/+.\-@]{11,}[A-Za-z0-9_/+]"
-BEFORE, AFTER = 24, 8
-THRESHOLD = 0.5
 #: Words that announce a secret, words that announce something else, and common letter groups.
-SECRET_WORDS = "token|secret|passw|pwd|api.?key|apikey|auth|bearer|credential|access|private"
+SECRET_WORDS = "token|secret|passw(?:or)?d?s?|pass.?phrase|passcode|pwd|api.?key|apikey|auth|bearer|credentials?|access|private|access.?key|private.?key"
+#: A run: 12 or more key characters with a digit that don't end in a full stop or the like.
+RUN = r"(?<![A-Za-z0-9_/+.\-@])(?=[A-Za-z_/+.\-@]*+[0-9])[A-Za-z0-9_/+.\-@]{11,}[A-Za-z0-9_/+]"
+#: An assigned value: what follows a name with an announcing word and a sign of assignment; the first look back is the cheap one.
+ASSIGNED = rf"(?<=[=:>][ \t]{{0,4}}[\"']?)(?<=(?i:{SECRET_WORDS})[A-Za-z0-9_\-]{{0,24}}[\"'\]]{{0,2}}[ \t]{{0,4}}(?::=|=>|={{1,3}}|:)[ \t]{{0,4}}[\"']?)"
+VALUE = r"(?:(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?![=:>])[^\s\"']*[^\s\"'.,;:)\]}])"
+#: A candidate, with what stands before and after it for the neighbours' features.
+CANDIDATE = f"{ASSIGNED}{VALUE}|{RUN}"
+BEFORE, AFTER = 48, 8
+THRESHOLD = 0.5
 OTHER_WORDS = "commit|sha1|sha256|md5|checksum|version|uuid|phone|tel|card|order|invoice|isbn|href|src|http|rev|digest|etag"
 GROUPS = "tion|ing|the|and|ent|ion|er|in|on|at|es|ed|or|an|re|st|al|le|user|data|test|file|page|item|name|index|image|main|build|mail|example|com|sch|ung|ment|que|ado"
-FEATURES = ["length", "transitions", "digits", "uppers", "hexadecimal", "distinct", "covered", "path", "dots", "at", "dashes", "longest_letters", "secret_word", "other_word", "assigned", "quoted", "known_prefix"]
+FEATURES = ["length", "transitions", "digits", "uppers", "hexadecimal", "distinct", "covered", "path", "dots", "at", "dashes", "longest_letters", "secret_word", "other_word", "assigned", "quoted", "known_prefix", "marks", "blanks", "placeholder"]
+#: Values that stand for a secret or say something about it.
+PLACEHOLDERS = r"none|null|nil|true|false|yes|no|string|text|str|int|optional|required|public|private|basic|bearer|denied|granted|invalid|expired|missing|changed|empty|hidden|redacted|unknown|the|a|an|your.*|my.*|example.*|\$\{?[a-z_]+\}?|<[^>]*>|\{\{.*|\*+|x+|\.+|os\.environ.*|process\.env.*"
 #: Findings made from rules for training, half of them secrets.
 FINDINGS = 6_000
 TREES, DEPTH, SEED = 40, 8, 7
@@ -54,6 +62,8 @@ def features(value: Column, before: Column, after: Column) -> list[Column]:
         flag(low.rlike(f"({SECRET_WORDS})[^a-z0-9]*$")).alias("secret_word"), flag(low.rlike(f"({OTHER_WORDS})[^a-z0-9]*$")).alias("other_word"),
         flag(before.rlike(r"[=:]\s*[\"']?$")).alias("assigned"), flag(before.rlike("[\"']$") & after.rlike("^[\"']")).alias("quoted"),
         flag(value.rlike("^(AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-|AIza|eyJ|glpat-)")).alias("known_prefix"),
+        (F.char_length(F.regexp_replace(value, r"[A-Za-z0-9\s_/+.\-@]", "")) / n).alias("marks"), (F.char_length(F.regexp_replace(value, r"\S", "")) / n).alias("blanks"),
+        flag(F.lower(value).rlike(f"^({PLACEHOLDERS})$")).alias("placeholder"),
     ]
 
 
@@ -85,7 +95,18 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         F.substring(seed("a"), F.lit(1), 16 + pick("l", 25)), F.substring(seed("a"), 1, 40), F.upper(F.substring(seed("a"), 1, 40)), F.substring(dense, F.lit(1), 20 + pick("m", 20)),
         F.concat(F.lit("AKIA"), F.upper(F.substring(F.regexp_replace(dense, "[^A-Za-z0-9]", ""), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(dense, "[^A-Za-z0-9]", ""), 1, 36)),
     ])
+    word = lambda salt: F.concat(*[F.element_at(F.array(*[F.lit(g) for g in GROUPS.split("|")]), pick(salt + k, len(GROUPS.split("|"))) + 1) for k in "12"])
+    mark = lambda salt: one_of(salt, ["!", "$", "%", "#", "~", ":", "*", "&"])
+    chosen = one_of("p", [
+        F.concat(word("pa"), F.substring(digits, F.lit(1), 1 + pick("n", 4))), F.concat(word("pb"), mark("ma"), word("pc"), F.substring(digits, F.lit(1), pick("n", 4))),
+        F.concat_ws(" ", word("pa"), word("pb"), word("pc"), word("pd")), F.concat_ws("-", word("pa"), word("pb"), word("pc"), word("pd")),
+        F.translate(F.substring(dense, F.lit(1), 10 + pick("m", 26)), "0123456789+/", "ghijklmnopqr"), F.concat(F.substring(dense, F.lit(1), 5 + pick("n", 8)), mark("mb"), F.substring(dense, 20, 4)),
+    ])
+    announced = F.pmod(F.xxhash64(F.lit("kind"), "id"), F.lit(5)) < 2
+    secret = F.when(announced, chosen).otherwise(secret)
     setting = one_of("t", ['token = "', "password=", "api_key: ", "secret='", "TOKEN = \"", "auth: ", "Bearer ", "access key "])
+    password = one_of("y", ['password = "', "password: '", "passwd=", "pwd: ", 'secret = "', "token: ", "api_key=", 'passphrase: "'])
+    setting = F.when(announced, F.when(secret.contains(" "), one_of("z", ['password = "', "secret: '", 'passphrase: "'])).otherwise(password)).otherwise(setting)
     setting = F.when(secret.rlike("^(AKIA|ghp_)"), one_of("u", ["of the ", "and ", "key ", "aws "])).otherwise(setting)
     other = one_of("o", [
         F.substring(digits, 1, 16), F.concat_ws(".", F.substring(digits, 1, 3), F.substring(digits, 4, 3), F.substring(digits, 7, 3), F.substring(digits, 10, 3)),
@@ -94,7 +115,12 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         F.concat_ws("-", F.substring(seed("u"), 1, 8), F.substring(seed("u"), 9, 4), F.substring(seed("u"), 13, 4), F.substring(seed("u"), 17, 4), F.substring(seed("u"), 21, 12)),
         F.concat(F.lit("2024-01-"), F.substring(digits, 1, 2), F.lit("T12")), F.concat(F.lit("000000"), F.repeat(F.substring(digits, 1, 1), 12)), F.concat(syllables, syllables, F.substring(digits, 1, 1)),
     ])
+    told = one_of("e", [F.concat(F.lit("${"), word("pa"), F.lit("}")), F.concat(F.lit("<"), word("pa"), F.lit(">")), F.lit("********"), *PLACEHOLDERS.split("|")[:30]])
+    by_name = F.concat(F.upper(F.substring(word("pb"), 1, 1)), word("pc"))
+    is_name = pick("i", 4) == 0
+    other = F.when(announced, F.when(is_name, by_name).otherwise(told)).otherwise(other)
     around = F.when(other.rlike("^[0-9a-f-]{36,40}$"), one_of("v", ["commit ", "sha1: ", "md5 ", "uuid=", "etag: "])).otherwise(one_of("x", ["the ", "and of ", "call ", "= ", "to: ", "anthst "]))
+    around = F.when(announced, F.when(is_name, one_of("j", ["author: ", "authors: ", "authority: ", "accessed: "])).otherwise(password)).otherwise(around)
     good = F.pmod("id", F.lit(2)) == 0
     rows = spark.range(n).select(F.when(good, secret).otherwise(other).alias("value"), F.when(good, setting).otherwise(around).alias("before"), good.cast("double").alias("label"))
     return rows.withColumn("after", F.when(F.col("before").endswith('"'), F.lit('" ')).when(F.col("before").endswith("'"), F.lit("' ")).otherwise(F.lit(" and ")))

@@ -107,6 +107,17 @@ def test_secret_scan(spark):
     assert scored.where("prediction = label").count() / held.count() > 0.97
 
 
+def test_assigned_secrets_of_any_form(spark):
+    values = ["hunter2", "blue-horse-battery", "stale horse under tin", "s3!x$y%z#q~w:e7r", "KqzWvXjTbRmLpNcYhGdF", "a" * 300 + "7" + "b" * 20]
+    said = ["password={}", "passwd: '{}'", 'passphrase = "{}"', 'secret = "{}" or', "token: {} and", "so {} then"]
+    rows = [(i, f"In it {x.format(v)}", None) for i, (v, x) in enumerate(zip(values, said))] + [(6, "password: required, token = null, author: Aldred", None)]
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    out = secret_scan.scan(frame(spark, rows), model).collect()
+    assert {(i, v) for i, v in enumerate(values)} <= {(r.doc_id, r.value) for r in out}
+    assert {(i, v) for i, v in enumerate(values[:5])} == {(r.doc_id, r.value) for r in out if r.is_secret and r.doc_id != 5}
+    assert all(rows[r.doc_id][1][r.start : r.start + r.length] == r.value for r in out)
+
+
 CONVERSATION = "conv_id long, turn long, role string, text string, leaf long, path string"
 
 
