@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlespark.functions.bars import epoch_seconds
@@ -108,10 +108,14 @@ def head_and_tail(candles: DataFrame, keys=("symbol",), shown: int = PREVIEW) ->
     return rows.where((F.col("total") <= 2 * shown) | (F.col("place") <= shown) | (F.col("place") > F.col("total") - shown))
 
 
-def json_bodies(pages: DataFrame, keys=("symbol",), now=None) -> DataFrame:
-    """Response body, ETag and cacheability per series; next_cursor only where there is more."""
+def json_bodies(pages: DataFrame, keys=("symbol",), now=None, end=None) -> DataFrame:
+    """Response body, ETag and, where ``now`` and the window's ``end`` (a time, or a column of ``pages``) are given,
+    whether the window is closed (end <= now), so that the response never changes; next_cursor only where there is more."""
     from candlespark.functions.tickers import etag
 
+    if (now is None) != (end is None):
+        raise ValueError("now and end go together")
     body = F.to_json(F.struct(*keys, "ts", "o", "h", "l", "c", "v", *[c for c in ("next_cursor",) if c in pages.columns]))
-    out = pages.select(*keys, body.alias("body")).withColumn("etag", etag(F.col("body")))
-    return out if now is None else out.withColumn("closed", F.lit(now).cast("timestamp_ntz").isNotNull())
+    closed = [] if now is None else [((end if isinstance(end, Column) else F.lit(end)).cast("timestamp_ntz") <= F.lit(now).cast("timestamp_ntz")).alias("closed")]
+    out = pages.select(*keys, body.alias("body"), *closed)
+    return out.select(*keys, "body", etag(F.col("body")).alias("etag"), *[c for c in out.columns if c == "closed"])

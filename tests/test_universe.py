@@ -114,3 +114,16 @@ def test_ingest_plan(spark):
     assert {(r.symbol_id, r.w_start.day): r.action for r in plan.collect()} == {(1, 1): "skip", (1, 11): "fetch", (1, 21): "skip", (2, 1): "unreachable", (2, 11): "unreachable", (2, 21): "unreachable"}
     assert ingest.backfill_plan(symbols, windows, clean, runs, "5m", "2024-02-01", force=True).where("action = 'fetch'").count() == 6
     assert ingest.usage_window(dt.date(2024, 2, 10)) == (dt.date(2024, 2, 1), dt.date(2024, 2, 29))
+
+
+def test_json_bodies_tell_open_from_closed_windows(spark):
+    from pyspark.sql import functions as F
+
+    from candlespark.operators import read
+
+    ends = [("A", "2024-03-11 10:00:00"), ("B", "2024-03-11 12:00:00"), ("C", "2024-03-11 12:00:01")]
+    pages = spark.createDataFrame(ends, "symbol string, until string").select("*", *[F.array(F.lit(1)).alias(c) for c in ("ts", "o", "h", "l", "c", "v")])
+    got = read.json_bodies(pages, now="2024-03-11 12:00:00", end=F.col("until"))
+    assert {r.symbol: r.closed for r in got.collect()} == {"A": True, "B": True, "C": False} and got.columns == ["symbol", "body", "etag", "closed"]
+    assert not any(r.closed for r in read.json_bodies(pages, now="2024-03-11 12:00:00", end="2024-03-12 00:00:00").collect())
+    assert read.json_bodies(pages).columns == ["symbol", "body", "etag"]
