@@ -1,7 +1,7 @@
 """Token counts through a digest cache.
 
 The cache is a Parquet table of (digest, version, n_tokens): the digest is SHA-256 of the normalised content,
-the version is a digest of the tokenizer's name, so counts of several tokenizers live side by side. Documents
+the version is a digest of the vocabulary file's bytes, so counts of several vocabularies live side by side. Documents
 are joined to the cache; only the distinct missing contents are encoded, once each, and appended. Then the
 documents, carried as digests without their texts, are joined to the cache again.
 
@@ -15,7 +15,7 @@ a row; an empty table gives no rows; a cache path that doesn't exist yet is an e
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
@@ -26,9 +26,17 @@ from candlespark.llm.common import scratch_path, slices, table, text_of
 from candlespark.llm.tokenize import count_encoder, tokenizer_path
 
 LIMIT = 2048
+#: Vocabulary files that the word-wise encoder is proven for.
+WORD_WISE = ("word_bpe_49k.json",)
 CACHE = "digest binary, version long, n_tokens long"
 
 
+def version_of(path: str) -> int:
+    """Signed 64-bit head of the SHA-256 of a vocabulary file's bytes."""
+    with open(path, "rb") as f:
+        return int.from_bytes(hashlib.file_digest(f, "sha256").digest()[:8], "little", signed=True)
+
+
 def digest_of(text):
     """SHA-256 of the text after collapsing ASCII white space."""
     return F.unhex(F.sha2(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), 256))
@@ -66,12 +74,15 @@ def encode_counts(texts: DataFrame, path: str, version: int) -> DataFrame:
 
 def token_counts(docs: DataFrame, cache_path: str, tokenizer: str = "word_bpe_49k.json", limit: int = LIMIT) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_tokens, over_limit; appends misses to the cache."""
+    if tokenizer not in WORD_WISE:
+        raise ValueError(f"no word-wise encoder is proven for {tokenizer}")
     spark = docs.sparkSession
-    version = zlib.crc32(tokenizer.encode())
+    path = tokenizer_path(tokenizer)
+    version = version_of(path)
     text = docs.select(F.col("doc_id"), text_of().alias("text")).withColumn("digest", digest_of(F.col("text")))
     missing = text.join(read_cache(spark, cache_path, version), "digest", "left_anti")
     distinct = missing.select("digest", "text").dropDuplicates(["digest"])
-    encode_counts(distinct, tokenizer_path(tokenizer), version).write.mode("append").parquet(cache_path)
+    encode_counts(distinct, path, version).write.mode("append").parquet(cache_path)
     light = text.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return light.join(read_cache(spark, cache_path, version), "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")

@@ -41,6 +41,20 @@ def test_token_counts_and_cache(spark, tmp_path, library):
     assert token_counts.token_counts(empty(spark), str(tmp_path / "none")).count() == 0
 
 
+def test_changed_vocabulary_is_another_version(spark, tmp_path, monkeypatch):
+    docs, path = spark.createDataFrame([(1, "some words to count")], "doc_id long, text string"), str(tmp_path / "cache")
+    whole = open(tokenize.tokenizer_path(), "rb").read()
+    for n, raw in enumerate((whole, whole + b"\n", whole)):
+        file = tmp_path / f"v{n}" / "word_bpe_49k.json"
+        file.parent.mkdir()
+        file.write_bytes(raw)
+        monkeypatch.setattr(token_counts, "tokenizer_path", lambda name, file=file: str(file))
+        assert token_counts.token_counts(docs, path).count() == 1
+        assert spark.read.parquet(path).select("version").distinct().count() == min(n + 1, 2)
+    with pytest.raises(ValueError):
+        token_counts.token_counts(docs, path, tokenizer="byte_bpe_50k.json")
+
+
 def test_packing(spark, library):
     rows = packing.pack(frame(spark), window=512, with_ids=True).collect()
     docs = {}
