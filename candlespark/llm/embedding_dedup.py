@@ -120,7 +120,7 @@ def collisions(rows: DataFrame, rounds: int, half: float, least: int) -> DataFra
         place = value + group * 1e3
         order = np.argsort(place, kind="stable")
         place = place[order]
-        upto = np.searchsorted(place, place + half, side="right")
+        upto = np.searchsorted(place, place + half + (SLACK + 1) / SCALE, side="right")  # every round that counts as met
         more = upto - np.arange(len(place)) - 1
         begin = 0
         while begin < len(place):

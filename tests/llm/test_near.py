@@ -149,6 +149,14 @@ def test_embedding_links_against_brute_force(spark, monkeypatch, tile):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pair_in_the_slack_of_its_first_round_is_found(spark):
+    values, half = {1: (0.0, 0.0), 2: (0.5005, 0.1)}, 0.5  # round 0 is met by rounded projections only
+    packed = lambda v: np.round(np.array(v) * embedding_dedup.SCALE).astype(np.int16).tobytes()
+    rows = [(r, 7, v[r], i, np.array([7, 7], dtype=np.int64).tobytes(), packed(v)) for i, v in values.items() for r in range(2)]
+    df = spark.createDataFrame(rows, "round int, cell long, value double, id long, codes binary, fixed binary")
+    assert [tuple(r) for r in embedding_dedup.collisions(df, 2, half, 1).collect()] == [(1, 2)]
+
+
 def test_collision_plan_keeps_the_chance_to_miss_low():
     for n in (0, 1, 1_000, 10**6, 10**9):
         rounds, bits, half, least = embedding_dedup.plan(n)
