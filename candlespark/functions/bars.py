@@ -37,6 +37,19 @@ def epoch_seconds(ts: Column) -> Column:
     return seconds_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a UTC TIMESTAMP_NTZ, by interval arithmetic."""
+    d = ts - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    part = lambda unit: F.extract(F.lit(unit), d).cast("long")
+    seconds = part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), d) * 1_000_000).cast("long")
+
+
+def as_instant(ts: Column) -> Column:
+    """A UTC TIMESTAMP_NTZ as a TIMESTAMP (what watermarks take), whatever the session zone."""
+    return F.timestamp_micros(epoch_micros(ts))
+
+
 def from_epoch_or_text(c: Column) -> Column:
     """UTC instant of a scalar that holds epoch seconds or an RFC 3339 text; null for others."""
     text = F.trim(c)

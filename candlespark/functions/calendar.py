@@ -12,6 +12,8 @@ from candlespark.schemas import ZONE, width
 
 DayLike = str | dt.date
 OPEN, CLOSE = "10:00", "17:00"
+#: Calendar days that a search for the next or previous session takes.
+SEARCH_DAYS = 30
 
 
 def local(ts: Column, zone: str = ZONE) -> Column:
@@ -122,6 +124,32 @@ def refresh_window(spark: SparkSession, today: DayLike, count: int, holidays: Da
     return rows.orderBy(F.desc("dy")).limit(count).agg(F.min("dy").alias("start_day"), F.max("dy").alias("end_day"))
 
 
-def covers(day: Column, holidays: DataFrame) -> DataFrame:
+def coverage(holidays: DataFrame) -> DataFrame:
     """One row: smallest and largest year of the holiday table."""
     return holidays.agg(F.min(F.year("day")).alias("first_year"), F.max(F.year("day")).alias("last_year"))
+
+
+def covered_days(rows: DataFrame, holidays: DataFrame, day: str = "dy") -> DataFrame:
+    """``rows`` with ``covered``: whether the holiday table reaches the year of ``day`` (a local date)."""
+    year = F.year(day)
+    covered = F.coalesce(year.between(F.col("first_year"), F.col("last_year")), F.lit(False))
+    return rows.crossJoin(F.broadcast(coverage(holidays))).withColumn("covered", covered).drop("first_year", "last_year")  # one row
+
+
+def nearest_sessions(spark: SparkSession, rows: DataFrame, sessions_: DataFrame, start: DayLike, end: DayLike, day: str = "dy", strict: bool = True) -> DataFrame:
+    """``rows`` with next_day and prev_day: the trading days after and before ``day``, itself a trading day or not,
+    within SEARCH_DAYS. Strict: a day of ``start``..``end`` without one fails the query.
+
+    A table with a row a calendar day is made from the sessions by running minima and maxima, and joined by equality.
+    """
+    a, b = dt.date.fromisoformat(str(start)), dt.date.fromisoformat(str(end))
+    span = dt.timedelta(days=SEARCH_DAYS)
+    table = days(spark, a - span, b + span).join(F.broadcast(sessions_.select("dy", F.col("dy").alias("at"))), "dy", "left")
+    w = Window.orderBy("dy")  # a dimension: one row a calendar day
+    after, before = w.rowsBetween(1, SEARCH_DAYS), w.rowsBetween(-SEARCH_DAYS, -1)
+    table = table.select(F.col("dy").alias(day), F.min("at").over(after).alias("next_day"), F.max("at").over(before).alias("prev_day"))
+    table = table.where(F.col(day).between(F.lit(str(a)).cast("date"), F.lit(str(b)).cast("date")))
+    if strict:
+        none = lambda c, where: F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"no session in {SEARCH_DAYS} days {where} "), F.col(day).cast("string"))).cast("date")).alias(c)
+        table = table.select(day, none("next_day", "after"), none("prev_day", "before"))
+    return rows.join(F.broadcast(table), day, "left")

@@ -13,17 +13,21 @@ def normal(ticker: Column) -> Column:
     return F.upper(F.trim(ticker))
 
 
+# Shapes of tickers by kind, in the order in which they are tried.
+SHAPES = (
+    (r"\^[A-Z0-9]{3,6}", "index"),
+    ("[A-Z0-9]{2,10}-[A-Z]{3}", "crypto"),
+    ("[A-Z]{4}(31|32|33|34|35|39)", "bdr"),
+    ("[A-Z]{4}11", "unit"),
+    ("[A-Z]{4}[345678]", "stock"),
+    (f"({'|'.join(FUTURE_ROOTS)})([{MONTH_CODES}][0-9]{{2}})?", "future"),
+)
+
+
 def classify(ticker: Column) -> Column:
-    """Instrument kind by the ticker's shape, null for unknown shapes. The order of the rules matters."""
-    t, roots = normal(ticker), "|".join(FUTURE_ROOTS)
-    return (
-        F.when(t.rlike(r"^\^[A-Z0-9]{3,6}$"), "index")
-        .when(t.rlike("^[A-Z0-9]{2,10}-[A-Z]{3}$"), "crypto")
-        .when(t.rlike("^[A-Z]{4}(31|32|33|34|35|39)$"), "bdr")
-        .when(t.rlike("^[A-Z]{4}11$"), "unit")
-        .when(t.rlike("^[A-Z]{4}[345678]$"), "stock")
-        .when(t.rlike(f"^({roots})([{MONTH_CODES}][0-9]{{2}})?$"), "future")
-    )
+    """Instrument kind by the ticker's shape, null for unknown shapes."""
+    t = normal(ticker)
+    return F.coalesce(*[F.when(t.rlike(f"^{shape}$"), F.lit(kind)) for shape, kind in SHAPES])
 
 
 def default_lot(kind: Column) -> Column:
@@ -76,7 +80,7 @@ def check_intraday_range(token: str) -> str:
     """``token`` where it can be used for 5m; ValueError lists the valid ones."""
     known = [t for t, _ in RANGES] + ["max"]
     if token not in known:
-        raise ValueError(f"range {token!r} is not usable for 5m (want one of: {', '.join(known)})")
+        raise ValueError(f"5m series can't be asked for by {token!r}; ranges: {' '.join(known)}")
     return token
 
 

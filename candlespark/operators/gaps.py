@@ -14,7 +14,7 @@ def per_session(bars: DataFrame, sessions: DataFrame, timeframe: str, symbols: D
     """Every symbol on every session: expected and present bars, and missing, partial or complete."""
     check_stored(timeframe)
     present = on_sessions(bars.select("symbol", "ts"), sessions, zone).where(in_session()).groupBy("symbol", "dy").agg(F.count("*").alias("present"))
-    grid = symbols.select("symbol").distinct().crossJoin(F.broadcast(sessions))
+    grid = symbols.select("symbol").distinct().crossJoin(F.broadcast(sessions))  # what a gap report lists; one row a trading day
     rows = grid.join(present, ["symbol", "dy"], "left").withColumn("present", F.coalesce("present", F.lit(0).cast("long")))
     rows = rows.withColumn("expected", bucket_count(timeframe, F.col("open_ts"), F.col("close_ts")).cast("long"))
     state = F.when(F.col("present") == 0, "missing").when(F.col("present") < F.col("expected"), "partial").otherwise("complete")

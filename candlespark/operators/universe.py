@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespark.functions.tickers import classify, default_lot, default_tick, normal
+from candlespark.functions.tickers import classify, default_lot, default_tick, normal, reachable
+from candlespark.operators.upsert import deactivate, upsert_symbols
 from candlespark.schemas import CURRENCY, SYMBOLS_DEFAULT, SYMBOLS_MAX
 
 
@@ -24,6 +25,50 @@ def search(symbols: DataFrame, query: str = "", kind: str = "", limit: int | Non
     return rows.orderBy(F.desc(in_ticker == 1), F.desc(in_ticker > 0), F.desc("tracked"), F.desc("active"), F.asc("ticker")).limit(limit)
 
 
+def symbol_of(symbols: DataFrame, ticker: str) -> DataFrame:
+    """The one row of a ticker (unique); LookupError where there is none."""
+    name = (ticker or "").strip().upper()
+    found = symbols.where(F.col("ticker") == name)
+    if found.isEmpty():
+        raise LookupError(f"{name!r} is not among the symbols")
+    return found
+
+
+def listing(symbols: DataFrame, tracked: bool = False) -> DataFrame:
+    """All symbols, or the tracked ones, by ticker."""
+    return (symbols.where("tracked") if tracked else symbols).orderBy("ticker")
+
+
+def candles_of(candles: DataFrame, symbols: DataFrame, ticker: str) -> DataFrame:
+    """Stored candles (by symbol_id) of a ticker, with it in ``symbol``. The ticker's one row is what is joined, so the
+    candle side is filtered by a broadcast of a single row."""
+    one = symbol_of(symbols, ticker).limit(1).select(F.col("id").alias("symbol_id"), F.col("ticker").alias("symbol"))
+    return candles.join(F.broadcast(one), "symbol_id")
+
+
+def resolve(symbols: DataFrame, tickers: str | None = None) -> DataFrame:
+    """The symbols that a job works on: those of a comma list, each of which must be known, or (without a list) all
+    tracked ones but futures, of which there must be some."""
+    if tickers is None:
+        found = symbols.where("tracked AND kind <> 'future'").orderBy("ticker")
+        if found.isEmpty():
+            raise LookupError("no symbol is tracked; admit some first")
+        return found
+    names = [t for t in (x.strip().upper() for x in tickers.split(",")) if t]
+    if not names:
+        raise ValueError("name tickers, as in PETR4,VALE3, or take the universe")
+    found = symbols.where(F.col("ticker").isin(*names))
+    missing = set(names) - {r.ticker for r in found.select("ticker").collect()}  # as many rows as tickers were named
+    if missing:
+        raise LookupError(f"not among the symbols: {' '.join(sorted(missing))}")
+    return found
+
+
+def enrichable(symbols: DataFrame, has_token: bool) -> DataFrame:
+    """Symbols that the provider can be asked about: no futures, and without a token only the free tickers."""
+    return symbols.where((F.coalesce("kind", F.lit("")) != "future") & reachable(F.col("ticker"), has_token))
+
+
 def newest_lists(lists: DataFrame) -> DataFrame:
     """Index compositions (index, year, month, tickers): the newest per index."""
     w = Window.partitionBy("index").orderBy(F.desc("year"), F.desc("month"))
@@ -94,15 +139,43 @@ def stale(existing: DataFrame, available: DataFrame, check: bool = True) -> Data
     return existing.where("active AND kind <> 'future'").join(listed, "ticker", "left_anti").select("ticker")
 
 
-def enrich(symbols: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Non-empty names and currency of a quote win over a symbol's own."""
+def enrich(symbols: DataFrame, quotes: DataFrame, has_token: bool = True) -> DataFrame:
+    """Non-empty names and currency of a quote win over a symbol's own; only ``enrichable`` symbols change."""
     q = quotes.select(normal(F.col("symbol")).alias("ticker"), F.col("shortName").alias("_s"), F.col("longName").alias("_l"), F.col("currency").alias("_c"))
-    rows = symbols.join(q.dropDuplicates(["ticker"]), "ticker", "left")
+    q = q.dropDuplicates(["ticker"]).join(enrichable(symbols, has_token).select("ticker"), "ticker", "left_semi")
+    rows = symbols.join(q, "ticker", "left")
     for own, new in (("short_name", "_s"), ("long_name", "_l"), ("currency", "_c")):
         rows = rows.withColumn(own, F.coalesce(F.nullif(F.trim(new), F.lit("")), F.col(own)))
     return rows.drop("_s", "_l", "_c")
 
 
+def sync(existing: DataFrame, admitted: DataFrame, futures: DataFrame, seeds: DataFrame, today, quotes: DataFrame | None = None, available: DataFrame | None = None, has_token: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The symbol table after a sync, and the plan's rows (``ticker`` and one flag a change: created, admitted,
+    departed, deactivated). ``quotes`` enrich the desired symbols, and with ``available`` active symbols that the provider
+    no longer lists are deactivated. A dry run reads the plan only; nothing is written here.
+    """
+    wanted = desired(admitted, futures, seeds)
+    plan = admission(wanted, existing).select("ticker", "created", "admitted")
+    gone = departures(existing, admitted, wanted).withColumn("departed", F.lit(True))
+    day = F.lit(str(today)).cast("date")
+    rows = wanted if quotes is None else enrich(wanted, quotes, has_token)
+    new = rows.select(*[c for c in existing.columns if c in rows.columns], F.lit(True).alias("active"), day.alias("first_seen"), day.alias("last_seen"))
+    after = upsert_symbols(existing, new.select(*[c for c in existing.columns if c != "id"]))
+    out = existing.where(F.lit(False)).select("ticker") if available is None else stale(existing, available)
+    marked = deactivate(after, out)
+    flags = plan.join(gone, "ticker", "full").join(marked.where("changed").select("ticker", F.lit(True).alias("deactivated")), "ticker", "full")
+    return marked.drop("changed"), flags.select("ticker", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("created", "admitted", "departed", "deactivated")])
+
+
+def sync_report(plan: DataFrame, shown: int = 20) -> DataFrame:
+    """One row over a sync's plan: per kind of change its count and the first tickers."""
+    place = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("ticker"))
+    names = ("created", "admitted", "departed", "deactivated")
+    rows = plan.select("ticker", *names, *[place(c).alias(f"_{c}") for c in names])  # one row a symbol: a dimension
+    first = lambda c: F.array_sort(F.collect_list(F.when(F.col(c) & (F.col(f"_{c}") <= shown), F.col("ticker"))))
+    return rows.agg(*[F.count_if(F.col(c)).alias(c) for c in names], *[first(c).alias(f"{c}_tickers") for c in names])
+
+
 def chunks(tickers: DataFrame, size: int) -> DataFrame:
     """Tickers in requests of ``size``."""
     place = F.row_number().over(Window.orderBy("ticker"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 CANDLE_KEY = ("symbol_id", "timeframe", "ts")
 #: Rules of an upserted column: old and new value to the stored one.
@@ -20,8 +23,12 @@ RULES = {
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], rules: dict[str, str]) -> DataFrame:
-    """``old`` after ``new`` came in; both hold a key once. Columns without a rule take the new row's value."""
+    """``old`` after ``new`` came in; both hold a key once. Columns without a rule take the new row's value; those that
+    ``new`` doesn't have stay."""
     values = [c for c in old.columns if c not in key]
+    missing = [c for c in values if c not in new.columns]
+    new = new.select("*", *[F.lit(None).cast(old.schema[c].dataType).alias(c) for c in missing])
+    rules = {c: "keep" for c in missing} | rules
     a = old.select(*key, *[F.col(c).alias(f"_o_{c}") for c in values])
     b = new.select(*key, *[F.col(c).alias(f"_n_{c}") for c in values], F.lit(True).alias("_there"))
     rows = a.join(b, list(key), "full")
@@ -61,12 +68,6 @@ def deactivate(symbols: DataFrame, tickers: DataFrame) -> DataFrame:
     return marked.withColumn("changed", changed).withColumn("active", F.col("active") & ~changed).drop("_hit")
 
 
-def run_states(events: DataFrame) -> DataFrame:
-    """Current state per run of an append-only log of (id, seq, ...)."""
-    values = [c for c in events.columns if c != "id"]
-    return events.groupBy("id").agg(F.max_by(F.struct(*values), "seq").alias("s")).select("id", "s.*")
-
-
 def constraint_breaks(candles: DataFrame) -> DataFrame:
     """Rows that a candle table's constraints refuse, with the reason; repeated keys are among them."""
     from candlespark.functions.bars import invalid_reason
@@ -78,25 +79,43 @@ def constraint_breaks(candles: DataFrame) -> DataFrame:
     return bad.unionByName(twice)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store its path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def store(new: DataFrame, path: str, key: Sequence[str] = CANDLE_KEY) -> None:
-    """Upserts candles into a Parquet table partitioned by timeframe.
+    """Upserts candles into a Parquet table partitioned by timeframe and month.
 
-    Only the partitions that ``new`` touches are read and replaced (dynamic overwrite); what replaces them is
-    written beside the table first, so a failed job leaves the stored rows as they were.
+    Only the months that ``new`` touches are read and replaced (dynamic overwrite), so a day's bars rewrite a month, not
+    the history. What replaces them is first written beside the table, in a folder of this call's own that goes
+    afterwards; a failed job leaves the stored rows as they were. Timeframes that are made on reading are refused. The
+    list of touched partitions (two timeframes times months) is all that comes to the driver.
     """
     from pyspark.errors import AnalysisException
 
+    from candlespark.operators.fold import check_stored
     from candlespark.schemas import CANDLE
 
     spark = new.sparkSession
+    month = F.date_format("ts", "yyyy-MM").alias("month")
+    rows = new.select(CANDLE.names)
+    touched = [(check_stored(r.timeframe), r.month) for r in rows.select("timeframe", month).distinct().collect()]
+    if not touched:
+        return
     try:
-        old = spark.read.schema(CANDLE).parquet(path)
+        old = spark.read.schema(StructType([*CANDLE.fields, StructField("month", StringType())])).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        old = spark.createDataFrame([], CANDLE)
-    touched = old.join(F.broadcast(new.select("timeframe").distinct()), "timeframe", "left_semi")
-    staged = f"{path.rstrip('/')}_staged"
-    upsert_candles(touched.select(CANDLE.names), new.select(CANDLE.names), key).write.mode("overwrite").parquet(staged)
-    rows = spark.read.schema(CANDLE).parquet(staged)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("timeframe").parquet(path)
+        old = spark.createDataFrame([], CANDLE).withColumn("month", F.lit(""))
+    of = {tf: [m for t, m in touched if t == tf] for tf, _ in touched}
+    where = reduce(lambda a, b: a | b, [(F.col("timeframe") == tf) & F.col("month").isin(*months) for tf, months in of.items()])
+    staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
+    try:
+        upsert_candles(old.where(where).select(CANDLE.names), rows, key).write.parquet(staged)
+        merged = spark.read.schema(CANDLE).parquet(staged).select("*", month)
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("timeframe", "month").parquet(path)
+    finally:
+        remove(spark, staged)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlespark.ext import backtest, indicators, rules
 from candlespark.functions import bars as B
 from candlespark.functions import calendar as C
 from candlespark.functions import tickers as K
-from candlespark.operators import fold, gaps, ingest, read, universe, upsert
+from candlespark.operators import fold, gaps, ingest, read, runs, universe, upsert
 from candlespark.plans import adapters as A
 from candlespark.schemas import ZONE, width
 
@@ -28,7 +30,16 @@ SESS = f"""sess AS (
 TICKS = """t AS (
   SELECT event_type AS symbol, ts, value AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS volume, event_id AS ordinal
   FROM events)"""
-PLACED = f"p AS (SELECT t.*, s.* FROM t JOIN sess s ON CAST({LOCAL_OF.format('t.ts')} AS DATE) = s.dy AND t.ts >= s.open_ts AND t.ts < s.close_ts)"
+GOOD = "t.price > 0 AND NOT coalesce(t.volume < 0, false)"
+PLACED = f"p AS (SELECT t.*, s.* FROM t JOIN sess s ON CAST({LOCAL_OF.format('t.ts')} AS DATE) = s.dy AND t.ts >= s.open_ts AND t.ts < s.close_ts AND {GOOD})"
+BY_PLACE = "ORDER BY {t}ts, {t}ordinal"
+
+
+def first_last(value: str, t: str = "") -> str:
+    """First and last value by (ts, ordinal)."""
+    order = BY_PLACE.format(t=t)
+    return f"first({value} {order}) AS open, max({value}) AS high, min({value}) AS low, last({value} {order}) AS close"
+
 
 
 def bucket(tf: str) -> str:
@@ -39,7 +50,7 @@ def bucket(tf: str) -> str:
 def candles_sql(tf: str, name: str = "c") -> str:
     """CTE of candles of a timeframe folded from ticks."""
     return f"""{name} AS (
-  SELECT symbol, {bucket(tf)} AS ts, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close,
+  SELECT symbol, {bucket(tf)} AS ts, {first_last("price")},
          CAST(sum(volume) AS BIGINT) AS volume, count(*) AS ticks
   FROM p GROUP BY ALL)"""
 
@@ -50,6 +61,7 @@ def with_(*parts: str) -> str:
 
 
 BASE = with_(SESS, TICKS, PLACED, candles_sql("5m"))
+HOURLY_SPANS = with_(SESS, TICKS, PLACED, candles_sql("1h"))
 
 
 def query(name: str, sql: str | None = None):
@@ -84,7 +96,7 @@ for _tf in ("15m", "30m", "1h"):
     query(f"refold_{_tf}", BASE.rstrip() + ",\n" + _folded + "\nSELECT * FROM f")(lambda spark, d, tf=_tf: fold.resample(base(spark, d), A.january(spark), tf).drop("adj_close"))
 
 
-@query("daily_session_open", with_(SESS, TICKS, f"q AS (SELECT t.symbol, s.open_ts AS ts, arg_min(price, t.ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, t.ts) AS close, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS ticks FROM t JOIN sess s ON CAST({LOCAL_OF.format('t.ts')} AS DATE) = s.dy GROUP BY ALL)") + "SELECT * FROM q")
+@query("daily_session_open", with_(SESS, TICKS, f"q AS (SELECT t.symbol, s.open_ts AS ts, {first_last("price", "t.")}, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS ticks FROM t JOIN sess s ON CAST({LOCAL_OF.format('t.ts')} AS DATE) = s.dy AND {GOOD} GROUP BY ALL)") + "SELECT * FROM q")
 def _(spark, d):
     return candles(spark, d, "1d")
 
@@ -99,7 +111,7 @@ TAGGED = with_(
   FROM t LEFT JOIN sess s ON CAST({LOCAL_OF.format('t.ts')} AS DATE) = s.dy)""",
     """g AS (
   SELECT *, CASE WHEN open_ts IS NULL THEN 'not a trading day' WHEN ts < open_ts THEN 'before the session opens'
-                 WHEN ts >= close_ts THEN 'after the session closes' WHEN low <= 0 THEN 'low not positive' WHEN vol < 0 THEN 'negative volume' END AS reject_reason
+                 WHEN ts >= close_ts THEN 'after the session closes' WHEN price <= 0 THEN 'open not positive' WHEN low <= 0 THEN 'low not positive' WHEN vol < 0 THEN 'negative volume' END AS reject_reason
   FROM b)""",
 )
 
@@ -109,14 +121,20 @@ def _(spark, d):
     return fold.normalize(A.raw_bars(spark, d), A.january(spark), "5m")[1].groupBy("reject_reason").agg(F.count("*").alias("bars"))
 
 
-@query("normalize_clean", TAGGED + f"SELECT symbol, {bucket('5m')} AS ts, arg_min(price, ts) AS open, max(price) AS high, min(low) AS low, arg_max(price, ts) AS close, arg_max(adj, ts) FILTER (WHERE adj IS NOT NULL) AS adj_close, CAST(sum(vol) AS BIGINT) AS volume FROM g WHERE reject_reason IS NULL GROUP BY symbol, {bucket('5m')}")
+@query("normalize_clean", TAGGED + f"SELECT symbol, {bucket('5m')} AS ts, first(price ORDER BY ts, ordinal) AS open, max(price) AS high, min(low) AS low, last(price ORDER BY ts, ordinal) AS close, last(adj ORDER BY ts, ordinal) FILTER (WHERE adj IS NOT NULL) AS adj_close, CAST(sum(vol) AS BIGINT) AS volume FROM g WHERE reject_reason IS NULL GROUP BY symbol, {bucket('5m')}")
 def _(spark, d):
     return fold.normalize(A.raw_bars(spark, d), A.january(spark), "5m")[0]
 
 
-@query("ingest_results", TAGGED + f"SELECT symbol, CASE WHEN count(DISTINCT CASE WHEN reject_reason IS NULL THEN {bucket('5m')} END) > 0 THEN 'ok' ELSE 'empty' END AS status, count(DISTINCT CASE WHEN reject_reason IS NULL THEN {bucket('5m')} END) AS bars, CAST(count_if(reject_reason IS NOT NULL) AS BIGINT) AS rejected FROM g GROUP BY symbol")
+@query("ingest_results", TAGGED + f"SELECT symbol, CASE WHEN count(DISTINCT CASE WHEN reject_reason IS NULL THEN {bucket('5m')} END) > 0 THEN 'ok' ELSE 'empty' END AS status, count(DISTINCT CASE WHEN reject_reason IS NULL THEN {bucket('5m')} END) AS bars, CAST(count_if(reject_reason IS NOT NULL) AS BIGINT) AS rejected, array_to_string((list(strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ': ' || reject_reason ORDER BY ts, ordinal) FILTER (WHERE reject_reason IS NOT NULL))[1:3], ' | ') AS reasons FROM g GROUP BY symbol")
 def _(spark, d):
-    return ingest.ingest(A.raw_bars(spark, d), A.january(spark), "5m")[2].drop("reasons")
+    return ingest.ingest(A.raw_bars(spark, d), A.january(spark), "5m")[2].withColumn("reasons", F.array_join("reasons", " | "))
+
+
+@query("tick_rejects", with_(SESS, TICKS) + f"SELECT symbol, CASE WHEN s.dy IS NULL THEN 'not a trading day' WHEN t.ts < open_ts OR t.ts >= close_ts THEN 'outside the session' WHEN NOT coalesce(price > 0, false) THEN 'price not positive' ELSE 'negative volume' END AS reject_reason, count(*) AS ticks FROM t LEFT JOIN sess s ON CAST({LOCAL_OF.format('t.ts')} AS DATE) = s.dy WHERE s.dy IS NULL OR t.ts < open_ts OR t.ts >= close_ts OR NOT coalesce({GOOD}, false) GROUP BY ALL")
+def _(spark, d):
+    rows = fold.tagged_ticks(A.ticks(spark, d), A.january(spark), "5m").where("reject_reason IS NOT NULL")
+    return rows.groupBy("symbol", "reject_reason").agg(F.count("*").alias("ticks"))
 
 
 @query("daily_normalize", "WITH o AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS dy, o_totalprice AS p, o_orderkey AS k, o_orderdate + INTERVAL 12 HOUR AS ts FROM orders) SELECT symbol, " + UTC_OF.format("CAST(dy AS TIMESTAMP) + INTERVAL 10 HOUR") + " AS ts, arg_min(p, k) AS open, max(p) AS high, min(p) AS low, arg_max(p, k) AS close, count(*) AS bars FROM o WHERE isodow(dy) < 6 AND p > 0 GROUP BY symbol, dy")
@@ -157,6 +175,18 @@ def _(spark, d):
     return C.refresh_window(spark, A.TODAY, 5, A.holidays(spark))
 
 
+@query("calendar_coverage", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS dy, year(o_orderdate) = 1995 OR year(o_orderdate) = 1996 AS covered FROM orders")
+def _(spark, d):
+    days = A.read(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("dy")).distinct()
+    marks = spark.createDataFrame([("1995-03-01", "A"), ("1996-03-01", "B")], "day string, name string").withColumn("day", F.col("day").cast("date"))
+    return C.covered_days(days, marks)
+
+
+@query("nearest_sessions", with_(SESS) + "SELECT dy, (SELECT min(dy) FROM sess WHERE sess.dy > q.dy) AS next_day, (SELECT max(dy) FROM sess WHERE sess.dy < q.dy) AS prev_day FROM (SELECT CAST(d AS DATE) AS dy FROM generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-30', INTERVAL 1 DAY) g(d)) q")
+def _(spark, d):
+    return C.nearest_sessions(spark, C.days(spark, "2024-01-03", "2024-01-30"), A.january(spark), "2024-01-03", "2024-01-30")
+
+
 @query("day_bounds", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS dy, " + UTC_OF.format("CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)") + " AS start_ts, " + UTC_OF.format("CAST(CAST(o_orderdate AS DATE) + 1 AS TIMESTAMP)") + " AS end_ts FROM orders")
 def _(spark, d):
     days = A.read(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("dy")).distinct()
@@ -214,6 +244,54 @@ def _(spark, d):
     return read.page(base(spark, d), A.january(spark), "view", "1h", "2024-01-01 03:00:00", "2024-02-01 03:00:00", before="2024-01-19 13:00:00", limit=10).drop("adj_close")
 
 
+def page_body_sql(before: str) -> str:
+    """The oracle of that page as one row of joined arrays."""
+    inner = page_sql(before)
+    return f"""SELECT 'view' AS symbol, '1h' AS timeframe, '5m' AS base, CAST(count(*) AS INTEGER) AS count, coalesce(string_agg(CAST(CAST(epoch(ts) AS BIGINT) AS VARCHAR), ',' ORDER BY ts), '') AS ts,
+       coalesce(string_agg(CAST(volume AS VARCHAR), ',' ORDER BY ts), '') AS v, strftime(max(cursor), '%Y-%m-%dT%H:%M:%SZ') AS next_cursor,
+       CASE WHEN {before} <= TIMESTAMP '2024-01-25 00:00:00' THEN 'public, max-age=86400, immutable' ELSE 'no-cache' END AS cache_control
+FROM ({inner})"""
+
+
+def joined_arrays(one: DataFrame) -> DataFrame:
+    """A page's row with its whole-number arrays as texts."""
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return one.select("symbol", "timeframe", "base", "count", text("ts"), text("v"), "next_cursor", "cache_control")
+
+
+@query("page_body", page_body_sql("TIMESTAMP '2024-02-01 03:00:00'"))
+def _(spark, d):
+    page = read.page(base(spark, d), A.january(spark), "view", "1h", "2024-01-01 03:00:00", "2024-02-01 03:00:00", limit=10)
+    return joined_arrays(read.arrays_of_page(page, "view", "1h", "2024-02-01 03:00:00", "2024-01-25 00:00:00"))
+
+
+@query("page_body_closed", page_body_sql("TIMESTAMP '2024-01-19 13:00:00'"))
+def _(spark, d):
+    page = read.page(base(spark, d), A.january(spark), "view", "1h", "2024-01-01 03:00:00", "2024-02-01 03:00:00", before="2024-01-19T13:00", limit=10)
+    return joined_arrays(read.arrays_of_page(page, "view", "1h", "2024-01-19T13:00", "2024-01-25 00:00:00"))
+
+
+@query("cache_policy", HOURLY_SPANS + "SELECT symbol, CASE WHEN max(ts) + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-25 00:00:00' THEN 'public, max-age=86400, immutable' ELSE 'no-cache' END AS cache_control, max(ts) + INTERVAL 1 HOUR AS until FROM c GROUP BY symbol, dayofmonth(ts)")
+def _(spark, d):
+    ends = candles(spark, d, "1h").groupBy("symbol", F.dayofmonth("ts").alias("dy")).agg((F.max("ts") + F.expr("interval 1 hour")).alias("until"))
+    closed = F.col("until") <= F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
+    return ends.select("symbol", read.cache_policy(closed).alias("cache_control"), "until")
+
+
+@query("older_rows", page_sql("TIMESTAMP '2024-02-01 03:00:00'").replace(" FROM k", " FROM k WHERE ts < TIMESTAMP '2024-01-31 16:00:00'"))
+def _(spark, d):
+    page = read.page(base(spark, d), A.january(spark), "view", "1h", "2024-01-01 03:00:00", "2024-02-01 03:00:00", limit=10).drop("adj_close")
+    return read.without_loaded(page, page.where("ts >= timestamp_ntz'2024-01-31 16:00:00'"))
+
+
+@query("buckets_and_bars", BASE.rstrip() + f""",
+b AS (SELECT DISTINCT c.symbol, time_bucket(INTERVAL 60 MINUTE, c.ts, s.open_ts) AS ts FROM c JOIN sess s ON CAST({LOCAL_OF.format('c.ts')} AS DATE) = s.dy)
+SELECT b.symbol, b.ts, count(*) AS bars, max(c.high) AS high FROM b JOIN c ON c.symbol = b.symbol AND c.ts >= b.ts AND c.ts < b.ts + INTERVAL 60 MINUTE GROUP BY ALL""")
+def _(spark, d):
+    b = base(spark, d)
+    return fold.with_bars(fold.resample(b, A.january(spark), "1h"), b, A.january(spark), "1h").groupBy("symbol", "ts").agg(F.count("*").alias("bars"), F.max("bar_high").alias("high"))
+
+
 @query("head_tail_preview", BASE + "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts) AS INTEGER) AS place, count(*) OVER (PARTITION BY symbol) AS total FROM c) WHERE total <= 40 OR place <= 20 OR place > total - 20")
 def _(spark, d):
     return read.head_and_tail(candles(spark, d))
@@ -259,7 +337,7 @@ def _(spark, d):
     return read.reconcile(b, fold.resample(b, A.january(spark), "1h")).select("symbol", "bars", "volume", "high", "low", "verdict")
 
 
-@query("intraday_vs_daily", with_(SESS, TICKS, PLACED) + f"SELECT i.symbol, i.dy, i.high = x.high AND i.low = x.low AS same_range, i.close = x.close AS same_close FROM (SELECT symbol, dy, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close FROM p GROUP BY ALL) i JOIN (SELECT t.symbol, s.dy, max(price) AS high, min(price) AS low, arg_max(price, t.ts) AS close FROM t JOIN sess s ON CAST({LOCAL_OF.format('t.ts')} AS DATE) = s.dy GROUP BY ALL) x ON i.symbol = x.symbol AND i.dy = x.dy")
+@query("intraday_vs_daily", with_(SESS, TICKS, PLACED) + f"SELECT i.symbol, i.dy, i.high = x.high AND i.low = x.low AS same_range, i.close = x.close AS same_close FROM (SELECT symbol, dy, max(price) AS high, min(price) AS low, last(price ORDER BY ts, ordinal) AS close FROM p GROUP BY ALL) i JOIN (SELECT t.symbol, s.dy, max(price) AS high, min(price) AS low, last(price ORDER BY t.ts, t.ordinal) AS close FROM t JOIN sess s ON CAST({LOCAL_OF.format('t.ts')} AS DATE) = s.dy AND {GOOD} GROUP BY ALL) x ON i.symbol = x.symbol AND i.dy = x.dy")
 def _(spark, d):
     day = C.local_day(F.col("ts"))
     intraday = candles(spark, d).withColumn("dy", day).groupBy("symbol", "dy").agg(F.max("high").alias("ih"), F.min("low").alias("il"), F.max_by("close", "ts").alias("ic"))
@@ -304,6 +382,41 @@ def _(spark, d):
     return universe.search(symbols(spark, d), "", "unit", 30).select("ticker")
 
 
+@query("symbol_lookup", with_(UNIVERSE) + "SELECT ticker, id, kind FROM v WHERE ticker = (SELECT min(ticker) FROM v WHERE id = 7)")
+def _(spark, d):
+    s = symbols(spark, d)
+    return universe.symbol_of(s, s.where("id = 7").agg(F.lower(F.min("ticker"))).first()[0]).select("ticker", "id", "kind")
+
+
+@query("symbol_listing", with_(UNIVERSE) + "SELECT ticker, id FROM v")
+def _(spark, d):
+    return universe.listing(symbols(spark, d)).select("ticker", "id")
+
+
+@query("tracked_listing", with_(UNIVERSE) + "SELECT ticker, id FROM v WHERE tracked")
+def _(spark, d):
+    return universe.listing(symbols(spark, d), tracked=True).select("ticker", "id")
+
+
+@query("job_symbols", with_(UNIVERSE) + "SELECT ticker, kind FROM v WHERE tracked AND kind <> 'future'")
+def _(spark, d):
+    return universe.resolve(symbols(spark, d)).select("ticker", "kind")
+
+
+@query("enrichable", with_(UNIVERSE) + "SELECT ticker FROM v WHERE coalesce(kind, '') <> 'future' AND (ticker IN ('ITUB4', 'MGLU3', 'PETR4', 'VALE3') OR id % 2 = 0)")
+def _(spark, d):
+    s = symbols(spark, d)
+    return universe.enrichable(s, False).unionByName(universe.enrichable(s.where("id % 2 = 0"), True)).select("ticker").distinct()
+
+
+@query("candles_of_ticker", BASE.rstrip() + ", n AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS symbol_id FROM (SELECT DISTINCT symbol FROM t)) SELECT symbol, symbol_id, ts, open, high, low, close, volume FROM c JOIN n USING (symbol) WHERE symbol = 'view'")
+def _(spark, d):
+    names = A.ticks(spark, d).select("symbol").distinct().withColumn("id", F.row_number().over(Window.orderBy("symbol")).cast("long"))
+    stored = base(spark, d).join(F.broadcast(names), "symbol").select(F.col("id").alias("symbol_id"), "ts", "open", "high", "low", "close", "volume")
+    upper = names.withColumn("ticker", F.upper("symbol")).drop("symbol")
+    return universe.candles_of(stored, upper, "view").withColumn("symbol", F.lower("symbol")).select("symbol", "symbol_id", "ts", "open", "high", "low", "close", "volume")
+
+
 @query("display_name", with_(UNIVERSE) + "SELECT ticker, coalesce(nullif(trim(long_name), ''), CASE WHEN trim(short_name) <> '' AND lower(trim(short_name)) <> lower(ticker) THEN trim(short_name) END, ticker) AS display FROM v")
 def _(spark, d):
     return symbols(spark, d).select("ticker", K.display_name(F.col("ticker"), F.col("short_name"), F.col("long_name")).alias("display"))
@@ -333,9 +446,14 @@ def planned(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Admission lists, existing symbols and desired ones."""
     s = symbols(spark, d).where("kind IS NOT NULL")
     admitted, existing = s.where("id % 3 <> 0").select("ticker"), s.where("id % 4 <> 0").select("ticker", "kind", "active", "tracked")
+    return admitted, existing, universe.desired(admitted, *contracts_of(spark))
+
+
+def contracts_of(spark) -> tuple[DataFrame, DataFrame]:
+    """Futures and seeds."""
     futures = spark.createDataFrame([("WIN", "Mini", "Mini contract", 0.2, 5.0, 1), ("DOL", "Dollar", "Dollar contract", 50.0, 0.5, 1)], "root string, name string, long_name string, point_value double, tick_size double, lot_size int")
     seeds = spark.createDataFrame([("^BVSP", "index", "IDX", "Index", "", None, 1.0, None, True), ("WIN", "", "", "Mini index", "", None, None, None, False)], "ticker string, kind string, short_name string, long_name string, currency string, lot_size int, tick_size double, point_value double, tracked boolean")
-    return admitted, existing, universe.desired(admitted, futures, seeds)
+    return futures, seeds
 
 
 PLAN = with_(UNIVERSE, """a AS (SELECT ticker, kind FROM v WHERE kind IS NOT NULL AND id % 3 <> 0),
@@ -351,6 +469,33 @@ def _(spark, d):
     return universe.admission(desired, existing).select("ticker", "kind", "lot_size", "tick_size", "tracked", "long_name", "created", "admitted")
 
 
+def synced(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The universe after a sync against lists, contracts and a provider that lists four fifths of it."""
+    s = symbols(spark, d).where("kind IS NOT NULL")
+    admitted, _existing, _desired = planned(spark, d)
+    null = lambda t: F.lit(None).cast(t)
+    stored = s.where("id % 4 <> 0").select(
+        F.col("id").cast("long").alias("id"), "ticker", "short_name", "long_name", "kind", F.lit("BRL").alias("currency"), K.default_lot(F.col("kind")).alias("lot_size"), K.default_tick(F.col("kind")).alias("tick_size"), null("double").alias("point_value"),
+        "active", "tracked", F.lit("2024-01-05").cast("date").alias("first_seen"), F.lit("2024-01-05").cast("date").alias("last_seen"),
+    )
+    return universe.sync(stored, admitted, *contracts_of(spark), "2024-02-01", available=symbols(spark, d).where("id % 5 <> 0"))
+
+
+@query("symbol_sync", PLAN + "SELECT coalesce(w.ticker, x.ticker) AS ticker, w.ticker IS NOT NULL AND x.ticker IS NULL AS created, w.ticker IS NOT NULL AND w.tracked AND NOT coalesce(x.tracked, false) AS admitted, coalesce(x.tracked, false) AND x.ticker NOT IN (SELECT ticker FROM a) AND x.ticker NOT IN (SELECT ticker FROM w WHERE tracked) AS departed, x.ticker IS NOT NULL AND x.active AND x.kind <> 'future' AND x.ticker NOT IN (SELECT ticker FROM v WHERE id % 5 <> 0) AND (w.ticker IS NOT NULL OR x.active) AS deactivated FROM w FULL JOIN x ON x.ticker = w.ticker WHERE w.ticker IS NOT NULL OR (x.tracked AND x.ticker NOT IN (SELECT ticker FROM a) AND x.ticker NOT IN (SELECT ticker FROM w WHERE tracked)) OR (x.active AND x.kind <> 'future' AND x.ticker NOT IN (SELECT ticker FROM v WHERE id % 5 <> 0))")
+def _(spark, d):
+    return synced(spark, d)[1]
+
+
+@query("symbols_after_sync", PLAN + "SELECT coalesce(w.ticker, x.ticker) AS ticker, coalesce(w.kind, x.kind) AS kind, coalesce(w.tracked, false) OR coalesce(x.tracked, false) AS tracked, (w.ticker IS NOT NULL OR x.active) AND NOT (x.ticker IS NOT NULL AND x.active AND x.kind <> 'future' AND x.ticker NOT IN (SELECT ticker FROM v WHERE id % 5 <> 0)) AS active FROM w FULL JOIN x ON x.ticker = w.ticker")
+def _(spark, d):
+    return synced(spark, d)[0].select("ticker", "kind", "tracked", "active")
+
+
+@query("sync_report", PLAN + "SELECT CAST(count_if(x.ticker IS NULL) AS BIGINT) AS created, array_to_string((list(w.ticker ORDER BY w.ticker) FILTER (WHERE x.ticker IS NULL))[1:20], ' ') AS created_tickers, CAST(count_if(w.tracked AND NOT coalesce(x.tracked, false)) AS BIGINT) AS admitted FROM w LEFT JOIN x USING (ticker)")
+def _(spark, d):
+    return universe.sync_report(synced(spark, d)[1]).select("created", F.array_join("created_tickers", " ").alias("created_tickers"), "admitted")
+
+
 @query("departures", PLAN + "SELECT ticker FROM x WHERE tracked AND ticker NOT IN (SELECT ticker FROM a) AND ticker NOT IN (SELECT ticker FROM w WHERE tracked)")
 def _(spark, d):
     admitted, existing, desired = planned(spark, d)
@@ -363,7 +508,7 @@ def _(spark, d):
     return universe.stale(s, s.where("id % 5 <> 0"))
 
 
-@query("enrich", with_(UNIVERSE) + "SELECT ticker, CASE WHEN id % 2 = 0 THEN 'Long ' || ticker ELSE long_name END AS long_name, short_name FROM v")
+@query("enrich", with_(UNIVERSE) + "SELECT ticker, CASE WHEN id % 2 = 0 AND coalesce(kind, '') <> 'future' THEN 'Long ' || ticker ELSE long_name END AS long_name, short_name FROM v")
 def _(spark, d):
     s = symbols(spark, d)
     quotes = s.where("id % 2 = 0").select(F.lower("ticker").alias("symbol"), F.lit(" ").alias("shortName"), F.concat(F.lit("Long "), "ticker").alias("longName"), F.lit("USD").alias("currency"))
@@ -382,7 +527,7 @@ def halves(spark, d) -> tuple[DataFrame, DataFrame]:
     return old, new.withColumn("close", F.col("close") * 2).withColumn("adj_close", F.lit(None).cast("double"))
 
 
-STORED = TAGGED.rstrip() + f",\nc AS (SELECT symbol, '5m' AS timeframe, {bucket('5m')} AS ts, arg_min(price, ts) AS open, max(price) AS high, min(low) AS low, arg_max(price, ts) AS close, arg_max(adj, ts) FILTER (WHERE adj IS NOT NULL) AS adj_close, CAST(sum(vol) AS BIGINT) AS volume FROM g WHERE reject_reason IS NULL GROUP BY symbol, {bucket('5m')})\n"
+STORED = TAGGED.rstrip() + f",\nc AS (SELECT symbol, '5m' AS timeframe, {bucket('5m')} AS ts, first(price ORDER BY ts, ordinal) AS open, max(price) AS high, min(low) AS low, last(price ORDER BY ts, ordinal) AS close, last(adj ORDER BY ts, ordinal) FILTER (WHERE adj IS NOT NULL) AS adj_close, CAST(sum(vol) AS BIGINT) AS volume FROM g WHERE reject_reason IS NULL GROUP BY symbol, {bucket('5m')})\n"
 
 
 @query("upsert_candles", STORED + "SELECT symbol, timeframe, ts, open, high, low, CASE WHEN ts >= TIMESTAMP '2024-01-10' THEN close * 2 ELSE close END AS close, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN adj_close END AS adj_close, volume FROM c")
@@ -411,7 +556,19 @@ def _(spark, d):
 @query("usage_sum", "SELECT CAST(coalesce(count(*), 0) AS BIGINT) AS requests FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'")
 def _(spark, d):
     used = A.read(spark, d, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("requests"))
-    return used.where(F.col("day").between("2024-01-05", "2024-01-12")).agg(F.coalesce(F.sum("requests"), F.lit(0)).cast("long").alias("requests"))
+    return runs.usage_total(used, "2024-01-05", "2024-01-12")
+
+
+@query("usage_range", "SELECT CAST(ts AS DATE) AS \"day\", count(*) AS requests FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12' GROUP BY 1")
+def _(spark, d):
+    used = A.read(spark, d, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("requests"))
+    return runs.usage_between(used, "2024-01-05", "2024-01-12")
+
+
+@query("usage_quota", "SELECT count(*) AS requests, count(*) * 100.0::DOUBLE / 15000 AS quota_percent FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'")
+def _(spark, d):
+    used = A.read(spark, d, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("requests"))
+    return runs.usage_total(used, *ingest.usage_window(dt.date(2024, 1, 15)), quota=15_000)
 
 
 @query("deactivate", with_(UNIVERSE) + "SELECT ticker, active AND id % 5 <> 0 AS active, active AND id % 5 = 0 AS changed FROM v")
@@ -422,12 +579,17 @@ def _(spark, d):
 
 @query("run_states", "SELECT o_custkey AS id, max(o_orderkey) AS seq, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY o_custkey")
 def _(spark, d):
-    return upsert.run_states(A.read(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status")))
+    return runs.run_states(A.read(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status")))
 
 
 @query("recent_failures", "SELECT o_orderkey AS id, o_orderdate AS started_at FROM orders WHERE o_orderstatus NOT IN ('F', 'O') AND o_orderdate >= TIMESTAMP '1998-01-01' ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
 def _(spark, d):
-    return A.runs(spark, d).where("status = 'failed' AND started_at >= timestamp_ntz'1998-01-01'").orderBy(F.desc("started_at"), "id").limit(25).select("id", "started_at")
+    return runs.recent_failures(A.runs(spark, d), "1998-01-01 00:00:00", 25).select("id", "started_at")
+
+
+@query("run_history", "SELECT o_orderkey AS id, o_orderdate AS started_at FROM orders WHERE o_custkey % 20 = 7 ORDER BY o_orderdate DESC, o_orderkey LIMIT 15")
+def _(spark, d):
+    return runs.history(A.runs(spark, d), 7, "1d", 15).select("id", "started_at")
 
 
 WINDOWS = "w AS (SELECT CAST(s AS DATE) AS w_start, least(CAST(s AS DATE) + 89, DATE '1998-12-31') AS w_end FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1998-12-31', INTERVAL 90 DAY) g(s))"
@@ -448,8 +610,8 @@ COVERED = with_(WINDOWS, "i AS (SELECT o_custkey % 20 AS symbol_id, CAST(o_order
 
 def windows(spark, d) -> tuple[DataFrame, DataFrame]:
     """Windows of twenty series, and runs."""
-    runs = A.runs(spark, d)
-    return runs.select("symbol_id").distinct(), ingest.chunk_windows(spark, "1995-01-01", "1998-12-31", 90)
+    log = A.runs(spark, d)
+    return log.select("symbol_id").distinct(), ingest.chunk_windows(spark, "1995-01-01", "1998-12-31", 90)
 
 
 @query("covered_windows", COVERED + "SELECT symbol_id, '1d' AS timeframe, w_start, w_end FROM q CROSS JOIN w WHERE EXISTS (SELECT 1 FROM i WHERE i.symbol_id = q.symbol_id AND st IN ('F', 'O') AND a <= w_start AND b >= w_end)")
@@ -467,6 +629,63 @@ def _(spark, d):
     return ingest.backfill_plan(names, w, clean, A.runs(spark, d), "1d", "1998-12-01").select("symbol_id", "w_start", "w_end", "action")
 
 
+@query("backfill_dry_run", COVERED + "SELECT count(DISTINCT symbol_id) AS symbols, CAST(count_if(action <> 'unreachable') AS BIGINT) AS chunks, CAST(count_if(action = 'fetch') AS BIGINT) AS requests, CAST(count_if(action = 'skip') AS BIGINT) AS skipped, count(DISTINCT CASE WHEN action = 'unreachable' THEN symbol_id END) AS unreachable, true AS dry_run FROM (SELECT symbol_id, CASE WHEN symbol_id % 3 <> 0 THEN 'unreachable' WHEN symbol_id % 7 = 0 THEN 'skip' WHEN w_end < DATE '1998-12-01' AND EXISTS (SELECT 1 FROM i WHERE i.symbol_id = q.symbol_id AND st IN ('F', 'O') AND a <= w_start AND b >= w_end) THEN 'skip' ELSE 'fetch' END AS action FROM q CROSS JOIN w)")
+def _(spark, d):
+    ids, w = windows(spark, d)
+    names = ids.withColumn("ticker", F.when(F.col("symbol_id") % 3 == 0, "PETR4").otherwise("XXXX3"))
+    clean = ids.where("symbol_id % 7 = 0").crossJoin(F.broadcast(w)).select("symbol_id", "w_start")
+    return ingest.plan_counts(ingest.backfill_plan(names, w, clean, A.runs(spark, d), "1d", "1998-12-01", has_token=False))
+
+
+@query("backfill_intraday", "SELECT DATE '2024-01-02' AS w_start, DATE '2024-01-30' AS w_end, '6mo' AS range, " + UTC_OF.format("TIMESTAMP '2024-01-02'") + " AS keep_from, " + UTC_OF.format("TIMESTAMP '2024-01-31'") + " AS keep_to")
+def _(spark, d):
+    return ingest.backfill_windows(spark, "5m", "2024-01-02", "2024-01-30", "2024-06-01")
+
+
+@query("sync_plan", with_(UNIVERSE, SESS) + "SELECT id AS symbol_id, ticker, CASE WHEN ticker IN ('ITUB4', 'MGLU3', 'PETR4', 'VALE3') THEN 'fetch' ELSE 'unreachable' END AS action, DATE '2024-01-24' AS w_start, DATE '2024-01-30' AS w_end FROM v")
+def _(spark, d):
+    rows = symbols(spark, d).select(F.col("id").alias("symbol_id"), "ticker")
+    return ingest.sync_plan(rows, A.january(spark), "5m", A.TODAY, has_token=False).select("symbol_id", "ticker", "action", "w_start", "w_end")
+
+
+NUMBERED = TAGGED.rstrip() + f""",
+n AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS symbol_id FROM (SELECT DISTINCT symbol FROM t)),
+k AS (
+  SELECT n.symbol_id, count(DISTINCT CASE WHEN reject_reason IS NULL AND {bucket('5m')} >= TIMESTAMP '2024-01-24 03:00:00' AND {bucket('5m')} < TIMESTAMP '2024-01-31 03:00:00' THEN {bucket('5m')} END) AS bars,
+         CAST(count_if(reject_reason IS NOT NULL) AS BIGINT) AS rejected
+  FROM g JOIN n USING (symbol) GROUP BY n.symbol_id),
+r AS (SELECT symbol_id, CASE WHEN symbol_id = 2 THEN 'failed' WHEN bars > 0 THEN 'ok' ELSE 'empty' END AS status, CASE WHEN symbol_id = 2 THEN 0 ELSE bars END AS bars, CASE WHEN symbol_id = 2 THEN 0 ELSE rejected END AS rejected FROM k)
+"""
+
+
+def synced_bars(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Results of a tail refresh whose second series fails, and its plan."""
+    names = A.ticks(spark, d).select("symbol").distinct().withColumn("symbol_id", F.row_number().over(Window.orderBy("symbol")).cast("long"))
+    plan = ingest.sync_plan(names.withColumn("ticker", F.col("symbol")), A.january(spark), "5m", A.TODAY)
+    bars = A.raw_bars(spark, d).join(F.broadcast(names), "symbol").withColumn("w_start", F.lit("2024-01-24").cast("date")).drop("symbol")
+    errors = spark.createDataFrame([(2, dt.date(2024, 1, 24), "answered 500", 500)], "symbol_id long, w_start date, error string, http_status int")
+    return ingest.run_chunks(plan, bars, errors, A.january(spark), "5m")[2], plan
+
+
+@query("sync_results", NUMBERED + "SELECT * FROM r")
+def _(spark, d):
+    return synced_bars(spark, d)[0].select("symbol_id", "status", "bars", "rejected")
+
+
+@query("sync_counts", NUMBERED + "SELECT count(*) AS symbols, count(*) AS chunks, count(*) AS requests, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS unreachable, false AS dry_run, CAST(sum(bars) AS BIGINT) AS bars, CAST(sum(rejected) AS BIGINT) AS rejected, CAST(count_if(status = 'empty') AS BIGINT) AS empty, CAST(count_if(status = 'failed') AS BIGINT) AS failed FROM r")
+def _(spark, d):
+    results, plan = synced_bars(spark, d)
+    return ingest.plan_counts(plan, False, results)
+
+
+@query("run_audit", NUMBERED + "SELECT symbol_id AS id, symbol_id, status, CAST(bars AS INTEGER) AS bars, CAST(rejected AS INTEGER) AS rejected, CASE WHEN symbol_id = 2 THEN 'answered 500' END AS error, CASE WHEN symbol_id = 2 THEN 500 END AS http_status, CAST(61500 AS BIGINT) AS duration_ms FROM r")
+def _(spark, d):
+    results, _plan = synced_bars(spark, d)
+    begun = runs.opened(results, "2024-01-30 20:00:00")
+    ended = runs.closed(begun, results, "2024-01-30 20:01:01.5")
+    return runs.run_states(begun.unionByName(ended)).select("id", "symbol_id", "status", "bars", "rejected", "error", "http_status", "duration_ms")
+
+
 @query("run_tally", "SELECT count(*) AS chunks, CAST(sum(o_orderkey % 90) AS BIGINT) AS bars, CAST(sum(o_orderkey % 4) AS BIGINT) AS rejected, CAST(count_if(o_orderstatus = 'O') AS BIGINT) AS empty, CAST(count_if(o_orderstatus NOT IN ('F', 'O')) AS BIGINT) AS failed FROM orders")
 def _(spark, d):
     return ingest.tally(A.runs(spark, d))
@@ -541,22 +760,62 @@ def _(spark, d):
     return backtest.drawdown(candles(spark, d, "1h"), "close").select("symbol", "ts", "peak", "drawdown")
 
 
-@query("ema_20")
+NUMBERED_HOURS = HOURLY.rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ",\nn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM c)"
+
+
+def ema_sql(name: str, source: str, value: str, length: int, begin: int = 1, alpha: str | None = None) -> str:
+    """CTE of a recursive average over ``source(symbol, rn, value)``: from row ``begin`` on, seeded by the mean of ``length`` rows."""
+    seed, alpha = begin + length - 1, alpha or f"2.0::DOUBLE / {length + 1}"
+    return f"""{name} AS (
+  SELECT symbol, CAST({seed} AS BIGINT) AS rn, avg({value}) AS e FROM {source} WHERE rn BETWEEN {begin} AND {seed} GROUP BY symbol HAVING count(*) = {length}
+  UNION ALL SELECT x.symbol, x.rn, {name}.e + ({alpha}) * (x.{value} - {name}.e) FROM {name} JOIN {source} x ON x.symbol = {name}.symbol AND x.rn = {name}.rn + 1)"""
+
+
+def rounded(c: str, digits: int = 6):
+    """A column rounded for the comparison; NaN (before the first value) as null."""
+    return F.round(F.nanvl(F.col(c), F.lit(None).cast("double")), digits).alias(c)
+
+
+@query("ema_20", NUMBERED_HOURS + ",\n" + ema_sql("e20", "n", "close", 20) + "\nSELECT n.symbol, n.ts, round(e, 6) AS ema FROM n LEFT JOIN e20 USING (symbol, rn)")
 def _(spark, d):
-    return indicators.ema(candles(spark, d, "1h"), 20).select("symbol", "ts", "ema")
+    return indicators.ema(candles(spark, d, "1h"), 20).select("symbol", "ts", rounded("ema"))
+
 
+STEPS = "d AS (SELECT symbol, ts, rn, greatest(close - before, 0) AS up, greatest(before - close, 0) AS down FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS before FROM n) WHERE before IS NOT NULL)"
 
-@query("rsi_14")
+
+@query("rsi_14", NUMBERED_HOURS + ",\n" + STEPS + ",\n" + ema_sql("u", "d", "up", 14, 2, "1.0::DOUBLE / 14") + ",\n" + ema_sql("w", "d", "down", 14, 2, "1.0::DOUBLE / 14") + "\nSELECT n.symbol, n.ts, round(CASE WHEN w.e = 0 THEN 100 ELSE 100 - 100 / (1 + u.e / w.e) END, 6) AS rsi FROM n LEFT JOIN u USING (symbol, rn) LEFT JOIN w USING (symbol, rn)")
 def _(spark, d):
-    return indicators.rsi(candles(spark, d, "1h"), 14).select("symbol", "ts", "rsi")
+    return indicators.rsi(candles(spark, d, "1h"), 14).select("symbol", "ts", rounded("rsi"))
+
 
+MACD = ",\n".join([ema_sql("f", "n", "close", 12), ema_sql("g", "n", "close", 26), "m AS (SELECT f.symbol, f.rn, f.e - g.e AS line FROM f JOIN g USING (symbol, rn))", ema_sql("z", "m", "line", 9, 26)])
 
-@query("macd")
+
+@query("macd", NUMBERED_HOURS + ",\n" + MACD + "\nSELECT n.symbol, n.ts, round(line, 6) AS macd, round(z.e, 6) AS macd_signal, round(line - z.e, 6) AS macd_histogram FROM n LEFT JOIN m USING (symbol, rn) LEFT JOIN z USING (symbol, rn)")
 def _(spark, d):
-    return indicators.macd(candles(spark, d, "1h")).select("symbol", "ts", "macd", "macd_signal", "macd_histogram")
+    return indicators.macd(candles(spark, d, "1h")).select("symbol", "ts", *map(rounded, ("macd", "macd_signal", "macd_histogram")))
+
+
+SIGNALS = """x AS (SELECT *, CASE WHEN rn >= 5 THEN avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS sma FROM n),
+y AS (SELECT *, lag(close) OVER o AS pc, lag(sma) OVER o AS ps FROM x WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
+q AS (SELECT *, coalesce(pc <= ps AND close > sma, false) AS enter, coalesce(pc >= ps AND close < sma, false) AS leave FROM y),
+k AS (
+  SELECT symbol, rn, NULL::DOUBLE AS held, CASE WHEN leave THEN 'leave' WHEN enter THEN 'enter' END AS pending, NULL::BIGINT AS a, NULL::BIGINT AS b FROM q WHERE rn = 1
+  UNION ALL
+  SELECT symbol, rn, CASE WHEN o IS NULL THEN h END, CASE WHEN leave THEN 'leave' WHEN enter THEN 'enter' END, CASE WHEN o IS NOT NULL THEN CAST(round_even(h * 100, 0) AS BIGINT) * 100 END, CASE WHEN o IS NOT NULL THEN CAST(round_even(o * 100, 0) AS BIGINT) * 100 END
+  FROM (
+    SELECT *, CASE WHEN left_by_signal THEN open WHEN h IS NULL THEN NULL WHEN low <= h * (1 - 0.5::DOUBLE) THEN least(open, h * (1 - 0.5::DOUBLE)) WHEN high >= h * (1 + 1.0::DOUBLE) THEN greatest(open, h * (1 + 1.0::DOUBLE)) END AS o
+    FROM (
+      SELECT q.symbol, q.rn, q.open, q.high, q.low, q.enter, q.leave, CASE WHEN k.pending = 'enter' AND k.held IS NULL THEN q.open ELSE k.held END AS h, coalesce(k.pending = 'leave' AND k.held IS NOT NULL, false) AS left_by_signal
+      FROM k JOIN q ON q.symbol = k.symbol AND q.rn = k.rn + 1))),
+trades AS (SELECT symbol, b - a - CAST(round_even((a + b) * 3.0::DOUBLE / 1e4, 0) AS BIGINT) AS profit FROM k WHERE a IS NOT NULL)
+SELECT symbol, count(*) AS trades, CAST(count_if(profit > 0) AS BIGINT) AS wins, count_if(profit > 0) / count(*) AS win_rate, CAST(sum(profit) AS BIGINT) AS profit_cents,
+       CASE WHEN sum(CASE WHEN profit < 0 THEN -profit ELSE 0 END) > 0 THEN CAST(sum(CASE WHEN profit > 0 THEN profit ELSE 0 END) AS DOUBLE) / CAST(sum(CASE WHEN profit < 0 THEN -profit ELSE 0 END) AS DOUBLE) END AS profit_factor, min(profit) AS worst_cents
+FROM trades GROUP BY symbol"""
 
 
-@query("backtest_metrics")
+@query("backtest_metrics", NUMBERED_HOURS + ",\n" + SIGNALS)
 def _(spark, d):
     c = candles(spark, d, "1h").withColumn("sma", indicators.sma(F.col("close"), 5))
     up, down = ({"op": op, "left": "close", "right": "sma"} for op in ("crosses_above", "crosses_below"))

@@ -22,6 +22,10 @@ FREE_TICKERS = ("ITUB4", "MGLU3", "PETR4", "VALE3")
 CURRENCY = "BRL"
 RANGES = (("3mo", 92), ("6mo", 183), ("1y", 366), ("2y", 731), ("5y", 1827), ("10y", 3653))
 RUN_STATUSES = ("running", "ok", "empty", "skipped", "failed")
+# What a response says about how long it may be kept (closed window, open window, symbols), and days of a
+# daily request, sessions of a tail refresh, requests that a month's quota allows by default.
+KEEP_CLOSED, KEEP_OPEN, KEEP_SYMBOLS = "public, max-age=86400, immutable", "no-cache", "public, max-age=300"
+CHUNK_DAYS, SYNC_SESSIONS, SYNC_RANGE = 365, 5, "3mo"
 PAGE_DEFAULT, PAGE_MAX, READ_CAP, SYMBOLS_DEFAULT, SYMBOLS_MAX = 1_000, 5_000, 50_000, 20, 100
 
 CANDLE = T.StructType(
@@ -49,7 +53,7 @@ def parse_timeframe(text: str, stored: bool = False) -> str:
     name = (text or "").strip().lower()
     allowed = STORED if stored else tuple(TIMEFRAMES)
     if name not in allowed:
-        raise ValueError(f"unknown timeframe {text!r} (want one of: {', '.join(allowed)})")
+        raise ValueError(f"{text!r} names no timeframe; known: {' '.join(allowed)}")
     return name
 
 
@@ -57,7 +61,7 @@ def parse_kind(text: str) -> str:
     """The instrument kind that ``text`` names; ValueError lists the valid ones."""
     name = (text or "").strip().lower()
     if name not in KINDS:
-        raise ValueError(f"unknown symbol kind {text!r} (want one of: {', '.join(KINDS)})")
+        raise ValueError(f"{text!r} names no kind of instrument; known: {' '.join(KINDS)}")
     return name
 
 

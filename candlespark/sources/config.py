@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,12 +10,14 @@ from candlespark.functions.calendar import minutes
 from candlespark.functions.tickers import months_ok, normal
 from candlespark.schemas import KINDS
 
+# The fields of the calendar, contract and index files, and the name that an index file has.
 CALENDAR = "timezone string, session struct<open: string, close: string>, holidays array<struct<date: string, name: string, open: string, close: string>>"
 CONTRACTS = (
     "futures array<struct<root: string, name: string, long_name: string, point_value: double, tick_size: double, lot_size: int, months: string>>, "
     "symbols array<struct<ticker: string, kind: string, short_name: string, long_name: string, currency: string, lot_size: int, tick_size: double, point_value: double, tracked: boolean>>"
 )
 INDEX = "index string, as_of string, source string, tickers array<string>"
+INDEX_FILE = r"^(.+)-(\d{4})-(\d{2})\.json$"
 
 
 def names(schema: T.DataType, prefix: str = "") -> set[str]:
@@ -77,7 +77,7 @@ def contracts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     doc = strict_json(spark, path, CONTRACTS)
     futures, seeds = doc.select(F.inline("futures")), doc.select(F.inline("symbols"))
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    refuse(futures, {"root missing": blank("root"), "name missing": blank("name"), "point value not positive": F.col("point_value") <= 0, "tick size not positive": F.col("tick_size") <= 0, "lot size not positive": F.col("lot_size") <= 0, "bad month codes": ~months_ok(F.col("months"))}, "futures")
+    refuse(futures, {"root missing": blank("root"), "point value not positive": F.col("point_value") <= 0, "tick size not positive": F.col("tick_size") <= 0, "lot size not positive": F.col("lot_size") <= 0, "bad month codes": ~months_ok(F.col("months"))}, "futures")
     repeats(futures, "root", "futures")
     null_or = lambda c: F.coalesce(F.col(c) <= 0, F.lit(False))
     refuse(seeds, {"ticker missing": blank("ticker"), "unknown kind": ~(blank("kind") | F.lower(F.trim("kind")).isin(*KINDS)), "lot size not positive": null_or("lot_size"), "tick size not positive": null_or("tick_size"), "point value not positive": null_or("point_value")}, "symbols")
@@ -90,13 +90,12 @@ def index_lists(spark: SparkSession, folder: str) -> DataFrame:
     from candlespark.operators.universe import newest_lists
 
     rows = strict_json(spark, f"{folder.rstrip('/')}/*.json", INDEX).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    shape = re.compile(r"^(.+)-(\d{4})-(\d{2})\.json$").pattern
-    part = lambda i: F.regexp_extract("file", shape, i)
+    part = lambda i: F.regexp_extract("file", INDEX_FILE, i)
     rows = rows.withColumn("year", part(2).try_cast("int")).withColumn("month", part(3).try_cast("int"))
     tickers = F.transform(F.coalesce("tickers", F.array().cast("array<string>")), normal)
     rows = rows.withColumn("tickers", tickers)
     refuse(rows.select("file", "*"), {
-        "file name isn't <index>-<year>-<month>": ~F.col("file").rlike(shape), "index differs from the file name": F.lower("index") != F.lower(part(1)),
+        "file name isn't <index>-<year>-<month>": ~F.col("file").rlike(INDEX_FILE), "index differs from the file name": F.lower("index") != F.lower(part(1)),
         "as_of differs from the file name": ~F.col("as_of").startswith(F.concat(part(2), F.lit("-"), part(3))), "no tickers": F.size("tickers") == 0,
         "empty ticker": F.exists("tickers", lambda t: t == ""), "repeated ticker": F.size(F.array_distinct("tickers")) != F.size("tickers"),
     }, "index lists")

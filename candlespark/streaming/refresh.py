@@ -6,23 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from candlespark.functions.calendar import bucket_open
-from candlespark.operators.fold import in_session, normalize, on_sessions
+from candlespark.functions.bars import as_instant
+from candlespark.operators.fold import normalize, tagged_ticks
 from candlespark.operators.upsert import CANDLE_KEY, store, upsert_candles
 
 
 def windowed(ticks: DataFrame, sessions: DataFrame, timeframe: str, lateness: str = "5 days") -> DataFrame:
     """A stream of ticks (symbol, ts, price, volume) to session-anchored candles; a bucket is final, and leaves in
     append mode, once the watermark passes it."""
-    rows = on_sessions(ticks, sessions).where(in_session())
-    rows = rows.withColumn("at", F.to_timestamp(bucket_open(timeframe, F.col("ts"), F.col("open_ts")))).withWatermark("at", lateness)
+    rows = tagged_ticks(ticks, sessions, timeframe).where("reject_reason IS NULL")
+    rows = rows.withColumn("at", as_instant(F.col("bucket"))).withWatermark("at", lateness)
     return rows.groupBy("symbol", "at").agg(
         F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("volume").alias("volume"),
     )
 
 
 def once_per_key(bars: DataFrame, keys=("symbol", "at"), lateness: str = "5 days") -> DataFrame:
-    """A stream without repeated bars inside the lateness; ``at`` is the event time."""
+    """A stream without repeated bars inside the lateness; ``at`` is the event time, a TIMESTAMP."""
     return bars.withWatermark("at", lateness).dropDuplicatesWithinWatermark(list(keys))
 
 

@@ -63,3 +63,17 @@ def test_day_bounds_are_local_midnights(spark):
     a, b = C.day_bounds(F.lit("2024-01-02").cast("date"), F.lit("2024-01-03").cast("date"))
     r = spark.range(1).select(a.alias("a"), b.alias("b")).first()
     assert (r.a, r.b) == (at("2024-01-02T03:00"), at("2024-01-04T03:00"))
+
+
+def test_nearest_sessions_of_days_on_and_off_the_calendar(spark, holidays):
+    sessions = C.sessions(spark, "2024-01-02", "2024-03-29", holidays)
+    rows = {r.dy.isoformat(): r for r in C.nearest_sessions(spark, C.days(spark, "2024-02-09", "2024-02-14"), sessions, "2024-02-09", "2024-02-14").collect()}
+    assert (rows["2024-02-10"].prev_day, rows["2024-02-10"].next_day) == (dt.date(2024, 2, 9), dt.date(2024, 2, 13))
+    assert (rows["2024-02-13"].prev_day, rows["2024-02-13"].next_day) == (dt.date(2024, 2, 9), dt.date(2024, 2, 14))
+    with pytest.raises(Exception, match="no session in 30 days after 2024-03-29"):
+        C.nearest_sessions(spark, C.days(spark, "2024-03-28", "2024-03-29"), sessions, "2024-03-28", "2024-03-29").collect()
+
+
+def test_coverage_by_year(spark, holidays):
+    got = C.covered_days(spark.createDataFrame([("2023-12-31",), ("2024-05-01",), (None,)], "dy string").withColumn("dy", F.col("dy").cast("date")), holidays)
+    assert [r.covered for r in got.orderBy("dy").collect()] == [False, False, True]

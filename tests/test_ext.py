@@ -12,6 +12,14 @@ def closes(spark, values):
     return bars(spark, *[bar(t + dt.timedelta(hours=i), v, v + 1, v - 1, v, None, 10, i) for i, v in enumerate(values)])
 
 
+def average(values, n, alpha):
+    out = np.full(len(values), np.nan)
+    out[n - 1] = np.mean(values[:n])
+    for i in range(n, len(values)):
+        out[i] = out[i - 1] + alpha * (values[i] - out[i - 1])
+    return out
+
+
 def test_windowed_indicators(spark):
     rows = closes(spark, [1.5, 2.5, 3.5, 4.5]).select("ts", indicators.sma(F.col("close"), 2).alias("sma"), indicators.wma(F.col("close"), 2).alias("wma"), indicators.momentum(F.col("close"), 2).alias("m")).orderBy("ts").collect()
     assert [r.sma for r in rows] == [None, 2.0, 3.0, 4.0] and abs(rows[1].wma - (1.5 + 5) / 3) < 1e-9 and rows[3].m == 2
@@ -27,7 +35,13 @@ def test_recursive_indicators(spark):
     assert np.allclose(got, want, equal_nan=True)
     rsi = [r.rsi for r in indicators.rsi(closes(spark, [float(i + 2) for i in range(20)]), 14).orderBy("ts").collect()]
     assert rsi[-1] == 100.0 and np.isnan(rsi[13] if rsi[13] is not None else np.nan)
-    assert indicators.macd(closes(spark, values)).count() == 40 and indicators.atr(closes(spark, values), 3).count() == 40
+    line = average(values, 12, 2 / 13) - average(values, 26, 2 / 27)
+    signal = np.concatenate([np.full(25, np.nan), average(line[25:], 9, 2 / 10)])
+    got = indicators.macd(closes(spark, values)).orderBy("ts").toPandas()
+    assert np.allclose(got["macd"], line, equal_nan=True) and np.allclose(got["macd_signal"], signal, equal_nan=True) and np.allclose(got["macd_histogram"], line - signal, equal_nan=True)
+    v = np.array(values)
+    span = np.concatenate([[2.0], np.maximum(2.0, np.maximum(np.abs(v[1:] + 1 - v[:-1]), np.abs(v[1:] - 1 - v[:-1])))])
+    assert np.allclose(indicators.atr(closes(spark, values), 3).orderBy("ts").toPandas()["atr"].astype(float), average(span, 3, 1 / 3), equal_nan=True)
 
 
 def test_rules_and_backtest(spark):

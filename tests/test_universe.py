@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from candlespark.functions import bars as B
 from candlespark.functions import tickers as K
-from candlespark.operators import ingest, universe, upsert
+from candlespark.functions import params
+from candlespark.operators import ingest, runs, universe, upsert
 from candlespark.schemas import parse_kind, parse_timeframe
 from tests.helpers import at
 
@@ -86,6 +87,14 @@ def test_upsert_keeps_adj_close_and_is_idempotent(spark, tmp_path):
     new = spark.createDataFrame([candle(0, close=1.5), candle(2, tf="1d")], CANDLES)
     path = str(tmp_path / "candles")
     upsert.store(old, path)
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "candles").rglob("month=2024-03")}
+    assert before
+    upsert.store(spark.createDataFrame([(1, "5m", at("2024-05-02T13:00"), 1.0, 2.0, 0.5, 1.0, None, 10)], CANDLES), path)
+    assert sorted(p.name for p in (tmp_path / "candles" / "timeframe=5m").iterdir()) == ["month=2024-03", "month=2024-05"] and len(list(tmp_path.iterdir())) == 1
+    upsert.remove(spark, f"{path}/timeframe=5m/month=2024-05")
+    with pytest.raises(ValueError, match="stored"):
+        upsert.store(spark.createDataFrame([candle(0, tf="1h")], CANDLES), path)
+    upsert.store(new.limit(0), path)
     for _ in range(2):
         upsert.store(new, path)
         got = {(r.timeframe, r.ts.minute): (r.close, r.adj_close) for r in spark.read.parquet(path).collect()}
@@ -98,7 +107,7 @@ def test_deactivate_and_run_states_and_ids(spark):
     got = {r.ticker: (r.active, r.changed) for r in upsert.deactivate(s, s).collect()}
     assert got == {"A": (False, True), "B": (False, False)}
     events = spark.createDataFrame([(1, 1, "running"), (1, 2, "ok")], "id long, seq long, status string")
-    assert upsert.run_states(events).first().status == "ok"
+    assert runs.run_states(events).first().status == "ok"
     known = spark.createDataFrame([(4,)], "id long")
     assert upsert.with_ids(s.withColumn("id", F.lit(None).cast("long")), known).orderBy("ticker").select("id").collect()[0].id == 5
 
@@ -124,6 +133,78 @@ def test_json_bodies_tell_open_from_closed_windows(spark):
     ends = [("A", "2024-03-11 10:00:00"), ("B", "2024-03-11 12:00:00"), ("C", "2024-03-11 12:00:01")]
     pages = spark.createDataFrame(ends, "symbol string, until string").select("*", *[F.array(F.lit(1)).alias(c) for c in ("ts", "o", "h", "l", "c", "v")])
     got = read.json_bodies(pages, now="2024-03-11 12:00:00", end=F.col("until"))
-    assert {r.symbol: r.closed for r in got.collect()} == {"A": True, "B": True, "C": False} and got.columns == ["symbol", "body", "etag", "closed"]
+    assert {r.symbol: r.closed for r in got.collect()} == {"A": True, "B": True, "C": False} and got.columns == ["symbol", "body", "etag", "closed", "cache_control"]
     assert not any(r.closed for r in read.json_bodies(pages, now="2024-03-11 12:00:00", end="2024-03-12 00:00:00").collect())
     assert read.json_bodies(pages).columns == ["symbol", "body", "etag"]
+
+
+def test_lookup_and_job_symbols(spark):
+    s = spark.createDataFrame([(1, "ABCD3", "stock", True), (2, "WIN", "future", True), (3, "ZZZZ3", "stock", False)], "id long, ticker string, kind string, tracked boolean")
+    assert universe.symbol_of(s, " abcd3 ").first().id == 1
+    with pytest.raises(LookupError):
+        universe.symbol_of(s, "NONE3")
+    assert [r.ticker for r in universe.listing(s).collect()] == ["ABCD3", "WIN", "ZZZZ3"] and universe.listing(s, tracked=True).count() == 2
+    assert [r.ticker for r in universe.resolve(s).collect()] == ["ABCD3"] and universe.resolve(s, "zzzz3, WIN").count() == 2
+    for bad, error in ((" , ", ValueError), ("ABCD3,QQQQ3", LookupError)):
+        with pytest.raises(error):
+            universe.resolve(s, bad)
+    with pytest.raises(LookupError):
+        universe.resolve(s.where("id = 3"))
+    assert universe.enrichable(s, False).count() == 0 and [r.id for r in universe.enrichable(s, True).orderBy("id").collect()] == [1, 3]
+    candles = spark.createDataFrame([candle(0), candle(1, symbol=3)], CANDLES)
+    assert [r.symbol for r in universe.candles_of(candles, s, "ZZZZ3").collect()] == ["ZZZZ3"]
+
+
+def test_request_parameters():
+    day = dt.date(2024, 1, 2)
+    assert params.whole_number(None, "limit", 7) == 7 and params.whole_number(" 12 ", "limit", 7) == 12
+    assert params.day("", "from", day) == day and params.day("2024-02-29", "from", day) == dt.date(2024, 2, 29)
+    assert params.moment("2024-03-11T10:00:00-03:00", "cursor") == at("2024-03-11T13:00") and params.moment(" ", "cursor") is None
+    assert params.in_order(day, day) == (day, day)
+    for f in (lambda: params.whole_number("0", "limit", 1), lambda: params.whole_number("1.5", "limit", 1), lambda: params.day("2024-2-9", "from", day), lambda: params.day("20240209xx", "from", day), lambda: params.moment("2024-03-11 10:00:00", "cursor"), lambda: params.moment("2024-03-11T10:00:00", "cursor"), lambda: params.in_order(day, dt.date(2024, 1, 1))):
+        with pytest.raises(ValueError):
+            f()
+
+
+def test_runs_open_close_and_list(spark):
+    chunks = spark.createDataFrame([(1, "5m", dt.date(2024, 1, 1), dt.date(2024, 1, 5)), (2, "5m", dt.date(2024, 1, 1), dt.date(2024, 1, 5)), (3, "5m", dt.date(2024, 1, 1), dt.date(2024, 1, 5))], "symbol_id long, timeframe string, range_start date, range_end date")
+    begun = runs.opened(chunks, "2024-01-06 10:00:00", spark.createDataFrame([(40,)], "id long"))
+    assert {r.status for r in runs.run_states(begun).collect()} == {"running"} and [r.id for r in begun.orderBy("id").collect()] == [41, 42, 43]
+    results = spark.createDataFrame([(1, "5m", dt.date(2024, 1, 1), 1 << 40, 2, None, None), (2, "5m", dt.date(2024, 1, 1), 0, 0, None, None), (3, "5m", dt.date(2024, 1, 1), 0, 0, "denied", 403)], "symbol_id long, timeframe string, range_start date, bars long, rejected long, error string, http_status int")
+    now = runs.run_states(begun.unionByName(runs.closed(begun, results, "2024-01-06 10:00:02.25"))).cache()
+    assert {r.id: (r.status, r.bars, r.error, r.http_status, r.duration_ms) for r in now.collect()} == {41: ("ok", (1 << 31) - 1, None, None, 2250), 42: ("empty", 0, None, None, 2250), 43: ("failed", 0, "denied", 403, 2250)}
+    assert [r.id for r in runs.history(now, 3, "5m", 5).collect()] == [43] and [r.id for r in runs.recent_failures(now, "2024-01-06 10:00:00", 5).collect()] == [43]
+    used = spark.createDataFrame([(dt.date(2024, 1, 3), 5), (dt.date(2024, 2, 3), 7)], "day date, requests long")
+    assert runs.usage_total(used, "2024-01-01", "2024-01-31", 50).first() == (5, 10.0) and runs.usage_total(used, "2025-01-01", "2025-01-31").first().requests == 0
+
+
+def test_backfill_requests_and_chunks(spark):
+    (w,) = ingest.backfill_windows(spark, "5m", "2024-01-02", "2024-01-30", "2024-03-01").collect()
+    assert (w.range, w.keep_from, w.keep_to) == ("3mo", at("2024-01-02T03:00"), at("2024-01-31T03:00"))
+    assert ingest.backfill_windows(spark, "1d", "2022-01-02", "2024-01-30", "2024-03-01").count() == 3 and ingest.backfill_windows(spark, "1d", "2022-01-02", "2024-01-30", "2024-03-01", token="5y").count() == 1
+    for bad in (("1h", "2024-01-02", "2024-01-30"), ("5m", "2024-01-30", "2024-01-02")):
+        with pytest.raises(ValueError):
+            ingest.backfill_windows(spark, *bad, "2024-03-01")
+    with pytest.raises(ValueError):
+        ingest.backfill_windows(spark, "5m", "2024-01-02", "2024-01-30", "2024-03-01", token="1mo")
+    from candlespark.functions import calendar as C
+
+    sessions = C.sessions(spark, "2024-03-01", "2024-03-29")
+    symbols = spark.createDataFrame([(1, "PETR4"), (2, "VALE3"), (3, "MGLU3"), (4, "XXXX3")], "symbol_id long, ticker string")
+    plan = ingest.sync_plan(symbols, sessions, "5m", "2024-03-12", 2, has_token=False)
+    day = dt.date(2024, 3, 11)
+    rows = [(s, day, at(t), 10.0, 11.0, 9.0, low, None, 1, 0) for s, t, low in ((1, "2024-03-11T13:00", 10.0), (1, "2024-03-08T13:00", 10.0), (1, "2024-03-11T13:05", 99.0), (2, "2024-03-08T13:00", 10.0), (3, "2024-03-11T13:00", 10.0))]
+    bars = spark.createDataFrame(rows, "symbol_id long, w_start date, ts timestamp_ntz, open double, high double, low double, close double, adj_close double, volume long, ordinal long")
+    errors = spark.createDataFrame([(3, day, "answered 500", 500)], "symbol_id long, w_start date, error string, http_status int")
+    kept, rejected, results = ingest.run_chunks(plan, bars, errors, sessions, "5m")
+    assert {r.symbol_id: (r.status, r.bars, r.rejected) for r in results.collect()} == {1: ("ok", 1, 1), 2: ("empty", 0, 0), 3: ("failed", 0, 0)}
+    assert kept.count() == 1 and rejected.count() == 1
+    counts = ingest.plan_counts(plan, False, results).first()
+    assert (counts.symbols, counts.requests, counts.unreachable, counts.bars, counts.empty, counts.failed) == (4, 3, 1, 1, 1, 1)
+    assert {r.status: (r.tickers, r["first"]) for r in ingest.first_of(results, "status", 1).collect()}["failed"] == (1, ["MGLU3"])
+
+
+def test_rejection_sample_is_the_first_three_in_time(spark):
+    rows = [("A", at(f"2024-03-11T13:0{m}"), k, f"r{m}{k}") for m in (3, 1, 2) for k in (2, 1)]
+    (r,) = ingest.rejection_sample(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, ordinal long, reject_reason string")).collect()
+    assert r.rejected == 6 and r.reasons == ["2024-03-11T13:01:00Z: r11", "2024-03-11T13:01:00Z: r12", "2024-03-11T13:02:00Z: r21"]
