@@ -7,13 +7,14 @@ texts at ASCII white space and asks the library only for words that it has not m
 
 from __future__ import annotations
 
+import os
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 #: Words kept per task process; the memo is emptied when it is full, which costs time but changes no result.
 MEMO_WORDS = 300_000
-#: ASCII marks that may end a word: between a letter and a run of these there is always a token boundary
-#: (the apostrophe is left out, as it can start a contraction).
+#: ASCII marks that may end a word and be encoded apart (the apostrophe is left out, as it can start a contraction).
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -24,57 +25,60 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def byte_letters() -> dict[int, str]:
-    """The byte-level pre-tokenizer's rule: printable Latin-1 bytes stand for themselves, the others for the
-    code points from 256 on, in order."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    rest = iter(range(256, 512))
-    return {b: chr(b if b in own else next(rest)) for b in range(256)}
+def folded(text: bytes) -> bytes:
+    """``text`` with A-Z in lower case, so that fewer words are distinct, where that can't change its ids: it holds no
+    special token, and is in normal form before and after, as the normaliser composes before it lowers (an H with a
+    macron below stays two characters, an h with one becomes one)."""
+    if b"<|" in text:
+        return text
+    low = text.lower()
+    if low is text or text.isascii():
+        return low
+    whole = unicodedata.is_normalized("NFC", text.decode()) and unicodedata.is_normalized("NFC", low.decode())
+    return low if whole else text
 
 
 class WordEncoder:
     """Maps words (bytes without ASCII white space) to ``pack(ids)`` through a bounded memo; ``join`` adds up
-    the packed values of a word's parts."""
+    the packed values of a word's two parts. All ids come from the library."""
 
     def __init__(self, path: str, pack: Callable, join: Callable):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self._tok, self._pack, self._join = Tokenizer.from_file(path), pack, join
-        self._model, self._letters, self.memo = self._tok.model, byte_letters(), {}
-
-    def _ids(self, word: bytes) -> list[int]:
-        """Plain Latin words go to the library's merge model at once (below U+0300 every character is its own
-        normal form); all others take the library's whole path."""
-        s = word.decode("utf-8")
-        if s.isascii() and s.isalpha():
-            return [t.id for t in self._model.tokenize(s.lower())]
-        if s.isalpha() and max(s) < "ɐ" and "İ" not in s:
-            return [t.id for t in self._model.tokenize(s.lower().encode().decode("latin-1").translate(self._letters))]
-        return self._tok.encode(s, add_special_tokens=False).ids
+        self._tok, self._pack, self._join, self.memo = Tokenizer.from_file(path), pack, join, {}
+
+    @staticmethod
+    def cut(word: bytes) -> int:
+        """Where a trailing run of marks begins that can be encoded apart, or 0: only after an ASCII digit or a letter
+        below U+0250 that is still one letter in lower case, and not in words that may hold a special token. Between
+        such a character and ASCII marks the pre-tokenizer always cuts, and nothing composes across."""
+        stem = word.rstrip(MARKS)
+        if len(stem) == len(word) or not stem or b"<|" in word:
+            return 0
+        last = stem[-1:] if stem[-1] < 128 else stem[-2:]
+        if len(last) == 2 and not 0xC3 <= last[0] <= 0xC8 or last == "\u0130".encode():
+            return 0
+        return len(stem) if last.isdigit() or last.decode("utf-8", "replace").isalpha() else 0
 
     def learn(self, words: Iterable[bytes]) -> None:
-        """Puts words into the memo. Case and a trailing run of marks are split off first, except in words that
-        may hold a special token."""
-        memo, ids, pack = self.memo, self._ids, self._pack
-        for w in words:
-            if w in memo:
-                continue
-            if b"<|" not in w:
-                stem = w.rstrip(MARKS)
-                if len(stem) < len(w) and stem and stem.decode("utf-8")[-1].isalpha():
-                    tail = w[len(stem) :]
-                    for part in (stem, tail):
-                        if part not in memo:
-                            memo[part] = pack(ids(part))
-                    memo[w] = self._join((memo[stem], memo[tail]))
-                    continue
-            memo[w] = pack(ids(w))
+        """Puts words into the memo, each distinct part through the library once."""
+        memo = self.memo
+        asked = [w for w in words if w not in memo]
+        cuts = [self.cut(w) for w in asked]
+        parts = {p for w, c in zip(asked, cuts) for p in ((w[:c], w[c:]) if c else (w,))}
+        parts = [p for p in parts if p not in memo]
+        for part, found in zip(parts, self._tok.encode_batch_fast([p.decode("utf-8") for p in parts], add_special_tokens=False)):
+            memo[part] = self._pack(found.ids)
+        for w, c in zip(asked, cuts):
+            if c:
+                memo[w] = self._join((memo[w[:c]], memo[w[c:]]))
 
     def encode(self, texts: Iterable[bytes]) -> Iterator[list]:
         """For each text the packed values of its words, in order."""
         memo = self.memo
         for text in texts:
-            words = (text if b"<|" in text else text.lower()).split()  # lower: ASCII letters only
+            words = folded(text).split()
             try:
                 yield list(map(memo.__getitem__, words))
                 continue

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ def library():
     return Tokenizer.from_file(tokenize.tokenizer_path())
 
 
-ODD = ["a<|endoftext|>b. <|startoftext|>x", "<|ENDOFTEXT|> <|EndOfText|>", "it's, DON'T' '' ,,a.b.. A.", "É, ß. á. ́, x y, z\x1cq. \x85.", "İx ΣΑΣ. ǅa, ΌΔΟΣ, ª. ſ 12½ ７", "x" * 5000 + "!!", "日本語 テスト。 한국어 🎉🎉", ""]
+ODD = ["a<|endoftext|>b. <|startoftext|>x", "<|ENDOFTEXT|> <|EndOfText|>", "it's, DON'T' '' ,,a.b.. A.", "É, ß. á. ́, x y, z\x1cq. \x85.", "İx ΣΑΣ. ǅa, ΌΔΟΣ, ª. ſ 12½ ７", "x" * 5000 + "!!", "日本語 テスト。 한국어 🎉🎉", "BELEDİYESİ. İ. SERİ, x TESTİ! İ", "H\u0331. h\u0331, AH\u0331a", ""]
 
 
 def test_words_one_by_one_give_the_librarys_ids(library):
@@ -22,6 +23,16 @@ def test_words_one_by_one_give_the_librarys_ids(library):
         assert got == library.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_equal_the_librarys_on_strings_of_letters_marks_and_combining_characters(library):
+    rng = random.Random(5)
+    letters = [chr(i) for i in range(0x370)] + list("İİıſKÅ'\"!.,-#<=>|0123456789 \n\tΣςßẞⅠ٣") + ["<|endoftext|>", "<|", "'s", "'LL", "İ.", "\u0338", "\u0307"]
+    odd = ["".join(rng.choices(letters, k=rng.randrange(1, 14))) for _ in range(20_000)]
+    odd += ["".join(rng.choices("aHIİi\u0307\u0331\u0327Éé.,=<1 ", k=rng.randrange(1, 8))) for _ in range(20_000)]
+    encoder = tokenize.id_encoder(tokenize.tokenizer_path())
+    wrong = [t for t, words, want in zip(odd, encoder.encode(t.encode() for t in odd), library.encode_batch(odd, add_special_tokens=False)) if np.frombuffer(b"".join(words), dtype="<u4").tolist() != want.ids]
+    assert not wrong
+
+
 def test_memo_may_overflow(monkeypatch, library):
     monkeypatch.setattr(tokenize, "MEMO_WORDS", 10)
     e = tokenize.WordEncoder(tokenize.tokenizer_path(), len, sum)
