@@ -9,8 +9,10 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest side, in rows of a few longs, that is ever broadcast by hand; larger sides take a shuffled join.
-BROADCAST_ROWS = 500_000
+#: Largest side, in bytes of its rows, that is ever broadcast by hand; larger sides take a shuffled join.
+BROADCAST_BYTES = 32 << 20
+#: Most keys that ``spread_join`` takes for hot, which bounds what it broadcasts.
+HOT_KEYS = 10_000
 #: Links that one task of the union-find takes, so that few links don't make many small files.
 TASK_EDGES = 50_000
 
@@ -21,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir). Where that is unset, a local session (one machine, as in
+    tests) takes a temporary one, and any other is refused, as executors wouldn't see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="candlespark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -40,10 +45,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows stay under ``bound``, else as it is."""
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row in a broadcast table, about: 8 a column, 32 a text or binary (digests, keys), and 24 for the row."""
+    return 24 + sum(32 if f.dataType.simpleString() in ("string", "binary") else 8 for f in df.schema.fields)
+
+
+def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (of numbers, digests and keys) marked for broadcast if its counted rows times their bytes stay under
+    ``bound``, else as it is."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= bound else df
+    return F.broadcast(df) if n * row_bytes(df) <= bound else df
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` joined with ``facts`` (one row a key; ``weight``: how many rows have it), where no task gets all rows of
+    a frequent key: keys with more than one in HOT_KEYS of all rows, of which there can't be more than HOT_KEYS, are looked
+    up in a broadcast table, the others join by shuffling. ``rows`` are read twice."""
+    facts = cut(facts)
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    often = F.col(weight) > max(total // HOT_KEYS, 1)
+    hot = F.broadcast(facts.where(often))
+    rest = rows.join(F.broadcast(facts.where(often).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(facts.where(~often), key)).drop(weight)
+
+
+def salted_join(rows: DataFrame, wide: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with ``wide`` (one row a key, too wide to broadcast), where no task gets all rows of a frequent
+    key: such a key's rows are dealt by ``by`` to several parts, and its wide row is copied to each; these copies are at
+    most twice HOT_KEYS. ``rows`` are read twice."""
+    counts = cut(rows.groupBy(key).agg(F.count("*").alias("_m")))
+    part = max((counts.agg(F.sum("_m")).first()[0] or 0) // HOT_KEYS, 1)
+    hot = F.broadcast(counts.where(F.col("_m") > part).select(key, F.ceil(F.col("_m") / F.lit(part)).cast("int").alias("_parts")))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = wide.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
 
 
 def slices(batches: Iterable, rows: int = 500) -> Iterator:

@@ -3,8 +3,12 @@
 Every document becomes ids plus an end mark. Overlong documents are first cut into full windows; what is left
 of every document (shorter than a window) is packed by best-fit decreasing: pieces in falling length, each
 put into the open window with the least room that still holds it, found in a segment tree over remaining
-capacities. Tokenising, cutting and checksums happen in one pass over the texts, so only small piece rows are
-shuffled; packing runs per shard of a few ten thousand pieces, whose number follows the table's row count.
+capacities. Tokenising, cutting and checksums happen in one pass over the texts, whose small piece rows are kept in
+the shared folder. Full windows are sequences as they are and go nowhere; only what is left of a document, at most one
+piece each, is shuffled and packed, per shard of about ``SHARD_ROWS`` pieces, whose number follows the table's rows.
+
+Which shard a piece goes to hangs on its place in its file split, so that repeated rows spread too; another layout of
+the files gives other sequences, as full as these.
 
 Defined cases: null text packs as empty (one end mark); a null doc_id stays null; repeated rows are packed
 once per row; an empty table gives no rows; further input columns are ignored, so clashing names don't matter.
@@ -18,13 +22,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import slices, text_of
+from candlespark.llm.common import cut, slices, text_of
 from candlespark.llm.tokenize import id_encoder, tokenizer_path
 
 WINDOW = 4096
 END_ID = 2
 #: Rows of documents that one shard packs, about; a shard leaves a handful of windows open at its end.
 SHARD_ROWS = 20_000
+#: Sequence ids of full windows begin here; shards number theirs below.
+FULL = 1 << 62
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard int, ids binary"
 
@@ -32,7 +38,7 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pieces(docs: DataFrame, shards: int, path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: whole windows of overlong documents, then the rest of each document."""
 
-    def cut(batches: Iterator) -> Iterator:
+    def divide(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         encoder, end = id_encoder(path), end_id.to_bytes(4, "little")
@@ -61,7 +67,7 @@ def pieces(docs: DataFrame, shards: int, path: str, window: int = WINDOW, end_id
 
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     schema = pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in PIECE.split(", "))])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(cut, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(divide, PIECE)
 
 
 class RoomTree:
@@ -123,7 +129,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     """
     path = path or tokenizer_path()
     shards = max(1, -(-docs.count() // shard_rows))
-    found = pieces(docs, shards, path, window, end_id, with_ids)
+    found = cut(pieces(docs, shards, path, window, end_id, with_ids))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded", *["ids"] * with_ids]
     kinds = ["long"] * 7 + ["int", *["binary"] * with_ids]
 
@@ -134,12 +140,16 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
         where, offset = best_fit_decreasing(pdf["length"].tolist(), window)
         filled = np.bincount(where, weights=pdf["length"].to_numpy()).astype(np.int64)
         filled = np.where(filled & (filled - 1) == 0, filled, window)
-        pdf["sequence_id"] = np.asarray(where, dtype=np.int64) + (int(key[0]) << 32)
+        pdf["sequence_id"] = np.asarray(where, dtype=np.int64) + (int(key[0]) << 32)  # below FULL
         pdf["offset"] = np.asarray(offset, dtype=np.int64)
         pdf["padded"] = filled[where].astype(np.int32)
         return pdf[names]
 
-    return found.groupBy("shard").applyInPandas(place, ", ".join(map(" ".join, zip(names, kinds))))
+    schema = ", ".join(map(" ".join, zip(names, kinds)))
+    full = found.where(F.col("length") == window).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(FULL))
+    full = full.withColumn("offset", F.lit(0).cast("long")).withColumn("padded", F.lit(window))
+    rest = found.where(F.col("length") < window).groupBy("shard").applyInPandas(place, schema)
+    return rest.unionByName(full.select(names))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
