@@ -5,6 +5,12 @@ the version is a digest of the vocabulary file's bytes, so counts of several voc
 are joined to the cache; only the distinct missing contents are encoded, once each, and appended. Then the
 documents, carried as digests without their texts, are joined to the cache again.
 
+Texts aren't shuffled to find the distinct ones: digests are counted, and each content is encoded where its document
+of smallest doc_id is read; which documents to leave out (those with a repeated content) is looked up, in a broadcast
+table while that is small, else by a shuffled join. A content that comes without doc_id is encoded as often as it
+comes, and so are rows equal in doc_id and content; the cache stores each once. In the last join contents that many
+documents share are looked up in a bounded broadcast table.
+
 Normalising collapses runs of ASCII white space to one blank and trims them, which the word-level tokenizer
 does itself before it splits; so texts of equal digest have equal counts.
 
@@ -22,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import scratch_path, slices, table, text_of
+from candlespark.llm.common import cut, scratch_path, slices, small, spread_join, table, text_of
 from candlespark.llm.tokenize import count_encoder, tokenizer_path
 
 LIMIT = 2048
@@ -80,13 +86,17 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer: str = "word_bpe_49
     path = tokenizer_path(tokenizer)
     version = version_of(path)
     text = docs.select(F.col("doc_id"), text_of().alias("text")).withColumn("digest", digest_of(F.col("text")))
-    missing = text.join(read_cache(spark, cache_path, version), "digest", "left_anti")
-    distinct = missing.select("digest", "text").dropDuplicates(["digest"])
-    encode_counts(distinct, path, version).write.mode("append").parquet(cache_path)
-    light = text.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    return light.join(read_cache(spark, cache_path, version), "digest").select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
+    light = cut(text.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"))
+    uses = cut(light.groupBy("digest").agg(F.count("*").alias("uses"), F.min("doc_id").alias("first")))
+    known = read_cache(spark, cache_path, version)
+    if known.isEmpty():  # a new cache: every content is a miss, and only repeated ones have rows to leave out
+        chosen = text.join(small(uses.where("uses > 1").select("digest", "first")), "digest", "left").where("first IS NULL OR doc_id <=> first")
+    else:
+        missing = cut(uses.join(known.select("digest"), "digest", "left_anti").select("digest", "first"))
+        chosen = text.join(small(missing), "digest").where("first IS NULL OR doc_id <=> first")
+    encode_counts(chosen, path, version).groupBy("digest", "version").agg(F.min("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache_path)
+    facts = uses.select("digest", "uses").join(read_cache(spark, cache_path, version), "digest")
+    return spread_join(light, facts, "digest", "uses").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
