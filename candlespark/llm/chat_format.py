@@ -29,7 +29,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import cut, slices, table
+from candlespark.llm.common import cut, salted_join, slices, spread_join, table
 from candlespark.llm.tokenize import tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -160,7 +160,9 @@ def prefix_tree(leaves: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     nodes = cut(where.mapInArrow(unfold, "leaf long, root long, node long, parent long, depth int, start long, position long, length long, shared boolean"))
     own = nodes.where("NOT shared")
-    shared = nodes.where("shared").select("leaf", "node", "depth", "length").join(own.select("node", "start"), "node")
+    shared = nodes.where("shared").select("leaf", "node", "depth", "length")
+    used = shared.groupBy("node").agg(F.count("*").alias("m")).join(own.select("node", "start"), "node")
+    shared = spread_join(shared, used, "node", "m")
     span = F.struct("depth", "start", (F.col("start") + F.col("length")).alias("end"))
     spans = shared.select("leaf", span.alias("span")).unionByName(own.select("leaf", span.alias("span")))
     spans = spans.groupBy("leaf").agg(F.sort_array(F.collect_list("span")).alias("spans"))
@@ -179,7 +181,7 @@ def read_back(tree: DataFrame, paths: DataFrame, vocabulary: str = VOCABULARY) -
     """Conversations decoded from a tree's nodes along ``paths(leaf, path)``: leaf, n_turns, turns_sha256,
     loss_chars, loss_sha256, formatted_chars."""
     steps = paths.select("leaf", F.posexplode("path").alias("depth", "node"))
-    found = steps.join(tree.select("node", "ids", "loss_from", "loss_to"), "node")
+    found = salted_join(steps, tree.select("node", "ids", "loss_from", "loss_to"), "node", "leaf")
     found = found.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "ids", "loss_from", "loss_to"))).alias("nodes"))
 
     def run(batches: Iterator) -> Iterator:

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import components, cut, slices, small, table
+from candlespark.llm.common import components, cut, slices, small, spread_join, table
 from candlespark.llm.ngram_join import unfolded
 from candlespark.llm.shingles import BASE, STEP, _tables, mix, powers
 
@@ -322,8 +322,8 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS, size: int = SHINGLE, p
     at = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "dk", "place")
     rows = lines.select("line", "dk", "doc_id", "place").join(small(merged), "line", "left")
     rows = rows.select(F.coalesce("component", "line").alias("group"), "dk", "place", at.alias("at"))
-    owners = rows.groupBy("group").agg(F.min("at").alias("owner"), F.count("*").alias("lines")).where("lines > 1").select("group", "owner")
-    gone = rows.join(owners, "group").where("at <> owner").select("dk", "place").distinct()
+    owners = rows.groupBy("group").agg(F.min("at").alias("owner"), F.count("*").alias("lines")).where("lines > 1")
+    gone = spread_join(rows, owners, "group", "lines").where("at <> owner").select("dk", "place").distinct()
     return gone.groupBy("dk").agg(F.sort_array(F.collect_list("place")).alias("gone"))
 
 
@@ -335,7 +335,8 @@ def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
     keyed = plain.withColumn("dk", F.xxhash64(doc_id, text))
     gone = removals(keyed.where(text.isNotNull()).select("dk", doc_id.cast("long").alias("doc_id"), text.alias("text")), **parameters)
     parts = F.split(text, "\n", -1)
-    left = F.array_join(F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))  # by hashing, in order
+    left = F.array_join(F.transform(stay, lambda i: F.element_at(parts, i + 1)), "\n")
     text_now = F.when(F.col("gone").isNull(), text).otherwise(left)
     columns = [text_now if c == "text" else F.col(f"c{i}") for i, c in enumerate(own)]
     lines, places = F.coalesce(F.size(parts), F.lit(0)), F.coalesce("gone", F.array().cast("array<int>"))

@@ -27,16 +27,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import components, cut, slices, small, table, text_of
+from candlespark.llm.common import components, cut, slices, small, spread_join, table, text_of
 from candlespark.llm.shingles import mix, set_signature, shingle_sets
 
 SIZE = 5
 PERCENT = 80
 #: Min-hashes per set that propose stars, and how many must agree before a star is verified.
 KEYS, AGREE = 16, 10
-#: Documents in the sample that finds common columns, and the most columns kept as common. They only set the
-#: columns' order, that is the speed; the result is the same under any order.
-SAMPLE_DOCS, COMMON = 32_768, 500_000
+#: Documents in the sample that finds common columns (so many at least, and one in SAMPLE_PART of all), and the most
+#: columns kept as common. They only set the columns' order, that is the speed; the result is the same under any order.
+SAMPLE_DOCS, SAMPLE_PART, COMMON = 32_768, 256, 500_000
 COMMON_FROM = 3
 
 
@@ -85,8 +85,9 @@ def common_columns(docs: DataFrame, size: int):
     import numpy as np
 
     n = docs.count()
-    if n > SAMPLE_DOCS:
-        docs = docs.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_DOCS / n))
+    sample = max(SAMPLE_DOCS, n // SAMPLE_PART)
+    if n > sample:
+        docs = docs.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000_000)) < int(1_000_000_000 * sample / n))
 
     def unfold(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -303,9 +304,9 @@ def grouped(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
 
 def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
-    rows = grouped(docs, size, percent)
-    least = rows.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
-    found = rows.where("group IS NOT NULL").join(least, "group").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    rows = cut(grouped(docs, size, percent))
+    least = rows.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
+    found = spread_join(rows.where("group IS NOT NULL"), least, "group", "m").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     empty = rows.where("group IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(empty)
 
@@ -318,8 +319,8 @@ def first_of_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     doc_id, text = F.col(f"c{own.index('doc_id')}"), F.coalesce(F.col(f"c{own.index('text')}"), F.lit(""))
     rows = cut(grouped(plain.select(doc_id.cast("long").alias("doc_id"), text.alias("text")), size, percent))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")
-    owners = rows.where("group IS NOT NULL").groupBy("group").agg(F.min(rank).alias("owner"))
-    gone = rows.join(owners, "group").where(F.col("key") != F.col("owner")["key"]).select("key").distinct()
+    owners = rows.where("group IS NOT NULL").groupBy("group").agg(F.min(rank).alias("owner"), F.count("*").alias("m"))
+    gone = spread_join(rows, owners.where("m > 1"), "group", "m").where(F.col("key") != F.col("owner")["key"]).select("key").distinct()
     repeated = rows.where("group IS NOT NULL").groupBy("key").count().where("count > 1").select("key")
     kept = plain.withColumn("key", F.xxhash64(doc_id.cast("long"), text)).join(small(cut(gone)), "key", "left_anti")
     repeated = small(cut(repeated))
