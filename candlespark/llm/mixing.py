@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import small, table, text_of
+from candlespark.llm.common import cut, small, table, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -96,13 +96,18 @@ def position(u: Column, stretches: Column) -> Column:
 
 
 def assign(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MAX_REPEATS, times=TIMES, courses=COURSES) -> DataFrame:
-    """``docs`` with size, source_size, target, copies (times taken) and positions (array, one per copy)."""
-    rows = keyed(docs)
+    """doc_id and source of ``docs(doc_id, source, text, ...)``, with size, source_size, target, copies (times taken)
+    and positions (array, one per copy). Other columns are left out, whatever their names."""
+    return placed(keyed(docs.select("doc_id", "source", "text")).drop("text"), weights, share, most, times, courses)
+
+
+def placed(rows: DataFrame, weights, share, most, times, courses) -> DataFrame:
+    """``assign`` over rows that ``keyed`` has made; further columns are carried along."""
     sums = rows.groupBy(K, B).agg(F.sum(S).alias("bucket_size"))
     per_source = targets(sums.groupBy(K).agg(F.sum("bucket_size").alias("source_size")), weights, share, most)
     before = Window.partitionBy(K).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
     buckets = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).drop("bucket_size")
-    buckets = small(buckets.join(F.broadcast(per_source), K))
+    buckets = small(cut(buckets.join(small(cut(per_source)), K)))
     within = Window.partitionBy(K, B).orderBy(D, "doc_id", S).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_mix_start", F.coalesce(F.sum(S).over(within), F.lit(0))).join(buckets, [K, B])
     middle = F.col("bucket_start") + F.col("_mix_start") + F.col(S) / F.lit(2)
@@ -121,7 +126,8 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
     plain = docs.toDF(*[f"c{i}" for i in range(len(own))])  # clashing names
     named = plain.withColumn("doc_id", plain[f"c{own.index('doc_id')}"]).withColumn("source", plain[f"c{own.index('source')}"])
     named = named.withColumn("text", plain[f"c{own.index('text')}"]).drop(f"c{own.index('text')}")
-    taken = assign(named, **parameters).where("copies > 0")
+    known = {"weights": WEIGHTS, "share": SHARE, "most": MAX_REPEATS, "times": TIMES, "courses": COURSES} | parameters
+    taken = placed(keyed(named), **known).where("copies > 0")
     columns = ["text" if c == "text" else f"c{i}" for i, c in enumerate(own)]
     out = taken.select(*columns, F.explode("positions").alias("position"))
     out = out.repartitionByRange(F.col("position"), F.col(f"c{own.index('doc_id')}")).sortWithinPartitions("position", f"c{own.index('doc_id')}")

@@ -24,8 +24,8 @@ def water_filling(sizes, weights, share, most):
 
 def test_mixing(spark):
     rows = texts()
-    docs = frame(spark, rows).drop("size", "target", "position", "copies")
-    got = mixing.assign(docs.select("doc_id", "source", "text")).collect()
+    docs = frame(spark, rows)  # with columns named size, target, position and copies
+    got = mixing.assign(docs).collect()
     assert len(got) == len(rows)
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sources = sorted({s for _, _, s in rows if s is not None}) + [None]
@@ -37,7 +37,7 @@ def test_mixing(spark):
         taken = sum(r.size * r.copies for r in own)
         assert abs(taken - target) <= max([r.size for r in own]) / 2 + 1 or target >= 2 * total
         assert all(len(r.positions) == r.copies <= 2 and all(0 <= p <= 1 for p in r.positions) for r in own)
-    again = mixing.assign(docs.select("doc_id", "source", "text").repartition(7)).collect()
+    again = mixing.assign(docs.repartition(7)).collect()
     key = lambda rs: sorted((str(r.doc_id), r.size, r.copies, r.positions) for r in rs)
     assert [x[:3] for x in key(got)] == [x[:3] for x in key(again)]
     mixed = mixing.mix(frame(spark, rows))
