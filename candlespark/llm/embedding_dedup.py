@@ -2,18 +2,21 @@
 
 Unit vectors are projected on many random lines. In each round the vectors are sorted by one projection inside
 cells of a coarse code (signs of a few further projections, their number growing with the logarithm of the row
-count, so that cells keep their size), and every vector is paired with those in the window centred on it. For
-such a pair the window collisions over all projections are counted; a pair whose count passes a threshold
-calibrated so that true links pass is verified by its cosine in double precision.
+count, so that cells keep their size), and every vector is paired with those in the window centred on it. The
+collisions of a pair are counted over all rounds; a pair whose count passes a threshold is verified by its cosine in
+double precision. Rounds are calibrated to the threshold, so that a true link passes it.
+
+A round shuffles a cell, a value and an id per vector, and an id pair per collision, so the bytes a vector grow with the
+number of rounds (42 for 50 thousand vectors, 205 for a thousand million), not with its square.
 
 Equal vectors are one class and take part once. A cell beyond ``TILE`` rows (a group of near copies) is split into
-tiles of row groups against row groups, so no task holds more than two groups, and no pair is lost. A pair is
-reported only in the first round in which it meets.
+tiles of row groups against row groups, so no task holds more than two groups, and no pair is lost. In a group of near
+copies every pair is a link, and is counted in each round in which it meets.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and
-are components of their own; vectors of different length never link; every row counts as a vector of its own,
-repeated rows too; a row with null vec_id links with nothing and has a null component, not kept; an empty table
-gives no rows; further columns are ignored.
+are components of their own; vectors of different length never link; vectors of more than 65,535 components are
+refused; every row counts as a vector of its own, repeated rows too; a row with null vec_id links with nothing and has
+a null component, not kept; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,31 +27,34 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import components, cut, slices, small, table
+from candlespark.llm.common import components, cut, slices, small, spread_join, table
 
 COSINE = 0.95
-#: Rows that a cell holds on average, rows beyond which a cell is split, and the chance to miss a link.
-CELL, TILE, MISS = 64, 2_000, 2e-4
+#: Rows that a cell holds on average, rows beyond which a cell is split, collisions of a candidate, and the chance to
+#: miss a link.
+CELL, TILE, LEAST, MISS = 8, 2_000, 2, 2e-4
 SEED = 20_240_101
-#: Fixed-point scale of the projections that rows carry, and the window's slack for its rounding.
-SCALE, SLACK = 2_048, 2
+#: Window slack for values that rows carry in single precision.
+SLACK = 1e-5
 
 
-def at_least(n: int, p: float, least: int) -> float:
-    """Chance of ``least`` or more successes in ``n`` trials."""
-    return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least, n + 1))
+def below(n: int, p: float, least: int) -> float:
+    """Chance of fewer than ``least`` successes in ``n`` trials."""
+    return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least))
 
 
-def plan(rows: int, cosine: float = COSINE) -> tuple[int, int, float, int]:
-    """Rounds, bits per cell, half window and least collision count for ``rows`` vectors."""
+def plan(rows: int, cosine: float = COSINE) -> tuple[int, int, float]:
+    """Rounds, bits per cell and half window for ``rows`` vectors. Rounds are independent, and in each a link at
+    ``cosine`` has the same code and lies in the window with a chance that is known; links beyond it meet more often."""
     distance = math.sqrt(2 - 2 * cosine)
     half = 2 * distance
     inside = math.erf(half / distance / math.sqrt(2))
     bits = max(0, round(math.log2(max(rows, 1) / CELL)))
     meets = (1 - math.acos(cosine) / math.pi) ** bits * inside
-    rounds = max(16, math.ceil(math.log(MISS) / math.log(1 - meets)))
-    least = max(k for k in range(rounds + 1) if at_least(rounds, inside, k) >= 1 - MISS)
-    return rounds, bits, half, least
+    rounds = LEAST
+    while below(rounds, meets, LEAST) > MISS:
+        rounds += 1
+    return rounds, bits, half
 
 
 def usable(v: Column) -> Column:
@@ -57,71 +63,70 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & whole & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def units(vectors: list):
-    """Unit vectors in double precision of equally long vectors."""
+def by_length(column) -> Iterator:
+    """An Arrow column of vectors as (row numbers, matrix) per vector length, out of its flat buffer."""
+    import numpy as np
+
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    starts = np.cumsum(lengths) - lengths
+    for size in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == size)
+        yield own, flat[starts[own][:, None] + np.arange(size)]
+
+
+def units(x):
+    """Unit vectors in double precision of the rows of a matrix."""
     import numpy as np
 
-    x = np.array(vectors, dtype=np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def projected(classes: DataFrame, rounds: int, bits: int) -> DataFrame:
-    """``classes(id, v)`` to a row per round: round, cell, value, id, and all codes and projections, packed."""
+    """``classes(id, v)`` to a row per round: cell (code, round and vector length in one number), value and id."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in slices(batches):
-            ids, vectors = batch.column("id").to_numpy(), batch.column("v").to_pylist()
-            sizes = np.fromiter(map(len, vectors), dtype=np.int64, count=len(vectors))
-            for size in np.unique(sizes).tolist():
-                own = np.flatnonzero(sizes == size)
+            ids = batch.column("id").to_numpy()
+            for own, x in by_length(batch.column("v")):
+                size = x.shape[1]
+                if size >= 1 << 16:
+                    raise ValueError(f"a vector of {size} components is too long")
                 rng = np.random.default_rng([SEED, size])
                 lines, planes = rng.standard_normal((size, rounds)), rng.standard_normal((size, rounds * bits))
-                u = units([vectors[i] for i in own])
-                values = u @ lines
+                u = units(x)
                 signs = (u @ planes > 0).reshape(len(own), rounds, bits)
-                codes = (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int64) if bits else np.zeros((len(own), rounds), dtype=np.int64)
-                codes = codes * 65_537 + size
-                fixed = np.clip(np.round(values * SCALE), -32_000, 32_000).astype(np.int16)
-                n = len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.tile(np.arange(rounds, dtype=np.int32), n)),
-                        pa.array(codes.ravel()),
-                        pa.array(values.ravel()),
-                        pa.array(np.repeat(ids[own], rounds)),
-                        pa.array([c.tobytes() for c in codes for _ in range(rounds)], pa.binary()),
-                        pa.array([f.tobytes() for f in fixed for _ in range(rounds)], pa.binary()),
-                    ],
-                    names=["round", "cell", "value", "id", "codes", "fixed"],
-                )
-
-    return classes.select("id", "v").mapInArrow(run, "round int, cell long, value double, id long, codes binary, fixed binary")
-
-
-def collisions(rows: DataFrame, rounds: int, half: float, least: int) -> DataFrame:
-    """Pairs (a, b) that meet in a window and collide in ``least`` windows or more."""
-    counts = rows.groupBy("round", "cell").count().where(F.col("count") > TILE)
-    hot = small(cut(counts.select("round", "cell", F.ceil(F.col("count") / F.lit(TILE)).cast("int").alias("groups"))))
-    rows = rows.join(hot, ["round", "cell"], "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+                codes = signs @ (1 << np.arange(bits, dtype=np.int64))
+                cells = (codes << 28) + (np.arange(rounds) << 16) + size
+                values = (u @ lines).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(values.ravel()), pa.array(np.repeat(ids[own], rounds))], names=["cell", "value", "id"])
+
+    return classes.select("id", "v").mapInArrow(run, "cell long, value float, id long")
+
+
+def collisions(rows: DataFrame, half: float) -> DataFrame:
+    """Pairs (a, b) of ids whose windows collide in LEAST rounds or more."""
+    counts = rows.groupBy("cell").count().where(F.col("count") > TILE)
+    hot = small(cut(counts.select("cell", F.ceil(F.col("count") / F.lit(TILE)).cast("int").alias("groups"))))
+    rows = rows.join(hot, "cell", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    tile = ["round", "cell", "low", "high"]
     rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    fields = [*tile, "own", "value", "id", "codes", "fixed"]
+    tile = ["cell", "low", "high"]
+    fields = [*tile, "own", "value", "id"]
 
-    def meet(group, round_, diagonal, own, value, ids, codes, fixed):
+    def meet(group, diagonal, own, value, ids) -> Iterator:
+        """Ids of all pairs of a group that lie in one another's window, some hundred thousand at a time."""
         import numpy as np
 
-        out = []
-        place = value + group * 1e3
+        place = value.astype(np.float64) + group * 1e3
         order = np.argsort(place, kind="stable")
         place = place[order]
-        upto = np.searchsorted(place, place + half + (SLACK + 1) / SCALE, side="right")  # every round that counts as met
-        more = upto - np.arange(len(place)) - 1
+        more = np.searchsorted(place, place + half + SLACK, side="right") - np.arange(len(place)) - 1
         begin = 0
         while begin < len(place):
             end = int(np.searchsorted(np.cumsum(more[begin:]), 400_000)) + begin + 1
@@ -130,27 +135,19 @@ def collisions(rows: DataFrame, rounds: int, half: float, least: int) -> DataFra
             i, j = order[i], order[j]
             begin = end
             cross = diagonal[i] | (own[i] != own[j])
-            i, j = i[cross], j[cross]
-            inside = np.abs(fixed[i].astype(np.int32) - fixed[j]) <= half * SCALE + SLACK
-            good = inside.sum(axis=1) >= least
-            i, j, inside = i[good], j[good], inside[good]
-            met = (codes[i] == codes[j]) & inside
-            first = met.argmax(axis=1) == round_[i]
-            i, j = i[first], j[first]
-            out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
-        return np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
+            i, j = ids[i[cross]], ids[j[cross]]
+            yield np.minimum(i, j), np.maximum(i, j)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         def work(part):
-            cols = {c: part.column(c) for c in fields}
-            key = np.stack([cols[c].to_numpy().astype(np.int64) for c in tile], axis=1)
+            cols = {c: part.column(c).to_numpy() for c in fields}
+            key = np.stack([cols[c].astype(np.int64) for c in tile], axis=1)
             new = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
-            packed = lambda c, kind: np.frombuffer(b"".join(cols[c].to_pylist()), dtype=kind).reshape(-1, rounds)
-            pairs = meet(np.cumsum(new) - 1.0, key[:, 0], key[:, 2] == key[:, 3], cols["own"].to_numpy(), cols["value"].to_numpy(), cols["id"].to_numpy(), packed("codes", np.int64), packed("fixed", np.int16))
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            for a, b in meet(np.cumsum(new) - 1.0, key[:, 1] == key[:, 2], cols["own"], cols["value"], cols["id"]):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         rest = None
         for batch in batches:
@@ -160,29 +157,34 @@ def collisions(rows: DataFrame, rounds: int, half: float, least: int) -> DataFra
             key = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in tile], axis=1)
             last = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
             if last:
-                yield work(whole.slice(0, last))
+                yield from work(whole.slice(0, last))
             rest = whole.slice(last)
         if rest is not None:
-            yield work(rest)
+            yield from work(rest)
 
     dealt = rows.select(*fields).repartition(*tile).sortWithinPartitions(*tile)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    met = dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("met"))
+    return met.where(F.col("met") >= LEAST).select("a", "b")
 
 
 def links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
     """``vectors(vec_id, embedding)`` to classes (id, v, name, copies) of equal vectors and links (a, b) between them."""
-    classes = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").alias("v"))
+    classes = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     classes = classes.groupBy("v").agg(F.min("vec_id").alias("name"), F.count("*").alias("copies"))
-    classes = cut(classes.withColumn("id", F.xxhash64("v")))
-    rounds, bits, half, least = plan(classes.count(), cosine)
-    pairs = collisions(projected(classes, rounds, bits), rounds, half, least)
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))  # kept, so the numbers stay as they are
+    n = classes.count()
+    rounds, bits, half = plan(n, cosine)
+    pairs = collisions(projected(classes, rounds, bits), half)
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         for batch in slices(batches, 2_000):
-            x, y = units(batch.column("x").to_pylist()), units(batch.column("y").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((x * y).sum(axis=1) >= cosine))
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for (own, x), (_, y) in zip(by_length(batch.column("x")), by_length(batch.column("y"))):
+                keep[own] = (units(x) * units(y)).sum(axis=1) >= cosine
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     both = pairs.join(classes.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(classes.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
     return classes, cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
@@ -195,11 +197,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     both = linked.union(linked.select("b", "a"))
     counts = both.join(copies.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("linked"))
     facts = classes.join(counts, "id", "left").join(components(linked), "id", "left")
-    facts = facts.select("v", "name", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("root"))
+    facts = facts.select("v", "name", "copies", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("root"))
     facts = facts.join(facts.groupBy("root").agg(F.min("name").alias("component_id")), "root").drop("root", "name")
     ok = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
-    rows = vectors.select("vec_id", F.when(ok, F.col("embedding")).alias("v"))
-    out = rows.where("v IS NOT NULL").join(facts, "v").select("vec_id", "n_links", "component_id")
+    rows = vectors.select("vec_id", F.when(ok, F.col("embedding").cast("array<double>")).alias("v"))
+    out = spread_join(rows.where("v IS NOT NULL"), facts, "v", "copies").select("vec_id", "n_links", "component_id")
     alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
