@@ -10,8 +10,8 @@ Fingerprints are compared by Jaccard, pruned by length: sets can't be more alike
 longer. ``near_documents`` deals sets out by length class and signature, so only sets of near lengths meet.
 
 Defined cases: null text is empty; texts without any word have an empty fingerprint, and two empty ones are alike
-by 1, an empty and another by 0; null doc_id comes after all others in the order of documents; equal doc_ids are
-ordered by a digest of the text; of a single document the next is itself; an empty table gives no rows; further
+by 1, an empty and another by 0; null doc_id comes after all others in the order of documents; equal and null doc_ids
+are ordered by a digest of the text; of a single document the next is itself; an empty table gives no rows; further
 columns are ignored.
 """
 
@@ -26,8 +26,9 @@ from candlespark.llm.common import components, cut, table, text_of
 ANCHORS = "the a is was of to der die das ist ein und le la les est et un el los es y que de".split()
 SKIPPED = "in on at by for with that this be are as or it mit von zu den im auf en du des dans pour par con por se al".split()
 CHAIN_MARK = ">"
-#: Documents per block of the order of documents, about, and the most blocks and quantile cells.
-BLOCK, BLOCKS, CELLS = 2_000, 20_000, 64
+#: Documents per block of the order of documents, about (more only beyond BLOCK * BLOCKS, 600 million, documents), the
+#: most blocks, and quantile cells.
+BLOCK, BLOCKS, CELLS = 2_000, 300_000, 128
 #: Classes beyond which the comparison under a signature is split into tiles.
 TILE = 2_000
 
@@ -69,39 +70,58 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(high == 0, F.lit(1.0)).when((low == 0) | (low < F.lit(least) * high), F.lit(0.0)).otherwise(exact)
 
 
-def blocks(docs: DataFrame) -> Column:
-    """A block number that rises with ``k`` (a long): cells between quantiles, each cut evenly into blocks of about
-    BLOCK rows. Only the quantiles, a bounded list, come to the driver."""
-    facts = docs.agg(F.count("*").alias("n"), F.percentile_approx("k", [i / CELLS for i in range(CELLS + 1)], 10_000).alias("q")).first()
-    if not facts["n"]:
-        return F.lit(0).cast("long")
-    per_cell = max(1, min(BLOCKS, -(-facts["n"] // BLOCK)) // CELLS)
-    knots = sorted(set(facts["q"]))
-    cell = F.greatest(F.size(F.filter(F.array(*[F.lit(q) for q in knots]), lambda q: q <= F.col("k"))) - 1, F.lit(0))
-    starts, widths = F.array(*[F.lit(q) for q in knots]), F.array(*[F.lit(max(1, -(-(b - a) // per_cell))) for a, b in zip(knots, [*knots[1:], knots[-1] + 1])])
-    inside = F.greatest((F.col("k") - F.element_at(starts, cell + 1)) / F.element_at(widths, cell + 1), F.lit(0.0))
-    return cell.cast("long") * per_cell + F.least(F.floor(inside), F.lit(per_cell - 1))
+def blocks(keys: DataFrame) -> tuple[Column, int]:
+    """A block number that rises with (``k``, ``h``), longs, null ``k`` last; and the number of blocks.
+
+    The keys are cut at quantiles, and each piece evenly into blocks of about BLOCK rows. A key that holds so many rows
+    that it is several quantiles, and the rows without one, are cut by ``h``, a digest. Only the quantiles, a bounded
+    list, come to the driver.
+    """
+    knots = F.percentile_approx("k", [i / CELLS for i in range(CELLS + 1)], 100 * CELLS)
+    facts = keys.agg(F.count("k").alias("n"), F.count_if(F.col("k").isNull()).alias("nulls"), knots.alias("q")).first()
+    per_cell = max(1, -(-min(BLOCKS, -(-facts["n"] // BLOCK)) // CELLS)) if facts["n"] > BLOCK else 1
+    known, pieces, base = sorted(facts["q"] or []), [], 0  # pieces: first key, width of a block (0: cut by h), first block, blocks
+    for q, after in zip(sorted(set(known)), [*sorted(set(known))[1:], None]):
+        times = known.count(q)
+        if times > 1:
+            pieces.append((q, 0, base, (times - 1) * per_cell))
+            base += (times - 1) * per_cell
+        begin = q + 1 if times > 1 else q
+        if after is not None and begin < after:
+            pieces.append((begin, -(-(after - begin) // per_cell), base, per_cell))
+            base += per_cell
+        elif after is None and times == 1:
+            pieces.append((begin, 1, base, 1))
+            base += 1
+    for_nulls = max(1, min(BLOCKS, -(-facts["nulls"] // BLOCK)))
+    by_h = lambda n: F.least(F.greatest(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * n), F.lit(0)), n - 1)
+    null_block = F.lit(base).cast("long") + by_h(F.lit(for_nulls).cast("long"))
+    if not pieces:
+        return null_block, base + for_nulls
+    row = lambda p: F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip(("first", "width", "base", "n"), p)])
+    piece = F.element_at(F.filter(F.array(*map(row, pieces)), lambda p: p["first"] <= F.greatest(F.col("k"), F.lit(pieces[0][0]))), -1)
+    inside = lambda p: F.when(p["width"] == 0, by_h(p["n"])).otherwise(F.least(F.floor(F.greatest(F.col("k") - p["first"], F.lit(0)) / p["width"]), p["n"] - 1))
+    return F.when(F.col("k").isNull(), null_block).otherwise(once(piece, lambda p: p["base"] + inside(p))), base + for_nulls
 
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """``docs(doc_id, text, ...)`` with next_<c> for the ``carried`` columns of the document after it by doc_id
     (after the last: the first). Texts are shuffled once, by block; a block's first document is sent to the block
-    before it too."""
-    last = (1 << 63) - 1
-    rows = docs.withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(last))).withColumn("h", F.xxhash64("text"))
-    rows = rows.withColumn("block", blocks(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("k"))))
-    heads = rows.groupBy("block").agg(F.min(F.struct("k", "h")).alias("head"))
+    before it too. The blocks' first keys are broadcast: at most 2 * BLOCKS + CELLS rows of six numbers, 40 MB."""
+    rows = docs.withColumn("k", F.col("doc_id").cast("long")).withColumn("h", F.xxhash64("text"))
+    keys = docs.select(F.col("doc_id").cast("long").alias("k"))
+    rows = rows.withColumn("block", blocks(keys)[0]).withColumn("z", F.col("k").isNull())
+    heads = rows.groupBy("block").agg(F.min(F.struct("z", "k", "h")).alias("head"))
     order, all_of = Window.orderBy("block"), Window.partitionBy()
     heads = heads.withColumn("to", F.coalesce(F.lag("block").over(order), F.max("block").over(all_of)))
-    heads = heads.withColumn("wraps", F.col("block") == F.min("block").over(all_of))
-    rows = rows.join(F.broadcast(heads), "block")  # at most BLOCKS rows
+    rows = rows.join(F.broadcast(heads), "block")
     here = F.struct(F.col("block").alias("at"), F.lit(False).alias("extra"))
     there = F.struct(F.col("to").alias("at"), F.lit(True).alias("extra"))
-    is_head = (F.col("k") == F.col("head")["k"]) & (F.col("h") == F.col("head")["h"])
+    is_head = F.struct("z", "k", "h").eqNullSafe(F.col("head"))
     rows = rows.withColumn("place", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here)))).select("*", "place.at", "place.extra")
-    after = Window.partitionBy("at").orderBy("extra", "k", "h")
+    after = Window.partitionBy("at").orderBy("extra", "z", "k", "h")
     rows = rows.select("*", *[F.lead(c).over(after).alias(f"next_{c}") for c in carried]).where("NOT extra")
-    return rows.drop("k", "h", "block", "head", "to", "wraps", "place", "at", "extra")
+    return rows.drop("k", "h", "z", "block", "head", "to", "place", "at", "extra")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -157,7 +177,12 @@ def near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def edited_fingerprints(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: n_chars, the edited text's digest, both fingerprints, and the likenesses."""
+    docs = docs.select("doc_id", text_of().alias("text"))
     rows = with_next(docs.withColumn("signatures", spot_signatures(F.col("text"))), ["text", "signatures"])
     n = F.char_length("text")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("moved", F.floor(n / F.lit(4)).cast("int"))

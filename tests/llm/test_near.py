@@ -1,7 +1,12 @@
+import hashlib
+import os
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from candlespark.llm import common, embedding_dedup, fingerprints, line_dedup, ngram_join, shingles
@@ -149,18 +154,32 @@ def test_embedding_links_against_brute_force(spark, monkeypatch, tile):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_pair_in_the_slack_of_its_first_round_is_found(spark):
-    values, half = {1: (0.0, 0.0), 2: (0.5005, 0.1)}, 0.5  # round 0 is met by rounded projections only
-    packed = lambda v: np.round(np.array(v) * embedding_dedup.SCALE).astype(np.int16).tobytes()
-    rows = [(r, 7, v[r], i, np.array([7, 7], dtype=np.int64).tobytes(), packed(v)) for i, v in values.items() for r in range(2)]
-    df = spark.createDataFrame(rows, "round int, cell long, value double, id long, codes binary, fixed binary")
-    assert [tuple(r) for r in embedding_dedup.collisions(df, 2, half, 1).collect()] == [(1, 2)]
+def test_collisions_are_counted_over_rounds(spark):
+    rows = [(1, 0.0, 5), (1, 0.4, 6), (2, 0.0, 5), (2, 0.5, 6), (2, 1.2, 7), (3, 0.0, 5), (3, 0.1, 7)]  # 5 and 6 meet twice, 5 and 7 once
+    df = spark.createDataFrame(rows, "cell long, value float, id long")
+    assert [tuple(r) for r in embedding_dedup.collisions(df, 0.5).collect()] == [(5, 6)]
 
 
 def test_collision_plan_keeps_the_chance_to_miss_low():
     for n in (0, 1, 1_000, 10**6, 10**9):
-        rounds, bits, half, least = embedding_dedup.plan(n)
-        assert rounds >= 16 and least <= rounds and n / 2**bits < 200
+        rounds, bits, half = embedding_dedup.plan(n)
+        assert embedding_dedup.LEAST <= rounds < 256 and n / 2**bits < 20
+
+
+def test_planted_links_just_above_the_threshold_are_found(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((50_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((4_000, 32))
+    side -= (side * x[:4_000]).sum(1, keepdims=True) * x[:4_000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.9501, 0.96, (4_000, 1))
+    near = c * x[:4_000] + np.sqrt(1 - c * c) * side
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(54_000), "embedding": [v.tolist() for v in np.concatenate([x, near])]}), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(df).where("vec_id >= 50000").collect()}
+    found = sum(got[50_000 + i] == i for i in range(4_000))
+    print("planted links found", found)
+    assert found >= 3_994  # 0.8 lost ones are expected
 
 
 def test_fingerprints(spark):
@@ -175,6 +194,72 @@ def test_fingerprints(spark):
     assert fingerprints.near_documents(empty(spark)).count() == 0
 
 
+def spots(text):
+    """The rule of the signatures, over words instead of hashes."""
+    words = [w for w in regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).split(" ") if w and w not in fingerprints.SKIPPED]
+    chain, out = "", []
+    for w in words:
+        if w in fingerprints.ANCHORS:
+            chain += w + ">"
+        else:
+            out.append((chain, w))
+            chain = ""
+    if chain:
+        out.append((chain, ""))
+    after = [w for _, w in out[1:]] + [""]
+    return {("*", w, n) for (_, w), n in zip(out, after)} | {(c, w, n) for (c, w), n in zip(out, after) if c}
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def expected_edits(rows):
+    """op6's result for (doc_id, text) rows in order."""
+    out = []
+    for (d, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        moved = len(text) // 4
+        edited = text[: len(text) - moved] + following[:moved]
+        out.append((d, len(text), hashlib.sha256(edited.encode()).hexdigest(), alike(spots(text), spots(edited)), alike(spots(text), spots(following))))
+    return out
+
+
+@pytest.mark.parametrize("block", [2_000, 3])
+def test_edited_fingerprints_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
+    rows = sorted((d, t or "") for d, t, _ in texts() if d is not None and d != 7 and "İ" not in (t or ""))  # one order, and one rule of lower case
+    rows = [(d * (10**9 if d > 40 else 1), t) for d, t in rows] + [(None, "at the end of all, a text without id")]
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, k long, block string").repartition(5)).collect()}
+    assert len(got) == len(rows)
+    for d, n, sha, edited, following in expected_edits(rows):
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256) == (n, sha) and abs(r.near_edited - edited) < 1e-9 and abs(r.near_next - following) < 1e-9
+
+
+def test_rows_without_id_and_of_one_id_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK", 10)
+    monkeypatch.setattr(fingerprints, "CELLS", 8)
+    rows = [(None, f"null {i}") for i in range(300)] + [(5, f"five {i}") for i in range(300)] + [(i, f"own {i}") for i in range(300)]
+    keys = spark.createDataFrame(rows, "k long, text string").withColumn("h", F.xxhash64("text"))
+    column, most = fingerprints.blocks(keys)
+    sizes = [r["count"] for r in keys.groupBy(column.alias("b")).count().collect()]
+    assert max(sizes) < 60 and len(sizes) <= most
+    ordered = [tuple(r) for r in keys.select(column.alias("b"), F.col("k").isNull().alias("z"), "k", "h").orderBy("z", "k", "h").collect()]
+    assert [r[0] for r in ordered] == sorted(r[0] for r in ordered)
+    got = fingerprints.edited_fingerprints(keys.select(F.col("k").alias("doc_id"), "text")).collect()
+    assert len(got) == 900
+
+
+def test_edits_equal_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the driver's tables")
+    sql = f"""SELECT doc_id, length(t) AS n_chars, sha256(substr(t, 1, CAST(length(t) - length(t) // 4 AS BIGINT)) || substr(n, 1, CAST(length(t) // 4 AS BIGINT))) AS edited_sha256
+      FROM (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first(coalesce(text, '')) OVER (ORDER BY doc_id)) AS n FROM '{folder}/documents.parquet')"""
+    want = sorted(duckdb.sql(sql).fetchall())
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.op6_fingerprints(spark, folder).collect()) == want
+
+
 def test_fingerprints_have_no_border_of_length(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("bcfghjkmnprtvw") for _ in range(6))
