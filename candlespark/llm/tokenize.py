@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 #: Words kept per task process; the memo is emptied when it is full, which costs time but changes no result.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 700_000
 #: ASCII marks that may end a word and be encoded apart (the apostrophe is left out, as it can start a contraction).
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
