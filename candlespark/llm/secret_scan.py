@@ -132,15 +132,17 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     groups, known = F.array(*map(F.lit, GROUPS)), F.array(*map(F.lit, WORDS))
     invented = lambda salt: F.array_join(F.transform(F.sequence(F.lit(1), 2 + pick(salt, 3)), lambda i: F.element_at(groups, F.pmod(F.xxhash64(F.lit(salt), "id", i), F.lit(len(GROUPS))).cast("int") + 1)), "")
     common = lambda salt: F.element_at(known, pick(salt, len(WORDS)) + 1)
-    word = lambda salt: F.when(pick(salt + "?", 2) == 0, common(salt)).otherwise(invented(salt))
+    parts = {salt: F.when(pick(salt + "?", 2) == 0, common(salt)).otherwise(invented(salt)) for salt in ("pa", "pb", "pc", "pd", "nb")}
+    packed = F.regexp_replace(F.base64(F.unhex(seed("b"))), "[=]", "")
+    numbers = F.concat(F.regexp_replace(seed("d"), "[^0-9]", ""), F.regexp_replace(seed("e"), "[^0-9]", ""))
+    # what the rules below name many times is worked out once
+    base = cut(spark.range(n).select("id", packed.alias("dense"), F.regexp_replace(packed, "[^A-Za-z0-9]", "").alias("plain"), numbers.alias("digits"), *[seed(k).alias(f"sha_{k}") for k in "acu"], *[w.alias(k) for k, w in parts.items()]))
+    dense, plain, digits, word, hexed = F.col("dense"), F.col("plain"), F.col("digits"), F.col, lambda k: F.col(f"sha_{k}")
     title = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 99))
-    dense = F.regexp_replace(F.base64(F.unhex(seed("b"))), "[=]", "")
-    plain = F.regexp_replace(dense, "[^A-Za-z0-9]", "")
-    digits = F.concat(F.regexp_replace(seed("d"), "[^0-9]", ""), F.regexp_replace(seed("e"), "[^0-9]", ""))
     some = lambda salt, a, b: F.substring(digits, F.lit(1) + pick(salt + "@", 8), F.lit(a) + pick(salt, b - a + 1))
     mark = lambda salt: one_of(salt, ["!", "$", "%", "#", "~", ":", "*", "&", "?"])
     tokens = one_of("s", [
-        F.substring(seed("a"), F.lit(1), 16 + pick("l", 25)), F.substring(seed("a"), 1, 40), F.upper(F.substring(seed("a"), 1, 40)), F.substring(dense, F.lit(1), 20 + pick("m", 20)), F.substring(plain, F.lit(1), 16 + pick("m", 20)),
+        F.substring(hexed("a"), F.lit(1), 16 + pick("l", 25)), F.substring(hexed("a"), 1, 40), F.upper(F.substring(hexed("a"), 1, 40)), F.substring(dense, F.lit(1), 20 + pick("m", 20)), F.substring(plain, F.lit(1), 16 + pick("m", 20)),
         F.concat(F.lit("AKIA"), F.upper(F.substring(plain, 1, 16))), F.concat(one_of("pre", ["ghp_", "sk-", "glpat-", "xoxb-", "AIza"]), F.substring(plain, F.lit(1), 20 + pick("m", 17))),
     ])
     chosen = one_of("p", [
@@ -150,7 +152,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         F.concat(mark("mb"), F.substring(plain, F.lit(1), 6 + pick("n", 8)), mark("mc")),
     ])
     announced = pick("kind", 5) < 2
-    secret = F.when(announced, chosen).otherwise(tokens)
+    base = cut(base.withColumn("secret", F.when(announced, chosen).otherwise(tokens)))
+    secret = F.col("secret")
     setting = one_of("t", ['token = "', "password=", "api_key: ", "secret='", "TOKEN = \"", "auth: ", "Bearer ", "access key ", "export API_TOKEN=", "SECRET_KEY='", "private_key: \"", "credentials: "])
     password = one_of("y", ['password = "', "password: '", "passwd=", "pwd: ", 'secret = "', "token: ", "api_key=", 'passphrase: "', "DB_PASSWORD=", "\"password\": \"", "pass_phrase => '"])
     setting = F.when(announced, F.when(secret.contains(" "), one_of("z", ['password = "', "secret: '", 'passphrase: "'])).otherwise(password)).otherwise(setting)
@@ -159,18 +162,19 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         some("c", 12, 19), F.concat_ws(".", some("i", 1, 3), some("j", 1, 3), some("k", 1, 3), some("l", 1, 3)), F.concat_ws("-", some("i", 3, 4), some("j", 3, 4), some("k", 4, 4), some("l", 4, 4)), F.concat(F.lit("+"), some("c", 11, 13)),
         F.concat(word("pa"), one_of("sep", [".", "_", ""]), some("n", 1, 4), F.lit("@"), word("pb"), one_of("dom", [".", "-"]), word("pc"), one_of("tld", [".com", ".org", ".net", ".de", ".fr", ".es"])),
         F.concat(one_of("root", ["/usr/", "/home/", "./", "https://www.", "src/", "lib/"]), word("pa"), F.lit("/"), word("pb"), some("n", 1, 2), one_of("ext", [".html", ".py", ".png", "/", ".js", ""])),
-        F.concat(word("pa"), F.lit("_"), word("pb"), F.lit("_"), some("n", 1, 3)), F.concat(word("pa"), F.lit("-"), word("pb"), F.lit("-"), some("n", 1, 3), F.lit("."), some("m", 1, 2), one_of("ext", [".tar.gz", "", ".zip", ".whl"])), F.substring(seed("c"), 1, 40), F.substring(seed("c"), 1, 64),
-        F.concat_ws("-", F.substring(seed("u"), 1, 8), F.substring(seed("u"), 9, 4), F.substring(seed("u"), 13, 4), F.substring(seed("u"), 17, 4), F.substring(seed("u"), 21, 12)),
+        F.concat(word("pa"), F.lit("_"), word("pb"), F.lit("_"), some("n", 1, 3)), F.concat(word("pa"), F.lit("-"), word("pb"), F.lit("-"), some("n", 1, 3), F.lit("."), some("m", 1, 2), one_of("ext", [".tar.gz", "", ".zip", ".whl"])), F.substring(hexed("c"), 1, 40), F.substring(hexed("c"), 1, 64),
+        F.concat_ws("-", F.substring(hexed("u"), 1, 8), F.substring(hexed("u"), 9, 4), F.substring(hexed("u"), 13, 4), F.substring(hexed("u"), 17, 4), F.substring(hexed("u"), 21, 12)),
         F.concat(F.lit("20"), some("n", 2, 2), F.lit("-0"), some("m", 1, 1), F.lit("-1"), some("k", 1, 1), F.lit("T1")), F.concat(F.lit("000000"), F.repeat(some("n", 1, 1), 12)), F.concat(title(word("pa")), title(word("pb")), title(word("pc")), some("n", 1, 2)),
     ])
     told = one_of("e", [F.concat(F.lit("${"), word("pa"), F.lit("}")), F.concat(F.lit("<"), word("pa"), F.lit(">")), F.lit("********"), F.lit("xxxxxxxx"), F.concat(F.lit("your-"), word("pa"), F.lit("-here")), F.concat(F.lit("os.environ['"), F.upper(word("pa"))), F.concat(F.lit("{{ "), word("pa"), F.lit(" }}")), *PLACEHOLDERS.split("|")[:30]])
     by_name = F.concat(title(word("pb")), word("pc"))
     is_name = pick("i", 4) == 0
-    other = F.when(announced, F.when(is_name, by_name).otherwise(told)).otherwise(other)
+    base = cut(base.withColumn("other", F.when(announced, F.when(is_name, by_name).otherwise(told)).otherwise(other)))
+    other = F.col("other")
     around = F.when(other.rlike("^[0-9a-f-]{36,64}$"), one_of("v", ["commit ", "sha1: ", "md5 ", "uuid=", "etag: ", "sha256:", "checksum ", "id: "])).otherwise(one_of("x", [F.concat(word("nb"), F.lit(" ")), F.concat(word("nb"), F.lit(", ")), "= ", "to: ", "(", F.concat(word("nb"), F.lit(": ")), F.concat(word("nb"), F.lit("=\"")), "see ", "from "]))
     around = F.when(announced, F.when(is_name, one_of("j", ["author: ", "authors: ", "authority: ", "accessed: "])).otherwise(password)).otherwise(around)
     good = F.pmod("id", F.lit(2)) == 0
-    rows = spark.range(n).select("id", F.when(good, secret).otherwise(other).alias("value"), F.when(good, setting).otherwise(around).alias("before"), good.cast("double").alias("label"))
+    rows = base.select("id", F.when(good, secret).otherwise(other).alias("value"), F.when(good, setting).otherwise(around).alias("before"), good.cast("double").alias("label"))
     return rows.withColumn("after", F.when(F.col("before").endswith('"'), F.lit('" ')).when(F.col("before").endswith("'"), F.lit("' ")).otherwise(one_of("w", [" and ", "\n", ", ", "", ") "])))
 
 
@@ -178,7 +182,8 @@ def train(findings: DataFrame, words: DataFrame | None = None):
     """A random forest fitted on ``findings(id, value, before, after, label)``, with a dictionary (by default the fixed
     words, so that the forest doesn't hang on the documents it is used on)."""
     words = dictionary(findings.sparkSession) if words is None else words
-    rows = with_letters(findings, words).select("label", *features(F.col("value"), F.col("before"), F.col("after")))
+    findings = with_letters(cut(findings), words)  # kept, so that no feature works the rules out again
+    rows = cut(findings.select("label", *features(F.col("value"), F.col("before"), F.col("after"))))
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="x"), forest]).fit(rows)
 
