@@ -108,7 +108,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 def dictionary(spark: SparkSession, docs: DataFrame | None = None, found: DataFrame | None = None, least: int = DICTIONARY_DOCS) -> DataFrame:
     """Words (word): the fixed ones, and the words inside ``found`` values that stand by themselves in ``least`` or more of
     all ``docs``. Every document counts; only words that are asked for leave the scan."""
-    fixed = spark.createDataFrame([(w,) for w in WORDS], "word string")
+    fixed = spark.range(1).select(F.explode(F.array(*map(F.lit, WORDS))).alias("word"))
     if docs is None:
         return fixed
     asked = cut(found.select(F.explode(pieces(F.col("value"))).alias("word")).distinct())
