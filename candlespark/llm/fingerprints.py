@@ -104,10 +104,11 @@ def blocks(keys: DataFrame) -> tuple[Column, int]:
     return F.when(F.col("k").isNull(), null_block).otherwise(once(piece, lambda p: p["base"] + inside(p))), base + for_nulls
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """``docs(doc_id, text, ...)`` with next_<c> for the ``carried`` columns of the document after it by doc_id
-    (after the last: the first). Texts are shuffled once, by block; a block's first document is sent to the block
-    before it too. The blocks' first keys are broadcast: at most 2 * BLOCKS + CELLS rows of six numbers, 40 MB."""
+def with_next(docs: DataFrame, carried: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+    """``docs(doc_id, text, ...)`` with ``derived`` columns, and next_<c> for the ``carried`` columns of the document
+    after it by doc_id (after the last: the first). Texts are shuffled once, by block, and derived columns are made
+    behind the shuffle, so they don't move; a block's first document is sent to the block before it too. The blocks'
+    first keys are broadcast: at most 2 * BLOCKS + CELLS rows of six numbers, 40 MB."""
     rows = docs.withColumn("k", F.col("doc_id").cast("long")).withColumn("h", F.xxhash64("text"))
     keys = docs.select(F.col("doc_id").cast("long").alias("k"))
     rows = rows.withColumn("block", blocks(keys)[0]).withColumn("z", F.col("k").isNull())
@@ -119,9 +120,10 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     there = F.struct(F.col("to").alias("at"), F.lit(True).alias("extra"))
     is_head = F.struct("z", "k", "h").eqNullSafe(F.col("head"))
     rows = rows.withColumn("place", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here)))).select("*", "place.at", "place.extra")
+    rows = rows.drop("block", "head", "to", "place").repartition("at").withColumns(derived or {})
     after = Window.partitionBy("at").orderBy("extra", "z", "k", "h")
     rows = rows.select("*", *[F.lead(c).over(after).alias(f"next_{c}") for c in carried]).where("NOT extra")
-    return rows.drop("k", "h", "z", "block", "head", "to", "place", "at", "extra")
+    return rows.drop("k", "h", "z", "at", "extra")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -183,7 +185,7 @@ def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: n_chars, the edited text's digest, both fingerprints, and the likenesses."""
     docs = docs.select("doc_id", text_of().alias("text"))
-    rows = with_next(docs.withColumn("signatures", spot_signatures(F.col("text"))), ["text", "signatures"])
+    rows = with_next(docs, ["text", "signatures"], {"signatures": spot_signatures(F.col("text"))})
     n = F.char_length("text")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("moved", F.floor(n / F.lit(4)).cast("int"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.col("moved")), F.substring(F.col("next_text"), F.lit(1), F.col("moved")))
