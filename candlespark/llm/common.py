@@ -57,7 +57,7 @@ def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_BYTES)
     return F.broadcast(df) if n * row_bytes(df) <= bound else df
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: str | list[str], weight: str) -> DataFrame:
     """``rows`` joined with ``facts`` (one row a key; ``weight``: how many rows have it), where no task gets all rows of
     a frequent key: keys with more than one in HOT_KEYS of all rows, of which there can't be more than HOT_KEYS, are looked
     up in a broadcast table, the others join by shuffling. ``rows`` are read twice."""

@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines are compared in a normal form (lower case, white space collapsed). Equal lines are found by a 64-bit
-digest; a distinct line also gets a MinHash signature of its character shingles, cut into bands, so that similar
+Lines are compared in a normal form (lower case, white space collapsed). Equal lines are found by a 96-bit
+digest, of which 64 bits are a line's identity among candidates; a distinct line also gets a MinHash signature of its character shingles, cut into bands, so that similar
 lines meet under some band key with high probability. Lines under one key are first each compared with one of them
 (a star), by the exact Jaccard of their shingle sets, and passed comparisons are merged by distributed union-find.
 Then all lines of a key that are still in different components are compared with each other, without a cap. Of every
@@ -21,6 +21,7 @@ gives no rows; other columns pass through.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -39,6 +40,7 @@ MIN_CHARS = 10
 CHUNK, SEEN = 100_000, 500_000
 #: Lines beyond which a key's comparison is split, bits of a set's map, and sets that a task remembers.
 TILE, BITS, SETS = 2_000, 1_024, 20_000
+LINE = struct.Struct("<qi")
 
 
 def normal(line: str) -> str:
@@ -46,9 +48,9 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def digest(line: str) -> int:
-    """Signed 64-bit digest of a line's normal form."""
-    return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)
+def digest(line: str) -> tuple[int, int]:
+    """Signed 64-bit digest of a line's normal form, and 32 further bits that tell lines of one such digest apart."""
+    return LINE.unpack(hashlib.blake2b(line.encode(), digest_size=12).digest())
 
 
 def windows(text: str, size: int):
@@ -96,37 +98,37 @@ def band_keys(lines: list[str], size: int):
 
 
 def line_table(docs: DataFrame, min_chars: int, size: int) -> DataFrame:
-    """``docs(dk, doc_id, text)`` to a row per compared line: line, dk, doc_id, place, keys (packed, or null
-    where this task has signed an equal line before)."""
+    """``docs(dk, doc_id, text)`` to a row per compared line: line, more (its digest), dk, doc_id, place, keys (packed,
+    or null where this task has signed an equal line before)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         seen: set[int] = set()
         for batch in slices(batches, 2_000):
-            columns: list[list] = [[], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], []]
             fresh, rows = [], []
             for dk, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("dk", "doc_id", "text"))):
                 for place, line in enumerate(text.split("\n")):
                     line = normal(line)
                     if len(line) < min_chars:
                         continue
-                    h = digest(line)
+                    h, more = digest(line)
                     if h not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(h)
                         fresh.append(line)
                         rows.append(len(columns[0]))
-                    for c, v in zip(columns, (h, dk, doc_id, place, None)):
+                    for c, v in zip(columns, (h, more, dk, doc_id, place, None)):
                         c.append(v)
             if fresh:
                 for row, keys in zip(rows, band_keys(fresh, size)):
-                    columns[4][row] = keys.tobytes()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["line", "dk", "doc_id", "place", "keys"])
+                    columns[5][row] = keys.tobytes()
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["line", "more", "dk", "doc_id", "place", "keys"])
 
-    return docs.mapInArrow(run, "line long, dk long, doc_id long, place int, keys binary")
+    return docs.mapInArrow(run, "line long, more int, dk long, doc_id long, place int, keys binary")
 
 
 def candidate_stars(lines: DataFrame) -> DataFrame:
@@ -182,7 +184,8 @@ def candidate_stars(lines: DataFrame) -> DataFrame:
 
 
 def contents(pairs: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
-    """(line, content) of the lines in ``pairs(a, b)``: their digests and normal forms."""
+    """(line, more, content) of the lines in ``pairs(a, b)``: their digests and normal forms. Should two lines have one
+    64-bit digest, one of them is taken; the other is no part of its component, as ``more`` tells."""
     asked = cut(pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct())
 
     def lines(batches: Iterator) -> Iterator:
@@ -195,9 +198,10 @@ def contents(pairs: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
                     line = normal(line)
                     if len(line) >= min_chars:
                         found[digest(line)] = line
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["line", "content"])
+            ids = [pa.array([d[i] for d in found], kind) for i, kind in enumerate((pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(list(found.values()), pa.string())], names=["line", "more", "content"])
 
-    return docs.select("text").mapInArrow(lines, "line long, content string").join(small(asked), "line", "left_semi").dropDuplicates(["line"])
+    return docs.select("text").mapInArrow(lines, "line long, more int, content string").join(small(asked), "line", "left_semi").dropDuplicates(["line"])
 
 
 def verified(pairs: DataFrame, content: DataFrame, size: int, percent: int) -> DataFrame:
@@ -252,7 +256,7 @@ def tile_links(sets: list, maps, part, comp, percent: int) -> list:
 def remaining(lines: DataFrame, merged: DataFrame, content: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between lines of different components of ``merged(line, component)`` that share a band key: every two
     of them are compared, or are linked through others. Lines that share a key with another one are in ``content``."""
-    asked = lines.where("keys IS NOT NULL").select("line", "keys").join(content.select("line"), "line", "left_semi").dropDuplicates(["line"])
+    asked = lines.where("keys IS NOT NULL").select("line", "keys").join(small(content.select("line")), "line", "left_semi").dropDuplicates(["line"])
     asked = cut(asked.join(small(merged), "line", "left").select("line", F.coalesce("component", "line").alias("component"), "keys"))
     keyed = unfolded(asked, "keys", "key").select("key", "line", "component")
     open_ = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -262,7 +266,7 @@ def remaining(lines: DataFrame, merged: DataFrame, content: DataFrame, size: int
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
     tile = ["key", "low", "high"]
-    rows = rows.join(content, "line").select(*tile, "part", "line", "component", "content")
+    rows = rows.join(content.drop("more"), "line").select(*tile, "part", "line", "component", "content")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -320,10 +324,13 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS, size: int = SHINGLE, p
     links = merged.where("line <> component").select(F.col("line").alias("a"), F.col("component").alias("b"))
     merged = cut(components(links.unionByName(remaining(lines, merged, content, size, percent))).withColumnRenamed("id", "line"))
     at = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "dk", "place")
-    rows = lines.select("line", "dk", "doc_id", "place").join(small(merged), "line", "left")
-    rows = rows.select(F.coalesce("component", "line").alias("group"), "dk", "place", at.alias("at"))
-    owners = rows.groupBy("group").agg(F.min("at").alias("owner"), F.count("*").alias("lines")).where("lines > 1")
-    gone = spread_join(rows, owners, "group", "lines").where("at <> owner").select("dk", "place").distinct()
+    merged = cut(merged.join(content.select("line", F.col("more").alias("own")), "line"))
+    rows = lines.select("line", "more", "dk", "doc_id", "place").join(small(merged), "line", "left")
+    alike = F.col("own").eqNullSafe(F.col("more"))  # lines of no component are known by all 96 bits
+    group = [F.when(alike, F.col("component")).otherwise(F.col("line")).alias("group"), F.when(~alike, F.col("more")).cast("long").alias("mark")]
+    rows = rows.select(*group, "dk", "place", at.alias("at")).fillna(1 << 32, ["mark"])
+    owners = rows.groupBy("group", "mark").agg(F.min("at").alias("owner"), F.count("*").alias("lines")).where("lines > 1")
+    gone = spread_join(rows, owners, ["group", "mark"], "lines").where("at <> owner").select("dk", "place").distinct()
     return gone.groupBy("dk").agg(F.sort_array(F.collect_list("place")).alias("gone"))
 
 
