@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import components, cut, table, text_of
+from candlespark.llm.common import components, cut, once, table, text_of
 
 #: Anchors, and frequent words that are neither anchors nor content (English, German, French, Spanish).
 ANCHORS = "the a is was of to der die das ist ein und le la les est et un el los es y que de".split()
@@ -33,11 +33,6 @@ BLOCK, BLOCKS, CELLS = 2_000, 300_000, 128
 TILE = 2_000
 
 
-def once(value: Column, then) -> Column:
-    """``then(value)`` with ``value`` evaluated once, however often ``then`` uses it."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def spot_signatures(text: Column) -> Column:
     """Sorted distinct 64-bit signatures of a text."""
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import components, cut, slices, small, spread_join, table
+from candlespark.llm.common import components, cut, once, slices, small, spread_join, table
 from candlespark.llm.ngram_join import unfolded
 from candlespark.llm.shingles import BASE, STEP, _tables, mix, powers
 
@@ -69,6 +69,48 @@ def windows(text: str, size: int):
     return mix((total[size:] - total[:n]) * powers(inverse, n))
 
 
+def runs(chars: list[int]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of items of at most CHUNK characters together, or of one item."""
+    at = 0
+    while at < len(chars):
+        upto, total = at + 1, chars[at]
+        while upto < len(chars) and total + chars[upto] <= CHUNK:
+            total += chars[upto]
+            upto += 1
+        yield at, upto
+        at = upto
+
+
+def overlaps(left: list[str], right: list[str], size: int):
+    """Sizes of the shingle sets of ``left`` and ``right``, and of their intersections, line by line."""
+    import numpy as np
+
+    number: dict[str, int] = {}
+    sides = [np.fromiter((number.setdefault(line, len(number)) for line in side), dtype=np.int64, count=len(side)) for side in (left, right)]
+    lines = list(number)
+    ramp = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    n = np.maximum(lengths - size + 1, 0)
+    who = [np.repeat(np.arange(len(lines)), n)]
+    values = [windows("".join(lines), size)[np.repeat(np.cumsum(lengths) - lengths, n) + ramp(n)]]
+    for i in np.flatnonzero(n == 0).tolist():  # shorter than a shingle
+        values.append(windows(lines[i], size))
+        who.append(np.full(len(values[-1]), i))
+
+    def ordered(who, values):
+        order = np.lexsort((values, who))
+        who, values = who[order], values[order]
+        return who, values, np.concatenate([[False], (who[1:] == who[:-1]) & (values[1:] == values[:-1])])[: len(who)]
+
+    who, values, again = ordered(np.concatenate(who), np.concatenate(values))
+    who, values = who[~again], values[~again]
+    first = np.searchsorted(who, np.arange(len(lines) + 1))
+    n = np.diff(first)
+    places = np.concatenate([np.repeat(first[side], n[side]) + ramp(n[side]) for side in sides])
+    pair, _, both = ordered(np.concatenate([np.repeat(np.arange(len(side)), n[side]) for side in sides]), values[places])
+    return n[sides[0]], n[sides[1]], np.bincount(pair[both], minlength=len(left))
+
+
 def band_keys(lines: list[str], size: int):
     """Matrix of band keys (signed 64-bit), a row per line; lines are at least ``size`` characters long."""
     import numpy as np
@@ -76,12 +118,7 @@ def band_keys(lines: list[str], size: int):
     n = BANDS * ROWS
     odd = (mix(np.arange(1, n + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     least = np.empty((len(lines), n), dtype=np.uint32)
-    at = 0
-    while at < len(lines):
-        upto, chars = at + 1, len(lines[at])
-        while upto < len(lines) and chars + len(lines[upto]) <= CHUNK:
-            chars += len(lines[upto])
-            upto += 1
+    for at, upto in runs(list(map(len, lines))):
         hashes = (windows("".join(lines[at:upto]), size) >> np.uint64(32)).astype(np.uint32)
         hashes = np.append(hashes, np.uint32(0xFFFFFFFF))
         lengths = np.fromiter(map(len, lines[at:upto]), dtype=np.int64, count=upto - at)
@@ -89,7 +126,6 @@ def band_keys(lines: list[str], size: int):
         cuts = np.stack([starts, np.minimum(starts + lengths - size + 1, len(hashes) - 1)], axis=1).ravel()
         for k in range(n):
             least[at:upto, k] = np.minimum.reduceat((hashes ^ odd[n - 1 - k]) * odd[k], cuts)[::2]
-        at = upto
     wide = least.reshape(len(lines), BANDS, ROWS).astype(np.uint64)
     keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(STEP), (len(lines), 1))
     for r in range(ROWS):
@@ -212,15 +248,12 @@ def verified(pairs: DataFrame, content: DataFrame, size: int, percent: int) -> D
         import pyarrow as pa
 
         for batch in slices(batches, 2_000):
-            keep, sets = [], {}  # a star's centre comes many times
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                for line in (x, y):
-                    if line not in sets:
-                        sets[line] = np.unique(windows(line, size))
-                x, y = sets[x], sets[y]
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            keep = np.zeros(len(x), dtype=bool)
+            for at, end in runs([len(p) + len(q) for p, q in zip(x, y)]):
+                nx, ny, same = overlaps(x[at:end], y[at:end], size)
+                keep[at:end] = 100 * same >= percent * (nx + ny - same)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     both = pairs.join(content.select(F.col("line").alias("a"), F.col("content").alias("x")), "a")
     return both.join(content.select(F.col("line").alias("b"), F.col("content").alias("y")), "b").mapInArrow(run, "a long, b long")
@@ -341,12 +374,12 @@ def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
     doc_id, text = (F.col(f"c{own.index(c)}") for c in ("doc_id", "text"))
     keyed = plain.withColumn("dk", F.xxhash64(doc_id, text))
     gone = removals(keyed.where(text.isNotNull()).select("dk", doc_id.cast("long").alias("doc_id"), text.alias("text")), **parameters)
-    parts = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))  # by hashing, in order
-    left = F.array_join(F.transform(stay, lambda i: F.element_at(parts, i + 1)), "\n")
+    stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone"))  # noqa: E731  by hashing, in order
+    left = once(F.split(text, "\n", -1), lambda p: F.array_join(F.transform(stay(p), lambda i: F.element_at(p, i + 1)), "\n"))
     text_now = F.when(F.col("gone").isNull(), text).otherwise(left)
     columns = [text_now if c == "text" else F.col(f"c{i}") for i, c in enumerate(own)]
-    lines, places = F.coalesce(F.size(parts), F.lit(0)), F.coalesce("gone", F.array().cast("array<int>"))
+    lines = F.coalesce(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    places = F.coalesce("gone", F.array().cast("array<int>"))
     return keyed.join(gone, "dk", "left").select(*columns, lines, places).toDF(*own, "_lines", "_gone")
 
 
