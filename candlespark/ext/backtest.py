@@ -63,6 +63,25 @@ def metrics(trades: DataFrame) -> DataFrame:
     )
 
 
+def return_metrics(equity: DataFrame, value: str = "equity", periods: int = 252) -> DataFrame:
+    """Per symbol, over a positive running value with ``periods`` steps a year: total return, CAGR, volatility, largest
+    drawdown, Sharpe, Sortino and Calmar ratio (without a riskless rate). Null where a ratio's divisor is 0."""
+    before = F.lag(value).over(Window.partitionBy("symbol").orderBy("ts"))
+    rows = drawdown(equity, value).withColumn("_step", F.col(value) / before - 1)
+    year = F.sqrt(F.lit(float(periods)))
+    per = rows.groupBy("symbol").agg(
+        F.count("_step").alias("steps"), F.min_by(value, "ts").alias("_first"), F.max_by(value, "ts").alias("_last"), F.avg("_step").alias("_mean"), F.stddev_samp("_step").alias("_dev"),
+        F.sqrt(F.avg(F.when(F.col("_step").isNotNull(), F.pow(F.least("_step", F.lit(0.0)), 2)))).alias("_down"), F.max("drawdown").alias("max_drawdown"),
+    )
+    growth = F.col("_last") / F.col("_first")
+    per = per.withColumns({"total_return": growth - 1, "cagr": F.when(F.col("steps") > 0, F.pow(growth, F.lit(float(periods)) / F.col("steps")) - 1), "volatility": F.col("_dev") * year})
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return per.select(
+        "symbol", "steps", "total_return", "cagr", "volatility", "max_drawdown",
+        (ratio("_mean", "_dev") * year).alias("sharpe"), (ratio("_mean", "_down") * year).alias("sortino"), ratio("cagr", "max_drawdown").alias("calmar"),
+    )
+
+
 def sweep(candles: DataFrame, grid: DataFrame, signal, **costs) -> DataFrame:
     """Backtests of every parameter row of a small ``grid`` (with ``run_id``) over every symbol, in parallel."""
     both = candles.crossJoin(F.broadcast(grid)).withColumn("symbol", F.concat_ws("|", "symbol", "run_id"))

@@ -108,6 +108,84 @@ def signed_volume() -> Column:
     return F.when(F.col("close") > before, F.col("volume")).when(F.col("close") < before, -F.col("volume")).otherwise(0)
 
 
+def commodity_channel(n: int = 20) -> Column:
+    """CCI: distance of the typical price from its average, in mean deviations (of which 0.015 is the unit)."""
+    price = SOURCES["hlc3"]()
+    held, mean = F.collect_list(price).over(last(n)), F.avg(price).over(last(n))
+    spread = F.aggregate(F.transform(held, lambda x: F.abs(x - mean)), F.lit(0.0), lambda a, x: a + x) / n
+    return warm(F.when(spread > 0, (price - mean) / (spread * 0.015)), n)
+
+
+def aroon(n: int = 25) -> list[Column]:
+    """Aroon up and down: how recent the highest high and the lowest low of the last n + 1 bars are, in percent."""
+    highs, lows = (F.reverse(F.collect_list(c).over(last(n + 1))) for c in ("high", "low"))
+    recent = lambda held, top: warm((n + 1 - F.array_position(held, top(held))) * 100.0 / n, n + 1)
+    return [recent(highs, F.array_max).alias("up"), recent(lows, F.array_min).alias("down")]
+
+
+def flow_volume() -> Column:
+    """Volume with the sign and share of the close's place in its bar; its running sum is the A/D line."""
+    span = F.col("high") - F.col("low")
+    place = F.when(span > 0, (2 * F.col("close") - F.col("low") - F.col("high")) / span).otherwise(0.0)
+    return place * F.coalesce("volume", F.lit(0))
+
+
+def accumulation() -> Column:
+    """Accumulation/distribution line."""
+    return F.sum(flow_volume()).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
+
+
+def chaikin_flow(n: int = 20) -> Column:
+    """Chaikin money flow: the A/D line's step over n bars by their volume."""
+    total = F.sum("volume").over(last(n))
+    return warm(F.when(total > 0, F.sum(flow_volume()).over(last(n)) / total), n)
+
+
+def money_flow(candles: DataFrame, n: int = 14) -> DataFrame:
+    """``mfi``: share of the money (typical price times volume) of rising bars in that of all moving ones, n bars."""
+    rows = candles.withColumn("_p", SOURCES["hlc3"]()).withColumn("_b", F.lag("_p").over(by_symbol()))
+    money = F.col("_p") * F.coalesce("volume", F.lit(0))
+    side = lambda moved: F.sum(F.when(moved, money).otherwise(0.0)).over(last(n))
+    up, down = side(F.col("_p") > F.col("_b")), side(F.col("_p") < F.col("_b"))
+    return rows.withColumn("mfi", warm(F.when(up + down > 0, up / (up + down) * 100), n + 1)).drop("_p", "_b")
+
+
+def historical_volatility(candles: DataFrame, n: int = 20, periods: int = 252) -> DataFrame:
+    """``hv``: sample deviation of the last n log returns, for a year of ``periods`` bars, in percent."""
+    rows = candles.withColumn("_r", F.log(F.col("close") / F.lag("close").over(by_symbol())))
+    return rows.withColumn("hv", warm(F.stddev_samp("_r").over(last(n)) * F.sqrt(F.lit(float(periods))) * 100, n + 1)).drop("_r")
+
+
+def hull(candles: DataFrame, n: int = 16) -> DataFrame:
+    """``hma``: weighted average over sqrt(n) bars of twice the average of n / 2 bars less that of n."""
+    short, smooth = n // 2, int(n**0.5)
+    rows = candles.withColumn("_h", 2 * wma(F.col("close"), short) - wma(F.col("close"), n))
+    return rows.withColumn("hma", F.when(F.row_number().over(by_symbol()) >= n + smooth - 1, wma(F.col("_h"), smooth))).drop("_h")
+
+
+def ichimoku(candles: DataFrame, fast: int = 9, base: int = 26, slow: int = 52) -> DataFrame:
+    """``conversion`` and ``base``, ``span_a`` and ``span_b`` (``base`` bars ahead), ``lagging`` (as many back)."""
+    middle = lambda n: donchian(n)[2]
+    rows = candles.withColumns({"conversion": middle(fast), "base": middle(base), "_m": middle(slow)})
+    ahead = lambda c: F.lag(c, base).over(by_symbol())
+    spans = {"span_a": ahead((F.col("conversion") + F.col("base")) / 2), "span_b": ahead("_m"), "lagging": F.lead("close", base).over(by_symbol())}
+    return rows.withColumns(spans).drop("_m")
+
+
+def fractals(side: int = 2) -> list[Column]:
+    """Whether a bar's high (low) is beyond those of ``side`` bars before and after it; false at the ends."""
+    near = [i for k in range(1, side + 1) for i in (-k, k)]
+    beyond = lambda c, test: F.coalesce(F.reduce(F.array(*[test(F.col(c), F.lag(c, i).over(by_symbol())) for i in near]), F.lit(True), lambda a, x: a & x), F.lit(False))
+    return [beyond("high", lambda a, b: a > b).alias("fractal_high"), beyond("low", lambda a, b: a < b).alias("fractal_low")]
+
+
+def pivots() -> list[Column]:
+    """Classic pivot with two supports and resistances, from the bar before (of daily candles: the session before)."""
+    high, low, close = (F.lag(c).over(by_symbol()) for c in ("high", "low", "close"))
+    p = (high + low + close) / 3
+    return [p.alias("pivot"), (2 * p - low).alias("r1"), (2 * p - high).alias("s1"), (p + high - low).alias("r2"), (p - high + low).alias("s2")]
+
+
 def recursive(candles: DataFrame, run, columns: str) -> DataFrame:
     """``run(frame) -> frame`` per symbol in time order, adding ``columns`` (a DDL list)."""
     from pyspark.sql import types as T
@@ -169,3 +247,56 @@ def atr(candles: DataFrame, n: int = 14) -> DataFrame:
     """Average true range in ``atr``, by Wilder's smoothing."""
     rows = candles.withColumn("_t", true_range())
     return recursive(rows, lambda f: f.assign(atr=_smooth(f["_t"].to_numpy(), 1 / n, n, "mean")), "atr double").drop("_t")
+
+
+def _again(values, n: int):
+    """Exponential average of a series that itself begins with nulls."""
+    import numpy as np
+
+    begin = int(np.isnan(values).sum())
+    return np.concatenate([np.full(begin, np.nan), _smooth(values[begin:], 2 / (n + 1), n, "mean")])
+
+
+def dema_tema(candles: DataFrame, n: int = 10) -> DataFrame:
+    """``dema`` and ``tema``: exponential averages with one and two corrections of their lag."""
+
+    def run(f):
+        one = _smooth(f["close"].to_numpy(), 2 / (n + 1), n, "mean")
+        two = _again(one, n)
+        return f.assign(dema=2 * one - two, tema=3 * one - 3 * two + _again(two, n))
+
+    return recursive(candles, run, "dema double, tema double")
+
+
+def keltner(candles: DataFrame, n: int = 20, span: int = 10, k: float = 2.0) -> DataFrame:
+    """``middle`` (exponential average), ``upper`` and ``lower`` (``k`` average true ranges away)."""
+    rows = ema(atr(candles, span), n)
+    return rows.withColumns({"upper": F.col("ema") + k * F.col("atr"), "lower": F.col("ema") - k * F.col("atr")}).withColumnRenamed("ema", "middle").drop("atr")
+
+
+def stochastic_rsi(candles: DataFrame, n: int = 14) -> DataFrame:
+    """``stoch_rsi``: place of the RSI between its lowest and highest of n bars, in percent."""
+    rows = rsi(candles, n).withColumn("_r", F.nanvl("rsi", F.lit(None).cast("double")))
+    high, low, seen = (f("_r").over(last(n)) for f in (F.max, F.min, F.count))
+    return rows.withColumn("stoch_rsi", F.when((seen == n) & (high > low), (F.col("_r") - low) / (high - low) * 100)).drop("_r", "rsi")
+
+
+def directional(candles: DataFrame, n: int = 14) -> DataFrame:
+    """``plus_di``, ``minus_di`` and ``adx``, by Wilder's smoothing of the averages' form."""
+
+    def run(f):
+        import numpy as np
+
+        nothing = np.full(len(f), np.nan)
+        if len(f) <= n:
+            return f.assign(plus_di=nothing, minus_di=nothing, adx=nothing)
+        high, low, span = (f[c].to_numpy(dtype=float) for c in ("high", "low", "_t"))
+        up, down = np.diff(high), -np.diff(low)
+        smooth = lambda v: np.append(np.nan, _smooth(v, 1 / n, n, "mean"))
+        average, plus, minus = smooth(span[1:]), smooth(np.where((up > down) & (up > 0), up, 0)), smooth(np.where((down > up) & (down > 0), down, 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plus, minus = (np.where(average > 0, x / average * 100, 0 * average) for x in (plus, minus))
+            apart = np.where(plus + minus > 0, np.abs(plus - minus) / (plus + minus) * 100, 0 * plus)
+        return f.assign(plus_di=plus, minus_di=minus, adx=np.concatenate([nothing[:n], _smooth(apart[n:], 1 / n, n, "mean")]))
+
+    return recursive(candles.withColumn("_t", true_range()), run, "plus_di double, minus_di double, adx double").drop("_t")

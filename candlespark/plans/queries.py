@@ -96,7 +96,10 @@ for _tf in ("15m", "30m", "1h"):
     query(f"refold_{_tf}", BASE.rstrip() + ",\n" + _folded + "\nSELECT * FROM f")(lambda spark, d, tf=_tf: fold.resample(base(spark, d), A.january(spark), tf).drop("adj_close"))
 
 
-@query("daily_session_open", with_(SESS, TICKS, f"q AS (SELECT t.symbol, s.open_ts AS ts, {first_last("price", "t.")}, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS ticks FROM t JOIN sess s ON CAST({LOCAL_OF.format('t.ts')} AS DATE) = s.dy AND {GOOD} GROUP BY ALL)") + "SELECT * FROM q")
+DAILY = with_(SESS, TICKS, f"c AS (SELECT t.symbol, s.open_ts AS ts, {first_last("price", "t.")}, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS ticks FROM t JOIN sess s ON CAST({LOCAL_OF.format('t.ts')} AS DATE) = s.dy AND {GOOD} GROUP BY ALL)")
+
+
+@query("daily_session_open", DAILY + "SELECT * FROM c")
 def _(spark, d):
     return candles(spark, d, "1d")
 
@@ -821,3 +824,123 @@ def _(spark, d):
     up, down = ({"op": op, "left": "close", "right": "sma"} for op in ("crosses_above", "crosses_below"))
     signals = c.withColumn("enter", rules.compile_rule(up)).withColumn("leave", rules.compile_rule(down))
     return backtest.metrics(backtest.backtest(signals, stop=0.5, target=1.0, fee_bps=3))
+
+
+IN_ORDER = " WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
+TYPICAL = "(high + low + close) / 3"
+FLOW = "(CASE WHEN high > low THEN (2 * close - low - high) / (high - low) ELSE 0 END * coalesce(volume, 0))"
+
+
+@query("cci_20", HOURLY + f"SELECT symbol, ts, round(CASE WHEN rn >= 20 AND s > 0 THEN (p - m) / (s * 0.015::DOUBLE) END, 4) AS cci FROM (SELECT *, list_avg(list_transform(l, lambda x: abs(x - m))) AS s FROM (SELECT symbol, ts, {TYPICAL} AS p, {SEEN} AS rn, list({TYPICAL}) {ROWS.format(19)} AS l, avg({TYPICAL}) {ROWS.format(19)} AS m FROM c))")
+def _(spark, d):
+    return candles(spark, d, "1h").select("symbol", "ts", F.round(indicators.commodity_channel(20), 4).alias("cci"))
+
+
+@query("aroon_25", HOURLY + f"SELECT symbol, ts, CASE WHEN rn >= 26 THEN round((26 - list_position(list_reverse(h), list_max(h))) * 100.0::DOUBLE / 25, 6) END AS up, CASE WHEN rn >= 26 THEN round((26 - list_position(list_reverse(l), list_min(l))) * 100.0::DOUBLE / 25, 6) END AS down FROM (SELECT symbol, ts, {SEEN} AS rn, list(high) {ROWS.format(25)} AS h, list(low) {ROWS.format(25)} AS l FROM c)")
+def _(spark, d):
+    up, down = indicators.aroon(25)
+    return candles(spark, d, "1h").select("symbol", "ts", F.round(up, 6).alias("up"), F.round(down, 6).alias("down"))
+
+
+@query("volume_flows", HOURLY + f"SELECT symbol, ts, round(sum({FLOW}) {ROWS.format('UNBOUNDED')}, 3) + 0.0 AS ad, CASE WHEN {SEEN} >= 20 AND sum(volume) {ROWS.format(19)} > 0 THEN round(sum({FLOW}) {ROWS.format(19)} / sum(volume) {ROWS.format(19)}, 6) + 0.0 END AS cmf FROM c")
+def _(spark, d):
+    return candles(spark, d, "1h").select("symbol", "ts", F.round(indicators.accumulation(), 3).alias("ad"), F.round(indicators.chaikin_flow(20), 6).alias("cmf"))
+
+
+MONEY = "sum(CASE WHEN p {} b THEN p * coalesce(volume, 0) ELSE 0 END) " + ROWS.format(13)
+
+
+@query("mfi_14", HOURLY + f"SELECT symbol, ts, CASE WHEN rn >= 15 AND u + d > 0 THEN round(u / (u + d) * 100, 5) END AS mfi FROM (SELECT symbol, ts, rn, {MONEY.format('>')} AS u, {MONEY.format('<')} AS d FROM (SELECT *, lag(p) OVER w AS b, row_number() OVER w AS rn FROM (SELECT *, {TYPICAL} AS p FROM c){IN_ORDER}))")
+def _(spark, d):
+    return indicators.money_flow(candles(spark, d, "1h"), 14).select("symbol", "ts", rounded("mfi", 5))
+
+
+@query("volatility_20", HOURLY + f"SELECT symbol, ts, CASE WHEN rn >= 21 THEN round(stddev_samp(r) {ROWS.format(19)} * sqrt(252.0::DOUBLE) * 100, 4) END AS hv FROM (SELECT symbol, ts, row_number() OVER w AS rn, ln(close / lag(close) OVER w) AS r FROM c{IN_ORDER})")
+def _(spark, d):
+    return indicators.historical_volatility(candles(spark, d, "1h"), 20).select("symbol", "ts", rounded("hv", 4))
+
+
+def wma_sql(value: str, n: int) -> str:
+    """Weighted average of ``value`` over n rows of the window ``w``."""
+    return "(" + " + ".join(f"coalesce(lag({value}, {i}) OVER w, 0) * {n - i}" for i in range(n)) + f") / {n * (n + 1) / 2}::DOUBLE"
+
+
+@query("hma_16", HOURLY + f"SELECT symbol, ts, CASE WHEN rn >= 19 THEN round({wma_sql('h', 4)}, 6) END AS hma FROM (SELECT symbol, ts, row_number() OVER w AS rn, 2 * {wma_sql('close', 8)} - {wma_sql('close', 16)} AS h FROM c{IN_ORDER}){IN_ORDER}")
+def _(spark, d):
+    return indicators.hull(candles(spark, d, "1h"), 16).select("symbol", "ts", rounded("hma"))
+
+
+def middle_sql(n: int) -> str:
+    """Middle of the highest high and lowest low of n rows."""
+    return f"CASE WHEN {SEEN} >= {n} THEN (max(high) {ROWS.format(n - 1)} + min(low) {ROWS.format(n - 1)}) / 2 END"
+
+
+@query("ichimoku", HOURLY + f"SELECT symbol, ts, conversion, base, lag((conversion + base) / 2, 26) OVER w AS span_a, lag(m, 26) OVER w AS span_b, lead(close, 26) OVER w AS lagging FROM (SELECT symbol, ts, close, {middle_sql(9)} AS conversion, {middle_sql(26)} AS base, {middle_sql(52)} AS m FROM c){IN_ORDER}")
+def _(spark, d):
+    return indicators.ichimoku(candles(spark, d, "1h")).select("symbol", "ts", "conversion", "base", "span_a", "span_b", "lagging")
+
+
+def beyond_sql(c: str, sign: str) -> str:
+    """Whether ``c`` is beyond that of two rows on either side."""
+    return "coalesce(" + " AND ".join(f"{c} {sign} {side}({c}, {k}) OVER w" for side in ("lag", "lead") for k in (1, 2)) + ", false)"
+
+
+@query("fractals", HOURLY + f"SELECT symbol, ts, {beyond_sql('high', '>')} AS fractal_high, {beyond_sql('low', '<')} AS fractal_low FROM c{IN_ORDER}")
+def _(spark, d):
+    return candles(spark, d, "1h").select("symbol", "ts", *indicators.fractals(2))
+
+
+@query("pivot_points", DAILY + f"SELECT symbol, ts, round(p, 6) AS pivot, round(2 * p - l, 6) AS r1, round(2 * p - h, 6) AS s1, round(p + h - l, 6) AS r2, round(p - h + l, 6) AS s2 FROM (SELECT *, (h + l + k) / 3 AS p FROM (SELECT symbol, ts, lag(high) OVER w AS h, lag(low) OVER w AS l, lag(close) OVER w AS k FROM c{IN_ORDER}))")
+def _(spark, d):
+    rows = candles(spark, d, "1d").select("symbol", "ts", *indicators.pivots())
+    return rows.select("symbol", "ts", *[F.round(c, 6).alias(c) for c in ("pivot", "r1", "s1", "r2", "s2")])
+
+
+TEMA = ",\n".join([ema_sql("e1", "n", "close", 10), ema_sql("e2", "e1", "e", 10, 10), ema_sql("e3", "e2", "e", 10, 19)])
+
+
+@query("dema_tema", NUMBERED_HOURS + ",\n" + TEMA + "\nSELECT n.symbol, n.ts, round(2 * e1.e - e2.e, 6) AS dema, round(3 * e1.e - 3 * e2.e + e3.e, 6) AS tema FROM n LEFT JOIN e1 USING (symbol, rn) LEFT JOIN e2 USING (symbol, rn) LEFT JOIN e3 USING (symbol, rn)")
+def _(spark, d):
+    return indicators.dema_tema(candles(spark, d, "1h"), 10).select("symbol", "ts", rounded("dema"), rounded("tema"))
+
+
+RANGES = "r AS (SELECT *, greatest(high - low, abs(high - before), abs(low - before)) AS t FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS before FROM n))"
+
+
+@query("keltner", NUMBERED_HOURS + ",\n" + ",\n".join([RANGES, ema_sql("e20", "n", "close", 20), ema_sql("a10", "r", "t", 10, 1, "1.0::DOUBLE / 10")]) + "\nSELECT n.symbol, n.ts, round(e20.e, 6) AS middle, round(e20.e + 2 * a10.e, 6) AS upper, round(e20.e - 2 * a10.e, 6) AS lower FROM n LEFT JOIN e20 USING (symbol, rn) LEFT JOIN a10 USING (symbol, rn)")
+def _(spark, d):
+    return indicators.keltner(candles(spark, d, "1h")).select("symbol", "ts", *map(rounded, ("middle", "upper", "lower")))
+
+
+RSI = "x AS (SELECT n.symbol, n.ts, n.rn, CASE WHEN w.e = 0 THEN 100 ELSE 100 - 100 / (1 + u.e / w.e) END AS r FROM n LEFT JOIN u USING (symbol, rn) LEFT JOIN w USING (symbol, rn))"
+
+
+@query("stoch_rsi_14", NUMBERED_HOURS + ",\n" + ",\n".join([STEPS, ema_sql("u", "d", "up", 14, 2, "1.0::DOUBLE / 14"), ema_sql("w", "d", "down", 14, 2, "1.0::DOUBLE / 14"), RSI]) + f"\nSELECT symbol, ts, CASE WHEN k = 14 AND h > l THEN round((r - l) / (h - l) * 100, 4) END AS stoch_rsi FROM (SELECT symbol, ts, r, count(r) {ROWS.format(13)} AS k, max(r) {ROWS.format(13)} AS h, min(r) {ROWS.format(13)} AS l FROM x)")
+def _(spark, d):
+    return indicators.stochastic_rsi(candles(spark, d, "1h"), 14).select("symbol", "ts", rounded("stoch_rsi", 4))
+
+
+MOVES = "v AS (SELECT symbol, ts, rn, t, CASE WHEN u > d AND u > 0 THEN u ELSE 0 END AS plus, CASE WHEN d > u AND d > 0 THEN d ELSE 0 END AS minus FROM (SELECT *, high - lag(high) OVER w AS u, lag(low) OVER w - low AS d FROM r" + IN_ORDER + ") WHERE u IS NOT NULL)"
+LINES = """x AS (SELECT symbol, rn, CASE WHEN va.e > 0 THEN vp.e / va.e * 100 ELSE 0 END AS plus_di, CASE WHEN va.e > 0 THEN vm.e / va.e * 100 ELSE 0 END AS minus_di
+  FROM va JOIN vp USING (symbol, rn) JOIN vm USING (symbol, rn)),
+y AS (SELECT *, CASE WHEN plus_di + minus_di > 0 THEN abs(plus_di - minus_di) / (plus_di + minus_di) * 100 ELSE 0 END AS apart FROM x)"""
+WILDER = [ema_sql(name, "v", value, 14, 2, "1.0::DOUBLE / 14") for name, value in (("va", "t"), ("vp", "plus"), ("vm", "minus"))]
+ADX = ",\n".join([RANGES, MOVES, *WILDER, LINES, ema_sql("z", "y", "apart", 14, 15, "1.0::DOUBLE / 14")])
+
+
+@query("adx_14", NUMBERED_HOURS + ",\n" + ADX + "\nSELECT n.symbol, n.ts, round(plus_di, 4) AS plus_di, round(minus_di, 4) AS minus_di, round(z.e, 4) AS adx FROM n LEFT JOIN y USING (symbol, rn) LEFT JOIN z USING (symbol, rn)")
+def _(spark, d):
+    return indicators.directional(candles(spark, d, "1h"), 14).select("symbol", "ts", *[rounded(c, 4) for c in ("plus_di", "minus_di", "adx")])
+
+
+RETURNS = f"""SELECT symbol, steps, round(b / a - 1, 6) AS total_return, round(CASE WHEN steps > 0 THEN pow(b / a, 252.0::DOUBLE / steps) - 1 END, 4) AS cagr, round(dev * sqrt(252.0::DOUBLE), 6) AS volatility, round(most, 6) AS max_drawdown,
+       round(CASE WHEN dev > 0 THEN mean / dev * sqrt(252.0::DOUBLE) END, 6) AS sharpe, round(CASE WHEN down > 0 THEN mean / down * sqrt(252.0::DOUBLE) END, 6) AS sortino, round(CASE WHEN most > 0 AND steps > 0 THEN (pow(b / a, 252.0::DOUBLE / steps) - 1) / most END, 4) AS calmar
+FROM (SELECT symbol, count(step) AS steps, arg_min(close, ts) AS a, arg_max(close, ts) AS b, avg(step) AS mean, stddev_samp(step) AS dev, sqrt(avg(pow(CASE WHEN step < 0 THEN step WHEN step >= 0 THEN 0 END, 2))) AS down, max(fallen) AS most
+      FROM (SELECT symbol, ts, close, close / lag(close) OVER w - 1 AS step, (max(close) OVER w - close) / max(close) OVER w AS fallen FROM c{IN_ORDER}) GROUP BY symbol)"""
+
+
+@query("return_metrics", HOURLY + RETURNS)
+def _(spark, d):
+    rows = backtest.return_metrics(candles(spark, d, "1h"), "close")
+    digits = {"total_return": 6, "cagr": 4, "volatility": 6, "max_drawdown": 6, "sharpe": 6, "sortino": 6, "calmar": 4}
+    return rows.select("symbol", "steps", *[F.round(c, n).alias(c) for c, n in digits.items()])

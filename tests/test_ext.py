@@ -59,3 +59,27 @@ def test_rules_and_backtest(spark):
     grid = spark.createDataFrame([("a", 11.0), ("b", 99.0)], "run_id string, level double")
     swept = backtest.sweep(c, grid, lambda x: x.withColumn("enter", F.col("close") == F.col("level")).withColumn("leave", F.col("close") == 13.0), quantity=10)
     assert [r.run_id for r in swept.collect()] == ["a"]
+
+
+def test_indicators_of_too_few_bars_are_null(spark):
+    c = closes(spark, [10.0, 11.0, 9.0])
+    for f, column in ((indicators.dema_tema, "tema"), (indicators.keltner, "upper"), (indicators.stochastic_rsi, "stoch_rsi"), (indicators.directional, "adx"), (indicators.money_flow, "mfi"), (indicators.hull, "hma"), (indicators.historical_volatility, "hv")):
+        values = [r[0] for r in f(c).select(column).collect()]
+        assert len(values) == 3 and all(v is None or np.isnan(v) for v in values), column
+        assert f(c.limit(0)).count() == 0
+
+
+def test_fractals_and_pivots(spark):
+    rows = closes(spark, [10.0, 11.0, 15.0, 12.0, 11.0, 11.0]).select("ts", *indicators.fractals(2), *indicators.pivots()).orderBy("ts").collect()
+    assert [r.fractal_high for r in rows] == [False, False, True, False, False, False] and not any(r.fractal_low for r in rows)
+    assert rows[0].pivot is None and (rows[1].pivot, rows[1].r1, rows[1].s1, rows[1].r2, rows[1].s2) == (10.0, 11.0, 9.0, 12.0, 8.0)
+
+
+def test_return_metrics(spark):
+    values = [100.0, 110.0, 99.0, 120.0]
+    m = backtest.return_metrics(closes(spark, values).select("symbol", "ts", F.col("close").alias("equity")), periods=3).first()
+    steps = np.diff(values) / values[:-1]
+    assert m.steps == 3 and abs(m.total_return - 0.2) < 1e-12 and abs(m.cagr - 0.2) < 1e-12 and abs(m.max_drawdown - 0.1) < 1e-12 and abs(m.calmar - 2) < 1e-9
+    assert abs(m.sharpe - steps.mean() / steps.std(ddof=1) * 3**0.5) < 1e-9 and abs(m.sortino - steps.mean() / np.sqrt((np.minimum(steps, 0) ** 2).mean()) * 3**0.5) < 1e-9
+    one = backtest.return_metrics(closes(spark, [5.0]), "close").first()
+    assert one.steps == 0 and one.total_return == 0 and one.cagr is None and one.sharpe is None and one.calmar is None
