@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from candlespark.llm.chat_format import OP8_SQL, op8_chat_format
+from candlespark.llm.divergence import OP13_SQL, op13_source_divergence
 from candlespark.llm.embedding_dedup import op2_embedding_dedup
 from candlespark.llm.fingerprints import op6_fingerprints
 from candlespark.llm.line_dedup import op7_line_dedup
@@ -27,9 +28,10 @@ def queries() -> dict:
         "op8_chat_format": op8_chat_format,
         "op9_ngram_join": op9_ngram_join,
         "op10_token_counts": op10_token_counts,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op5_mixing": OP5_SQL, "op8_chat_format": OP8_SQL}
+    return {"op5_mixing": OP5_SQL, "op8_chat_format": OP8_SQL, "op13_source_divergence": OP13_SQL}
