@@ -37,11 +37,12 @@ DIGIT, BYTES, FEW = 12, 8, 2_000
 ENTRIES, PAIRS = 300_000, 2_000_000
 
 
+#: For bytes.translate: A-Z become a-z, and bytes of UTF-8 that are in no term become spaces.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """``docs(lang, source, text)`` to (lang, source, term, uses, docs), one row each."""
-    upper = {c: c + 32 for c in range(65, 91)}
-    letters = bytes(upper.get(c, c) if c in upper or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-
     def run(batches: Iterator) -> Iterator:
         from collections import Counter
 
@@ -61,7 +62,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
         for batch in slices(batches):
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                words = text.encode().translate(letters).split()
+                words = text.encode().translate(LETTERS).split()
                 uses, found = held.setdefault((lang, source), (Counter(), Counter()))
                 uses.update(words)
                 found.update(set(words))

@@ -13,6 +13,7 @@ from candlespark.llm.packing import op1_packing
 from candlespark.llm.quality import op3_quality
 from candlespark.llm.secret_scan import op4_secret_scan
 from candlespark.llm.token_counts import op10_token_counts
+from candlespark.llm.toxicity import op12_toxicity
 
 
 def queries() -> dict:
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_chat_format": op8_chat_format,
         "op9_ngram_join": op9_ngram_join,
         "op10_token_counts": op10_token_counts,
+        "op12_toxicity": op12_toxicity,
         "op13_source_divergence": op13_source_divergence,
     }
 
