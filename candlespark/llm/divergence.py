@@ -11,9 +11,10 @@ terms that both have are visited, term by term, and add what they differ from th
 blocks, so what is shuffled is a sum a pair of sources and block, not a row a pair and term.
 
 The terms that set a group apart are found by radix selection: histograms over ``DIGIT`` bits of the values, from the
-highest, give the bits of every group's k-th value; ties at that value are told apart by the UTF-8 bytes of their terms in
-the same way, ``BYTES`` at a time. Groups whose undecided rows are ``FEW`` at most need no further round. No group is ever
-sorted whole: what is ranked are k rows and FEW more at most.
+highest, give the bits of every group's k-th value; a value depends on two counts alone, so the histograms come from the
+numbers of pairs of counts, and terms are read once, to take those beyond the k-th value. Ties at that value are told apart
+by the UTF-8 bytes of their terms in the same way, ``BYTES`` at a time; groups with ``FEW`` ties at most need no such round.
+No group is ever sorted whole: what is ranked are k rows and FEW more at most.
 
 Defined cases: null text, lang and source are empty; repeated rows are documents of their own; null doc_ids don't matter; a
 group without terms has its pairs all the same; a language whose terms are all rare has pairs of value 0; the only source
@@ -27,12 +28,12 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import cut, slices, small, table, text_of
+from candlespark.llm.common import cut, scratch_path, slices, small, table, text_of
 
 #: Parts that probabilities are counted in, documents that a kept term is in, ranks of terms that are returned.
 PARTS, MIN_DOCS, RANKS = 1_000_000_000, 3, 200
 #: Bits of a value and bytes of a term that a round of the selection settles, and undecided rows of a group that need no round.
-DIGIT, BYTES, FEW = 12, 8, 2_000
+DIGIT, BYTES, FEW = 16, 8, 2_000
 #: Entries of a task's counts, and pairs of sources that a task adds up at once.
 ENTRIES, PAIRS = 300_000, 2_000_000
 
@@ -76,11 +77,13 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The counts of terms that ``min_docs`` documents of their language have, with ``lang_uses`` and ``first``, which is
-    true in one row of a language's term."""
+    """The counts of terms that ``min_docs`` documents of their language have, with ``lang_uses``, ``first``, which is
+    true in one row of a language's term, and ``shared``, true where other sources have it too; kept in the shared folder."""
     own = Window.partitionBy("lang", "term")
-    rows = term_counts(docs).withColumns({"_docs": F.sum("docs").over(own), "lang_uses": F.sum("uses").over(own), "_n": F.row_number().over(own.orderBy("source"))})
-    return cut(rows.where(F.col("_docs") >= min_docs).select("lang", "source", "term", "uses", "lang_uses", (F.col("_n") == 1).alias("first")))
+    rows = term_counts(docs).withColumns({"_docs": F.sum("docs").over(own), "lang_uses": F.sum("uses").over(own), "_sources": F.count("*").over(own), "_n": F.row_number().over(own.orderBy("source"))})
+    path = scratch_path(docs.sparkSession, "terms")
+    rows.where(F.col("_docs") >= min_docs).select("lang", "source", "term", "uses", "lang_uses", (F.col("_n") == 1).alias("first"), (F.col("_sources") > 1).alias("shared")).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def parts(uses: Column, total: Column) -> Column:
@@ -96,13 +99,19 @@ def apart(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def sources_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, at, total, zero, terms, kinds): a row a group, ``at`` its number from 0 among its language's
+def combinations(kept: DataFrame) -> DataFrame:
+    """How often each pair of a term's counts (in its group, in its language) occurs in a group: all that the groups' sums,
+    the baselines and the histograms of values need, in far fewer rows than there are terms."""
+    return cut(kept.groupBy("lang", "source", "uses", "lang_uses").agg(F.count("*").alias("m"), F.count_if("first").alias("kinds")))
+
+
+def sources_of(docs: DataFrame, combos: DataFrame) -> DataFrame:
+    """(lang, source, at, total, zero, terms, kinds, lang_total): a row a group, ``at`` its number from 0 among its language's
     sources, ``total`` the divisor of its parts, ``zero`` the parts of a term it doesn't have, ``terms`` how many it has,
     ``kinds`` how many its language keeps. Numbered by a window a language: sources are a dimension."""
     found = docs.select(text_of("lang").alias("lang"), text_of("source").alias("source")).distinct()
-    sums = kept.groupBy("lang", "source").agg(F.sum("uses").alias("n"), F.count("*").alias("terms"))
-    per = kept.groupBy("lang").agg(F.count_if("first").alias("kinds"), F.sum("uses").alias("lang_n"))
+    sums = combos.groupBy("lang", "source").agg(F.sum(F.col("uses") * F.col("m")).alias("n"), F.sum("m").alias("terms"), F.sum("kinds").alias("own_kinds"))
+    per = sums.groupBy("lang").agg(F.sum("own_kinds").alias("kinds"), F.sum("n").alias("lang_n"))
     rows = found.join(sums, ["lang", "source"], "left").join(per, "lang", "left").na.fill(0, ["n", "terms", "kinds", "lang_n"])
     at = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     total = F.greatest(F.col("n") + F.col("kinds"), F.lit(1))  # nothing is divided by 0; without terms no parts are used
@@ -165,19 +174,18 @@ def shared_terms(rows: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    each = rows.groupBy("lang", "term").agg(F.collect_list(F.struct("at", "p", "zero")).alias("held")).where(F.size("held") > 1)
+    each = rows.groupBy("lang", "term").agg(F.collect_list(F.struct("at", "p", "zero")).alias("held"))
     part = each.select("lang", "held").mapInArrow(run, "lang string, at int, other int, more long").where("at <> other")
     return part.groupBy("lang", "at", "other").agg(F.sum("more").alias("more"))
 
 
-def pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """(lang, source, item, value): every other source of a source's language."""
+def pairs(rows: DataFrame, own: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, source, item, value): every other source of a source's language. ``rows(lang, term, at, p, zero)`` are the terms
+    that sources share, ``own(lang, at, p, m)`` how often a source has which parts."""
     mine = groups.select("lang", "source", "at", F.col("zero").alias("z"), "terms", "kinds")
     theirs = groups.select("lang", F.col("source").alias("item"), F.col("at").alias("other"), F.col("zero").alias("y"), F.col("terms").alias("their_terms"))
     both = mine.join(small(theirs), "lang").where("at <> other")
     base = (F.col("kinds") - F.col("terms") - F.col("their_terms")) * apart(F.col("z"), F.col("y"))
-    own = rows.groupBy("lang", "at", "p", "zero").agg(F.count("*").alias("m"))  # how often a group has a count
-    own = small(cut(own))
     zeros = groups.select("lang", F.col("at").alias("_at"), F.col("zero").alias("_zero"))
     alone = own.join(small(zeros), "lang").where("at <> _at")
     first = alone.groupBy("lang", "at", F.col("_at").alias("other")).agg(F.sum(F.col("m") * apart(F.col("p"), F.col("_zero"))).alias("first"))
@@ -188,66 +196,60 @@ def pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return whole.select("lang", "source", "item", value.alias("value"))
 
 
-def largest(rows: DataFrame, k: int, few: int = FEW) -> DataFrame:
-    """``rows(lang, source, item, value)`` to the ``k`` of each group of (lang, source) with the largest values (0 to
-    2^60), ties by UTF-8 bytes, by radix selection. A round is one histogram over the rows that may still be the k-th. The
-    items of a group differ."""
+def settled(counts: DataFrame, digit: Column, descending: bool) -> DataFrame:
+    """One round of the selection, of ``counts(lang, source, sought, n)`` with a digit: per group the digit that the row sought
+    lies in, which of that digit's rows it is, and how many those are."""
     group = ["lang", "source"]
+    sums = counts.groupBy(*group, "sought", digit.alias("digit")).agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*group).orderBy(F.desc("digit") if descending else F.asc("digit"))) - F.col("n")
+    at = sums.withColumn("before", before).where("before < sought AND before + n >= sought")
+    return at.select(*group, "digit", (F.col("sought") - F.col("before")).alias("inside"), F.col("n").alias("inside_n"))
 
-    def settle(left: DataFrame, digit: Column, descending: bool) -> DataFrame:
-        """Per group with undecided rows: the digit that the row sought lies in, how many are sought inside it, how many
-        it has."""
-        counts = left.groupBy(*group, "sought", digit.alias("digit")).agg(F.count("*").alias("n"))
-        order = F.col("digit").desc() if descending else F.col("digit")
-        before = F.sum("n").over(Window.partitionBy(*group).orderBy(order)) - F.col("n")
-        at = counts.withColumn("before", before).where("before < sought AND before + n >= sought")
-        return at.select(*group, "digit", (F.col("sought") - F.col("before")).alias("inside"), F.col("n").alias("size"))
-
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("size"), F.max("value").alias("top"))
-    facts = cut(sizes.select(*group, F.lit(0).cast("long").alias("low"), F.lit(k).cast("long").alias("sought"), "size", "top"))
-    shift = max(int(facts.agg(F.max("top")).first()[0] or 0).bit_length(), 1)
+
+def largest(rows: DataFrame, values: DataFrame, k: int, few: int = FEW) -> DataFrame:
+    """``rows(lang, source, item, value)`` to the ``k`` of each group of (lang, source) with the largest values (0 to 2^60), ties
+    by UTF-8 bytes, by radix selection; ``values(lang, source, value, n)`` are the rows' values with their numbers. The items of
+    a group differ. ``rows`` are read once."""
+    group = ["lang", "source"]
+    values = cut(values)
+    sizes = values.groupBy(*group).agg(F.sum("n").alias("size"), F.max("value").alias("top"))
+    facts = cut(sizes.select(*group, F.lit(0).cast("long").alias("low"), F.least(F.lit(k), "size").cast("long").alias("sought"), "size", "top"))
+    shift = int(facts.agg(F.max("top")).first()[0] or 0).bit_length()
     while shift > 0:
-        open_ = facts.where((F.col("size") > few) & (F.col("size") > F.col("sought")))
-        if open_.isEmpty():
-            break
         above, shift = shift, max(0, shift - DIGIT)
-        left = rows.join(small(open_), group).where(F.shiftright("value", above) == F.shiftright("low", above))
-        found = settle(left, F.shiftright("value", shift), True)
-        facts = facts.join(small(found.withColumnRenamed("size", "n")), group, "left")
-        low = F.coalesce(F.shiftleft("digit", shift), "low")
-        facts = cut(facts.select(*group, low.alias("low"), F.coalesce("inside", "sought").alias("sought"), F.coalesce("n", "size").alias("size"), "top"))
-    # rows beyond the settled bits are in; those that share them are told apart by bytes, where all bits are settled
-    bits = shift
-    facts = facts.withColumn("start", F.lit("").cast("binary"))
-    at = 1
-    tied = F.col("value") == F.col("low")
-    while bits == 0:
-        open_ = facts.where((F.col("size") > few) & (F.col("size") > F.col("sought")))
-        if open_.isEmpty():
-            break
-        raw = F.col("item").cast("binary")
-        left = rows.join(small(open_), group).where(tied & (F.substring(raw, 1, at - 1) == F.col("start")))
-        found = settle(left, F.substring(raw, 1, at - 1 + BYTES), False)
-        facts = facts.join(small(found.withColumnRenamed("size", "n")), group, "left")
-        facts = cut(facts.select(*group, "low", F.coalesce("inside", "sought").alias("sought"), F.coalesce("n", "size").alias("size"), "top", F.coalesce("digit", "start").alias("start")))
+        left = values.join(small(facts), group).where(F.shiftright("value", above) == F.shiftright("low", above))
+        found = settled(left, F.shiftright("value", shift), True)
+        facts = cut(facts.join(small(found), group).select(*group, F.shiftleft("digit", shift).alias("low"), F.col("inside").alias("sought"), F.col("inside_n").alias("size"), "top"))
+    raw, tied, at = F.col("item").cast("binary"), F.col("value") == F.col("low"), 0
+    near = rows.join(small(facts.select(*group, "low")), group).where(F.col("value") >= F.col("low"))
+    near = cut(near.withColumns({"raw": raw, "tied": tied}).drop("low"))
+    facts = facts.select(*group, "sought", "size", F.lit("").cast("binary").alias("start"))
+    while not (open_ := facts.where((F.col("size") > few) & (F.col("size") > F.col("sought")))).isEmpty():
+        left = near.join(small(open_), group).where(F.col("tied") & (F.substring("raw", 1, at) == F.col("start"))).withColumn("n", F.lit(1))
         at += BYTES
-    # ``low`` is a lower bound of the k-th value; of ties at it, terms up to the settled bytes are enough
-    head = F.substring(F.col("item").cast("binary"), F.lit(1), F.length("start"))
-    near = rows.join(small(facts), group).where((F.col("value") > F.col("low")) | (tied & ((F.length("start") == 0) | (head <= F.col("start")))))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("value"), F.col("item").cast("binary")))
+        found = settled(left, F.substring("raw", 1, at), False)
+        facts = facts.join(small(found), group, "left")
+        facts = cut(facts.select(*group, F.coalesce("inside", "sought").alias("sought"), F.coalesce("inside_n", "size").alias("size"), F.coalesce("digit", "start").alias("start")))
+    # of the ties, those up to the settled bytes are enough
+    near = near.join(small(facts.select(*group, "start")), group).where(~F.col("tied") | (F.length("start") == 0) | (F.substring(F.col("raw"), F.lit(1), F.length("start")) <= F.col("start")))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("value"), "raw"))
     return near.select(*group, "item", "value", rank.alias("rank")).where(F.col("rank") <= k)
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, ranks: int = RANKS, few: int = FEW) -> DataFrame:
     """``docs(lang, source, text)`` to (lang, source, part, item, value, rank)."""
     kept = kept_terms(docs, min_docs)
-    groups = sources_of(docs, kept)
+    combos = combinations(kept)
+    groups = sources_of(docs, combos)
     facts = small(groups.select("lang", "source", "at", "total", "zero", "lang_total"))
-    rows = kept.join(facts, ["lang", "source"]).withColumns({"p": parts(F.col("uses"), F.col("total")), "q": parts(F.col("lang_uses"), F.col("lang_total"))})
-    of = rows.where("uses > 0 AND p > q").select("lang", "source", F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
-    terms = largest(of, ranks, few).withColumn("part", F.lit("term"))
+    p, q = parts(F.col("uses"), F.col("total")), parts(F.col("lang_uses"), F.col("lang_total"))
+    above = lambda rows: rows.join(facts, ["lang", "source"]).withColumns({"p": p, "q": q}).where("p > q").withColumn("value", apart(F.col("p"), F.col("q")))
+    values = above(combos).groupBy("lang", "source", "value").agg(F.sum("m").alias("n"))
+    terms = largest(above(kept).select("lang", "source", F.col("term").alias("item"), "value"), values, ranks, few).withColumn("part", F.lit("term"))
+    own = combos.groupBy("lang", "source", "uses").agg(F.sum("m").alias("m")).join(facts, ["lang", "source"]).select("lang", "at", p.alias("p"), "m")
+    shared = kept.where("shared").join(facts, ["lang", "source"]).select("lang", "term", "at", p.alias("p"), "zero")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.col("item").cast("binary"))
-    both = pairs(rows.select("lang", "term", "at", "p", "zero"), groups).withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit("pair"))
+    both = pairs(shared, own, groups).withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit("pair"))
     columns = ["lang", "source", "part", "item", F.col("value").cast("long").alias("value"), F.col("rank").cast("int").alias("rank")]
     return both.select(*columns).unionByName(terms.select(*columns))
 
