@@ -6,6 +6,7 @@ from candlespark.llm.chat_format import OP8_SQL, op8_chat_format
 from candlespark.llm.divergence import OP13_SQL, op13_source_divergence
 from candlespark.llm.embedding_dedup import op2_embedding_dedup
 from candlespark.llm.fingerprints import op6_fingerprints
+from candlespark.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from candlespark.llm.line_dedup import op7_line_dedup
 from candlespark.llm.mixing import OP5_SQL, op5_mixing
 from candlespark.llm.ngram_join import op9_ngram_join
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op8_chat_format": op8_chat_format,
         "op9_ngram_join": op9_ngram_join,
         "op10_token_counts": op10_token_counts,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_toxicity": op12_toxicity,
         "op13_source_divergence": op13_source_divergence,
     }
@@ -36,4 +38,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op5_mixing": OP5_SQL, "op8_chat_format": OP8_SQL, "op13_source_divergence": OP13_SQL}
+    return {"op5_mixing": OP5_SQL, "op8_chat_format": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op13_source_divergence": OP13_SQL}
