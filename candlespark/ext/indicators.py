@@ -1,11 +1,13 @@
-"""Technical indicators over candles (an extension). Windowed ones are column expressions; recursive ones run per
-symbol in Arrow batches, as their state depends on every earlier bar."""
+"""Technical indicators over candles (an extension). Windowed ones are column expressions; those whose state depends on every
+earlier bar are scans over blocks of bars (``ext/scan.py``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlespark.ext import scan
+
 SOURCES = {
     "open": lambda: F.col("open"),
     "high": lambda: F.col("high"),
@@ -186,86 +188,47 @@ def pivots() -> list[Column]:
     return [p.alias("pivot"), (2 * p - low).alias("r1"), (2 * p - high).alias("s1"), (p + high - low).alias("r2"), (p - high + low).alias("s2")]
 
 
-def recursive(candles: DataFrame, run, columns: str) -> DataFrame:
-    """``run(frame) -> frame`` per symbol in time order, adding ``columns`` (a DDL list)."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType(candles.schema.fields + T.StructType.fromDDL(columns).fields)
-    return candles.groupBy("symbol").applyInPandas(lambda f: run(f.sort_values("ts").reset_index(drop=True)), schema)
-
-
-def _smooth(values, alpha: float, n: int, start: str):
-    """Recursive average: seeded by the mean of the first n values, null before."""
-    import numpy as np
-
-    out = np.full(len(values), np.nan)
-    if len(values) >= n:
-        out[n - 1] = values[:n].mean()
-        for i in range(n, len(values)):
-            out[i] = out[i - 1] + alpha * (values[i] - out[i - 1])
-    return out
-
-
 def ema(candles: DataFrame, n: int, source: str = "close") -> DataFrame:
     """Exponential moving average in ``ema``."""
-    return recursive(candles.withColumn("_s", SOURCES[source]()), lambda f: f.assign(ema=_smooth(f["_s"].to_numpy(), 2 / (n + 1), n, "mean")), "ema double").drop("_s")
+    rows = scan.numbered(candles.withColumn("_s", SOURCES[source]()))
+    return scan.plain(scan.smoothed(rows, ema=("_s", n, 2 / (n + 1), 0)))
 
 
 def rsi(candles: DataFrame, n: int = 14) -> DataFrame:
     """Relative strength index in ``rsi``, by Wilder's smoothing."""
-
-    def run(f):
-        import numpy as np
-
-        step = np.diff(f["close"].to_numpy())
-        out = np.full(len(f), np.nan)
-        if len(step) >= n:
-            up, down = _smooth(np.maximum(step, 0), 1 / n, n, "mean"), _smooth(np.maximum(-step, 0), 1 / n, n, "mean")
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out[1:] = np.where(down == 0, np.where(np.isnan(down), np.nan, 100.0), 100 - 100 / (1 + up / down))
-        return f.assign(rsi=out)
-
-    return recursive(candles, run, "rsi double")
+    rows = scan.before(scan.numbered(candles), _before="close")
+    step = F.col("close") - F.col("_before")
+    rows = rows.withColumns({"_up": F.greatest(step, F.lit(0.0)), "_down": F.greatest(-step, F.lit(0.0))})
+    rows = scan.smoothed(rows, _u=("_up", n, 1 / n, 1), _d=("_down", n, 1 / n, 1))
+    return scan.plain(rows.withColumn("rsi", F.when(F.col("_d") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_u") / F.col("_d")))))
 
 
 def macd(candles: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """macd, its signal line and their difference."""
+    rows = scan.smoothed(scan.numbered(candles), _f=("close", fast, 2 / (fast + 1), 0), _w=("close", slow, 2 / (slow + 1), 0))
+    rows = rows.withColumn("macd", F.col("_f") - F.col("_w"))
+    rows = scan.smoothed(rows, macd_signal=("macd", signal, 2 / (signal + 1), max(fast, slow) - 1))
+    return scan.plain(rows.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal")))
 
-    def run(f):
-        import numpy as np
-
-        close = f["close"].to_numpy()
-        line = _smooth(close, 2 / (fast + 1), fast, "mean") - _smooth(close, 2 / (slow + 1), slow, "mean")
-        sig = np.full(len(f), np.nan)
-        sig[slow - 1 :] = _smooth(line[slow - 1 :], 2 / (signal + 1), signal, "mean") if len(f) >= slow else []
-        return f.assign(macd=line, macd_signal=sig, macd_histogram=line - sig)
 
-    return recursive(candles, run, "macd double, macd_signal double, macd_histogram double")
+def ranged(candles: DataFrame) -> DataFrame:
+    """Numbered candles with the true range ``_t`` and the bar before in ``_close``, ``_high`` and ``_low``."""
+    rows = scan.before(scan.numbered(candles), _close="close", _high="high", _low="low")
+    return rows.withColumn("_t", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_close")), F.abs(F.col("low") - F.col("_close"))))
 
 
 def atr(candles: DataFrame, n: int = 14) -> DataFrame:
     """Average true range in ``atr``, by Wilder's smoothing."""
-    rows = candles.withColumn("_t", true_range())
-    return recursive(rows, lambda f: f.assign(atr=_smooth(f["_t"].to_numpy(), 1 / n, n, "mean")), "atr double").drop("_t")
-
-
-def _again(values, n: int):
-    """Exponential average of a series that itself begins with nulls."""
-    import numpy as np
-
-    begin = int(np.isnan(values).sum())
-    return np.concatenate([np.full(begin, np.nan), _smooth(values[begin:], 2 / (n + 1), n, "mean")])
+    return scan.plain(scan.smoothed(ranged(candles), atr=("_t", n, 1 / n, 0)))
 
 
 def dema_tema(candles: DataFrame, n: int = 10) -> DataFrame:
     """``dema`` and ``tema``: exponential averages with one and two corrections of their lag."""
-
-    def run(f):
-        one = _smooth(f["close"].to_numpy(), 2 / (n + 1), n, "mean")
-        two = _again(one, n)
-        return f.assign(dema=2 * one - two, tema=3 * one - 3 * two + _again(two, n))
-
-    return recursive(candles, run, "dema double, tema double")
+    rows, source = scan.numbered(candles), "close"
+    for k, name in enumerate(("_e1", "_e2", "_e3")):
+        rows, source = scan.smoothed(rows, **{name: (source, n, 2 / (n + 1), k * (n - 1))}), name
+    one, two, three = (F.col(c) for c in ("_e1", "_e2", "_e3"))
+    return scan.plain(rows.withColumns({"dema": 2 * one - two, "tema": 3 * one - 3 * two + three}))
 
 
 def keltner(candles: DataFrame, n: int = 20, span: int = 10, k: float = 2.0) -> DataFrame:
@@ -283,20 +246,93 @@ def stochastic_rsi(candles: DataFrame, n: int = 14) -> DataFrame:
 
 def directional(candles: DataFrame, n: int = 14) -> DataFrame:
     """``plus_di``, ``minus_di`` and ``adx``, by Wilder's smoothing of the averages' form."""
-
-    def run(f):
-        import numpy as np
-
-        nothing = np.full(len(f), np.nan)
-        if len(f) <= n:
-            return f.assign(plus_di=nothing, minus_di=nothing, adx=nothing)
-        high, low, span = (f[c].to_numpy(dtype=float) for c in ("high", "low", "_t"))
-        up, down = np.diff(high), -np.diff(low)
-        smooth = lambda v: np.append(np.nan, _smooth(v, 1 / n, n, "mean"))
-        average, plus, minus = smooth(span[1:]), smooth(np.where((up > down) & (up > 0), up, 0)), smooth(np.where((down > up) & (down > 0), down, 0))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plus, minus = (np.where(average > 0, x / average * 100, 0 * average) for x in (plus, minus))
-            apart = np.where(plus + minus > 0, np.abs(plus - minus) / (plus + minus) * 100, 0 * plus)
-        return f.assign(plus_di=plus, minus_di=minus, adx=np.concatenate([nothing[:n], _smooth(apart[n:], 1 / n, n, "mean")]))
-
-    return recursive(candles.withColumn("_t", true_range()), run, "plus_di double, minus_di double, adx double").drop("_t")
+    rows = ranged(candles)
+    up, down = F.col("high") - F.col("_high"), F.col("_low") - F.col("low")
+    rows = rows.withColumns({"_up": F.when((up > down) & (up > 0), up).otherwise(0.0), "_down": F.when((down > up) & (down > 0), down).otherwise(0.0)})
+    rows = scan.smoothed(rows, _at=("_t", n, 1 / n, 1), _pt=("_up", n, 1 / n, 1), _mt=("_down", n, 1 / n, 1))
+    share = lambda c: F.when(F.col("_at") > 0, F.col(c) / F.col("_at") * 100).when(F.col("_at").isNotNull(), 0.0)
+    rows = rows.withColumns({"plus_di": share("_pt"), "minus_di": share("_mt")})
+    both, apart = F.col("plus_di") + F.col("minus_di"), F.abs(F.col("plus_di") - F.col("minus_di"))
+    rows = rows.withColumn("_apart", F.when(both > 0, apart / both * 100).when(both.isNotNull(), 0.0))
+    return scan.plain(scan.smoothed(rows, adx=("_apart", n, 1 / n, n)))
+
+
+def parabolic(candles: DataFrame, start: float = 0.02, step: float = 0.02, most: float = 0.2) -> DataFrame:
+    """``psar`` and ``psar_up``: Wilder's stop and reverse, from the second bar on. It rises (falls) to the trend's extreme by an
+    acceleration that grows with each new extreme, stays outside the two bars before, and flips where a bar crosses it, to
+    the extreme (or the bar's own, where that lies beyond). The first trend is down where the second close is below the first."""
+    state = "struct<up: boolean, sar: double, ep: double, af: double, h1: double, l1: double, h2: double, l2: double, close: double>"
+
+    def after(s, x):
+        entry = lambda up, sar, ep, af, h2, l2: F.struct(*[c.alias(n) for c, n in zip((up, sar, ep, af, x["high"], x["low"], h2, l2, x["close"]), ("up", "sar", "ep", "af", "h1", "l1", "h2", "l2", "close"))])
+        nothing = F.lit(None).cast("double")
+        first = entry(F.lit(None).cast("boolean"), nothing, nothing, nothing, x["high"], x["low"])
+        rises = ~(x["close"] < s["close"])
+        second = entry(rises, F.when(rises, s["l1"]).otherwise(s["h1"]), F.when(rises, F.greatest(s["h1"], x["high"])).otherwise(F.least(s["l1"], x["low"])), F.lit(start), s["h1"], s["l1"])
+
+        def moved(sar):
+            crossed = F.when(s["up"], x["low"] < sar).otherwise(x["high"] > sar)
+            beyond = F.when(s["up"], x["high"] > s["ep"]).otherwise(x["low"] < s["ep"])
+            turned = entry(~s["up"], F.when(s["up"], F.greatest(s["ep"], x["high"])).otherwise(F.least(s["ep"], x["low"])), F.when(s["up"], x["low"]).otherwise(x["high"]), F.lit(start), s["h1"], s["l1"])
+            went = entry(s["up"], sar, F.when(beyond, F.when(s["up"], x["high"]).otherwise(x["low"])).otherwise(s["ep"]), F.when(beyond, F.least(s["af"] + step, F.lit(most))).otherwise(s["af"]), s["h1"], s["l1"])
+            return F.when(crossed, turned).otherwise(went)
+
+        sar = s["sar"] + s["af"] * (s["ep"] - s["sar"])
+        sar = F.when(s["up"], F.least(sar, s["l1"], s["l2"])).otherwise(F.greatest(sar, s["h1"], s["h2"]))
+        return F.when(s.isNull(), first).when(s["up"].isNull(), second).otherwise(scan.once(sar, moved))
+
+    rows = scan.machine(scan.numbered(candles), state, after)
+    return scan.plain(rows.withColumns({"psar": F.col("_state.sar"), "psar_up": F.col("_state.up")}))
+
+
+def supertrend(candles: DataFrame, n: int = 10, k: float = 3.0) -> DataFrame:
+    """``supertrend`` and ``supertrend_up``: bands ``k`` average true ranges from the middle of the bar, the upper only falling
+    and the lower only rising until a close crosses them. The line is the lower band in a rising trend, which ends with a close
+    below it, and the upper in a falling one; it begins with the average true range, rising if the close isn't below the
+    bar's middle."""
+    state = "struct<upper: double, lower: double, up: boolean, close: double>"
+    rows = scan.smoothed(ranged(candles), _atr=("_t", n, 1 / n, 0))
+    middle = (F.col("high") + F.col("low")) / 2
+    rows = rows.withColumns({"_over": middle + k * F.col("_atr"), "_under": middle - k * F.col("_atr"), "_rises": F.col("close") >= middle})
+
+    def after(s, x):
+        entry = lambda upper, lower, up: F.struct(upper.alias("upper"), lower.alias("lower"), up.alias("up"), x["close"].alias("close"))
+        upper = F.when((x["_over"] < s["upper"]) | (s["close"] > s["upper"]), x["_over"]).otherwise(s["upper"])
+        lower = F.when((x["_under"] > s["lower"]) | (s["close"] < s["lower"]), x["_under"]).otherwise(s["lower"])
+        up = F.when(s["up"], ~(x["close"] < lower)).otherwise(x["close"] > upper)
+        return F.when(x["_over"].isNull(), F.lit(None).cast(state)).when(s.isNull(), entry(x["_over"], x["_under"], x["_rises"])).otherwise(entry(upper, lower, up))
+
+    rows = scan.machine(rows, state, after)
+    line = F.when(F.col("_state.up"), F.col("_state.lower")).otherwise(F.col("_state.upper"))
+    return scan.plain(rows.withColumns({"supertrend": line, "supertrend_up": F.col("_state.up")}))
+
+
+def zigzag(candles: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """Pivots (symbol, kind, ts, price, confirmed_ts, open): highs and lows in turn, each confirmed by the first later bar that
+    lies the fraction ``threshold`` away from it, so a confirmed pivot never changes. The extreme of the leg that isn't
+    confirmed yet is the one row with ``open`` true and no confirmed_ts. A bar that extends a leg doesn't turn it; before the
+    first reversal the highest and the lowest bar so far are watched, a rise wins over a fall in one bar; of equal extremes the
+    first counts."""
+    ts = candles.schema["ts"].dataType.simpleString()
+    state = f"struct<side: int, ext: double, ext_ts: {ts}, low: double, low_ts: {ts}, pivot: double, pivot_ts: {ts}>"
+    names = ("side", "ext", "ext_ts", "low", "low_ts", "pivot", "pivot_ts")
+
+    def after(s, x):
+        none, never = F.lit(None).cast("double"), F.lit(None).cast(ts)
+        entry = lambda *values: F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)])
+        leg = lambda side, ext, at, pivot=none, when=never: entry(F.lit(side), ext, at, none, never, pivot, when)
+        first = entry(F.lit(0), x["high"], x["ts"], x["low"], x["ts"], none, never)
+        higher, lower = x["high"] > s["ext"], x["low"] < s["low"]
+        watch = entry(F.lit(0), F.when(higher, x["high"]).otherwise(s["ext"]), F.when(higher, x["ts"]).otherwise(s["ext_ts"]), F.when(lower, x["low"]).otherwise(s["low"]), F.when(lower, x["ts"]).otherwise(s["low_ts"]), none, never)
+        up, down = leg(1, x["high"], x["ts"]), leg(-1, x["low"], x["ts"])
+        falls, rises = x["low"] <= s["ext"] * (1 - threshold), x["high"] >= s["ext"] * (1 + threshold)
+        begun = F.when(x["high"] >= s["low"] * (1 + threshold), leg(1, x["high"], x["ts"], s["low"], s["low_ts"])).when(falls, leg(-1, x["low"], x["ts"], s["ext"], s["ext_ts"])).otherwise(watch)
+        rising = F.when(higher, up).when(falls, leg(-1, x["low"], x["ts"], s["ext"], s["ext_ts"])).otherwise(leg(1, s["ext"], s["ext_ts"]))
+        falling = F.when(x["low"] < s["ext"], down).when(rises, leg(1, x["high"], x["ts"], s["ext"], s["ext_ts"])).otherwise(leg(-1, s["ext"], s["ext_ts"]))
+        return F.when(s.isNull(), first).when(s["side"] == 0, begun).when(s["side"] == 1, rising).otherwise(falling)
+
+    rows = scan.machine(scan.numbered(candles.select("symbol", "ts", "high", "low")), state, after)
+    kind = lambda side: F.when(side == 1, "low").otherwise("high").alias("kind")
+    done = rows.where("_state.pivot IS NOT NULL").select("symbol", kind(F.col("_state.side")), F.col("_state.pivot_ts").alias("ts"), F.col("_state.pivot").alias("price"), F.col("ts").alias("confirmed_ts"), F.lit(False).alias("open"))
+    last = rows.groupBy("symbol").agg(F.max_by("_state", "_n").alias("s")).where("s.side <> 0")
+    return done.unionByName(last.select("symbol", kind(-F.col("s.side")), F.col("s.ext_ts").alias("ts"), F.col("s.ext").alias("price"), F.lit(None).cast(ts).alias("confirmed_ts"), F.lit(True).alias("open")))

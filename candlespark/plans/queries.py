@@ -933,6 +933,60 @@ def _(spark, d):
     return indicators.directional(candles(spark, d, "1h"), 14).select("symbol", "ts", *[rounded(c, 4) for c in ("plus_di", "minus_di", "adx")])
 
 
+PSAR = """k AS (
+  SELECT symbol, ts, rn, NULL::BOOLEAN AS up, NULL::DOUBLE AS sar, NULL::DOUBLE AS ep, NULL::DOUBLE AS af, high AS h1, low AS l1, high AS h2, low AS l2, close AS pc FROM n WHERE rn = 1
+  UNION ALL
+  SELECT symbol, ts, rn, CASE WHEN up IS NULL THEN NOT close < pc WHEN flip THEN NOT up ELSE up END,
+         CASE WHEN up IS NULL THEN CASE WHEN close < pc THEN h1 ELSE l1 END WHEN NOT flip THEN stop WHEN up THEN greatest(ep, high) ELSE least(ep, low) END,
+         CASE WHEN up IS NULL THEN CASE WHEN close < pc THEN least(l1, low) ELSE greatest(h1, high) END WHEN flip THEN CASE WHEN up THEN low ELSE high END WHEN up THEN greatest(ep, high) ELSE least(ep, low) END,
+         CASE WHEN up IS NULL OR flip THEN 0.02::DOUBLE WHEN CASE WHEN up THEN high > ep ELSE low < ep END THEN least(af + 0.02::DOUBLE, 0.2::DOUBLE) ELSE af END,
+         high, low, h1, l1, close
+  FROM (SELECT *, CASE WHEN up THEN low < stop ELSE high > stop END AS flip
+        FROM (SELECT n.symbol, n.ts, n.rn, n.high, n.low, n.close, k.up, k.ep, k.af, k.h1, k.l1, k.pc, CASE WHEN k.up THEN least(k.sar + k.af * (k.ep - k.sar), k.l1, k.l2) ELSE greatest(k.sar + k.af * (k.ep - k.sar), k.h1, k.h2) END AS stop
+              FROM k JOIN n ON n.symbol = k.symbol AND n.rn = k.rn + 1)))"""
+
+
+@query("parabolic_sar", NUMBERED_HOURS + ",\n" + PSAR + "\nSELECT symbol, ts, round(sar, 6) AS psar, up AS psar_up FROM k")
+def _(spark, d):
+    return indicators.parabolic(candles(spark, d, "1h")).select("symbol", "ts", rounded("psar"), "psar_up")
+
+
+BANDS = "b AS (SELECT r.symbol, r.ts, r.rn, r.close, (high + low) / 2 + 2.0::DOUBLE * a.e AS over, (high + low) / 2 - 2.0::DOUBLE * a.e AS under, close >= (high + low) / 2 AS up FROM r JOIN a USING (symbol, rn))"
+SUPERTREND = """k AS (
+  SELECT symbol, ts, rn, over AS upper, under AS lower, up, close FROM b WHERE rn = 7
+  UNION ALL
+  SELECT symbol, ts, rn, upper, lower, CASE WHEN up THEN NOT close < lower ELSE close > upper END, close
+  FROM (SELECT b.symbol, b.ts, b.rn, b.close, k.up, CASE WHEN b.over < k.upper OR k.close > k.upper THEN b.over ELSE k.upper END AS upper, CASE WHEN b.under > k.lower OR k.close < k.lower THEN b.under ELSE k.lower END AS lower
+        FROM k JOIN b ON b.symbol = k.symbol AND b.rn = k.rn + 1))"""
+
+
+@query("supertrend", NUMBERED_HOURS + ",\n" + ",\n".join([RANGES, ema_sql("a", "r", "t", 7, 1, "1.0::DOUBLE / 7"), BANDS, SUPERTREND]) + "\nSELECT n.symbol, n.ts, round(CASE WHEN up THEN lower ELSE upper END, 6) AS supertrend, up AS supertrend_up FROM n LEFT JOIN k USING (symbol, rn)")
+def _(spark, d):
+    return indicators.supertrend(candles(spark, d, "1h"), 7, 2.0).select("symbol", "ts", rounded("supertrend"), "supertrend_up")
+
+
+ZIGZAG = """k AS (
+  SELECT symbol, ts, rn, 0 AS side, high AS ext, ts AS ext_ts, low, ts AS low_ts, NULL::DOUBLE AS turned, NULL::TIMESTAMP AS turned_ts FROM n WHERE rn = 1
+  UNION ALL
+  SELECT symbol, ts, rn, CASE turn WHEN 'rise' THEN 1 WHEN 'fall' THEN -1 ELSE side END,
+         CASE WHEN turn = 'rise' OR turn = 'higher' OR turn IS NULL AND side = 0 AND h > ext THEN h WHEN turn = 'fall' OR turn = 'lower' THEN l ELSE ext END,
+         CASE WHEN turn IS NOT NULL OR side = 0 AND h > ext THEN ts ELSE ext_ts END,
+         CASE WHEN turn IS NULL AND side = 0 THEN least(l, low) END, CASE WHEN turn IS NULL AND side = 0 THEN CASE WHEN l < low THEN ts ELSE low_ts END END,
+         CASE WHEN turn = 'rise' AND side = 0 THEN low WHEN turn IN ('rise', 'fall') THEN ext END, CASE WHEN turn = 'rise' AND side = 0 THEN low_ts WHEN turn IN ('rise', 'fall') THEN ext_ts END
+  FROM (SELECT n.symbol, n.ts, n.rn, n.high AS h, n.low AS l, k.side, k.ext, k.ext_ts, k.low, k.low_ts,
+               CASE k.side WHEN 0 THEN CASE WHEN n.high >= k.low * (1 + 0.6::DOUBLE) THEN 'rise' WHEN n.low <= k.ext * (1 - 0.6::DOUBLE) THEN 'fall' END
+                           WHEN 1 THEN CASE WHEN n.high > k.ext THEN 'higher' WHEN n.low <= k.ext * (1 - 0.6::DOUBLE) THEN 'fall' END
+                           ELSE CASE WHEN n.low < k.ext THEN 'lower' WHEN n.high >= k.ext * (1 + 0.6::DOUBLE) THEN 'rise' END END AS turn
+        FROM k JOIN n ON n.symbol = k.symbol AND n.rn = k.rn + 1))"""
+PIVOTS = """SELECT symbol, CASE WHEN side = 1 THEN 'low' ELSE 'high' END AS kind, turned_ts AS ts, turned AS price, ts AS confirmed_ts, false AS open FROM k WHERE turned IS NOT NULL
+UNION ALL SELECT symbol, CASE WHEN side = 1 THEN 'high' ELSE 'low' END, ext_ts, ext, NULL, true FROM k WHERE side <> 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) = 1"""
+
+
+@query("zigzag", NUMBERED_HOURS + ",\n" + ZIGZAG + "\n" + PIVOTS)
+def _(spark, d):
+    return indicators.zigzag(candles(spark, d, "1h"), 0.6)
+
+
 RETURNS = f"""SELECT symbol, steps, round(b / a - 1, 6) AS total_return, round(CASE WHEN steps > 0 THEN pow(b / a, 252.0::DOUBLE / steps) - 1 END, 4) AS cagr, round(dev * sqrt(252.0::DOUBLE), 6) AS volatility, round(most, 6) AS max_drawdown,
        round(CASE WHEN dev > 0 THEN mean / dev * sqrt(252.0::DOUBLE) END, 6) AS sharpe, round(CASE WHEN down > 0 THEN mean / down * sqrt(252.0::DOUBLE) END, 6) AS sortino, round(CASE WHEN most > 0 AND steps > 0 THEN (pow(b / a, 252.0::DOUBLE / steps) - 1) / most END, 4) AS calmar
 FROM (SELECT symbol, count(step) AS steps, arg_min(close, ts) AS a, arg_max(close, ts) AS b, avg(step) AS mean, stddev_samp(step) AS dev, sqrt(avg(pow(CASE WHEN step < 0 THEN step WHEN step >= 0 THEN 0 END, 2))) AS down, max(fallen) AS most
