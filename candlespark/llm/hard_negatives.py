@@ -36,9 +36,9 @@ from candlespark.llm.embedding_dedup import by_length
 #: Positives of an anchor, negatives of a positive, and the band of their scores in hundredths of the positive's.
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 3, 50, 95
 #: Rows of a block, anchors of a group, pivots of a vector length, rows that they are taken from.
-BLOCK, GROUP, PIVOTS, SAMPLE = 1_024, 1_024, 16, 2_000
-#: Rows that a task stores; slack of computed distances, in parts of the longest vector.
-TASK_ROWS, SLACK = 65_536, 1e-6
+BLOCK, GROUP, PIVOTS, SAMPLE = 2_048, 1_024, 16, 2_000
+#: Rows that a task stores, anchors that a task scores at once; slack of computed distances, in parts of the longest vector.
+TASK_ROWS, AT_ONCE, SLACK = 65_536, 256, 1e-6
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
@@ -112,10 +112,7 @@ class Index:
         part = min(1.0, SAMPLE / max(self.rows, 1))
         sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(part * (1 << 30))).select("v").limit(2 * SAMPLE).collect()
         self.pivots = pivots_of([r["v"] for r in sample], self.longest)
-        keyed, n = self._keyed(rows), max(self.spark.sparkContext.defaultParallelism, -(-self.rows // TASK_ROWS))
-        order = ["size", "pivot", "key", "row"]
-        stored = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("block", F.expr(f"monotonically_increasing_id() div {BLOCK}"))
-        self.table = self._kept(stored, "index")
+        self.table = self._sorted(self._keyed(rows), self.rows, BLOCK, "block")
         self.spans = cut(self.table.groupBy("block", "size", "pivot").agg(F.min("key").alias("low"), F.max("key").alias("high")))
 
     def _kept(self, rows: DataFrame, name: str) -> DataFrame:
@@ -123,6 +120,17 @@ class Index:
         rows.write.parquet(path)
         return self.spark.read.parquet(path)
 
+    def _sorted(self, rows: DataFrame, n: int, unit: int, name: str) -> DataFrame:
+        """``rows`` stored in order of (size, pivot, key), however many tasks store them, with a column ``name`` that numbers each
+        ``unit`` rows of that order. A window in one task adds up the tasks' row counts."""
+        tasks, order = max(self.spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS)), ["size", "pivot", "key", "row"]
+        stored = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+        stored = self._kept(stored, name).withColumn("task", F.shiftright("place", 33))
+        sizes = stored.groupBy("task").agg(F.count("*").alias("n"))
+        sizes = cut(sizes.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("from")))
+        at = F.col("from") + F.col("place").bitwiseAND((1 << 33) - 1)
+        return stored.join(F.broadcast(sizes), "task").withColumn(name, F.floor(at / unit)).drop("task", "place", "from")
+
     def _keyed(self, rows: DataFrame) -> DataFrame:
         pivots, longest = self.pivots, self.longest
 
@@ -142,10 +150,8 @@ class Index:
 
     def anchors(self, where) -> DataFrame:
         """The rows that are anchors, in groups of neighbours in the order of the index."""
-        rows = self.table.where(where)
-        n, order = max(1, -(-rows.count() // TASK_ROWS)), ["size", "pivot", "key", "row"]
-        stored = rows.select("row", "vec_id", "label", "v", "size", "pivot", "key", "square").repartitionByRange(n, *order).sortWithinPartitions(*order)
-        return self._kept(stored.withColumn("group", F.expr(f"monotonically_increasing_id() div {GROUP}")).drop("pivot", "key"), "anchors")
+        rows = self.table.where(where).drop("block")
+        return self._sorted(rows, rows.count(), GROUP, "group").drop("pivot", "key")
 
     def scan(self, anchors: DataFrame, k: int, same: bool) -> DataFrame:
         """``anchors(row, group, label, v, size, inner, outer, bands)``: of the rows whose annulus lies beyond ``inner`` and up to
@@ -179,7 +185,8 @@ class Index:
             theirs, their_label, inner, outer = (queries.column(c).to_numpy() for c in ("row", "label", "inner", "outer"))
             bands = queries.column("bands").to_pylist()
             held = {x.shape[1]: (at, x) for at, x in by_length(rows.column("v").combine_chunks())}
-            for at, x in by_length(queries.column("v").combine_chunks()):
+            parts = ((at[k : k + AT_ONCE], x[k : k + AT_ONCE]) for at, x in by_length(queries.column("v").combine_chunks()) for k in range(0, len(at), AT_ONCE))
+            for at, x in parts:
                 if x.shape[1] not in held:
                     continue
                 mine, y = held[x.shape[1]]
