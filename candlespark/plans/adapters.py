@@ -67,3 +67,17 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "empty").otherwise("failed")
     start = F.col("o_orderdate").cast("date")
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 20).alias("symbol_id"), F.lit("1d").alias("timeframe"), start.alias("range_start"), F.date_add(start, (F.col("o_orderkey") % 120).cast("int")).alias("range_end"), status.alias("status"), F.col("o_orderdate").alias("started_at"), (F.col("o_orderkey") % 90).cast("int").alias("bars"), (F.col("o_orderkey") % 4).cast("int").alias("rejected"))
+
+
+def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as monthly bars of futures: every root (priority) has a contract a half-year, an order trades this half-year's or the
+    next one's; what is in front changes with the volume."""
+    at = F.col("o_orderdate")
+    half = F.year(at) * 2 + F.when(F.month(at) > 6, 1).otherwise(0) + F.when(F.col("o_custkey") % 5 < F.month(at) % 6, 1).otherwise(0)
+    expiry = F.last_day(F.make_date(F.floor(half / 2).cast("int"), F.when(half % 2 == 0, 6).otherwise(12), F.lit(1)))
+    rows = read(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 3, 30).alias("root"), expiry.alias("expiry"), F.trunc(at.cast("date"), "month").alias("dy"), "o_orderkey", "o_totalprice", "o_custkey")
+    key = F.col("o_orderkey")
+    rows = rows.groupBy("root", "expiry", "dy").agg(
+        F.min_by("o_totalprice", key).alias("open"), F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"), F.max_by("o_totalprice", key).alias("close"), F.sum(F.col("o_custkey") % 50).alias("volume")
+    )
+    return rows.select("root", F.concat_ws("-", "root", F.date_format("expiry", "yyyyMM")).alias("contract"), "expiry", F.col("dy").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespark.ext import backtest, indicators, rules
+from candlespark.ext import backtest, futures, indicators, rules
 from candlespark.functions import bars as B
 from candlespark.functions import calendar as C
 from candlespark.functions import tickers as K
@@ -998,3 +998,38 @@ def _(spark, d):
     rows = backtest.return_metrics(candles(spark, d, "1h"), "close")
     digits = {"total_return": 6, "cagr": 4, "volatility": 6, "max_drawdown": 6, "sharpe": 6, "sortino": 6, "calmar": 4}
     return rows.select("symbol", "steps", *[F.round(c, n).alias(c) for c, n in digits.items()])
+
+
+FUTURES = """WITH o AS (SELECT substring(o_orderpriority, 3, 30) AS root, CAST(date_trunc('month', o_orderdate) AS DATE) AS dy, o_orderkey, o_totalprice, o_custkey, year(o_orderdate) * 2 + CASE WHEN month(o_orderdate) > 6 THEN 1 ELSE 0 END + CASE WHEN o_custkey % 5 < month(o_orderdate) % 6 THEN 1 ELSE 0 END AS half FROM orders),
+b AS (SELECT root, last_day(make_date(half // 2, CASE WHEN half % 2 = 0 THEN 6 ELSE 12 END, 1)) AS expiry, dy, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, CAST(sum(o_custkey % 50) AS BIGINT) AS volume FROM o GROUP BY ALL),
+lead AS (SELECT root, dy, expiry FROM b QUALIFY row_number() OVER (PARTITION BY root, dy ORDER BY volume DESC, expiry) = 1),
+front AS (SELECT root, dy, max(expiry) OVER (PARTITION BY root ORDER BY dy) AS expiry FROM lead),
+turn AS (SELECT * FROM (SELECT *, lag(expiry) OVER (PARTITION BY root ORDER BY dy) AS was FROM front) WHERE was <> expiry),
+roll AS (SELECT t.root, t.dy, t.was, t.expiry, max(x.dy) AS common, arg_max(y.close / x.close, x.dy) AS ratio, arg_max(y.close - x.close, x.dy) AS difference
+         FROM turn t LEFT JOIN (b x JOIN b y ON x.root = y.root AND x.dy = y.dy) ON x.root = t.root AND x.expiry = t.was AND y.expiry = t.expiry AND x.dy < t.dy GROUP BY ALL),
+s AS (SELECT b.*, coalesce((SELECT product(ratio) FROM roll r WHERE r.root = b.root AND r.dy > b.dy), 1) AS factor, coalesce((SELECT sum(difference) FROM roll r WHERE r.root = b.root AND r.dy > b.dy), 0) AS shift FROM b JOIN front f USING (root, dy, expiry))
+"""
+NAME = "root || '-' || strftime({}, '%Y%m')"
+
+
+@query("roll_calendar", FUTURES + f"SELECT root, dy, {NAME.format('was')} AS from_contract, {NAME.format('expiry')} AS contract, CAST(common AS TIMESTAMP) AS common_ts, round(ratio, 9) AS ratio, round(difference, 4) AS difference FROM roll")
+def _(spark, d):
+    bars = A.contracts(spark, d)
+    return futures.rolls(bars, futures.by_volume(bars)).withColumns({"ratio": F.round("ratio", 9), "difference": F.round("difference", 4)})
+
+
+def adjusted(how: str):
+    """A continuous series of the contracts, rounded."""
+
+    def run(spark, d):
+        bars = A.contracts(spark, d)
+        front = futures.by_volume(bars)
+        rows = futures.continuous(bars, front, futures.rolls(bars, front), how)
+        return rows.select("root", "ts", "contract", *[F.round(c, 4).alias(c) for c in futures.PRICES], "volume")
+
+    return run
+
+
+SERIES = f"SELECT root, CAST(dy AS TIMESTAMP) AS ts, {NAME.format('expiry')} AS contract, " + ", ".join(f"round({c} * {{0}} + {{1}}, 4) AS {c}" for c in futures.PRICES) + ", volume FROM s"
+query("continuous_ratio", FUTURES + SERIES.format("factor", "0"))(adjusted("ratio"))
+query("continuous_difference", FUTURES + SERIES.format("1", "shift"))(adjusted("difference"))
