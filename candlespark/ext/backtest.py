@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TRADES = "symbol string, entry_ts timestamp_ntz, exit_ts timestamp_ntz, lots long, entry_cents long, exit_cents long, fee_cents long, profit_cents long, reason string"
+from candlespark.ext import scan
+
+#: Most rows of a grid that are copied to every task.
+GRID_ROWS = 100_000
 
 
 def fills(candles: DataFrame) -> DataFrame:
@@ -14,36 +17,52 @@ def fills(candles: DataFrame) -> DataFrame:
     return candles.withColumn("fill_price", F.lead("open").over(w)).withColumn("fill_ts", F.lead("ts").over(w))
 
 
-def backtest(signals: DataFrame, quantity: int = 100, stop: float | None = None, target: float | None = None, slippage_bps: float = 0.0, fee_bps: float = 0.0, lot: int = 1) -> DataFrame:
-    """Long trades of candles with ``enter`` and ``leave``. A position opens at the open after its signal and closes at
-    the open after a leave signal, or inside a bar at its stop or target (fractions of the entry); the stop wins."""
-
-    def run(f):
-        import pandas as pd
-
-        rows, held, pending = [], None, None
-        size = quantity // lot * lot
-        cents = lambda price: round(price * 100)
-        for bar in f.sort_values("ts").itertuples():
-            out = None
-            if pending == "enter" and held is None:
-                held = (bar.ts, bar.open * (1 + slippage_bps / 1e4))
-            elif pending == "leave" and held is not None:
-                out = (bar.open * (1 - slippage_bps / 1e4), "signal")
-            if held is not None and out is None:
-                if stop is not None and bar.low <= held[1] * (1 - stop):
-                    out = (min(bar.open, held[1] * (1 - stop)), "stop")
-                elif target is not None and bar.high >= held[1] * (1 + target):
-                    out = (max(bar.open, held[1] * (1 + target)), "target")
-            if out is not None:
-                a, b = cents(held[1]) * size, cents(out[0]) * size
-                fee = round((a + b) * fee_bps / 1e4)
-                rows.append((bar.symbol, held[0], bar.ts, size, a, b, fee, b - a - fee, out[1]))
-                held = None
-            pending = "leave" if bar.leave else "enter" if bar.enter else None
-        return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in TRADES.split(", ")])
-
-    return signals.groupBy("symbol").applyInPandas(run, TRADES)
+def backtest(
+    signals: DataFrame, quantity: int = 100, stop: float | None = None, target: float | None = None, slippage_bps: float = 0.0, fee_bps: float = 0.0, lot: int = 1,
+    tick: float | None = None, close_at_end: bool = False,
+) -> DataFrame:
+    """Long trades of candles with ``enter`` and ``leave``, as a state machine over blocks of bars (``scan.machine``): (symbol,
+    entry_ts, exit_ts, lots, entry_cents, exit_cents, fee_cents, profit_cents, reason, ambiguous).
+
+    A position opens at the open after its signal and closes at the open after a leave signal, or inside a bar at its stop or
+    target (fractions of the entry); where one bar reaches both, the stop wins and ``ambiguous`` is true. Slippage moves fills
+    against the trade. With a ``tick``, prices are whole ticks, rounded against the trade: purchases up, sales and stops down,
+    targets up. ``close_at_end`` sells what is still held at the last bar's close, with reason "end"."""
+    unit, size, ts = tick or 1.0, quantity // lot * lot, signals.schema["ts"].dataType.simpleString()
+    buy = (lambda p: F.ceil(p / tick - 1e-9).cast("double")) if tick else (lambda p: p)
+    sell = (lambda p: F.floor(p / tick + 1e-9).cast("double")) if tick else (lambda p: p)
+    none = F.lit(None).cast("double")
+    names = ("pending", "held", "since", "out", "reason", "both")
+    state = f"struct<pending: int, held: double, since: {ts}, out: double, reason: string, both: boolean>"
+
+    def after(s, x):
+        held = F.when(s["out"].isNull(), s["held"])
+        opens = F.coalesce((s["pending"] == 1) & held.isNull(), F.lit(False))
+        leaves = F.coalesce((s["pending"] == -1) & held.isNotNull(), F.lit(False))
+        pending = F.when(x["leave"], -1).when(x["enter"], 1).otherwise(0)
+
+        def then(h):
+            floor = none if stop is None else F.floor(h * (1 - stop) + 1e-9).cast("double") if tick else h * (1 - stop)
+            roof = none if target is None else F.ceil(h * (1 + target) - 1e-9).cast("double") if tick else h * (1 + target)
+            stopped, hit = F.coalesce(x["low"] / unit <= floor + (1e-9 if tick else 0), F.lit(False)), F.coalesce(x["high"] / unit >= roof - (1e-9 if tick else 0), F.lit(False))
+            out = F.when(leaves, sell(x["open"] * (1 - slippage_bps / 1e4))).when(stopped, F.least(sell(x["open"]), floor)).when(hit, F.greatest(sell(x["open"]), roof))
+            reason = F.when(leaves, "signal").when(stopped, "stop").when(hit, "target")
+            since = F.when(opens, x["ts"]).when(h.isNotNull(), s["since"])
+            return F.struct(*[v.alias(n) for v, n in zip((pending, h, since, out, reason, ~leaves & stopped & hit), names)])
+
+        return scan.once(F.when(opens, buy(x["open"] * (1 + slippage_bps / 1e4))).otherwise(held), then)
+
+    bars = signals.select("symbol", "ts", "open", "high", "low", "close", F.coalesce("enter", F.lit(False)).alias("enter"), F.coalesce("leave", F.lit(False)).alias("leave"))
+    rows = scan.machine(scan.numbered(bars), state, after)
+    done = rows.where("_state.out IS NOT NULL").select("symbol", "ts", "_state")
+    if close_at_end:
+        last = rows.groupBy("symbol").agg(F.max_by(F.struct("ts", "close", "_state"), "_n").alias("x")).where("x._state.held IS NOT NULL AND x._state.out IS NULL")
+        sold = F.col("x._state").withField("out", sell(F.col("x.close") * (1 - slippage_bps / 1e4))).withField("reason", F.lit("end"))
+        done = done.unionByName(last.select("symbol", F.col("x.ts").alias("ts"), sold.cast(state).alias("_state")))
+    cents = lambda c: F.bround(F.col(c) * (unit * 100)).cast("long") * size
+    done = done.select("symbol", F.col("_state.since").alias("entry_ts"), F.col("ts").alias("exit_ts"), F.lit(size).cast("long").alias("lots"), cents("_state.held").alias("entry_cents"), cents("_state.out").alias("exit_cents"), "_state.reason", F.col("_state.both").alias("ambiguous"))
+    done = done.withColumn("fee_cents", F.bround((F.col("entry_cents") + F.col("exit_cents")) * fee_bps / 1e4).cast("long"))
+    return done.withColumn("profit_cents", F.col("exit_cents") - F.col("entry_cents") - F.col("fee_cents")).select("symbol", "entry_ts", "exit_ts", "lots", "entry_cents", "exit_cents", "fee_cents", "profit_cents", "reason", "ambiguous")
 
 
 def drawdown(equity: DataFrame, value: str = "equity") -> DataFrame:
@@ -82,8 +101,47 @@ def return_metrics(equity: DataFrame, value: str = "equity", periods: int = 252)
     )
 
 
+def every_run(candles: DataFrame, grid: DataFrame) -> DataFrame:
+    """Candles once a row of ``grid`` (with ``run_id``), which all tasks get where it is small; ``symbol`` becomes (symbol, run_id),
+    so that what is computed by symbol is computed by run."""
+    grid = F.broadcast(grid) if grid.count() <= GRID_ROWS else grid
+    return candles.crossJoin(grid).withColumn("symbol", F.struct("symbol", "run_id"))
+
+
 def sweep(candles: DataFrame, grid: DataFrame, signal, **costs) -> DataFrame:
-    """Backtests of every parameter row of a small ``grid`` (with ``run_id``) over every symbol, in parallel."""
-    both = candles.crossJoin(F.broadcast(grid)).withColumn("symbol", F.concat_ws("|", "symbol", "run_id"))
-    trades = backtest(signal(both), **costs)
-    return trades.withColumn("run_id", F.element_at(F.split("symbol", r"\|"), -1)).withColumn("symbol", F.element_at(F.split("symbol", r"\|"), 1))
+    """Backtests of every parameter row of ``grid`` (with ``run_id``) over every symbol, in parallel: trades with run_id."""
+    trades = backtest(signal(every_run(candles, grid)), **costs)
+    return trades.withColumns({"run_id": F.col("symbol.run_id"), "symbol": F.col("symbol.symbol")})
+
+
+def windows(candles: DataFrame, train: int, test: int) -> DataFrame:
+    """(dy, window, role) over the days that have candles: window w trains on ``train`` days from day w * ``test`` on and is tested on
+    the ``test`` days after these. Days are numbered by a window in one task: they are a dimension."""
+    days = candles.select(F.col("ts").cast("date").alias("dy")).distinct()
+    n = F.row_number().over(Window.orderBy("dy")) - 1
+    days = days.withColumns({"_n": n, "_of": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    used = f"window >= 0 AND window * {test} + {train} < _of"  # a window needs a day to be tested on
+    first, last = F.ceil((F.col("_n") - train + 1) / test).cast("int"), F.floor(F.col("_n") / test).cast("int")
+    trained = days.where(first <= last).select("dy", "_of", F.explode(F.sequence(first, last)).alias("window"), F.lit("train").alias("role")).where(used)
+    tested = days.where(F.col("_n") >= train).select("dy", "_of", F.floor((F.col("_n") - train) / test).cast("int").alias("window"), F.lit("test").alias("role")).where(used)
+    return trained.unionByName(tested).drop("_of")
+
+
+def walk_forward(candles: DataFrame, grid: DataFrame, signal, train: int, test: int, start_cents: int = 0, **costs) -> DataFrame:
+    """Walk-forward analysis: in every window of every symbol, the run whose trades of the training days profit most (of equal
+    ones the smallest run_id) trades the test days; their trades in order of exit, with the running equity in cents.
+
+    Signals may look back over all earlier bars, but positions begin and end inside their days (what is held at the end of
+    them is sold at the last close), so no choice depends on a bar after its training days and no trade on one after
+    its own. A run without trades has a profit of 0."""
+    rows = signal(every_run(candles, grid)).withColumn("dy", F.col("ts").cast("date")).join(windows(candles, train, test), "dy")
+    rows = rows.withColumn("symbol", F.struct("symbol.symbol", "symbol.run_id", "window", "role"))
+    rows = scan.kept(rows.select("symbol", "ts", "open", "high", "low", "close", "enter", "leave"))
+    trades = scan.kept(backtest(rows, close_at_end=True, **costs).select(F.col("symbol").alias("of"), *[c for c in ("entry_ts", "exit_ts", "lots", "entry_cents", "exit_cents", "fee_cents", "profit_cents", "reason")]))
+    profit = trades.where("of.role = 'train'").groupBy("of").agg(F.sum("profit_cents").alias("profit"))
+    runs = rows.where("symbol.role = 'train'").select(F.col("symbol").alias("of")).distinct().join(profit, "of", "left").select("of.symbol", "of.window", "of.run_id", F.coalesce("profit", F.lit(0)).alias("profit"))
+    best = F.row_number().over(Window.partitionBy("symbol", "window").orderBy(F.desc("profit"), "run_id"))
+    chosen = runs.withColumn("_b", best).where("_b = 1").select("symbol", "window", "run_id", F.col("profit").alias("train_cents"))
+    out = trades.where("of.role = 'test'").select("of.symbol", "of.window", "of.run_id", *trades.columns[1:]).join(chosen, ["symbol", "window", "run_id"])
+    order = Window.partitionBy("symbol").orderBy("exit_ts", "entry_ts").rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("equity_cents", F.sum("profit_cents").over(order) + start_cents)

@@ -1033,3 +1033,88 @@ def adjusted(how: str):
 SERIES = f"SELECT root, CAST(dy AS TIMESTAMP) AS ts, {NAME.format('expiry')} AS contract, " + ", ".join(f"round({c} * {{0}} + {{1}}, 4) AS {c}" for c in futures.PRICES) + ", volume FROM s"
 query("continuous_ratio", FUTURES + SERIES.format("factor", "0"))(adjusted("ratio"))
 query("continuous_difference", FUTURES + SERIES.format("1", "shift"))(adjusted("difference"))
+
+
+def positions_sql(keys: str, stop: float, target: float, slip: float = 0.0, tick: float | None = None) -> str:
+    """CTE k of the position after each bar of q(keys, rn, ts, open, high, low, close, enter, leave), rn from 1 within the keys: ``o`` is
+    the price that closes the position of price ``h``; prices are in ticks where there is a tick."""
+    d = lambda v: f"{v!r}::DOUBLE"
+    per = f" / {d(tick)}" if tick else ""
+    buy = f"ceil(q.open * {d(1 + slip / 1e4)}{per} - 1e-9)" if tick else f"q.open * {d(1 + slip / 1e4)}"
+    sell = lambda p: f"floor({p}{per} + 1e-9)" if tick else p
+    floor, roof = (f"floor(h * (1 - {d(stop)}) + 1e-9)", f"ceil(h * (1 + {d(target)}) - 1e-9)") if tick else (f"h * (1 - {d(stop)})", f"h * (1 + {d(target)})")
+    slack = "1e-9" if tick else "0"
+    low, high = f"low{per} <= fl + {slack}", f"high{per} >= rf - {slack}"
+    same = " AND ".join(f"q.{c} = k.{c}" for c in keys.split(", "))
+    mine = ", ".join(f"q.{c}" for c in keys.split(", "))
+    pend = "CASE WHEN leave THEN 'leave' WHEN enter THEN 'enter' END"
+    return f"""k AS (
+  SELECT {keys}, rn, ts, close, {pend} AS pend, NULL::DOUBLE AS held, NULL::TIMESTAMP AS since, NULL::DOUBLE AS h, NULL::TIMESTAMP AS entered, NULL::DOUBLE AS o, NULL::VARCHAR AS reason, false AS unsure FROM q WHERE rn = 1
+  UNION ALL
+  SELECT {keys}, rn, ts, close, pend, CASE WHEN o IS NULL THEN h END, CASE WHEN o IS NULL THEN entered END, h, entered, o, reason, coalesce(NOT lv AND {low} AND {high}, false)
+  FROM (SELECT *, CASE WHEN lv THEN {sell(f"open * {d(1 - slip / 1e4)}" if slip else "open")} WHEN {low} THEN least({sell("open")}, fl) WHEN {high} THEN greatest({sell("open")}, rf) END AS o, CASE WHEN lv THEN 'signal' WHEN {low} THEN 'stop' WHEN {high} THEN 'target' END AS reason
+        FROM (SELECT *, {floor} AS fl, {roof} AS rf
+              FROM (SELECT {mine}, q.rn, q.ts, q.open, q.high, q.low, q.close, CASE WHEN q.leave THEN 'leave' WHEN q.enter THEN 'enter' END AS pend, CASE WHEN k.pend = 'enter' AND k.held IS NULL THEN {buy} ELSE k.held END AS h,
+                           CASE WHEN k.pend = 'enter' AND k.held IS NULL THEN q.ts ELSE k.since END AS entered, coalesce(k.pend = 'leave' AND k.held IS NOT NULL, false) AS lv
+                    FROM k JOIN q ON {same} AND q.rn = k.rn + 1))))"""
+
+
+def crossing_sql(length: int) -> str:
+    """Hours with the signals of a close crossing its average of ``length`` hours."""
+    mean = f"CASE WHEN rn >= {length} THEN avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW) END"
+    return f"SELECT *, coalesce(pc <= ps AND close > sma, false) AS enter, coalesce(pc >= ps AND close < sma, false) AS leave FROM (SELECT *, lag(close) OVER o AS pc, lag(sma) OVER o AS ps FROM (SELECT *, {mean} AS sma FROM n) WINDOW o AS (PARTITION BY symbol ORDER BY ts))"
+
+
+def crossing(rows, length):
+    """Rows with enter and leave where the close crosses its average of ``length`` bars."""
+    c = rows.withColumn("sma", indicators.sma(F.col("close"), length))
+    up, down = ({"op": op, "left": "close", "right": "sma"} for op in ("crosses_above", "crosses_below"))
+    return c.withColumn("enter", rules.compile_rule(up)).withColumn("leave", rules.compile_rule(down))
+
+
+IN_TICKS = """, m AS (SELECT symbol, entered AS entry_ts, ts AS exit_ts, reason, unsure AS ambiguous, CAST(round_even(h * 2.5::DOUBLE, 0) AS BIGINT) * 100 AS entry_cents, CAST(round_even(o * 2.5::DOUBLE, 0) AS BIGINT) * 100 AS exit_cents FROM k WHERE o IS NOT NULL)
+SELECT *, exit_cents - entry_cents AS profit_cents FROM m"""
+
+
+@query("backtest_ticks", NUMBERED_HOURS + ",\nq AS (" + crossing_sql(5) + "),\n" + positions_sql("symbol", 0.3, 0.4, 7.0, 0.025) + IN_TICKS)
+def _(spark, d):
+    trades = backtest.backtest(crossing(candles(spark, d, "1h"), 5), stop=0.3, target=0.4, slippage_bps=7.0, tick=0.025)
+    return trades.select("symbol", "entry_ts", "exit_ts", "reason", "ambiguous", "entry_cents", "exit_cents", "profit_cents")
+
+
+SWEPT = ",\nx AS (SELECT 3 AS run_id, * FROM (" + crossing_sql(3) + ") UNION ALL SELECT 8, * FROM (" + crossing_sql(8) + "))"
+CENTS = "CAST(round_even(h * 100, 0) AS BIGINT) * 100 AS a, CAST(round_even(o * 100, 0) AS BIGINT) * 100 AS b"
+FEES = "CAST(round_even((a + b) * 3.0::DOUBLE / 1e4, 0) AS BIGINT)"
+
+
+@query("sweep", NUMBERED_HOURS + SWEPT + ",\nq AS (SELECT * FROM x),\n" + positions_sql("symbol, run_id", 0.5, 1.0) + f"\nSELECT symbol, run_id, count(*) AS trades, CAST(sum(b - a - {FEES}) AS BIGINT) AS profit_cents FROM (SELECT symbol, run_id, {CENTS} FROM k WHERE o IS NOT NULL) GROUP BY ALL")
+def _(spark, d):
+    trades = backtest.sweep(candles(spark, d, "1h"), spark.createDataFrame([(3,), (8,)], "run_id int"), crossings, stop=0.5, target=1.0, fee_bps=3)
+    return trades.groupBy("symbol", "run_id").agg(F.count("*").alias("trades"), F.sum("profit_cents").alias("profit_cents"))
+
+
+def crossings(rows):
+    """Signals of averages of ``run_id`` bars, of the two lengths that are tried."""
+    a, b = crossing(rows, 3), crossing(rows, 8)
+    return a.where("run_id = 3").unionByName(b.where("run_id = 8"))
+
+
+FORWARD = f""",
+days AS (SELECT dy, row_number() OVER (ORDER BY dy) - 1 AS d, count(*) OVER () AS total FROM (SELECT DISTINCT CAST(ts AS DATE) AS dy FROM n)),
+wins AS (SELECT dy, w, CASE WHEN d < w * 3 + 5 THEN 'train' ELSE 'test' END AS role FROM days, generate_series(0, 30) g(w) WHERE w * 3 + 5 < total AND d BETWEEN w * 3 AND w * 3 + 7),
+q AS (SELECT symbol, run_id, w, role, row_number() OVER (PARTITION BY symbol, run_id, w, role ORDER BY ts) AS rn, ts, open, high, low, close, enter, leave FROM x JOIN wins ON CAST(ts AS DATE) = dy),
+{positions_sql("symbol, run_id, w, role", 0.5, 1.0)},
+sold AS (SELECT symbol, run_id, w, role, ts, entered, h, o, reason FROM k WHERE o IS NOT NULL
+  UNION ALL SELECT symbol, run_id, w, role, ts, since, held, close, 'end' FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY symbol, run_id, w, role ORDER BY rn DESC) = 1) WHERE held IS NOT NULL),
+m AS (SELECT *, b - a - {FEES} AS profit FROM (SELECT *, {CENTS} FROM sold)),
+best AS (SELECT symbol, w, run_id, profit FROM (SELECT q.symbol, q.w, q.run_id, coalesce((SELECT sum(profit) FROM m WHERE m.symbol = q.symbol AND m.w = q.w AND m.run_id = q.run_id AND m.role = 'train'), 0) AS profit FROM (SELECT DISTINCT symbol, w, run_id FROM q WHERE role = 'train') q)
+  QUALIFY row_number() OVER (PARTITION BY symbol, w ORDER BY profit DESC, run_id) = 1)
+SELECT m.symbol, CAST(m.w AS INTEGER) AS "window", m.run_id, CAST(best.profit AS BIGINT) AS train_cents, m.entered AS entry_ts, m.ts AS exit_ts, m.reason, m.profit AS profit_cents,
+       CAST(sum(m.profit) OVER (PARTITION BY m.symbol ORDER BY m.ts, m.entered ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS equity_cents
+FROM m JOIN best USING (symbol, w, run_id) WHERE m.role = 'test'"""
+
+
+@query("walk_forward", NUMBERED_HOURS + SWEPT + FORWARD)
+def _(spark, d):
+    rows = backtest.walk_forward(candles(spark, d, "1h"), spark.createDataFrame([(3,), (8,)], "run_id int"), crossings, 5, 3, stop=0.5, target=1.0, fee_bps=3)
+    return rows.select("symbol", "window", "run_id", "train_cents", "entry_ts", "exit_ts", "reason", "profit_cents", "equity_cents")

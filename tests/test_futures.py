@@ -28,7 +28,7 @@ def three(spark):
     rng, rows = np.random.default_rng(3), []
     for k, level in enumerate((100.0, 130.0, 90.0)):
         for day in range(1, 11):
-            level += rng.integers(-3, 4)
+            level += int(rng.integers(-3, 4))
             rows.append((k, day, level, 500 if k == (day >= 4) + (day >= 7) else 100))
     return rows
 
