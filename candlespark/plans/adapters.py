@@ -81,3 +81,12 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min_by("o_totalprice", key).alias("open"), F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"), F.max_by("o_totalprice", key).alias("close"), F.sum(F.col("o_custkey") % 50).alias("volume")
     )
     return rows.select("root", F.concat_ws("-", "root", F.date_format("expiry", "yyyyMM")).alias("contract"), "expiry", F.col("dy").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
+
+
+def monthly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as monthly bars of an average price in cents: symbol=o_orderpriority, the close without the month's last ten days."""
+    day = F.dayofmonth("o_orderdate")
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("symbol"), F.trunc(F.col("o_orderdate").cast("date"), "month").cast("timestamp_ntz").alias("ts"), F.bround(F.col("o_totalprice") * 100).cast("long").alias("_c"), (day <= 20).alias("_early"))
+    mean = lambda c: F.call_function("div", F.sum(c), F.count(c)) / 100
+    rows = rows.groupBy("symbol", "ts").agg(mean(F.col("_c")).alias("open"), mean(F.when(F.col("_early"), F.col("_c"))).alias("close"))
+    return rows.withColumn("close", F.coalesce("close", "open"))

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespark.ext import backtest, futures, indicators, rules
+from candlespark.ext import backtest, futures, indicators, portfolio, rules
 from candlespark.functions import bars as B
 from candlespark.functions import calendar as C
 from candlespark.functions import tickers as K
@@ -1118,3 +1118,30 @@ FROM m JOIN best USING (symbol, w, run_id) WHERE m.role = 'test'"""
 def _(spark, d):
     rows = backtest.walk_forward(candles(spark, d, "1h"), spark.createDataFrame([(3,), (8,)], "run_id int"), crossings, 5, 3, stop=0.5, target=1.0, fee_bps=3)
     return rows.select("symbol", "window", "run_id", "train_cents", "entry_ts", "exit_ts", "reason", "profit_cents", "equity_cents")
+
+
+PORTFOLIO = """WITH RECURSIVE o AS (SELECT o_orderpriority AS symbol, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS ts, CAST(round_even(o_totalprice * 100, 0) AS BIGINT) AS c, day(o_orderdate) <= 20 AS early FROM orders),
+b AS (SELECT symbol, ts, CAST(sum(c) // count(c) AS DOUBLE) / 100 AS open, CAST(coalesce(sum(c) FILTER (early) // count(c) FILTER (early), sum(c) // count(c)) AS DOUBLE) / 100 AS close FROM o GROUP BY ALL),
+s AS (SELECT symbol, ts, open, lag(score) OVER (PARTITION BY symbol ORDER BY ts) AS score FROM (SELECT *, close / lag(close, 3) OVER (PARTITION BY symbol ORDER BY ts) AS score FROM b)),
+c AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC NULLS LAST, symbol) <= 2 AND score IS NOT NULL AS chosen FROM s),
+w AS (SELECT ts, symbol, CAST(round_even(open * 100, 0) AS BIGINT) AS cents, CASE WHEN chosen THEN 1 / count_if(chosen) OVER (PARTITION BY ts) ELSE 0 END AS weight FROM c),
+d AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i FROM (SELECT DISTINCT ts FROM w)),
+u AS (SELECT d.i, d.ts, y.symbol, w.cents, w.weight FROM d CROSS JOIN (SELECT DISTINCT symbol FROM w) y LEFT JOIN w ON w.ts = d.ts AND w.symbol = y.symbol),
+k AS (
+  SELECT CAST(0 AS BIGINT) AS i, NULL::TIMESTAMP AS ts, symbol, CAST(0 AS BIGINT) AS quantity, CAST(0 AS BIGINT) AS cents, CAST(5000000000 AS BIGINT) AS cash, CAST(5000000000 AS BIGINT) AS equity, CAST(0 AS BIGINT) AS fees, CAST(0 AS BIGINT) AS traded FROM (SELECT DISTINCT symbol FROM w)
+  UNION ALL
+  SELECT i, ts, symbol, goal, price, CAST(cash - sum(step * price) OVER () - sum(fee) OVER () AS BIGINT), CAST(worth - sum(fee) OVER () AS BIGINT), CAST(sum(fee) OVER () AS BIGINT), CAST(count_if(step <> 0) OVER () AS BIGINT)
+  FROM (SELECT *, goal - quantity AS step, CAST(floor(abs((goal - quantity) * price) * 3.25::DOUBLE / 1e4) AS BIGINT) AS fee
+        FROM (SELECT *, CASE WHEN now IS NULL THEN quantity ELSE CAST(floor(free * 0.99935::DOUBLE * weight / price / 10) AS BIGINT) * 10 END AS goal
+              FROM (SELECT u.i, u.ts, u.symbol, u.cents AS now, u.weight, k.quantity, coalesce(u.cents, k.cents) AS price, k.cash, k.cash + sum(k.quantity * coalesce(u.cents, k.cents)) OVER () AS worth,
+                           k.cash + sum(CASE WHEN u.cents IS NULL THEN 0 ELSE k.quantity * u.cents END) OVER () AS free
+                    FROM k JOIN u ON u.i = k.i + 1 AND u.symbol = k.symbol))))
+SELECT DISTINCT ts, cash AS cash_cents, equity AS equity_cents, fees AS fees_cents, traded AS orders FROM k WHERE i > 0"""
+
+
+@query("portfolio", PORTFOLIO)
+def _(spark, d):
+    bars = A.monthly_bars(spark, d)
+    score = F.col("close") / F.lag("close", 3).over(indicators.by_symbol())
+    rows = portfolio.rebalanced(portfolio.targets(bars, score, 2), 5_000_000_000, lot=10, fee_bps=3.25)
+    return rows.select("ts", "cash_cents", "equity_cents", "fees_cents", F.size("orders").cast("long").alias("orders"))
