@@ -1,14 +1,11 @@
-"""Upserts as full outer joins, and the write of a replaced table."""
+"""Upserts as full outer joins."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 CANDLE_KEY = ("symbol_id", "timeframe", "ts")
 #: Rules of an upserted column: old and new value to the stored one.
@@ -77,45 +74,3 @@ def constraint_breaks(candles: DataFrame) -> DataFrame:
     bad = candles.withColumn("reason", reason).where("reason IS NOT NULL").select(*CANDLE_KEY, "reason")
     twice = candles.groupBy(*CANDLE_KEY).count().where("count > 1").select(*CANDLE_KEY, F.lit("repeated key").alias("reason"))
     return bad.unionByName(twice)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder in whatever store its path names."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def store(new: DataFrame, path: str, key: Sequence[str] = CANDLE_KEY) -> None:
-    """Upserts candles into a Parquet table partitioned by timeframe and month.
-
-    Only the months that ``new`` touches are read and replaced (dynamic overwrite), so a day's bars rewrite a month, not
-    the history. What replaces them is first written beside the table, in a folder of this call's own that goes
-    afterwards; a failed job leaves the stored rows as they were. Timeframes that are made on reading are refused. The
-    list of touched partitions (two timeframes times months) is all that comes to the driver.
-    """
-    from pyspark.errors import AnalysisException
-
-    from candlespark.operators.fold import check_stored
-    from candlespark.schemas import CANDLE
-
-    spark = new.sparkSession
-    month = F.date_format("ts", "yyyy-MM").alias("month")
-    rows = new.select(CANDLE.names)
-    touched = [(check_stored(r.timeframe), r.month) for r in rows.select("timeframe", month).distinct().collect()]
-    if not touched:
-        return
-    try:
-        old = spark.read.schema(StructType([*CANDLE.fields, StructField("month", StringType())])).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        old = spark.createDataFrame([], CANDLE).withColumn("month", F.lit(""))
-    of = {tf: [m for t, m in touched if t == tf] for tf, _ in touched}
-    where = reduce(lambda a, b: a | b, [(F.col("timeframe") == tf) & F.col("month").isin(*months) for tf, months in of.items()])
-    staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
-    try:
-        upsert_candles(old.where(where).select(CANDLE.names), rows, key).write.parquet(staged)
-        merged = spark.read.schema(CANDLE).parquet(staged).select("*", month)
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("timeframe", "month").parquet(path)
-    finally:
-        remove(spark, staged)

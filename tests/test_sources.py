@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from candlespark.functions import calendar as C
 from candlespark.functions.bars import as_instant
-from candlespark.operators import fold
+from candlespark.operators import fold, store
 from candlespark.sources import config, provider
 from candlespark.streaming import indicators, refresh
 from tests.helpers import at
@@ -88,7 +88,7 @@ def test_streaming_refresh_equals_batch(spark, tmp_path):
     spark.createDataFrame(rows, schema).repartition(1).write.parquet(source)
     for _ in range(2):
         refresh.refresh(spark.readStream.schema(schema).parquet(source), days, "5m", path, str(tmp_path / "ck")).awaitTermination()
-        got = sorted((r.ts, r.open, r.close, r.volume) for r in spark.read.parquet(path).collect())
+        got = sorted((r.ts, r.open, r.close, r.volume) for r in store.read(spark, path).collect())
         batch, _rejected = fold.normalize(spark.createDataFrame(rows, schema), days, "5m", keys=("symbol_id",))
         assert got == sorted((r.ts, r.open, r.close, r.volume) for r in batch.collect())
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from candlespark.functions import bars as B
 from candlespark.functions import tickers as K
 from candlespark.functions import params
-from candlespark.operators import ingest, runs, universe, upsert
+from candlespark.operators import ingest, runs, store, universe, upsert
 from candlespark.schemas import parse_kind, parse_timeframe
 from tests.helpers import at
 
@@ -86,19 +86,21 @@ def test_upsert_keeps_adj_close_and_is_idempotent(spark, tmp_path):
     old = spark.createDataFrame([candle(0, adj=7.0), candle(1)], CANDLES)
     new = spark.createDataFrame([candle(0, close=1.5), candle(2, tf="1d")], CANDLES)
     path = str(tmp_path / "candles")
-    upsert.store(old, path)
-    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "candles").rglob("month=2024-03")}
-    assert before
-    upsert.store(spark.createDataFrame([(1, "5m", at("2024-05-02T13:00"), 1.0, 2.0, 0.5, 1.0, None, 10)], CANDLES), path)
-    assert sorted(p.name for p in (tmp_path / "candles" / "timeframe=5m").iterdir()) == ["month=2024-03", "month=2024-05"] and len(list(tmp_path.iterdir())) == 1
-    upsert.remove(spark, f"{path}/timeframe=5m/month=2024-05")
+    assert store.read(spark, path).count() == 0 and store.upsert(old, path) == 1
+    first = store.listing(spark, path, 1)
+    assert store.upsert(spark.createDataFrame([(1, "5m", at("2024-05-02T13:00"), 1.0, 2.0, 0.5, 1.0, None, 10)], CANDLES), path) == 2
+    second = store.listing(spark, path, 2)
+    assert sorted(second) == [("5m", "2024-03"), ("5m", "2024-05")] and second["5m", "2024-03"] == first["5m", "2024-03"]  # the other month isn't written
     with pytest.raises(ValueError, match="stored"):
-        upsert.store(spark.createDataFrame([candle(0, tf="1h")], CANDLES), path)
-    upsert.store(new.limit(0), path)
+        store.upsert(spark.createDataFrame([candle(0, tf="1h")], CANDLES), path)
+    with pytest.raises(ValueError, match="time"):
+        store.upsert(spark.createDataFrame([(1, "5m", None, 1.0, 2.0, 0.5, 1.0, None, 10)], CANDLES), path)
+    assert store.upsert(new.limit(0), path) == 2
     for _ in range(2):
-        upsert.store(new, path)
-        got = {(r.timeframe, r.ts.minute): (r.close, r.adj_close) for r in spark.read.parquet(path).collect()}
+        store.upsert(new, path)
+        got = {(r.timeframe, r.ts.minute): (r.close, r.adj_close) for r in store.read(spark, path, months=["2024-03"]).collect()}
         assert got == {("5m", 0): (1.5, 7.0), ("5m", 5): (1.0, None), ("1d", 10): (1.0, None)}
+    assert store.read(spark, path, timeframe="5m").count() == 3 and store.read(spark, path, version=1).count() == 2
     assert upsert.constraint_breaks(spark.createDataFrame([candle(0), candle(0), candle(1, tf="1h"), candle(2, close=9.0)], CANDLES)).count() == 3
 
 
