@@ -17,7 +17,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bars of a block, and blocks of a block of blocks.
@@ -25,14 +25,22 @@ BLOCK = 1_024
 BY = ("symbol",)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in spark.checkpoint.dir. Where that is unset, a local session takes a temporary folder and
-    any other is refused, as executors wouldn't see it."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+def shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a local session takes a temporary folder and any other is refused, as executors
+    wouldn't see it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="candlespark-"))
+        found = tempfile.mkdtemp(prefix="candlespark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder; Spark deletes it with the frame where
+    spark.cleaner.referenceTracking.cleanCheckpoints is on."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 

@@ -23,8 +23,15 @@ def instant(at: str | dt.datetime) -> dt.datetime:
 
 
 def between(df: DataFrame, start, end) -> DataFrame:
-    """Rows of the half-open window, as predicates that reach the scan."""
-    return df.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+    """Rows of the half-open window, as predicates that reach the scan. Bounds are columns, days, or what ``instant`` takes: a text
+    with an offset is that instant in UTC, whatever the session's zone."""
+
+    def bound(at):
+        if isinstance(at, Column):
+            return at
+        return F.lit((instant(at) if isinstance(at, str | dt.datetime) else at).isoformat()).cast("timestamp_ntz")
+
+    return df.where((F.col("ts") >= bound(start)) & (F.col("ts") < bound(end)))
 
 
 def list_candles(candles: DataFrame, symbol, start, end, limit: int, newest: bool = False) -> DataFrame:

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespark.ext import backtest, futures, indicators, portfolio, rules
+from candlespark.ext import backtest, futures, indicators, portfolio, rules, scan
 from candlespark.functions import bars as B
 from candlespark.functions import calendar as C
 from candlespark.functions import tickers as K
-from candlespark.operators import fold, gaps, ingest, read, runs, universe, upsert
+from candlespark.operators import fold, gaps, ingest, read, runs, store, universe, upsert
 from candlespark.plans import adapters as A
 from candlespark.schemas import ZONE, width
 
@@ -151,31 +152,44 @@ def _(spark, d):
     return gaps.unexpected(A.ticks(spark, d), A.january(spark))
 
 
-@query("sessions", with_(SESS) + "SELECT * FROM sess")
+SEEN_DAYS = f"seen AS (SELECT DISTINCT CAST({LOCAL_OF.format('ts')} AS DATE) AS dy FROM events)"
+
+
+def seen_days(spark, d) -> DataFrame:
+    """The local days that have ticks."""
+    return A.ticks(spark, d).select(C.local_day(F.col("ts")).alias("dy")).distinct()
+
+
+def seen_span(spark, d) -> tuple:
+    """The first and the last local day with ticks."""
+    return tuple(seen_days(spark, d).agg(F.min("dy"), F.max("dy")).first())
+
+
+@query("sessions", with_(SESS, SEEN_DAYS) + "SELECT sess.* FROM sess SEMI JOIN seen USING (dy)")
 def _(spark, d):
-    return A.january(spark)
+    return A.january(spark).join(seen_days(spark, d), "dy", "left_semi")
 
 
-@query("trading_days", with_(SESS) + "SELECT dy FROM sess")
+@query("trading_days", with_(SESS, SEEN_DAYS) + "SELECT dy FROM sess WHERE dy BETWEEN (SELECT min(dy) FROM seen) AND (SELECT max(dy) FROM seen)")
 def _(spark, d):
-    return C.trading_days(spark, A.FIRST, A.LAST, A.holidays(spark))
+    return C.trading_days(spark, *seen_span(spark, d), A.holidays(spark))
 
 
-@query("next_prev_day", with_(SESS) + "SELECT dy, lag(dy) OVER (ORDER BY dy) AS prev_day, lead(dy) OVER (ORDER BY dy) AS next_day FROM sess")
+@query("next_prev_day", with_(SESS, SEEN_DAYS) + "SELECT s.* FROM (SELECT dy, lag(dy) OVER (ORDER BY dy) AS prev_day, lead(dy) OVER (ORDER BY dy) AS next_day FROM sess) s SEMI JOIN seen USING (dy)")
 def _(spark, d):
-    return C.neighbours(A.january(spark))
+    return C.neighbours(A.january(spark)).join(seen_days(spark, d), "dy", "left_semi")
 
 
-@query("session_buckets", with_(SESS) + "SELECT dy, tf, count(*) AS buckets, max(b) AS last_bucket FROM (SELECT dy, '15m' AS tf, unnest(generate_series(open_ts, close_ts - INTERVAL 1 SECOND, INTERVAL 15 MINUTE)) AS b FROM sess UNION ALL SELECT dy, '1h', unnest(generate_series(open_ts, close_ts - INTERVAL 1 SECOND, INTERVAL 1 HOUR)) FROM sess) GROUP BY ALL")
+@query("session_buckets", with_(SESS, SEEN_DAYS) + "SELECT dy, tf, count(*) AS buckets, max(b) AS last_bucket FROM (SELECT dy, '15m' AS tf, unnest(generate_series(open_ts, close_ts - INTERVAL 1 SECOND, INTERVAL 15 MINUTE)) AS b FROM sess SEMI JOIN seen USING (dy) UNION ALL SELECT dy, '1h', unnest(generate_series(open_ts, close_ts - INTERVAL 1 SECOND, INTERVAL 1 HOUR)) FROM sess SEMI JOIN seen USING (dy)) GROUP BY ALL")
 def _(spark, d):
-    s = A.january(spark)
+    s = A.january(spark).join(seen_days(spark, d), "dy", "left_semi")
     both = [s.select("dy", F.lit(tf).alias("tf"), F.explode(C.buckets_of(tf, F.col("open_ts"), F.col("close_ts"))).alias("b")) for tf in ("15m", "1h")]
     return both[0].unionByName(both[1]).groupBy("dy", "tf").agg(F.count("*").alias("buckets"), F.max("b").alias("last_bucket"))
 
 
-@query("refresh_window", with_(SESS) + "SELECT min(dy) AS start_day, max(dy) AS end_day FROM (SELECT dy FROM sess WHERE dy <= DATE '2024-01-30' ORDER BY dy DESC LIMIT 5)")
+@query("refresh_window", with_(SESS, SEEN_DAYS) + "SELECT min(dy) AS start_day, max(dy) AS end_day FROM (SELECT dy FROM sess WHERE dy <= (SELECT max(dy) FROM seen) ORDER BY dy DESC LIMIT 5)")
 def _(spark, d):
-    return C.refresh_window(spark, A.TODAY, 5, A.holidays(spark))
+    return C.refresh_window(spark, seen_span(spark, d)[1], 5, A.holidays(spark))
 
 
 @query("calendar_coverage", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS dy, year(o_orderdate) = 1995 OR year(o_orderdate) = 1996 AS covered FROM orders")
@@ -185,9 +199,10 @@ def _(spark, d):
     return C.covered_days(days, marks)
 
 
-@query("nearest_sessions", with_(SESS) + "SELECT dy, (SELECT min(dy) FROM sess WHERE sess.dy > q.dy) AS next_day, (SELECT max(dy) FROM sess WHERE sess.dy < q.dy) AS prev_day FROM (SELECT CAST(d AS DATE) AS dy FROM generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-30', INTERVAL 1 DAY) g(d)) q")
+@query("nearest_sessions", with_(SESS, SEEN_DAYS) + "SELECT dy, (SELECT min(dy) FROM sess WHERE sess.dy > q.dy) AS next_day, (SELECT max(dy) FROM sess WHERE sess.dy < q.dy) AS prev_day FROM seen q")
 def _(spark, d):
-    return C.nearest_sessions(spark, C.days(spark, "2024-01-03", "2024-01-30"), A.january(spark), "2024-01-03", "2024-01-30")
+    first, last = seen_span(spark, d)
+    return C.nearest_sessions(spark, seen_days(spark, d), A.january(spark), first, last, strict=False)
 
 
 @query("day_bounds", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS dy, " + UTC_OF.format("CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)") + " AS start_ts, " + UTC_OF.format("CAST(CAST(o_orderdate AS DATE) + 1 AS TIMESTAMP)") + " AS end_ts FROM orders")
@@ -598,9 +613,11 @@ def _(spark, d):
 WINDOWS = "w AS (SELECT CAST(s AS DATE) AS w_start, least(CAST(s AS DATE) + 89, DATE '1998-12-31') AS w_end FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1998-12-31', INTERVAL 90 DAY) g(s))"
 
 
-@query("chunk_windows", with_(WINDOWS) + "SELECT * FROM w")
+@query("chunk_windows", "WITH r AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders) SELECT CAST(s AS DATE) AS w_start, least(CAST(s AS DATE) + 89, b) AS w_end FROM (SELECT unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 90 DAY)) AS s, b FROM r)")
 def _(spark, d):
-    return ingest.chunk_windows(spark, "1995-01-01", "1998-12-31", 90)
+    day = F.col("o_orderdate").cast("date")
+    r = A.read(spark, d, "orders").agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
+    return ingest.chunk_windows(spark, r["a"], r["b"], 90)
 
 
 @query("range_token", "SELECT p_partkey AS days, CASE WHEN p_partkey <= 92 THEN '3mo' WHEN p_partkey <= 183 THEN '6mo' WHEN p_partkey <= 366 THEN '1y' WHEN p_partkey <= 731 THEN '2y' WHEN p_partkey <= 1827 THEN '5y' WHEN p_partkey <= 3653 THEN '10y' ELSE 'max' END AS token FROM part")
@@ -640,9 +657,9 @@ def _(spark, d):
     return ingest.plan_counts(ingest.backfill_plan(names, w, clean, A.runs(spark, d), "1d", "1998-12-01", has_token=False))
 
 
-@query("backfill_intraday", "SELECT DATE '2024-01-02' AS w_start, DATE '2024-01-30' AS w_end, '6mo' AS range, " + UTC_OF.format("TIMESTAMP '2024-01-02'") + " AS keep_from, " + UTC_OF.format("TIMESTAMP '2024-01-31'") + " AS keep_to")
+@query("backfill_intraday", with_(SEEN_DAYS) + "SELECT a AS w_start, b AS w_end, '6mo' AS range, " + UTC_OF.format("CAST(a AS TIMESTAMP)") + " AS keep_from, " + UTC_OF.format("CAST(b + 1 AS TIMESTAMP)") + " AS keep_to FROM (SELECT min(dy) AS a, max(dy) AS b FROM seen)")
 def _(spark, d):
-    return ingest.backfill_windows(spark, "5m", "2024-01-02", "2024-01-30", "2024-06-01")
+    return ingest.backfill_windows(spark, "5m", *seen_span(spark, d), "2024-06-01")
 
 
 @query("sync_plan", with_(UNIVERSE, SESS) + "SELECT id AS symbol_id, ticker, CASE WHEN ticker IN ('ITUB4', 'MGLU3', 'PETR4', 'VALE3') THEN 'fetch' ELSE 'unreachable' END AS action, DATE '2024-01-24' AS w_start, DATE '2024-01-30' AS w_end FROM v")
@@ -1145,3 +1162,53 @@ def _(spark, d):
     score = F.col("close") / F.lag("close", 3).over(indicators.by_symbol())
     rows = portfolio.rebalanced(portfolio.targets(bars, score, 2), 5_000_000_000, lot=10, fee_bps=3.25)
     return rows.select("ts", "cash_cents", "equity_cents", "fees_cents", F.size("orders").cast("long").alias("orders"))
+
+
+@query("load_oldest", BASE.rstrip() + f""",
+n AS (SELECT * FROM c WHERE symbol = 'view' AND ts >= TIMESTAMP '2024-01-02 14:00:00' AND ts < TIMESTAMP '2024-01-20 03:00:00' ORDER BY ts LIMIT 100)
+SELECT n.symbol, time_bucket(INTERVAL 60 MINUTE, n.ts, s.open_ts) AS ts, arg_min(open, n.ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, n.ts) AS close, CAST(sum(volume) AS BIGINT) AS volume
+FROM n JOIN sess s ON CAST({LOCAL_OF.format('n.ts')} AS DATE) = s.dy GROUP BY ALL""")
+def _(spark, d):
+    rows = read.load(base(spark, d), A.january(spark), "view", "1h", "2024-01-02T11:00:00-03:00", "2024-01-20T03:00:00Z", limit=100)
+    return rows.select("symbol", "ts", "open", "high", "low", "close", "volume")
+
+
+WEIGHTED = " + ".join(f"coalesce(lag(close, {i}) OVER w, 0) * {5 - i}" for i in range(1, 5))
+
+
+@query("wma_5", HOURLY + f"SELECT symbol, ts, CASE WHEN row_number() OVER w >= 5 THEN round((close * 5 + {WEIGHTED}) / 15, 6) END AS wma FROM c{IN_ORDER}")
+def _(spark, d):
+    return candles(spark, d, "1h").select("symbol", "ts", F.round(indicators.wma(F.col("close"), 5), 6).alias("wma"))
+
+
+@query("atr_14", NUMBERED_HOURS + ",\n" + RANGES + ",\n" + ema_sql("a14", "r", "t", 14, 1, "1.0::DOUBLE / 14") + "\nSELECT n.symbol, n.ts, round(e, 6) AS atr FROM n LEFT JOIN a14 USING (symbol, rn)")
+def _(spark, d):
+    return indicators.atr(candles(spark, d, "1h"), 14).select("symbol", "ts", rounded("atr"))
+
+
+SPAN_14 = f"CASE WHEN {SEEN} >= 14 AND max(high) {ROWS.format(13)} > min(low) {ROWS.format(13)} THEN {{}} / (max(high) {ROWS.format(13)} - min(low) {ROWS.format(13)}) * {{}} END"
+
+
+@query("oscillators", HOURLY + f"SELECT symbol, ts, round({SPAN_14.format(f'(close - min(low) {ROWS.format(13)})', '100')}, 6) AS stochastic, round({SPAN_14.format(f'(max(high) {ROWS.format(13)} - close)', '-100')}, 6) AS williams, round(CASE WHEN lag(close, 10) OVER w > 0 THEN (close - lag(close, 10) OVER w) / lag(close, 10) OVER w * 100 END, 6) AS roc, round(close - lag(close, 10) OVER w, 6) AS momentum FROM c{IN_ORDER}")
+def _(spark, d):
+    close = F.col("close")
+    parts = {"stochastic": indicators.stochastic(14), "williams": indicators.williams(14), "roc": indicators.rate_of_change(close, 10), "momentum": indicators.momentum(close, 10)}
+    return candles(spark, d, "1h").select("symbol", "ts", *[F.round(v, 6).alias(k) for k, v in parts.items()])
+
+
+@query("volume_lines", HOURLY + f"""SELECT symbol, ts, CASE WHEN {SEEN} >= 10 AND sum(volume) {ROWS.format(9)} > 0 THEN round(sum(close * volume) {ROWS.format(9)} / sum(volume) {ROWS.format(9)}, 6) END AS vwma,
+  CASE WHEN sum(volume) OVER x > 0 THEN round(sum({TYPICAL} * volume) OVER x / sum(volume) OVER x, 6) END AS vwap, CAST(sum(moved) OVER (PARTITION BY symbol ORDER BY ts) AS BIGINT) AS obv
+FROM (SELECT *, CAST({LOCAL_OF.format('ts')} AS DATE) AS dy, CASE WHEN close > lag(close) OVER w THEN volume WHEN close < lag(close) OVER w THEN -volume ELSE 0 END AS moved FROM c{IN_ORDER}) WINDOW x AS (PARTITION BY symbol, dy ORDER BY ts)""")
+def _(spark, d):
+    rows = candles(spark, d, "1h").withColumns({"dy": C.local_day(F.col("ts")), "moved": indicators.signed_volume()})
+    running = indicators.by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("symbol", "ts", F.round(indicators.vwma(10), 6).alias("vwma"), F.round(indicators.vwap(), 6).alias("vwap"), F.sum("moved").over(running).alias("obv"))
+
+
+@query("store_versions", STORED + """SELECT CAST(ascii(symbol) AS BIGINT) AS symbol_id, timeframe, ts, open, high, low, CASE WHEN ts >= TIMESTAMP '2024-01-10' THEN close * 2 ELSE close END AS close, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN adj_close END AS adj_close, volume FROM c""")
+def _(spark, d):
+    old, new = (rows.withColumn("symbol_id", F.ascii("symbol").cast("long")) for rows in halves(spark, d))
+    path = f"{scan.shared(spark)}/candles-{uuid.uuid4().hex}"
+    store.upsert(old, path)
+    store.upsert(new, path)
+    return store.read(spark, path)
