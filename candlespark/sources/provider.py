@@ -16,9 +16,9 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from candlespark.functions.bars import from_epoch_or_text
+from candlespark.functions.bars import epoch_seconds, from_epoch_or_text
 from candlespark.schemas import QUOTE
 
 # Requests a second, burst, attempts, backoff bounds in seconds, most bytes of a response.
@@ -131,6 +131,14 @@ class Client:
         return self.get("available", {"search": search})
 
 
+def asked(o: dict) -> Iterator[tuple]:
+    """The quotes that a source's options ask for, one request a ticker."""
+    client = Client(o["url"], o.get("token", ""), Limiter(float(o.get("rate", RATE)), int(o.get("burst", BURST))))
+    for ticker in o["tickers"].split(","):
+        for quote in client.quote([ticker], o.get("range", ""), o.get("interval", ""), o.get("start", ""), o.get("end", "")):
+            yield (json.dumps(quote),)
+
+
 class QuoteReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -139,15 +147,42 @@ class QuoteReader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition) -> Iterator[tuple]:
-        o = self.options
-        client = Client(o["url"], o.get("token", ""), Limiter(float(o.get("rate", RATE)), int(o.get("burst", BURST))))
-        for ticker in o["tickers"].split(","):
-            for quote in client.quote([ticker], o.get("range", ""), o.get("interval", ""), o.get("start", ""), o.get("end", "")):
-                yield (json.dumps(quote),)
+        return asked(self.options)
+
+
+class Days(InputPartition):
+    """The sessions that a micro-batch asks for."""
+
+    def __init__(self, first: str, last: str):
+        self.first, self.last = first, last
+
+
+class QuoteStreamReader(DataSourceStreamReader):
+    """Quotes session by session. An offset is the last day that is covered, so a restart asks for what is missing only, and a
+    batch that failed asks again for its own days. A session is asked for once it has closed."""
+
+    def __init__(self, options: dict):
+        self.options = options
+        self.sessions = sorted((day, float(closes)) for day, closes in json.loads(options["sessions"]))
+
+    def initialOffset(self) -> dict:
+        return {"day": self.options.get("after", "")}
+
+    def latestOffset(self) -> dict:
+        now = float(self.options.get("now") or time.time())
+        return {"day": max([self.initialOffset()["day"], *(day for day, closes in self.sessions if closes <= now)])}
+
+    def partitions(self, start: dict, end: dict) -> list[Days]:
+        days = [day for day, _ in self.sessions if start["day"] < day <= end["day"]]
+        return [Days(days[0], days[-1])] if days else []
+
+    def read(self, partition: Days) -> Iterator[tuple]:
+        return asked(self.options | {"start": partition.first, "end": partition.last})
 
 
 class QuoteSource(DataSource):
-    """``spark.read.format("candle_quotes")`` with url, tickers, range, interval, start, end, token."""
+    """``spark.read.format("candle_quotes")`` with url, tickers, range, interval, start, end, token; ``spark.readStream`` with sessions
+    (a JSON list of days and the seconds since 1970 at which they close) and after (the last day that is covered already)."""
 
     @classmethod
     def name(cls) -> str:
@@ -159,6 +194,9 @@ class QuoteSource(DataSource):
     def reader(self, schema) -> QuoteReader:
         return QuoteReader(dict(self.options))
 
+    def streamReader(self, schema) -> QuoteStreamReader:
+        return QuoteStreamReader(dict(self.options))
+
 
 def quotes(spark: SparkSession, **options: str) -> DataFrame:
     """Quotes from the provider, one row each."""
@@ -167,6 +205,15 @@ def quotes(spark: SparkSession, **options: str) -> DataFrame:
     return body.select(F.from_json("body", QUOTE).alias("q")).select("q.*")
 
 
+def quote_stream(spark: SparkSession, sessions: DataFrame, **options: str) -> DataFrame:
+    """A stream of quotes of the calendar's ``sessions`` (dy, close_ts), each asked for once after it has closed; ``bars_of`` makes
+    bars of it. The calendar, a row a day, is all that comes to the driver."""
+    spark.dataSource.register(QuoteSource)
+    days = sessions.select(F.col("dy").cast("string"), epoch_seconds(F.col("close_ts"))).collect()
+    body = spark.readStream.format("candle_quotes").options(sessions=json.dumps([list(r) for r in days]), **options).load()
+    return body.select(F.from_json("body", QUOTE).alias("q")).select("q.*")
+
+
 def landed_quotes(spark: SparkSession, path: str) -> DataFrame:
     """Quotes from landed responses (JSON files with ``results``)."""
     rows = spark.read.schema(f"results array<struct<{', '.join(_ddl_fields())}>>").option("multiLine", True).json(path)
