@@ -56,7 +56,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 n = len(uses)
                 terms = pa.array(list(uses), pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n), pa.array([source] * n), terms, pa.array(list(uses.values()), pa.int64()), pa.array([found[t] for t in uses], pa.int64())],
+                    [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), terms, pa.array(list(uses.values()), pa.int64()), pa.array([found[t] for t in uses], pa.int64())],
                     names=["lang", "source", "term", "uses", "docs"],
                 )
             held.clear()
@@ -153,7 +153,7 @@ def shared_terms(rows: DataFrame) -> DataFrame:
             for lang, sums in held.items():
                 keys = np.fromiter(sums, dtype=np.int64, count=len(sums))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys)), pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(list(sums.values()), pa.int64())],
+                    [pa.array([lang] * len(keys), pa.string()), pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(list(sums.values()), pa.int64())],
                     names=["lang", "at", "other", "more"],
                 )
             held.clear()

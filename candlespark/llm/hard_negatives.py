@@ -58,7 +58,8 @@ def pivots_of(sample, longest: float) -> dict:
 
     found = {}
     for size in sorted({len(v) for v in sample}):
-        x = augmented(np.array([v for v in sample if len(v) == size], dtype=float).reshape(-1, size), longest)
+        own = [v for v in sample if len(v) == size]
+        x = augmented(np.array(own, dtype=float).reshape(len(own), size), longest)
         p = np.unique(x, axis=0)
         p = p[:: max(1, len(p) // PIVOTS)][:PIVOTS]
         for _ in range(5):
@@ -234,8 +235,9 @@ def first_of(found: DataFrame, k: int) -> DataFrame:
 
 
 def distance_of(square, score, longest: float):
-    """Distance of an anchor, of that squared length, to an augmented row of that score."""
-    return F.sqrt(F.greatest(square + longest**2 - 2 * score, F.lit(0.0)))
+    """Distance of an anchor, of that squared length, to an augmented row of that score; null where that is null."""
+    far = square + longest**2 - 2 * score
+    return F.when(far > 0, F.sqrt(far)).when(far.isNotNull(), 0.0)
 
 
 def searched(index: Index, anchors: DataFrame, k: int, same: bool, first) -> DataFrame:
