@@ -1,7 +1,8 @@
 """Secret scan with false-positive removal by a random forest, in DataFrame functions only.
 
-Candidates are runs of key characters with a digit in them, and quoted or unbroken values of any length and characters
-that are assigned to a word which announces a secret, found by one pattern. A random forest over candidate
+Candidates are runs of key characters with a digit in them, quoted or unbroken values of any length and characters that are
+assigned to a word which announces a secret (in five languages), passwords inside addresses and those glued to a client's
+option, found by one pattern. A random forest over candidate
 length, character transitions, dictionary coverage, path signs and neighbouring words decides which of them are
 secrets. Its dictionary is a short list of common words and, of the words inside candidates, those that stand by
 themselves in ``DICTIONARY_DOCS`` or more of all documents.
@@ -26,15 +27,24 @@ from pyspark.sql import functions as F
 
 from candlespark.llm.common import cut, small, table, text_of
 
-#: Words that announce a secret, words that announce something else, and common letter groups.
-SECRET_WORDS = "token|secret|passw(?:or)?d?s?|pass.?phrase|passcode|pwd|api.?key|apikey|auth|bearer|credentials?|access|private|access.?key|private.?key"
+#: Words that announce a secret, in English, German, French, Spanish and Portuguese, words that announce something
+#: else, and common letter groups.
+SECRET_WORDS = (
+    "token|secret|passw(?:or)?d?s?|pass.?phrase|passcode|(?<![A-Za-z])pass(?![a-z])|pwd|api.?key|apikey|auth|bearer|credentials?|access|private|access.?key|private.?key"
+    "|passwort|kennwort|geheim(?:nis|wort)?|schl(?:ü|ue)ssel|mot.de.passe|motdepasse|mdp|contrase(?:ñ|n)a|clave|senha"
+)
 #: A run: 12 or more key characters with a digit that don't end in a full stop or the like.
 RUN = r"(?<![A-Za-z0-9_/+.\-@])(?=[A-Za-z_/+.\-@]*+[0-9])[A-Za-z0-9_/+.\-@]{11,}[A-Za-z0-9_/+]"
-#: An assigned value: what follows a name with an announcing word and a sign of assignment; the first look back is the cheap one.
-ASSIGNED = rf"(?<=[=:>][ \t]{{0,4}}[\"']?)(?<=(?i:{SECRET_WORDS})[A-Za-z0-9_\-]{{0,24}}[\"'\]]{{0,2}}[ \t]{{0,4}}(?::=|=>|={{1,3}}|:)[ \t]{{0,4}}[\"']?)"
+#: An assigned value: what follows a name with an announcing word and a sign of assignment (or the attribute ``value`` after such a
+#: name, or "is" before a quotation mark); the first look back is the cheap one.
+SIGN = r"(?:[\"'\]]{0,2}[ \t]{0,4}(?::=|=>|={1,3}|:)|[\"'][ \t]{1,4}(?i:value)=)[ \t]{0,4}[\"']?"
+ASSIGNED = rf"(?:(?<=[=:>][ \t]{{0,4}}[\"']?)(?<=(?i:{SECRET_WORDS})[A-Za-z0-9_\-]{{0,24}}{SIGN})|(?<=[ \t]is[ \t]{{1,4}}[\"'])(?<=(?i:{SECRET_WORDS})[ \t]{{1,4}}is[ \t]{{1,4}}[\"']))"
+#: A password between a user and a host in an address, and one glued to the option of a database client.
+IN_ADDRESS = r"(?<=://[^\s:/@\"']{1,64}:)[^\s:/@\"']++(?=@[A-Za-z0-9])"
+OPTION = r"(?<=[ \t]-p)(?<=(?:mysql|mysqldump|mysqladmin|mariadb)[ \t][^\n]{0,80}-p)[^\s\"'\-][^\s\"']*+"
 VALUE = r"(?:(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?![=:>])[^\s\"']*[^\s\"'.,;:)\]}])"
 #: A candidate, with what stands before and after it for the neighbours' features.
-CANDIDATE = f"{ASSIGNED}{VALUE}|{RUN}"
+CANDIDATE = f"{ASSIGNED}{VALUE}|{IN_ADDRESS}|{OPTION}|{RUN}"
 BEFORE, AFTER = 48, 8
 THRESHOLD = 0.5
 OTHER_WORDS = "commit|sha1|sha256|md5|checksum|version|uuid|phone|tel|card|order|invoice|isbn|href|src|http|rev|digest|etag"
@@ -54,10 +64,10 @@ WORDS = (
 DICTIONARY_DOCS = 5
 FEATURES = [
     "length", "transitions", "digits", "uppers", "hexadecimal", "distinct", "covered", "path", "rooted", "extension", "dots", "at", "dashes",
-    "longest_letters", "secret_word", "other_word", "assigned", "quoted", "known_prefix", "marks", "blanks", "placeholder",
+    "longest_letters", "secret_word", "other_word", "assigned", "quoted", "known_prefix", "marks", "blanks", "placeholder", "in_address", "repeated",
 ]
 #: Values that stand for a secret or say something about it.
-PLACEHOLDERS = r"none|null|nil|true|false|yes|no|string|text|str|int|optional|required|public|private|basic|bearer|denied|granted|invalid|expired|missing|changed|empty|hidden|redacted|unknown|the|a|an|your.*|my.*|example.*|\$\{?[a-z_]+\}?|<[^>]*>|\{\{.*|\*+|x+|\.+|os\.environ.*|process\.env.*"
+PLACEHOLDERS = r"none|null|nil|true|false|yes|no|string|text|str|int|optional|required|public|private|basic|bearer|denied|granted|invalid|expired|missing|changed|empty|hidden|redacted|unknown|the|a|an|your.*|my.*|example.*|\$\{?[a-z_]+\}?|<[^>]*>|\{\{.*|\*+|x+|\.+|os\.(?:environ|getenv).*|process\.env.*|getenv.*|passwor[dt]|secret|token|user(?:name)?|changeit"
 #: Findings made from rules for training, half of them secrets.
 FINDINGS = 6_000
 TREES, DEPTH, SEED = 40, 8, 7
@@ -83,10 +93,11 @@ def features(value: Column, before: Column, after: Column) -> list[Column]:
         flag(value.rlike(r"[/\\._-][^/\\]*\.[A-Za-z]{1,5}[0-9]?$|^[\w-]+\.[a-z]{2,4}$")).alias("extension"), share("[^.]").alias("dots"),
         flag(value.rlike(r"^[^@\s]+@[\w.-]+\.[a-z]{2,}$")).alias("at"), share("[^-_]").alias("dashes"),
         (F.array_max(F.transform(F.split(value, "[^A-Za-z]"), lambda x: F.char_length(x))) / n).alias("longest_letters"),
-        flag(low.rlike(f"({SECRET_WORDS})[^a-z0-9]*$")).alias("secret_word"), flag(low.rlike(f"({OTHER_WORDS})[^a-z0-9]*$")).alias("other_word"),
+        flag(low.rlike(f"({SECRET_WORDS})([^a-z0-9]*|[\"'] +value=[\"']?| +is +[\"'])$")).alias("secret_word"), flag(low.rlike(f"({OTHER_WORDS})[^a-z0-9]*$")).alias("other_word"),
         flag(before.rlike(r"[=:]\s*[\"']?$")).alias("assigned"), flag(before.rlike("[\"']$") & after.rlike("^[\"']")).alias("quoted"),
         flag(value.rlike("^(AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-|AIza|eyJ|glpat-)")).alias("known_prefix"),
         share(r"[A-Za-z0-9\s_/+.\-@]").alias("marks"), share(r"\S").alias("blanks"), flag(F.lower(value).rlike(f"^({PLACEHOLDERS})$")).alias("placeholder"),
+        flag((before.rlike("://[^\\\\s:/@]+:$") & after.startswith("@")) | before.rlike(r"(mysql|mariadb)\S* .*-p$")).alias("in_address"), flag(value.rlike(r"(.)\1{5}")).alias("repeated"),
     ]
 
 
@@ -149,14 +160,15 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         F.concat(word("pa"), some("n", 1, 4)), F.concat(title(word("pa")), some("n", 1, 4), mark("ma")), F.concat(word("pb"), mark("ma"), word("pc"), some("n", 1, 4)),
         F.concat_ws(" ", word("pa"), word("pb"), word("pc"), word("pd")), F.concat_ws("-", word("pa"), word("pb"), word("pc"), word("pd")), F.concat(word("pa"), title(word("pb")), title(word("pc")), title(word("pd"))),
         F.translate(F.substring(dense, F.lit(1), 10 + pick("m", 26)), "0123456789+/", "ghijklmnopqr"), F.concat(F.substring(plain, F.lit(1), 4 + pick("n", 8)), mark("mb"), F.substring(plain, 20, 4)),
-        F.concat(mark("mb"), F.substring(plain, F.lit(1), 6 + pick("n", 8)), mark("mc")),
+        F.concat(mark("mb"), F.substring(plain, F.lit(1), 6 + pick("n", 8)), mark("mc")), word("pa"), F.concat(word("pa"), word("pb")), F.concat_ws("_", word("pa"), word("pb"), some("n", 1, 2)),
+        F.concat(word("pa"), some("n", 2, 3), word("pb")),
     ])
     announced = pick("kind", 5) < 2
     base = cut(base.withColumn("secret", F.when(announced, chosen).otherwise(tokens)))
     secret = F.col("secret")
     setting = one_of("t", ['token = "', "password=", "api_key: ", "secret='", "TOKEN = \"", "auth: ", "Bearer ", "access key ", "export API_TOKEN=", "SECRET_KEY='", "private_key: \"", "credentials: "])
-    password = one_of("y", ['password = "', "password: '", "passwd=", "pwd: ", 'secret = "', "token: ", "api_key=", 'passphrase: "', "DB_PASSWORD=", "\"password\": \"", "pass_phrase => '"])
-    setting = F.when(announced, F.when(secret.contains(" "), one_of("z", ['password = "', "secret: '", 'passphrase: "'])).otherwise(password)).otherwise(setting)
+    password = one_of("y", ['password = "', "password: '", "passwd=", "pwd: ", 'secret = "', "token: ", "api_key=", 'passphrase: "', "DB_PASSWORD=", "\"password\": \"", "pass_phrase => '", "redis_pass: ", "PGPASSWORD=", "passwort: ", "Kennwort: ", "mot de passe : ", "mdp=", 'contraseña = "', "clave: ", "senha=", '<add key="Password" value="', 'name="secret" value="'])
+    setting = F.when(announced, F.when(secret.contains(" "), one_of("z", ['password = "', "secret: '", 'passphrase: "', 'pass phrase is "', 'Kennwort: "'])).otherwise(password)).otherwise(setting)
     setting = F.when(secret.rlike("^(AKIA|ghp_|sk-|glpat-|xoxb-|AIza)") & (pick("bare", 2) == 0), F.concat(word("nb"), F.lit(" "))).otherwise(setting)
     other = one_of("o", [
         some("c", 12, 19), F.concat_ws(".", some("i", 1, 3), some("j", 1, 3), some("k", 1, 3), some("l", 1, 3)), F.concat_ws("-", some("i", 3, 4), some("j", 3, 4), some("k", 4, 4), some("l", 4, 4)), F.concat(F.lit("+"), some("c", 11, 13)),
@@ -164,18 +176,20 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         F.concat(one_of("root", ["/usr/", "/home/", "./", "https://www.", "src/", "lib/"]), word("pa"), F.lit("/"), word("pb"), some("n", 1, 2), one_of("ext", [".html", ".py", ".png", "/", ".js", ""])),
         F.concat(word("pa"), F.lit("_"), word("pb"), F.lit("_"), some("n", 1, 3)), F.concat(word("pa"), F.lit("-"), word("pb"), F.lit("-"), some("n", 1, 3), F.lit("."), some("m", 1, 2), one_of("ext", [".tar.gz", "", ".zip", ".whl"])), F.substring(hexed("c"), 1, 40), F.substring(hexed("c"), 1, 64),
         F.concat_ws("-", F.substring(hexed("u"), 1, 8), F.substring(hexed("u"), 9, 4), F.substring(hexed("u"), 13, 4), F.substring(hexed("u"), 17, 4), F.substring(hexed("u"), 21, 12)),
-        F.concat(F.lit("20"), some("n", 2, 2), F.lit("-0"), some("m", 1, 1), F.lit("-1"), some("k", 1, 1), F.lit("T1")), F.concat(F.lit("000000"), F.repeat(some("n", 1, 1), 12)), F.concat(title(word("pa")), title(word("pb")), title(word("pc")), some("n", 1, 2)),
+        F.concat(F.lit("20"), some("n", 2, 2), F.lit("-0"), some("m", 1, 1), F.lit("-1"), some("k", 1, 1), F.lit("T1")), F.concat(F.lit("000000"), F.repeat(some("n", 1, 1), 12)), F.concat(F.repeat(F.upper(F.substring(word("pa"), 1, 1)), 14), some("n", 1, 2)), F.concat(title(word("pa")), title(word("pb")), title(word("pc")), some("n", 1, 2)),
     ])
     told = one_of("e", [F.concat(F.lit("${"), word("pa"), F.lit("}")), F.concat(F.lit("<"), word("pa"), F.lit(">")), F.lit("********"), F.lit("xxxxxxxx"), F.concat(F.lit("your-"), word("pa"), F.lit("-here")), F.concat(F.lit("os.environ['"), F.upper(word("pa"))), F.concat(F.lit("{{ "), word("pa"), F.lit(" }}")), *PLACEHOLDERS.split("|")[:30]])
     by_name = F.concat(title(word("pb")), word("pc"))
     is_name = pick("i", 4) == 0
+    addressed = announced & (pick("url", 8) == 0) & ~secret.rlike(r"[\s:/@]")
+    setting = F.when(addressed, F.concat(one_of("sch", ["postgres://", "https://", "redis://", "see amqp://", "mysql -u "]), word("nb"), F.when(pick("sch", 5) == 4, F.lit(" -p")).otherwise(F.lit(":")))).otherwise(setting)
     base = cut(base.withColumn("other", F.when(announced, F.when(is_name, by_name).otherwise(told)).otherwise(other)))
     other = F.col("other")
     around = F.when(other.rlike("^[0-9a-f-]{36,64}$"), one_of("v", ["commit ", "sha1: ", "md5 ", "uuid=", "etag: ", "sha256:", "checksum ", "id: "])).otherwise(one_of("x", [F.concat(word("nb"), F.lit(" ")), F.concat(word("nb"), F.lit(", ")), "= ", "to: ", "(", F.concat(word("nb"), F.lit(": ")), F.concat(word("nb"), F.lit("=\"")), "see ", "from "]))
     around = F.when(announced, F.when(is_name, one_of("j", ["author: ", "authors: ", "authority: ", "accessed: "])).otherwise(password)).otherwise(around)
     good = F.pmod("id", F.lit(2)) == 0
     rows = base.select("id", F.when(good, secret).otherwise(other).alias("value"), F.when(good, setting).otherwise(around).alias("before"), good.cast("double").alias("label"))
-    return rows.withColumn("after", F.when(F.col("before").endswith('"'), F.lit('" ')).when(F.col("before").endswith("'"), F.lit("' ")).otherwise(one_of("w", [" and ", "\n", ", ", "", ") "])))
+    return rows.withColumn("after", F.when(F.col("before").endswith(":") & F.col("before").contains("://"), F.lit("@db.exam")).when(F.col("before").endswith('"'), F.lit('" ')).when(F.col("before").endswith("'"), F.lit("' ")).otherwise(one_of("w", [" and ", "\n", ", ", "", ") "])))
 
 
 def train(findings: DataFrame, words: DataFrame | None = None):
