@@ -1189,7 +1189,7 @@ def _(spark, d):
 SPAN_14 = f"CASE WHEN {SEEN} >= 14 AND max(high) {ROWS.format(13)} > min(low) {ROWS.format(13)} THEN {{}} / (max(high) {ROWS.format(13)} - min(low) {ROWS.format(13)}) * {{}} END"
 
 
-@query("oscillators", HOURLY + f"SELECT symbol, ts, round({SPAN_14.format(f'(close - min(low) {ROWS.format(13)})', '100')}, 6) AS stochastic, round({SPAN_14.format(f'(max(high) {ROWS.format(13)} - close)', '-100')}, 6) AS williams, round(CASE WHEN lag(close, 10) OVER w > 0 THEN (close - lag(close, 10) OVER w) / lag(close, 10) OVER w * 100 END, 6) AS roc, round(close - lag(close, 10) OVER w, 6) AS momentum FROM c{IN_ORDER}")
+@query("oscillators", HOURLY + f"SELECT symbol, ts, round({SPAN_14.format(f'(close - min(low) {ROWS.format(13)})', '100')}, 6) AS stochastic, round({SPAN_14.format(f'(max(high) {ROWS.format(13)} - close)', '-100')}, 6) + 0 AS williams, round(CASE WHEN lag(close, 10) OVER w > 0 THEN (close - lag(close, 10) OVER w) / lag(close, 10) OVER w * 100 END, 6) AS roc, round(close - lag(close, 10) OVER w, 6) AS momentum FROM c{IN_ORDER}")
 def _(spark, d):
     close = F.col("close")
     parts = {"stochastic": indicators.stochastic(14), "williams": indicators.williams(14), "roc": indicators.rate_of_change(close, 10), "momentum": indicators.momentum(close, 10)}
