@@ -43,8 +43,10 @@ def words(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with size, source key (null is a key of its own), order digest and bucket."""
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    """``docs`` with size, source key (null is a key of its own), order digest and bucket. Rows without an id are ordered by their
+    text, so that they don't fall into one bucket."""
+    own = F.concat(F.lit("text "), F.md5(text_of().cast("binary")))
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), own).cast("binary"))
     source = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("k"), "source"))
     out = docs.withColumn(S, words(text_of())).withColumn(K, source).withColumn(D, digest)
     return out.withColumn(B, F.substring(D, 1, DIGITS))
@@ -146,7 +148,7 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))) AS digest
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
