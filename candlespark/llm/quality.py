@@ -11,7 +11,8 @@ ten kilobytes and travel with the scoring tasks.
 Defined cases: null text scores as the empty text; several labels of one doc_id count as their mean; null
 labels and labels of unknown documents are ignored; without any labelled row every score is 0.5 and with labels
 of one kind only every score is near that label; null doc_id is never held out and never trained on; repeated
-rows each get a score; an empty table gives no rows; further columns are ignored.
+rows each get a score and teach once (of several texts of one doc_id, the one whose features come first); an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -193,7 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", train_row
             x = features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    rows = sample.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(run, "doc_id long, label double, x array<double>").toPandas()
+    rows = sample.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(run, "doc_id long, label double, x array<double>")
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).toPandas()  # one row an id, however often it comes
     rows = rows.assign(first=[tuple(v) for v in rows["x"]]).sort_values(["doc_id", "first"])
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, len(NAMES)))
     return AdditiveModel().fit(x, rows["label"].to_numpy(dtype=float))

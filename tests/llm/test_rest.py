@@ -46,6 +46,21 @@ def test_mixing(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_rows_without_an_id_are_spread_over_buckets(spark):
+    docs = frame(spark, [(None, f"text number {i}", "s0") for i in range(600)])
+    sizes = [r["count"] for r in mixing.keyed(docs).groupBy(mixing.B).count().collect()]
+    assert len(sizes) > 400 and max(sizes) < 8
+    key = lambda rows: sorted((r.size, r.copies, tuple(r.positions)) for r in rows)
+    assert key(mixing.assign(docs).collect()) == key(mixing.assign(docs.repartition(5)).collect())
+
+
+def test_a_labelled_document_that_repeats_teaches_once(spark):
+    docs = [(i, f"word{i} and some more words " * (1 + i % 5), "s0") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once, often = (quality.train(frame(spark, rows), labels) for rows in (docs, docs + [docs[6]] * 2_000))
+    assert all(np.array_equal(a, b) for a, b in zip(once.tables, often.tables)) and once.base == often.base
+
+
 def test_positions_invert_the_schedule(spark):
     for place, shape in enumerate(mixing.COURSES):
         u = spark.range(101).select((F.col("id") / 100.0).alias("u"))
