@@ -22,12 +22,13 @@ SQL: dict[str, str] = {}
 # Parts of the oracle's SQL: sessions and ticks of January 2024, ticks inside sessions, 5m candles.
 UTC_OF = "CAST(timezone('UTC', timezone('America/Sao_Paulo', {})) AS TIMESTAMP)"
 LOCAL_OF = "timezone('America/Sao_Paulo', timezone('UTC', {}))"
-SESS = f"""sess AS (
+SESS_OF = f"""sess AS (
   SELECT CAST(d AS DATE) AS dy,
          {UTC_OF.format("d + CASE WHEN CAST(d AS DATE) = DATE '2024-01-25' THEN INTERVAL 13 HOUR ELSE INTERVAL 10 HOUR END")} AS open_ts,
          {UTC_OF.format("d + INTERVAL 17 HOUR")} AS close_ts
-  FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) g(d)
+  FROM {{}} g(d)
   WHERE isodow(d) < 6 AND CAST(d AS DATE) <> DATE '2024-01-01')"""
+SESS = SESS_OF.format("generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)")
 TICKS = """t AS (
   SELECT event_type AS symbol, ts, value AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS volume, event_id AS ordinal
   FROM events)"""
@@ -165,9 +166,14 @@ def seen_span(spark, d) -> tuple:
     return tuple(seen_days(spark, d).agg(F.min("dy"), F.max("dy")).first())
 
 
-@query("sessions", with_(SESS, SEEN_DAYS) + "SELECT sess.* FROM sess SEMI JOIN seen USING (dy)")
+CALENDAR_DAYS = "(SELECT unnest(generate_series(CAST(least(DATE '2024-01-01', min(dy)) AS TIMESTAMP), CAST(greatest(DATE '2024-01-31', max(dy)) AS TIMESTAMP), INTERVAL 1 DAY)) FROM seen)"
+
+
+@query("sessions", with_(SEEN_DAYS, SESS_OF.format(CALENDAR_DAYS)) + "SELECT * FROM sess")
 def _(spark, d):
-    return A.january(spark).join(seen_days(spark, d), "dy", "left_semi")
+    """All sessions of the calendar, whether they have ticks or not; ticks beyond its span extend it."""
+    ends = [dt.date.fromisoformat(A.FIRST), dt.date.fromisoformat(A.LAST), *(day for day in seen_span(spark, d) if day)]
+    return C.sessions(spark, min(ends), max(ends), A.holidays(spark))
 
 
 @query("trading_days", with_(SESS, SEEN_DAYS) + "SELECT dy FROM sess WHERE dy BETWEEN (SELECT min(dy) FROM seen) AND (SELECT max(dy) FROM seen)")

@@ -46,3 +46,17 @@ def test_range_reads_push_their_predicates_to_the_scan(spark):
 
     plan = read.between(adapters.read(spark, TABLES, "events"), "2024-01-02", "2024-01-03").select("ts")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "props" not in plan
+
+
+def test_sessions_list_days_without_ticks(spark, tmp_path):
+    import datetime as dt
+
+    c = duckdb.connect()
+    c.execute("SET TimeZone = 'UTC'")
+    for name, ts, days in (("few", ["2024-01-10 15:00:00"], 22), ("later", ["2024-01-10 15:00:00", "2024-02-06 15:00:00"], 26), ("none", [], 22)):
+        (tmp_path / name).mkdir()
+        rows = [(dt.datetime.fromisoformat(t), "click", 1.0, "{}", i) for i, t in enumerate(ts)]
+        spark.createDataFrame(rows, "ts timestamp_ntz, event_type string, value double, props string, event_id long").write.parquet(f"{tmp_path}/{name}/events.parquet")
+        c.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/{name}/events.parquet/*.parquet'")
+        found = sorted(map(tuple, QUERIES["sessions"](spark, f"{tmp_path}/{name}").collect()))
+        assert len(found) == days and found == sorted(c.execute(SQL["sessions"]).fetchall())
