@@ -36,11 +36,13 @@ PERCENT = 80
 #: Bands of a signature and rows of a band: at Jaccard 0.8 a pair meets with probability 0.985, at 0.9 0.9998.
 BANDS, ROWS = 8, 4
 MIN_CHARS = 10
-#: Characters hashed at once, and digests a task remembers so as to sign equal lines once.
-CHUNK, SEEN = 100_000, 500_000
+#: Characters hashed at once (what a core's cache holds), and digests a task remembers so as to sign equal lines once.
+CHUNK, SEEN = 30_000, 500_000
 #: Lines beyond which a key's comparison is split, bits of a set's map, and sets that a task remembers.
 TILE, BITS, SETS = 2_000, 1_024, 20_000
 LINE = struct.Struct("<qi")
+#: ASCII white space besides the blank and the end of a line.
+ODD_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f"
 
 
 def normal(line: str) -> str:
@@ -48,6 +50,13 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def normal_lines(text: str) -> list[str]:
+    """The normal form of every line of ``text``; where blanks are the only white space, lines aren't split into words."""
+    if text.isascii() and not any(c in text for c in ODD_SPACE):
+        return [normal(line) if "  " in line else line.strip(" ") for line in text.lower().split("\n")]
+    return [normal(line) for line in text.split("\n")]
+
+
 def digest(line: str) -> tuple[int, int]:
     """Signed 64-bit digest of a line's normal form, and 32 further bits that tell lines of one such digest apart."""
     return LINE.unpack(hashlib.blake2b(line.encode(), digest_size=12).digest())
@@ -97,18 +106,16 @@ def overlaps(left: list[str], right: list[str], size: int):
         values.append(windows(lines[i], size))
         who.append(np.full(len(values[-1]), i))
 
-    def ordered(who, values):
-        order = np.lexsort((values, who))
-        who, values = who[order], values[order]
-        return who, values, np.concatenate([[False], (who[1:] == who[:-1]) & (values[1:] == values[:-1])])[: len(who)]
-
-    who, values, again = ordered(np.concatenate(who), np.concatenate(values))
-    who, values = who[~again], values[~again]
-    first = np.searchsorted(who, np.arange(len(lines) + 1))
-    n = np.diff(first)
+    # a window's place among all distinct ones stands for it, so that plain sorts of numbers do
+    who, values = np.concatenate(who), np.unique(np.concatenate(values), return_inverse=True)[1]
+    m = int(values.max(initial=0)) + 1
+    packed = np.sort(who * m + values)
+    packed = packed[np.append(True, packed[1:] != packed[:-1])[: len(packed)]]
+    first = np.searchsorted(packed, np.arange(len(lines) + 1) * m)
+    n, values = np.diff(first), packed % m
     places = np.concatenate([np.repeat(first[side], n[side]) + ramp(n[side]) for side in sides])
-    pair, _, both = ordered(np.concatenate([np.repeat(np.arange(len(side)), n[side]) for side in sides]), values[places])
-    return n[sides[0]], n[sides[1]], np.bincount(pair[both], minlength=len(left))
+    packed = np.sort(np.concatenate([np.repeat(np.arange(len(side)), n[side]) for side in sides]) * m + values[places])
+    return n[sides[0]], n[sides[1]], np.bincount(packed[1:][packed[1:] == packed[:-1]] // m, minlength=len(left))
 
 
 def band_keys(lines: list[str], size: int):
@@ -145,8 +152,7 @@ def line_table(docs: DataFrame, min_chars: int, size: int) -> DataFrame:
             columns: list[list] = [[], [], [], [], [], []]
             fresh, rows = [], []
             for dk, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("dk", "doc_id", "text"))):
-                for place, line in enumerate(text.split("\n")):
-                    line = normal(line)
+                for place, line in enumerate(normal_lines(text)):
                     if len(line) < min_chars:
                         continue
                     h, more = digest(line)
@@ -230,8 +236,7 @@ def contents(pairs: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
         for batch in slices(batches):
             found = {}
             for text in batch.column("text").to_pylist():
-                for line in text.split("\n"):
-                    line = normal(line)
+                for line in normal_lines(text):
                     if len(line) >= min_chars:
                         found[digest(line)] = line
             ids = [pa.array([d[i] for d in found], kind) for i, kind in enumerate((pa.int64(), pa.int32()))]
@@ -292,8 +297,10 @@ def remaining(lines: DataFrame, merged: DataFrame, content: DataFrame, size: int
     asked = lines.where("keys IS NOT NULL").select("line", "keys").join(small(content.select("line")), "line", "left_semi").dropDuplicates(["line"])
     asked = cut(asked.join(small(merged), "line", "left").select("line", F.coalesce("component", "line").alias("component"), "keys"))
     keyed = unfolded(asked, "keys", "key").select("key", "line", "component")
-    open_ = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    prints = F.bit_xor(F.xxhash64("line")).alias("p"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("q")
+    open_ = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), *prints)
     open_ = open_.where("m > 2 AND low <> high")  # the star has compared the lines of a key with two
+    open_ = open_.dropDuplicates(["m", "low", "high", "p", "q"])  # keys with the very same lines: one of them will do
     open_ = small(cut(open_.select("key", F.ceil(F.col("m") / F.lit(TILE)).cast("int").alias("parts"))))
     rows = keyed.join(open_, "key").withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -312,7 +319,8 @@ def remaining(lines: DataFrame, merged: DataFrame, content: DataFrame, size: int
             if found is None:
                 if len(sets) >= SETS:
                     sets.clear()
-                members, bits = np.unique(windows(text, size)), np.zeros(BITS, dtype=bool)
+                members, bits = np.sort(windows(text, size)), np.zeros(BITS, dtype=bool)
+                members = members[np.append(True, members[1:] != members[:-1])]
                 bits[members % np.uint64(BITS)] = True
                 found = sets[line] = members, np.packbits(bits).view(np.uint64)
             return found

@@ -315,3 +315,27 @@ def test_next_document_and_edit(spark):
 def test_likeness(spark):
     rows = spark.createDataFrame([([1, 2, 3], [2, 3, 4]), ([], []), ([1], []), ([1], [1, 2, 3, 4, 5])], "a array<long>, b array<long>")
     assert [r[0] for r in rows.select(fingerprints.likeness(F.col("a"), F.col("b"), 0.3)).collect()] == [0.5, 1.0, 0.0, 0.0]
+
+
+def test_lines_of_plain_texts_have_their_normal_form():
+    from candlespark.llm import line_dedup
+
+    texts = ["", " ", "a  B c\n x \n\nY z  ", "A\tb\n c", "\x1cA b\nc", "Σας ΟΔΟΣ\nΣ  x", "a\x0bb c\r\nd", "É  f g\n h"]
+    assert [line_dedup.normal_lines(t) for t in texts] == [[line_dedup.normal(x) for x in t.split("\n")] for t in texts]
+
+
+def test_keys_with_the_same_lines_are_compared_once(spark, monkeypatch):
+    """Three lines under eight equal keys: one of the keys' rows go to the tiles, and the links are all there."""
+    import struct
+
+    from candlespark.llm import line_dedup
+
+    text = ["the quick brown fox jumps over the lazy dog", "the quick brown fox jumps over the lazy dogs", "something else entirely, not like the others"]
+    lines = spark.createDataFrame([(i, bytearray(struct.pack("<8q", *range(8)))) for i in range(3)], "line long, keys binary")
+    content = spark.createDataFrame([(i, 0, t) for i, t in enumerate(text)], "line long, more int, content string")
+    merged = spark.createDataFrame([], "line long, component long")
+    broadcast = []
+    monkeypatch.setattr(line_dedup, "small", lambda df: broadcast.append(df) or df)
+    found = line_dedup.remaining(lines, merged, content, line_dedup.SHINGLE, line_dedup.PERCENT)
+    assert broadcast[-1].columns == ["key", "parts"] and broadcast[-1].count() == 1
+    assert [sorted(r) for r in found.collect()] == [[0, 1]]
