@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import components, cut, once, slices, small, spread_join, table
+from candlespark.llm.common import components, cut, narrow_batches, once, slices, small, spread_join, table
 from candlespark.llm.ngram_join import unfolded
 from candlespark.llm.shingles import BASE, STEP, _tables, mix, powers
 
@@ -41,8 +41,10 @@ CHUNK, SEEN = 30_000, 500_000
 #: Lines beyond which a key's comparison is split, bits of a set's map, and sets that a task remembers.
 TILE, BITS, SETS = 2_000, 1_024, 20_000
 LINE = struct.Struct("<qi")
-#: ASCII white space besides the blank and the end of a line.
-ODD_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f"
+#: White space besides the blank and the end of a line.
+ODD_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: Lines whose band keys leave a task together, and keys that one bucket of the candidates' shuffle holds, about.
+GATHER, BUCKET = 40_000, 8_192
 
 
 def normal(line: str) -> str:
@@ -52,7 +54,7 @@ def normal(line: str) -> str:
 
 def normal_lines(text: str) -> list[str]:
     """The normal form of every line of ``text``; where blanks are the only white space, lines aren't split into words."""
-    if text.isascii() and not any(c in text for c in ODD_SPACE):
+    if not any(c in text for c in ODD_SPACE):
         return [normal(line) if "  " in line else line.strip(" ") for line in text.lower().split("\n")]
     return [normal(line) for line in text.split("\n")]
 
@@ -124,16 +126,19 @@ def band_keys(lines: list[str], size: int):
 
     n = BANDS * ROWS
     odd = (mix(np.arange(1, n + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    least = np.empty((len(lines), n), dtype=np.uint32)
+    least = np.empty((n, len(lines)), dtype=np.uint32)
     for at, upto in runs(list(map(len, lines))):
         hashes = (windows("".join(lines[at:upto]), size) >> np.uint64(32)).astype(np.uint32)
-        hashes = np.append(hashes, np.uint32(0xFFFFFFFF))
         lengths = np.fromiter(map(len, lines[at:upto]), dtype=np.int64, count=upto - at)
-        starts = np.cumsum(lengths) - lengths
-        cuts = np.stack([starts, np.minimum(starts + lengths - size + 1, len(hashes) - 1)], axis=1).ravel()
+        own = np.ones(len(hashes), dtype=bool)  # not across the end of a line
+        for k in range(1, size):
+            own[np.cumsum(lengths)[:-1] - k] = False
+        hashes = hashes[own]
+        starts, turned = np.cumsum(lengths - size + 1) - (lengths - size + 1), np.empty_like(hashes)
         for k in range(n):
-            least[at:upto, k] = np.minimum.reduceat((hashes ^ odd[n - 1 - k]) * odd[k], cuts)[::2]
-    wide = least.reshape(len(lines), BANDS, ROWS).astype(np.uint64)
+            np.multiply(np.bitwise_xor(hashes, odd[n - 1 - k], out=turned), odd[k], out=turned)
+            np.minimum.reduceat(turned, starts, out=least[k, at:upto])
+    wide = least.T.reshape(len(lines), BANDS, ROWS).astype(np.uint64)
     keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(STEP), (len(lines), 1))
     for r in range(ROWS):
         keys = mix(keys ^ (wide[:, :, r] + np.uint64(r << 32)))
@@ -174,7 +179,8 @@ def line_table(docs: DataFrame, min_chars: int, size: int) -> DataFrame:
 
 
 def candidate_stars(lines: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of line digests: each line under a band key with one line of that key."""
+    """Distinct pairs (a, b) of line digests: each line under a band key with one line of that key. Keys are shuffled in
+    packed buckets, whose number follows that of the lines."""
     import numpy as np
 
     def propose(key, line):
@@ -183,66 +189,96 @@ def candidate_stars(lines: DataFrame) -> DataFrame:
         centre = np.repeat(line[first], np.diff(np.append(first, len(key))))
         return first, centre
 
-    def local(batches: Iterator) -> Iterator:
+    def dealt(rows, by, paired: bool) -> Iterator:
+        """``rows`` of two numbers each, packed by buckets."""
         import pyarrow as pa
 
+        bucket = (by.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, rows = bucket[order], rows[order]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+        packed = [rows[at:end].tobytes() for at, end in zip(first.tolist(), [*first[1:].tolist(), len(rows)])]
+        for at in range(0, len(packed), 1_000):
+            part = pa.array(packed[at : at + 1_000], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first[at : at + 1_000]]), pa.array([paired] * len(part), pa.bool_()), part], names=["bucket", "paired", "packed"])
+
+    def gathered(batches: Iterator) -> Iterator:
+        keys, lines = [], []
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), dtype=np.int64)
-            line = np.repeat(batch.column("line").to_numpy(), BANDS)
+            keys += batch.column("keys").to_pylist()
+            lines.append(batch.column("line").to_numpy())
+            if len(keys) >= GATHER:
+                yield keys, lines
+                keys, lines = [], []
+        if keys:
+            yield keys, lines
+
+    def local(batches: Iterator) -> Iterator:
+        for keys, line in gathered(batches):
+            keys = np.frombuffer(b"".join(keys), dtype=np.int64)
+            line = np.repeat(np.concatenate(line), BANDS)
             order = np.argsort(keys, kind="stable")
             keys, line = keys[order], line[order]
-            if not len(keys):
-                continue
             first, centre = propose(keys, line)
             other = np.flatnonzero(centre != line)
             pairs = np.unique(np.stack([centre[other], line[other]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([keys[first], mix(pairs[:, 1].astype(np.uint64)).view(np.int64)])), pa.array(np.concatenate([line[first], pairs[:, 0]])), pa.array(np.concatenate([line[first], pairs[:, 1]]))],
-                names=["key", "a", "b"],
-            )
+            yield from dealt(np.stack([keys[first], line[first]], axis=1), keys[first], False)
+            yield from dealt(pairs, mix(pairs[:, 1].astype(np.uint64)).view(np.int64), True)
 
     def across(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held = None  # key and first line of the last run
-        for batch in batches:
-            key, a, b = (batch.column(c).to_numpy() for c in ("key", "a", "b"))
-            done = a != b  # proposed already
-            out = [np.stack([a[done], b[done]])]
-            key, line = key[~done], a[~done]
+        held, firsts, pairs = None, [], []  # of one bucket: keys with their lines, pairs that are proposed already
+
+        def work():
+            key, line = np.frombuffer(b"".join(firsts), dtype=np.int64).reshape(-1, 2).T
+            out = [np.frombuffer(b"".join(pairs), dtype=np.int64).reshape(-1, 2).T]
             if len(key):
-                if held is not None:
-                    key, line = np.append(held[0], key), np.append(held[1], line)
-                first, centre = propose(key, line)
-                held = key[-1:], centre[-1:]
-                other = centre != line
-                out.append(np.stack([centre[other], line[other]]))
-            pairs = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    keyed = lines.where("keys IS NOT NULL").select("line", "keys").mapInArrow(local, "key long, a long, b long")
-    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(across, "a long, b long")
+                order = np.argsort(key, kind="stable")
+                line = line[order]
+                centre = propose(key[order], line)[1]
+                out.append(np.stack([centre, line])[:, centre != line])
+            a, b = np.concatenate(out, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            for bucket, paired, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "paired", "packed"))):
+                if bucket != held and held is not None:
+                    yield work()
+                    firsts, pairs = [], []
+                held = bucket
+                (pairs if paired else firsts).append(packed)
+        if held is not None:
+            yield work()
+
+    signed = lines.where("keys IS NOT NULL").select("line", "keys")
+    buckets = max(1, -(-signed.count() * BANDS // BUCKET))
+    keyed = signed.mapInArrow(local, "bucket int, paired boolean, packed binary")
+    pairs = keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(across, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def contents(pairs: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
-    """(line, more, content) of the lines in ``pairs(a, b)``: their digests and normal forms. Should two lines have one
-    64-bit digest, one of them is taken; the other is no part of its component, as ``more`` tells."""
+def contents(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(line, more, content) of the lines in ``pairs(a, b)``: their digests and normal forms, from one document each. Should
+    two lines have one 64-bit digest, one of them is taken; the other is no part of its component, as ``more`` tells."""
     asked = cut(pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct())
+    n = asked.count()
+    chosen = lines.select("line", "more", "dk", "place").join(small(asked, n), "line", "left_semi").dropDuplicates(["line"])
+    wanted = cut(chosen.groupBy("dk").agg(F.collect_list(F.struct("line", "more", "place")).alias("wanted")))
 
-    def lines(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in slices(batches):
-            found = {}
-            for text in batch.column("text").to_pylist():
-                for line in normal_lines(text):
-                    if len(line) >= min_chars:
-                        found[digest(line)] = line
-            ids = [pa.array([d[i] for d in found], kind) for i, kind in enumerate((pa.int64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(list(found.values()), pa.string())], names=["line", "more", "content"])
+            places = batch.column("wanted").flatten()
+            each, content = iter(places.field("place").to_pylist()), []
+            for text, n in zip(batch.column("text").to_pylist(), batch.column("wanted").value_lengths().to_pylist()):
+                parts = text.split("\n")
+                content += [normal(parts[next(each)]) for _ in range(n)]
+            yield pa.RecordBatch.from_arrays([places.field("line"), places.field("more"), pa.array(content, pa.string())], names=["line", "more", "content"])
 
-    return docs.select("text").mapInArrow(lines, "line long, more int, content string").join(small(asked), "line", "left_semi").dropDuplicates(["line"])
+    found = docs.select("dk", "text").join(small(wanted, n), "dk").select("text", "wanted")  # about a row's bytes a line
+    return found.mapInArrow(run, "line long, more int, content string").dropDuplicates(["line"])  # rows of equal documents
 
 
 def verified(pairs: DataFrame, content: DataFrame, size: int, percent: int) -> DataFrame:
@@ -360,7 +396,7 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS, size: int = SHINGLE, p
     """``docs(dk, doc_id, text)`` to (dk, gone): the sorted places of the lines that a document loses."""
     lines = cut(line_table(docs, min_chars, size))
     pairs = cut(candidate_stars(lines))
-    content = cut(contents(pairs, docs, min_chars))
+    content = cut(contents(pairs, lines, docs))
     merged = cut(components(verified(pairs, content, size, percent)).withColumnRenamed("id", "line"))
     links = merged.where("line <> component").select(F.col("line").alias("a"), F.col("component").alias("b"))
     merged = cut(components(links.unionByName(remaining(lines, merged, content, size, percent))).withColumnRenamed("id", "line"))
@@ -401,5 +437,6 @@ def without_repeats(docs: DataFrame, **parameters) -> DataFrame:
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with its lines deduplicated over the whole table."""
+    narrow_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return deduplicate(docs).select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_gone").alias("removed_lines"))

@@ -339,3 +339,56 @@ def test_keys_with_the_same_lines_are_compared_once(spark, monkeypatch):
     found = line_dedup.remaining(lines, merged, content, line_dedup.SHINGLE, line_dedup.PERCENT)
     assert broadcast[-1].columns == ["key", "parts"] and broadcast[-1].count() == 1
     assert [sorted(r) for r in found.collect()] == [[0, 1]]
+
+
+def test_line_candidates_are_shuffled_in_packed_buckets(spark, monkeypatch):
+    from candlespark.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BUCKET", 64)
+    monkeypatch.setattr(line_dedup, "GATHER", 50)
+    rng = random.Random(3)
+    keys = [[rng.randrange(-400, 400) for _ in range(line_dedup.BANDS)] for _ in range(600)]
+    rows = [(i - 300, np.array(k, dtype=np.int64).tobytes()) for i, k in enumerate(keys)] + [(1000, None)]
+    pairs = line_dedup.candidate_stars(spark.createDataFrame(rows, "line long, keys binary").repartition(5))
+    got = [(r.a, r.b) for r in pairs.collect()]
+    under = {}
+    for i, k in enumerate(keys):
+        for x in k:
+            under.setdefault(x, set()).add(i - 300)
+    assert len(set(got)) == len(got) and all(a < b for a, b in got)
+    assert all(any(a in u and b in u for u in under.values()) for a, b in got)  # of lines that share a key
+    found = union_find(600, [(a + 300, b + 300) for a, b in got])
+    assert all(len({found[x + 300] for x in lines}) == 1 for lines in under.values())  # and a key's lines are linked through such pairs
+    assert "packed" in pairs._jdf.queryExecution().toString()
+    assert line_dedup.candidate_stars(spark.createDataFrame([], "line long, keys binary")).count() == 0
+
+
+def test_line_contents_come_from_one_document_each(spark):
+    from candlespark.llm import line_dedup
+
+    rows = [(i, "\n".join(f"  Line {k} \t of the {'odd' if k % 2 else 'even'} ones" for k in range(i, i + 5))) for i in range(30)]
+    docs = spark.createDataFrame([*rows, rows[4]], "doc_id long, text string").withColumn("dk", F.xxhash64("doc_id", "text")).repartition(3)
+    lines = common.cut(line_dedup.line_table(docs, 10, 7))
+    known = {line_dedup.digest(x): x for _, t in rows for x in line_dedup.normal_lines(t)}
+    some = sorted(d[0] for d in known)[:12]
+    asked = spark.createDataFrame([(some[0], x) for x in some[1:]], "a long, b long")
+    got = line_dedup.contents(asked, lines, docs).collect()
+    assert sorted(r.line for r in got) == some and all(known[r.line, r.more] == r.content for r in got)
+
+
+def test_lines_with_other_white_space_are_split_into_words():
+    from candlespark.llm import line_dedup
+
+    odd = [c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n"]
+    texts = [f"Élan{c} İX  ΑΣ\n ΣΑΣ{c}\n{c}" for c in odd] + ["ÉLAN ΑΣ\nΣ ß  İ \n", "ΑΣ", "\n", ""]
+    assert sorted(odd) == sorted(line_dedup.ODD_SPACE)
+    assert [line_dedup.normal_lines(t) for t in texts] == [[line_dedup.normal(x) for x in t.split("\n")] for t in texts]
+
+
+def test_band_keys_follow_from_each_line_alone():
+    from candlespark.llm import line_dedup
+
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abcé ") for _ in range(n)) for n in [7, 8, 13, 14, 40, 7, 7, 31_000, 9, 200]]
+    alone = [line_dedup.band_keys([x], 7)[0].tolist() for x in lines]
+    assert line_dedup.band_keys(lines, 7).tolist() == alone
