@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlespark.llm.common import cut, slices, text_of
-from candlespark.llm.tokenize import id_encoder, tokenizer_path
+from candlespark.llm.tokenize import MEMO_WORDS, id_encoder, tokenizer_path
 
 WINDOW = 4096
 END_ID = 2
@@ -35,13 +35,13 @@ FULL = 1 << 62
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard int, ids binary"
 
 
-def pieces(docs: DataFrame, shards: int, path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, shards: int, path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row per piece: whole windows of overlong documents, then the rest of each document."""
 
     def divide(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder, end = id_encoder(path), end_id.to_bytes(4, "little")
+        encoder, end = id_encoder(path, memo_words), end_id.to_bytes(4, "little")
         row = 0
         for batch in slices(batches):
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard", "ids")}
@@ -121,7 +121,7 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return where, offset
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, shard_rows: int = SHARD_ROWS, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Packs ``docs(doc_id, text)`` into windows.
 
     Returns per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded (the window's
@@ -129,7 +129,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     """
     path = path or tokenizer_path()
     shards = max(1, -(-docs.count() // shard_rows))
-    found = cut(pieces(docs, shards, path, window, end_id, with_ids))
+    found = cut(pieces(docs, shards, path, window, end_id, with_ids, memo_words))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded", *["ids"] * with_ids]
     kinds = ["long"] * 7 + ["int", *["binary"] * with_ids]
 

@@ -42,11 +42,11 @@ class WordEncoder:
     """Maps words (bytes without ASCII white space) to ``pack(ids)`` through a bounded memo; ``join`` adds up
     the packed values of a word's two parts. All ids come from the library."""
 
-    def __init__(self, path: str, pack: Callable, join: Callable):
+    def __init__(self, path: str, pack: Callable, join: Callable, most: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self._tok, self._pack, self._join, self.memo = Tokenizer.from_file(path), pack, join, {}
+        self._tok, self._pack, self._join, self._most, self.memo = Tokenizer.from_file(path), pack, join, most, {}
 
     @staticmethod
     def cut(word: bytes) -> int:
@@ -86,7 +86,7 @@ class WordEncoder:
                 pass
             out = []
             for at in range(0, len(words), 50_000):
-                if len(memo) > MEMO_WORDS:
+                if len(memo) > self._most:
                     memo.clear()
                 part = words[at : at + 50_000]
                 self.learn(set(part))
@@ -95,11 +95,11 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def id_encoder(path: str) -> WordEncoder:
+def id_encoder(path: str, most: int = MEMO_WORDS) -> WordEncoder:
     """Words to their ids as little-endian unsigned 32-bit bytes; one encoder serves all tasks of a process."""
     import struct
 
-    return WordEncoder(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
+    return WordEncoder(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join, most)
 
 
 @lru_cache(maxsize=2)
